@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: What the contracts call a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,6 +62,18 @@ def crc_mod(column: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that df has not, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for k in range(len(taken) + 1) if (c := name + "_" * k).lower() not in taken) for name in names]
+
+
+def wider(df: DataFrame, **more: str) -> StructType:
+    """The schema of df with more fields, by name and type."""
+    extra = [StructField(name, _parse_datatype_string(kind)) for name, kind in more.items()]
+    return StructType([*df.schema.fields, *extra])
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``limit`` bytes of text each; a
     row longer than that comes alone."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_bk, url_rules
+from . import langid, simhash_bk, toxicity, url_rules
 from ._shared import table
 
 
@@ -14,10 +14,18 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.op5(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op6(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.op8(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_url_rules, op8_simhash_bk_trees)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees)}
 
 ORACLES: dict[str, str] = {"op5_url_rules": url_rules.ORACLE}
