@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, simhash_bk, toxicity, url_rules
+from . import entropy_mix, langid, secret_scan, simhash_bk, template_decontam, toxicity, url_rules
 from ._shared import table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op3(table(spark, sf_dir, "documents"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.op5(table(spark, sf_dir, "pages"))
 
@@ -26,6 +30,14 @@ def op8_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.op8(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees)}
+def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_mix.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_decontam.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination)}
 
 ORACLES: dict[str, str] = {"op5_url_rules": url_rules.ORACLE}
