@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_mix, langid, secret_scan, simhash_bk, template_decontam, toxicity, url_rules
+from . import entropy_mix, html_consensus, langid, secret_scan, simhash_bk, telephony, template_decontam, toxicity, url_rules
 from ._shared import table
 
 
+def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op3(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,6 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return template_decontam.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_html_consensus, op3_secret_scan, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination)}
 
 ORACLES: dict[str, str] = {"op5_url_rules": url_rules.ORACLE}
