@@ -66,6 +66,7 @@ def fit(docs: DataFrame, usable: Column) -> Model:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     label = np.array([languages.index(x) for x in rows["lang"].to_pylist()])
     words = read_words(rows["text"].combine_chunks(), LETTERS)
+    del rows
     rng = np.random.default_rng(6)
     bags, of = [], []
     test = np.arange(len(label)) % 5 == 4

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5, 6)
 DIM = 12
+#: Words whose features are made at once.
+PART = 1 << 15
 
 
 @dataclass
@@ -54,14 +56,16 @@ def read_words(texts: pa.Array, keep: str) -> Words:
 
 
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of each feature of each word."""
+    """(word, bucket) of each feature of each word, as 32-bit numbers."""
     if not vocabulary:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     marked = [b"<%s>" % w.encode("utf-8", "surrogatepass") for w in vocabulary]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
+    begin = np.cumsum(size) - size
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
-    word = np.repeat(np.arange(len(marked)), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(data))  # bytes up to the word's end
+    word = np.repeat(np.arange(len(marked), dtype=np.int32), size)
+    place = np.arange(len(data)) - begin[word]
+    shift = np.uint32(32 - BUCKETS.bit_length() + 1)
     h = np.zeros(len(data), np.uint32)
     words, buckets = [], []
     for n in range(1, max(SIZES) + 1):
@@ -69,23 +73,39 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         more[: len(data) - n + 1] = data[n - 1 :]
         h = h * np.uint32(16777619) ^ more
         if n in SIZES:
-            ok = left >= n
-            mixed = (h[ok] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+            ok = place + n <= size[word]
             words.append(word[ok])
-            buckets.append(mixed >> np.uint32(32 - BUCKETS.bit_length() + 1))
-    power = np.uint32(0x01000193) ** (np.arange(len(data), dtype=np.uint32) - np.repeat(np.cumsum(size) - size, size).astype(np.uint32))
-    whole = np.add.reduceat(data * power, np.cumsum(size) - size, dtype=np.uint32) * np.uint32(0xC2B2AE35)
-    words.append(np.arange(len(marked)))
-    buckets.append(whole >> np.uint32(32 - BUCKETS.bit_length() + 1))
-    return np.concatenate(words), np.concatenate(buckets).astype(np.int64)
+            buckets.append(((h[ok] ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> shift).astype(np.int32))
+    power = np.ones(int(size.max()), np.uint32)
+    np.multiply.accumulate(np.full(len(power) - 1, 0x01000193, np.uint32), out=power[1:])
+    whole = np.add.reduceat(data * power[place], begin, dtype=np.uint32) * np.uint32(0xC2B2AE35)
+    words.append(np.arange(len(marked), dtype=np.int32))
+    buckets.append((whole >> shift).astype(np.int32))
+    return np.concatenate(words), np.concatenate(buckets)
+
+
+def _parts(vocabulary: list[str]) -> list[list[str]]:
+    return [vocabulary[at : at + PART] for at in range(0, len(vocabulary), PART)]
+
+
+def feature_table(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, bucket): a ragged table of the words' features."""
+    starts, buckets = [np.zeros(1, np.int64)], []
+    for part in _parts(vocabulary):
+        word, bucket = features(part)
+        buckets.append(bucket[np.argsort(word, kind="stable")])
+        starts.append(starts[-1][-1] + np.cumsum(np.bincount(word, minlength=len(part))))
+    return np.concatenate(starts), np.concatenate(buckets or [np.zeros(0, np.int32)])
 
 
 def word_logits(vocabulary: list[str], table: np.ndarray) -> np.ndarray:
     """(word, class): the mean of the buckets' logits over each word's features."""
-    word, bucket = features(vocabulary)
-    n = len(vocabulary)
-    many = np.maximum(np.bincount(word, minlength=n), 1)
-    return np.stack([np.bincount(word, table[bucket, k], minlength=n) / many for k in range(table.shape[1])], axis=1) if n else np.zeros((0, table.shape[1]))
+    found = [np.zeros((0, table.shape[1]))]
+    for part in _parts(vocabulary):
+        word, bucket = features(part)
+        many = np.bincount(word, minlength=len(part))
+        found.append(np.stack([np.bincount(word, table[bucket, k], minlength=len(part)) / many for k in range(table.shape[1])], axis=1))
+    return np.concatenate(found)
 
 
 def ragged(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,12 +123,9 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 def train(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, classes: int, *, epochs: int = 8, rate: float = 0.5, batch: int = 128, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(table of logits by bucket and class, bias). bags: word numbers of each
     instance, none empty."""
-    word, bucket = features(vocabulary)
-    order = np.argsort(word, kind="stable")
-    bucket = bucket[order]
-    word_starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(vocabulary)))])
+    used, in_bags = np.unique(np.concatenate(bags), return_inverse=True)
+    word_starts, bucket = feature_table([vocabulary[k] for k in used.tolist()])
     bag_starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
-    in_bags = np.concatenate(bags)
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     W = rng.normal(0, 0.3, (DIM, classes)).astype(np.float32)

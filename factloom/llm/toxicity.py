@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from ._shared import crc_mod, fresh, slices, wider
 from .langid import sample
-from .subword import BUCKETS, Words, features, ragged, read_words, train, word_logits
+from .subword import BUCKETS, Words, feature_table, ragged, read_words, train, word_logits
 
-PER_LABEL = 4000
+PER_LABEL = 2500
 WINDOW = 3
 ROUNDS = 3
 KEEP = r"\p{L}\p{N}"
@@ -68,10 +68,7 @@ def strongest(words: Words, per_word: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _telling(words: Words, label: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Of each word how surely texts with one of its n-grams are toxic: the
     largest lower bound of an n-gram's log odds, by numbers of texts."""
-    word, bucket = features(words.vocabulary)
-    order = np.argsort(word, kind="stable")
-    word, bucket = word[order], bucket[order]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words.vocabulary)))])
+    ends, bucket = feature_table(words.vocabulary)
     texts = np.zeros((2, BUCKETS))
     for d in np.flatnonzero(rows):
         own = np.unique(words.ids[words.starts[d] : words.starts[d + 1]])
@@ -109,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     label = rows["toxic"].to_numpy().astype(np.int64)
     words = read_words(rows["text"].combine_chunks(), KEEP)
+    del rows
     full = words.counts > 0
     share = float(label.mean()) if len(label) else 0.0
     blank = Model(np.zeros((BUCKETS, 1), np.float32), 0.0, np.array([0, 0, np.log((min(share, 0.49) + 1e-3) / (1 - min(share, 0.49) + 1e-3))]), min(share, 0.49))
