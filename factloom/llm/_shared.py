@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 #: What the contracts call a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker turns into numpy arrays at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

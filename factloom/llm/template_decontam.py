@@ -84,10 +84,13 @@ class Templates:
     codes: np.ndarray
     starts: np.ndarray
     token: np.ndarray
-    words: list[str]
+    words: pa.Array
     ids: np.ndarray
     part: np.ndarray
 
+    def raw(self, token: int) -> str:
+        return self.words[self.ids[token]].as_py()
+
     def value(self, at: int) -> str:
         """What stands behind a slot."""
         code = int(self.codes[at])
@@ -95,39 +98,70 @@ class Templates:
             first, last = self.token[at], self.token[at + 1] if at + 1 < len(self.token) else len(self.ids)
             names = []
             for t in range(first, last):
-                seen = classify(self.words[self.ids[t]])
+                seen = classify(self.raw(t))
                 if seen.codes and (t == first or seen.capital):
-                    names.append(_CORE.match(self.words[self.ids[t]])[1].lower())
+                    names.append(_CORE.match(self.raw(t))[1].lower())
                 elif seen.codes:
                     break
             return " ".join(names)
-        seen = classify(self.words[self.ids[self.token[at]]])
-        return seen.codes[self.part[at]][1] or _CORE.match(self.words[self.ids[self.token[at]]])[1].lower()
-
-
-def templates(texts: pa.Array, known: dict[str, Token] | None = None) -> Templates:
-    known = {} if known is None else known
+        raw = self.raw(self.token[at])
+        return classify(raw).codes[self.part[at]][1] or _CORE.match(raw)[1].lower()
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit polynomial hash of each text's bytes."""
+    buffers = words.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) if buffers[2] else np.zeros(0, np.uint64)
+    size = np.diff(offsets)
+    begin = offsets[:-1] - offsets[0]
+    power = np.ones(int(size.max(initial=0)) + 1, np.uint64)
+    np.multiply.accumulate(np.full(len(power) - 1, 0x100000001B3, np.uint64), out=power[1:])
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[np.arange(len(data)) - np.repeat(begin, size)], out=total[1:])
+    h = (total[begin + size] - total[begin]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ h >> np.uint64(31)
+
+
+def _classified(words: pa.Array) -> dict[str, np.ndarray]:
+    """What ``classify`` says of each of some distinct tokens, as columns; only
+    those that begin like numbers are looked at one by one."""
+    flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+    core = pc.replace_substring_regex(pc.replace_substring_regex(words, r"^[^\pL\pN_$€£%+-]+", ""), r"[^\pL\pN_$€£%°]+$", "")
+    units = pa.array(sorted(UNITS), pa.large_string())
+    wordy = flag(pc.match_substring_regex(core, r"[\pL\pN_]"))
+    empty = ~wordy & ~flag(pc.is_in(core, value_set=units))
+    bare = pc.utf8_trim(core, "$€£%+-°")
+    word = pc.if_else(pc.equal(bare, ""), core, bare)
+    low = pc.utf8_lower(word)
+    shout = flag(pc.equal(pc.utf8_upper(word), word)) & (pc.utf8_length(word).to_numpy(zero_copy_only=False) > 1)
+    first, second = _hashes(low), np.zeros(len(words), np.uint64)
+    first[empty] = 0
+    found = {
+        "empty": empty,
+        "capital": flag(pc.match_substring_regex(word, r"^\p{Lu}")) & ~shout & ~empty,
+        "after": flag(pc.match_substring_regex(words, r"[.!?][^\pL\pN_$€£%°]*$")),
+        "unit": (flag(pc.is_in(low, value_set=units)) | flag(pc.is_in(pc.utf8_lower(core), value_set=units))) & ~empty,
+    }
+    for k in np.flatnonzero(flag(pc.match_substring_regex(core, r"^[+-]?[$€£]?[0-9]"))):
+        t = classify(words[k].as_py())
+        if t.codes and t.codes[0][0] == int(NUM):
+            first[k], second[k] = NUM, t.codes[1][0] if len(t.codes) > 1 else 0
+            found["capital"][k] = found["unit"][k] = False
+    return found | {"first": first, "second": second}
+
+
+def templates(texts: pa.Array) -> Templates:
     # A line's end ends a sentence too.
     lined = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " . ")
     lists = pc.utf8_split_whitespace(lined)
     coded = pc.dictionary_encode(lists.flatten())
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.to_pylist()
-    seen = []
-    for w in words:
-        if (t := known.get(w)) is None:
-            t = classify(w)
-            if len(known) < 200_000 and len(w) < 64:
-                known[w] = t
-        seen.append(t)
+    words = coded.dictionary
+    seen = _classified(words)
+    first, second, empty, capital, after, unit = (seen[k] for k in ("first", "second", "empty", "capital", "after", "unit"))
     bounds = np.asarray(lists.offsets, np.int64)
-    bounds -= bounds[0]
-    first = np.array([t.codes[0][0] if t.codes else 0 for t in seen] or [0], np.uint64)
-    second = np.array([t.codes[1][0] if len(t.codes) > 1 else 0 for t in seen] or [0], np.uint64)
-    empty = np.array([not t.codes for t in seen] or [True])
-    capital = np.array([t.capital for t in seen] or [False])
-    after = np.array([t.after for t in seen] or [False])
-    unit = np.array([t.unit for t in seen] or [False])
+    bounds = bounds - bounds[0]
     n = len(ids)
     begins = np.zeros(n + 1, bool)
     begins[bounds[:-1][bounds[:-1] < n]] = True
@@ -229,10 +263,9 @@ def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
-        known: dict[str, Token] = {}
         for batch in batches:
             for b in slices(batch):
-                t = templates(b.column("text"), known)
+                t = templates(b.column("text"))
                 ids = b.column("id").to_pylist()
                 for size in sizes:
                     at, h = windows(t, size)
