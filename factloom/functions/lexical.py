@@ -20,7 +20,7 @@ STOP = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves"
 ).split()
 K1, B = 1.2, 0.75
-_SUFFIXES = [(r"sses$", "ss"), (r"ies$", "y"), (r"([^s])s$", "$1"), (r"([aeiouy].*)(?:ing|edly|ed|ly)$", "$1")]
+_SUFFIXES = [(r"sses$", "ss"), (r"ies$", "y"), (r"([^s])s$", "$1"), (r"([aeiouy].*)(?:ing|edly|ed|ly)$", "$1"), (r"([bdfgmnprt])\1$", "$1")]
 
 
 def stem(token: Column) -> Column:
@@ -65,39 +65,44 @@ def parse_query(text: str) -> Query:
     return Query(tuple(map(tuple, groups)), tuple(none))
 
 
-def _has_phrase(stems: Column, wanted: Column) -> Column:
+def _has_phrase(stems: Column, wanted: list[str]) -> Column:
     """A phrase of no stems (stop words only) is everywhere."""
-    n = F.size(wanted)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(stems) - n + 1, F.lit(1)))
-    return (n == 0) | F.exists(starts, lambda k: F.slice(stems, k, F.greatest(n, F.lit(1))) == wanted)
+    if not wanted:
+        return F.lit(True)
+    here = F.array_contains(stems, wanted[0])
+    if len(wanted) == 1:
+        return here
+    whole = F.array(*map(F.lit, wanted))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(stems) - len(wanted) + 1, F.lit(1)))
+    return here & F.exists(starts, lambda k: F.slice(stems, k, len(wanted)) == whole)
 
 
 def match_documents(docs: DataFrame, query: str, text: str = "content") -> DataFrame:
-    """(id, lexical) of the documents that match. Only they are looked at
-    closely; the corpus gives the numbers of documents with each stem and the
-    mean length, in one aggregate."""
+    """(id, lexical) of the documents that match. The corpus gives the numbers
+    of documents with each stem and the mean length, in one aggregate."""
     q = parse_query(query)
+    phrases = list(dict.fromkeys([*(p for g in q.groups for p in g), *q.none]))
     if not q.groups:
         return docs.select("id", F.lit(0.0).alias("lexical")).limit(0)
-    stemmed = docs.select("id", tokens(text).alias("stems"))
-    wanted = {p: tokens(F.lit(p)) for g in q.groups for p in g} | {p: tokens(F.lit(p)) for p in q.none}
-    positive = sorted({p for g in q.groups for p in g})
-    terms = F.array_distinct(F.flatten(F.array(*[wanted[p] for p in positive])))
-    words = docs.sparkSession.range(1).select(terms.alias("t")).first()["t"]
+    asked = docs.sparkSession.range(1).select(*[tokens(F.lit(p)).alias(f"p{k}") for k, p in enumerate(phrases)]).first()
+    stems_of = {p: list(asked[f"p{k}"]) for k, p in enumerate(phrases)}
+    words = sorted({w for g in q.groups for p in g for w in stems_of[p]})
     if not words:
         return docs.select("id", F.lit(0.0).alias("lexical")).limit(0)
+    # Generated, not projected: the stems are made once a row, whatever reads them.
+    stemmed = docs.select("id", F.explode(F.array(tokens(text))).alias("stems"))
     stats = stemmed.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("stems")), F.lit(0.0)).alias("mean"), *[F.count_if(F.array_contains("stems", w)).alias(f"w{k}") for k, w in enumerate(words)]).first()
     hit = F.lit(True)
     for group in q.groups:
         one = F.lit(False)
         for p in group:
-            one = one | _has_phrase(F.col("stems"), wanted[p])
+            one = one | _has_phrase(F.col("stems"), stems_of[p])
         hit = hit & one
     for p in q.none:
-        hit = hit & ~_has_phrase(F.col("stems"), wanted[p])
+        hit = hit & ~_has_phrase(F.col("stems"), stems_of[p])
     score = F.lit(0.0)
     for k, w in enumerate(words):
         tf = (F.size("stems") - F.size(F.array_remove("stems", w))).cast("double")
         idf = F.log(F.lit(1 + (stats.n - stats[f"w{k}"] + 0.5) / (stats[f"w{k}"] + 0.5)))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("stems") / max(stats["mean"], 1.0)))
-    return stemmed.filter(hit).select("id", (score / (1 + score)).alias("lexical"))
+    return stemmed.filter(hit).select("id", score.alias("raw")).select("id", (F.col("raw") / (1 + F.col("raw"))).alias("lexical"))
