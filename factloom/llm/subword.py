@@ -120,9 +120,10 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, classes: int, *, epochs: int = 8, rate: float = 0.5, batch: int = 128, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, classes: int, *, epochs: int = 8, rate: float = 0.5, batch: int = 128, drop: float = 0.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(table of logits by bucket and class, bias). bags: word numbers of each
-    instance, none empty."""
+    instance, none empty. ``drop``: the share of features left out at random in
+    each step, so that a word does not hang on a few of its n-grams."""
     used, in_bags = np.unique(np.concatenate(bags), return_inverse=True)
     word_starts, bucket = feature_table([vocabulary[k] for k in used.tolist()])
     bag_starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
@@ -139,6 +140,8 @@ def train(vocabulary: list[str], bags: list[np.ndarray], labels: np.ndarray, cla
             f_at, n_feats = ragged(word_starts, in_bags[where])
             f = bucket[f_at]
             weight = np.repeat(1 / (np.repeat(n_words, n_words) * n_feats), n_feats).astype(np.float32)[:, None]
+            if drop:
+                weight *= (rng.random(len(weight)) >= drop).astype(np.float32)[:, None] / np.float32(1 - drop)
             per_bag = np.add.reduceat(n_feats, np.concatenate([[0], np.cumsum(n_words)[:-1]]))
             x = np.add.reduceat(E[f] * weight, np.concatenate([[0], np.cumsum(per_bag)[:-1]]))
             miss = softmax(x @ W + bias)

@@ -28,6 +28,7 @@ from .subword import BUCKETS, Words, feature_table, ragged, read_words, train, w
 PER_LABEL = 2500
 WINDOW = 3
 ROUNDS = 3
+DROP = 0.2
 KEEP = r"\p{L}\p{N}"
 
 
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             spots = [where[d]] if label[d] else [where[d], *(words.starts[d] + rng.integers(0, words.counts[d] - size + 1, 2))]
             bags += [words.ids[s : s + size] for s in spots]
             of += [label[d]] * len(spots)
-        table, bias = train(words.vocabulary, bags, np.array(of), 2, epochs=6)
+        table, bias = train(words.vocabulary, bags, np.array(of), 2, epochs=6, drop=DROP)
         score = word_logits(words.vocabulary, table[:, 1:] - table[:, :1])[:, 0]
     model = Model(table[:, 1:] - table[:, :1], float(bias[1] - bias[0]), np.array([1.0, 0.0, 0.0]), min(share, 0.49))
     check = full & (test if test.any() else use)
