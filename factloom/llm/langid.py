@@ -5,7 +5,8 @@ Learnt on a bounded sample: of each language about ``PER_LANGUAGE`` documents,
 picked by a hash of the id. Four fifths of them train the model, in segments
 of 1 to 32 words so that short texts are known too; the last fifth, as whole
 texts, sets the temperature that makes the scores probabilities and the
-rejection threshold, below which at most ``REJECT`` of rightly named texts lie.
+rejection threshold, below which at most ``REJECT`` of rightly named texts lie,
+and which is at most ``SURE``: a text in two languages is no noise.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .subword import BUCKETS, read_words, softmax, train, word_logits
 PER_LANGUAGE = 1200
 SEGMENTS = 4
 REJECT = 0.001
+#: A score from which no text is rejected, however sure the others are.
+SURE = 0.4
 LETTERS = r"\p{L}"
 
 
@@ -89,7 +92,7 @@ def fit(docs: DataFrame, usable: Column) -> Model:
         p = softmax(logits / model.temperature)
         right = p.argmax(axis=1) == label[whole]
         if right.any():
-            model.threshold = float(min(0.5, np.quantile(p.max(axis=1)[right], REJECT)))
+            model.threshold = float(min(SURE, np.quantile(p.max(axis=1)[right], REJECT)))
     return model
 
 
