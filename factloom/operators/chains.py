@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Grant, readable
+from ..functions.staging import written
 
 #: Hops that a walk takes at most.
 DEPTH_CAP = 64
@@ -59,14 +60,17 @@ def subject_history(memory: DataFrame, anchor: object, grants: Iterable[Grant],
 
 
 def heads(memory: DataFrame, cap: int = DEPTH_CAP) -> DataFrame:
-    """(id, head, hops) of every row at once, by doubling the hops in each
-    round: six joins for chains of 64. A cycle ends at the cap."""
-    step = memory.select("id", F.coalesce("superseded_by", "id").alias("head"), F.col("superseded_by").isNotNull().cast("int").alias("hops"))
+    """(id, head, hops) of every row at once. Only links move: each round
+    doubles the hops that they span, and is written so that the plan of the
+    next one does not hold it twice; six rounds do for chains of 64, a round
+    in which nothing moves is the last. A cycle ends at the cap."""
+    links = memory.filter("superseded_by is not null").select("id", F.col("superseded_by").alias("head"), F.lit(1).alias("hops"))
     known = memory.select(F.col("id").alias("head"))
-    step = step.join(known, "head", "left_semi").select("id", "head", "hops").unionByName(step.join(known, "head", "left_anti").select("id", F.col("id").alias("head"), F.lit(0).alias("hops")))
-    n = 1
-    while n < cap:
+    step = written(links.join(known, "head", "left_semi").select("id", "head", "hops"), "heads")
+    n, before = 1, -1
+    while n < cap and (now := step.agg(F.coalesce(F.sum("hops"), F.lit(0))).first()[0]) != before:
+        before = now
         onward = step.select(F.col("id").alias("head"), F.col("head").alias("far"), F.col("hops").alias("more"))
-        step = step.join(onward, "head").select("id", F.col("far").alias("head"), F.least(F.col("hops") + F.col("more"), F.lit(cap)).alias("hops"))
-        n *= 2
-    return step
+        moved = step.join(onward, "head", "left").select("id", F.coalesce("far", "head").alias("head"), F.least(F.col("hops") + F.coalesce("more", F.lit(0)), F.lit(cap)).alias("hops"))
+        step, n = written(moved, "heads"), 2 * n
+    return memory.select("id").join(step, "id", "left").select("id", F.coalesce("head", "id").alias("head"), F.coalesce("hops", F.lit(0)).alias("hops"))

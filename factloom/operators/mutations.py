@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import credentials, guards
 from ..functions.predicates import expired, live
+from ..functions.staging import written
 from ..functions.text import content_digest, duplicate_key, inverted, normal_tags, supersession_end
 from .chains import heads
 
@@ -83,10 +84,13 @@ def delete(memory: DataFrame, ids: DataFrame) -> DataFrame:
     gone = ids.select("id").distinct()
     kept = memory.join(gone, "id", "left_anti")
     # From a deleted fact to the next that stays: hops are doubled, for runs of up to 64.
-    step = memory.join(gone, "id", "left_semi").select(F.col("id").alias("g"), F.col("superseded_by").alias("to"))
+    step = written(memory.join(gone, "id", "left_semi").select(F.col("id").alias("g"), F.col("superseded_by").alias("to")), "splice")
     for _ in range(6):
         onward = step.select(F.col("g").alias("to"), F.col("to").alias("far"), F.lit(True).alias("more"))
-        step = step.join(onward, "to", "left").select("g", F.when(F.col("more"), F.col("far")).otherwise(F.col("to")).alias("to"))
+        next_ = written(step.join(onward, "to", "left").select("g", F.when(F.col("more"), F.col("far")).otherwise(F.col("to")).alias("to")), "splice")
+        if next_.exceptAll(step).isEmpty():
+            break
+        step = next_
     alive = memory.select(F.col("id").alias("to")).join(gone.withColumnRenamed("id", "to"), "to", "left_anti")
     over = step.join(alive.withColumn("_alive", F.lit(True)), "to", "left").select(F.col("g").alias("superseded_by"), F.when(F.col("_alive"), F.col("to")).alias("_to"), F.lit(True).alias("_cut"))
     rows = kept.join(over, "superseded_by", "left")
