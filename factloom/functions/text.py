@@ -111,9 +111,10 @@ def windows(text: str | Column, cap: int) -> Column:
 
 
 def project_slug(path: str | Column) -> Column:
-    """The name of a project from a path or a possessive phrase."""
-    last = F.regexp_extract(F.regexp_replace(F.trim(_c(path)), r"[/\\]+$", ""), r"([^/\\]+)$", 1)
-    return slug(F.regexp_replace(F.regexp_replace(last, r"(?i)('s|’s)\b", ""), r"(?i)^(the|my|our|a|an)\s+", ""))
+    """A project's name from the last part of its path, or null."""
+    last = F.lower(F.regexp_extract(F.regexp_replace(F.trim(_c(path)), "/+$", ""), "([^/]*)$", 1))
+    dashed = F.substring(F.regexp_replace(F.regexp_replace(last, r"[^a-z0-9._]+", "-"), "^-+|-+$", ""), 1, 127)
+    return F.nullif(dashed, F.lit(""))
 
 
 def supersession_end(start: Column, next_start: Column, next_created: Column) -> Column:
