@@ -22,10 +22,10 @@ def supersedes_edges(memory: DataFrame) -> DataFrame:
 
 def alias_edges(memory: DataFrame, alias: DataFrame) -> DataFrame:
     """A fact with an alias and one with its canonical name, in one namespace.
-    The alias table is the small side; each name is looked for once in each
-    fact of its namespace, and the pairs are then joined by group."""
+    Each name is looked for once in each fact of its namespace, and the pairs
+    are then joined by group; the alias table is broadcast if its size allows."""
     rows = memory.filter(linked()).select("id", "namespace", F.lower("content").alias("text"))
-    current = F.broadcast(alias.filter("until is null").select("namespace", "alias", "canonical"))
+    current = alias.filter("until is null").select("namespace", "alias", "canonical")
     hit = rows.join(current, "namespace")
     a = hit.filter(F.instr("text", F.col("alias")) > 0).select("namespace", "alias", "canonical", F.col("id").alias("a"))
     b = hit.filter(F.instr("text", F.lower("canonical")) > 0).select("namespace", "alias", "canonical", F.col("id").alias("b"))
