@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.guards import REVIEW_DAYS, canonical_keys, suggested_keys
+from ..functions import credentials, guards
+from ..functions.guards import REVIEW_DAYS, canonical_keys, canonical_kinds, suggested_keys
+from ..functions.staging import written
 from ..functions.predicates import Ceiling, rank_of, sensitivity_rank, within
 
 KEY = ["namespace", "kind", "key"]
@@ -94,6 +96,29 @@ def upsert(registry: DataFrame, past: DataFrame, entries: DataFrame, now: dateti
     return after, older.unionByName(archived, allowMissingColumns=True), both.filter(offered & ~allowed).select(*KEY)
 
 
+def set_entries(registry: DataFrame, past: DataFrame, entries: DataFrame, now: datetime, top: str = "sealed") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries as callers send them -> (registry, history, refused with the
+    reason): names are brought to their normal form, credentials at the open
+    level are refused, then ``upsert``. Of several that come to one key the
+    smallest value counts; the others are refused as ``repeated``."""
+    named = entries.withColumns({"_ns": guards.namespace("namespace"), "_kind": canonical_kinds("kind"), "_key": canonical_keys("key")})
+    level = F.coalesce("sensitivity", F.lit("open"))
+    reason = (
+        F.when(F.col("_ns").isNull() | ~guards.writable(F.col("_ns")), "namespace")
+        .when(F.col("_kind").isNull(), "kind")
+        .when(F.col("_key").isNull(), "key")
+        .when(F.coalesce(F.trim("value"), F.lit("")) == "", "empty")
+        .when((level == "open") & credentials.finding("value").isNotNull(), "credential")
+    )
+    judged = named.withColumns({"sensitivity": level, "reason": reason})
+    order = W.partitionBy("_ns", "_kind", "_key", F.col("reason").isNull()).orderBy("value", "sensitivity")
+    judged = judged.withColumn("_n", F.row_number().over(order)).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_n") > 1), "repeated").otherwise(F.col("reason")))
+    judged = written(judged.select("namespace", "kind", "key", "value", "sensitivity", "_ns", "_kind", "_key", "reason"), "entries-judged")
+    good = judged.filter("reason is null").select(F.col("_ns").alias("namespace"), F.col("_kind").alias("kind"), F.col("_key").alias("key"), "value", "sensitivity")
+    after, history_, above = upsert(registry, past, good, now, top)
+    return after, history_, judged.filter("reason is not null").select(*KEY, "reason").unionByName(above.withColumn("reason", F.lit("above_ceiling")))
+
+
 def delete(registry: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows go; their history stays."""
     return registry.join(keys.select(*KEY), KEY, "left_anti")

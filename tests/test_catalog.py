@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from factloom.plans import catalog, changes, formats
+from factloom.plans import catalog, changes, decided, formats
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -37,7 +37,7 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(changes.QUERIES | formats.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(changes.QUERIES | decided.QUERIES | formats.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
 

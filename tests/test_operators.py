@@ -271,3 +271,42 @@ def test_sample_is_stable(spark):
     m = facts(spark, *[{"id": str(k)} for k in range(50)])
     one = ids(listing.sample(m, [("global", "open")], 10))
     assert len(one) == 10 and one == ids(listing.sample(m, [("global", "open")], 10))
+
+
+def test_items_merge_refuse_and_claim(spark):
+    from factloom.operators import decisions
+
+    m = facts(spark, {"id": "a"}, {"id": "b", "created_at": T + timedelta(1), "sensitivity": "private"}, {"id": "c"}, {"id": "d", "namespace": "user:me"}, {"id": "e"})
+    ledger = spark.createDataFrame([], "lo_id string, hi_id string, dismissed_by string, dismissed_at timestamp")
+    asked = [
+        ("1", "conflict", "merge", "a", "b", None, " both "),
+        ("2", "conflict", "keep_both", "b", "c", None, None),
+        ("3", "conflict", "merge", "c", "d", None, "x"),
+        ("4", "stale", "delete", "e", None, None, None),
+        ("5", "stale", "supersede", "e", None, None, None),
+        ("6", "conflict", "supersede", "c", "e", "a", None),
+        ("7", "conflict", "merge", "c", "e", None, " "),
+        ("8", "stale", "confirm", "gone", None, None, None),
+        ("9", "conflict", "keep_both", "e", "c", None, None),
+    ]
+    df = spark.createDataFrame(asked, "key string, source string, verdict string, a string, b string, keep string, content string")
+    after, kept, outcomes = decisions.decide_items(m, ledger, df, NOW)
+    assert {r.key: r.reason for r in outcomes.collect()} == {"1": None, "2": "claimed", "3": "namespaces", "4": "not_allowed", "5": "verdict", "6": "not_of_item", "7": "content", "8": "missing", "9": None}
+    new = after.filter("content = 'both'").first()
+    assert new.sensitivity == "private" and new.namespace == "global"
+    assert ids(after.filter(F.col("superseded_by") == new.id)) == ["a", "b"]
+    assert [(r.lo_id, r.hi_id) for r in kept.collect()] == [("c", "e")]
+
+
+def test_findings_are_done_whole_or_not(spark):
+    from factloom.operators import decisions
+
+    m = facts(spark, {"id": "a"}, {"id": "b"}, {"id": "c", "occurred_at": T}, {"id": "d", "occurred_at": T - timedelta(1)}, {"id": "e"})
+    p = spark.createDataFrame([("1", "merge", "pending", "a"), ("2", "merge", "pending", "b"), ("3", "contradiction", "pending", None), ("4", "stale", "pending", None), ("5", "merge", "rejected", "a")], "id string, kind string, state string, keep_id string").withColumn("decided_at", F.lit(None).cast("timestamp"))
+    own = [("1", "a", "keep"), ("1", "b", "retire"), ("2", "b", "keep"), ("2", "a", "retire"), ("3", "c", "retire"), ("3", "d", "retire"), ("4", "e", "retire")]
+    members = spark.createDataFrame([(x, i, f"fact {i}", d) for x, i, d in own], "proposal_id string, memory_id string, content string, disposition string")
+    asked = spark.createDataFrame([("1", "apply", None), ("2", "apply", None), ("3", "resolve", "d"), ("4", "apply", None), ("5", "unreject", None), ("6", "apply", None)], "proposal_id string, verb string, keep_id string")
+    state, after, outcomes = decisions.decide_findings(p, members, m, asked, NOW)
+    assert {r.proposal_id: r.reason for r in outcomes.collect()} == {"1": None, "2": "claimed", "3": "inversion", "4": None, "5": None, "6": "missing"}
+    assert {r.id: r.state for r in state.collect()} == {"1": "applied", "2": "pending", "3": "pending", "4": "applied", "5": "pending"}
+    assert {r.id: r.superseded_by for r in after.collect()} == {"a": None, "b": "a", "c": None, "d": None}
