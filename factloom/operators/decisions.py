@@ -3,7 +3,8 @@
 Each decision is checked against the store as it is now, before anything is
 changed; what can't be done is returned with the reason, and a decision is done
 whole or not at all. Two decisions of one batch that touch a fact would depend
-on their order, so the one with the smaller key is taken and the other refused.
+on their order, so the one with the smaller key is taken and the other refused; it can be asked
+for again with the next batch, as can one whose rival was itself refused so.
 """
 
 from __future__ import annotations

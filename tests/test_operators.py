@@ -287,7 +287,7 @@ def test_items_merge_refuse_and_claim(spark):
         ("6", "conflict", "supersede", "c", "e", "a", None),
         ("7", "conflict", "merge", "c", "e", None, " "),
         ("8", "stale", "confirm", "gone", None, None, None),
-        ("9", "conflict", "keep_both", "e", "c", None, None),
+        ("9", "conflict", "keep_both", "e", "d", None, None),
     ]
     df = spark.createDataFrame(asked, "key string, source string, verdict string, a string, b string, keep string, content string")
     after, kept, outcomes = decisions.decide_items(m, ledger, df, NOW)
@@ -295,7 +295,7 @@ def test_items_merge_refuse_and_claim(spark):
     new = after.filter("content = 'both'").first()
     assert new.sensitivity == "private" and new.namespace == "global"
     assert ids(after.filter(F.col("superseded_by") == new.id)) == ["a", "b"]
-    assert [(r.lo_id, r.hi_id) for r in kept.collect()] == [("c", "e")]
+    assert [(r.lo_id, r.hi_id) for r in kept.collect()] == [("d", "e")]
 
 
 def test_findings_are_done_whole_or_not(spark):
