@@ -7,8 +7,12 @@ are hashed; documents' windows meet the benchmark's in a join on the hash, and
 the values behind the placeholders (the slots) tell whether a match is the
 item itself or the item with other parameters: along one alignment of document
 and item, equal values in the item must stand for equal values in the
-document. A document is contaminated by an item if consistent windows of one
-alignment cover ``COVERAGE`` of the item's, or ``RUN`` of them.
+document. A word put in or left out moves the rest of a copy to another
+alignment, so alignments at most ``DRIFT`` apart are chained and count together,
+the larger first, each that agrees with the values so far; the windows that
+only the edit between two of them broke count too. A document is contaminated
+by an item if consistent windows of one alignment or chain cover ``COVERAGE``
+of the item's, or ``RUN`` of them.
 
 Documents' windows go to the join only where a bitmap of the benchmark's
 hashes says that they may have a partner. The bitmap has 2**22 bits whatever
@@ -19,6 +23,7 @@ changes no result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,6 +41,8 @@ WINDOW = 8
 SHORTEST = 4
 COVERAGE = 0.5
 RUN = 18
+#: Words that may be put in or left out in one place of a copy.
+DRIFT = 4
 BITS = 22
 
 # Units of measure.
@@ -222,21 +229,22 @@ def _slots(t: Templates, at: int, size: int) -> list[str]:
     return [t.value(i) for i in np.flatnonzero(np.isin(t.codes[at : at + size], SLOTS)) + at]
 
 
-def _emit(t: Templates, row: np.ndarray, ids: list, at: np.ndarray, h: np.ndarray, size: int, total: np.ndarray) -> pa.RecordBatch:
+def _emit(t: Templates, row: np.ndarray, ids: list, keys: list, at: np.ndarray, h: np.ndarray, size: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([ids[r] for r in row], pa.int64()),
+            pa.array([keys[r] for r in row], pa.int64()),
             pa.array(at - t.starts[row]),
             pa.array(np.full(len(at), size, np.int32)),
             pa.array(h.view(np.int64)),
             pa.array([_slots(t, a, size) for a in at.tolist()], pa.list_(pa.string())),
             pa.array(total[row] if len(total) else np.zeros(0, np.int64)),
         ],
-        ["id", "pos", "size", "hash", "slots", "total"],
+        ["id", "row", "pos", "size", "hash", "slots", "total"],
     )
 
 
-_SCHEMA = "id long, pos long, size int, hash long, slots array<string>, total long"
+_SCHEMA = "id long, row long, pos long, size int, hash long, slots array<string>, total long"
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -253,29 +261,30 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     row = np.searchsorted(t.starts, at, side="right") - 1
                     own = lengths[row] >= WINDOW if size == WINDOW else lengths[row] == size
                     at, h, row = at[own], h[own], row[own]
-                    yield _emit(t, row, ids, at, h, size, np.bincount(row, minlength=len(ids)))
+                    yield _emit(t, row, ids, ids, at, h, size, np.bincount(row, minlength=len(ids)))
 
     return benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, _SCHEMA)
 
 
 def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFrame:
-    """doc_id, text -> the windows whose hash the bitmap has."""
+    """doc_id, text -> the windows whose hash the bitmap has; ``row`` is a hash
+    of the text, for alignments hold inside one text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in batches:
             for b in slices(batch):
                 t = templates(b.column("text"))
-                ids = b.column("id").to_pylist()
+                ids, keys = b.column("id").to_pylist(), b.column("row").to_pylist()
                 for size in sizes:
                     at, h = windows(t, size)
                     hit = bits[h >> np.uint64(64 - BITS)]
                     at, h = at[hit], h[hit]
                     if len(at):
                         row = np.searchsorted(t.starts, at, side="right") - 1
-                        yield _emit(t, row, ids, at, h, size, np.diff(t.starts))
+                        yield _emit(t, row, ids, keys, at, h, size, np.diff(t.starts))
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, _SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -294,20 +303,76 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits[places.astype(np.int64)] = True
     asked = document_windows(docs, np.packbits(bits).tobytes(), sizes)
     # A window that an item has twice counts once, where it stands first.
-    once = items.groupBy("id", "size", "hash").agg(F.min_by("slots", "pos").alias("item_slots"), F.min("pos").alias("item_pos"), F.max("total").alias("total"))
-    distinct = once.groupBy("id").agg(F.count("*").alias("n_item"))
-    once = once.join(distinct, "id").withColumnRenamed("id", "item_id")
-    met = written(asked.join(once.drop("total"), ["hash", "size"]), "template-matches")
-    lined = met.withColumn("line", F.col("pos") - F.col("item_pos"))
-    alike = ["id", "item_id", "line"]
-    slot = lined.select(*alike, F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s"))
-    # Equal values of the item must stand for equal values of the document.
-    broken = slot.groupBy(*alike, "s.i").agg(F.min("s.d").alias("a"), F.max("s.d").alias("b")).groupBy(*alike).agg(F.max(F.col("a") != F.col("b")).alias("broken"), F.max(F.col("i") != F.col("a")).alias("changed"))
-    runs = lined.groupBy(*alike).agg(F.countDistinct("hash").alias("n"), F.max("n_item").alias("n_item"))
-    judged = runs.join(broken.select(*[F.col(c).alias(f"b_{c}") for c in alike], "broken", "changed"), (F.col("id").eqNullSafe(F.col("b_id"))) & (F.col("item_id") == F.col("b_item_id")) & (F.col("line") == F.col("b_line")), "left")
-    good = judged.filter(~F.coalesce("broken", F.lit(False)) & ((F.col("n") >= COVERAGE * F.col("n_item")) | (F.col("n") >= RUN)))
-    best = F.max(F.struct("n", (F.col("n") / F.col("n_item")).alias("coverage"), (~F.coalesce("changed", F.lit(False))).alias("same"))).alias("best")
-    return good.groupBy(F.col("id").alias("doc_id"), "item_id").agg(best).select("doc_id", "item_id", F.col("best.n").alias("n_windows"), F.col("best.coverage").alias("coverage"), (~F.col("best.same")).alias("reparameterised"))
+    once = items.groupBy("id", "size", "hash").agg(F.min_by("slots", "pos").alias("item_slots"), F.min("pos").alias("item_pos"))
+    places = once.groupBy(F.col("id").alias("item_id")).agg(F.collect_list("item_pos").alias("places"))
+    met = written(asked.drop("total").join(once.withColumnRenamed("id", "item_id"), ["hash", "size"]), "template-matches")
+    mark = F.struct((F.col("pos") - F.col("item_pos")).alias("line"), F.col("item_pos").alias("pos"), F.col("item_slots").alias("was"), F.col("slots").alias("now"))
+    pairs = met.groupBy("id", "row", "item_id").agg(F.max("size").alias("size"), F.collect_set(mark).alias("marks")).join(places, "item_id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in range(batch.num_rows):
+                one = batch.slice(r, 1).to_pylist()[0]
+                if found := judge(one["marks"], one["size"], one["places"]):
+                    rows.append((one["id"], one["item_id"], *found))
+            yield pa.RecordBatch.from_pylist([dict(zip(judged.names, x, strict=True)) for x in rows], judged)
+
+    judged = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n", pa.int64()), ("coverage", pa.float64()), ("same", pa.bool_())])
+    good = pairs.select("id", "item_id", "size", "marks", "places").mapInArrow(run, "doc_id long, item_id long, n long, coverage double, same boolean")
+    best = F.max(F.struct("n", "coverage", "same")).alias("best")
+    return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n").alias("n_windows"), F.col("best.coverage").alias("coverage"), (~F.col("best.same")).alias("reparameterised"))
+
+
+def bridged(at: dict[int, list[int]], size: int, places: list[int]) -> set[int]:
+    """The places of the item's windows that only an edit between two
+    alignments of a chain broke. ``at``: the sorted places on each alignment."""
+    found: set[int] = set()
+    for a in at:
+        for b in range(a - DRIFT, a + DRIFT + 1):
+            if b == a or b not in at:
+                continue
+            for p in at[a]:
+                k = bisect_right(at[b], p)
+                if k < len(at[b]) and (q := at[b][k]) - p <= size + DRIFT and 0 < q + b - p - a <= size + DRIFT:
+                    found.update(places[bisect_right(places, p) : bisect_right(places, q - 1)])
+    return found
+
+
+def judge(marks: list[dict], size: int, places: list[int]) -> tuple[int, float, bool] | None:
+    """(windows, coverage, whether all values are the item's) of the alignment
+    or chain with the most windows, if it is enough. ``marks`` are the windows of a
+    text that an item has too, ``places`` those of all windows of the item."""
+    at: dict[int, set[int]] = {}
+    values: dict[int, dict[str, str]] = {}
+    broken = set()
+    for m in marks:
+        at.setdefault(m["line"], set()).add(m["pos"])
+        own = values.setdefault(m["line"], {})
+        # Equal values of the item must stand for equal values of the document.
+        if any(own.setdefault(i, d) != d for i, d in zip(m["was"], m["now"], strict=True)):
+            broken.add(m["line"])
+    lines = sorted(at.keys() - broken)
+    chains: list[list[int]] = []
+    for k, line in enumerate(lines):
+        if k and line - lines[k - 1] <= DRIFT:
+            chains[-1].append(line)
+        else:
+            chains.append([line])
+    places = sorted(places)
+    found = []
+    for chain in [[x] for x in lines] + [sorted(c, key=lambda x: (-len(at[x]), x)) for c in chains if len(c) > 1]:
+        seen: dict[str, str] = {}
+        held = {}
+        for line in chain:
+            if all(seen.get(i, d) == d for i, d in values[line].items()):
+                seen.update(values[line])
+                held[line] = sorted(at[line])
+        whole = {p for x in held.values() for p in x}
+        cover = len(whole | bridged(held, size, places))
+        if cover >= COVERAGE * len(places) or cover >= RUN:
+            found.append((len(whole), cover / len(places), all(i == d for i, d in seen.items())))
+    return max(found, default=None)
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -82,3 +82,26 @@ def test_columns_say_what_the_single_token_function_says():
         assert bool(seen["unit"][k]) == t.unit, word
         if t.codes and t.codes[0][0] == int(td.NUM):
             assert int(seen["first"][k]) == int(td.NUM) and int(seen["second"][k]) == (t.codes[1][0] if len(t.codes) > 1 else 0)
+
+
+def test_an_inserted_a_dropped_word_and_an_added_unit_keep_the_item_whole(spark):
+    words = "when the baker fills 12 trays with fresh rolls every morning she needs 7 more than on the day before that so how much flour must be bought for the week".split()
+    middle = len(words) // 2
+    inserted, dropped, unit = words[:middle] + ["really"] + words[middle:], words[:middle] + words[middle + 1 :], [w + " kg" if w == "7" else w for w in words]
+    short = words[:20]
+    rows = [(k, "before it. " + " ".join(x) + " and after it") for k, x in enumerate([inserted, dropped, unit, short[:10] + ["really"] + short[10:]])]
+    mixed = list(inserted)
+    mixed[mixed.index("7")] = "9"
+    rows.append((4, " ".join(mixed)))
+    got = found(spark, rows, [(9, " ".join(words)), (8, " ".join(short))])
+    assert all(9 in got[k][0] for k in (0, 1, 2, 4))
+    assert 8 in got[3][0] and [got[k][1] for k in (0, 1, 2, 4)] == [False, False, False, True]
+
+
+def test_a_chain_leaves_out_an_alignment_with_other_values():
+    mark = lambda line, pos, was, now: {"line": line, "pos": pos, "was": [was], "now": [now]}
+    places = list(range(20))
+    one = [mark(0, p, "a", "x") for p in range(6)]
+    assert td.judge(one + [mark(1, p, "a", "x") for p in range(14, 20)], 8, places) == (12, 1.0, False)
+    assert td.judge(one + [mark(1, p, "a", "y") for p in range(14, 20)], 8, places) is None
+    assert td.judge(one + [mark(40, p, "a", "x") for p in range(14, 20)], 8, places) is None
