@@ -2,7 +2,11 @@
 
 A text becomes a template: words in lower case without their punctuation,
 numbers as <num>, units after a number as <unit>, and capitalised words inside
-a sentence as <name>, neighbours merged. Windows of ``WINDOW`` template tokens
+a sentence as <name>, neighbours merged. Whether the capitalised word that opens
+a sentence is a name can't be seen, so a text has two forms: in the first such
+words are plain, in the second they are names unless they are among the common
+``OPENERS``. Windows of both forms of a document meet those of both forms of an
+item, and each pair of forms is judged on its own. Windows of ``WINDOW`` template tokens
 are hashed; documents' windows meet the benchmark's in a join on the hash, and
 the values behind the placeholders (the slots) tell whether a match is the
 item itself or the item with other parameters: along one alignment of document
@@ -47,6 +51,9 @@ BITS = 22
 
 # Units of measure.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year km/h mph m/s kw kwh w v a hz kb mb gb tb % $ € £ usd eur gbp dollars dollar cents cent euros euro °c °f degrees percent meters metres kilometers kilometres miles inches feet pounds grams kilograms liters litres".split())
+# Words that open sentences and are no names.
+OPENERS = frozenset("a an the this that these those there here it its he she they we you i his her their our your my if when whenever while then what which who whom whose why where how and but or nor so because since although though after before during until once in on at of for from to with without by as is are was were do does did has have had can could will would shall should may might must not no each every all both some any one two three four five six seven eight nine ten find calculate compute determine solve suppose consider let given assume show prove explain answer question problem solution note now today yesterday tomorrow finally however therefore also".split())
+PLAIN, NAMED = 0, 1
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<num>", "<unit>", "<name>"))
 SLOTS = np.array([NUM, UNIT, NAME], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -147,6 +154,8 @@ def _classified(words: pa.Array) -> dict[str, np.ndarray]:
     found = {
         "empty": empty,
         "capital": flag(pc.match_substring_regex(word, r"^\p{Lu}")) & ~shout & ~empty,
+        "other": ~flag(pc.is_in(low, value_set=pa.array(sorted(OPENERS), pa.large_string()))),
+        "marked": flag(pc.match_substring_regex(words, r"[^\pL\pN_]$")),
         "after": flag(pc.match_substring_regex(words, r"[.!?][^\pL\pN_$€£%°]*$")),
         "unit": (flag(pc.is_in(low, value_set=units)) | flag(pc.is_in(pc.utf8_lower(core), value_set=units))) & ~empty,
     }
@@ -158,17 +167,23 @@ def _classified(words: pa.Array) -> dict[str, np.ndarray]:
     return found | {"first": first, "second": second}
 
 
-def templates(texts: pa.Array) -> Templates:
+def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, dict[str, np.ndarray]]:
+    """Bounds of the texts, the numbers of their tokens, the distinct tokens and what they are."""
     # A line's end ends a sentence too.
     lined = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " . ")
     lists = pc.utf8_split_whitespace(lined)
     coded = pc.dictionary_encode(lists.flatten())
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary
-    seen = _classified(words)
-    first, second, empty, capital, after, unit = (seen[k] for k in ("first", "second", "empty", "capital", "after", "unit"))
     bounds = np.asarray(lists.offsets, np.int64)
-    bounds = bounds - bounds[0]
+    return bounds - bounds[0], ids, coded.dictionary, _classified(coded.dictionary)
+
+
+def templates(texts: pa.Array, form: int = PLAIN) -> Templates:
+    return formed(*read(texts), form)
+
+
+def formed(bounds: np.ndarray, ids: np.ndarray, words: pa.Array, seen: dict[str, np.ndarray], form: int) -> Templates:
+    first, second, empty, capital, after, unit = (seen[k] for k in ("first", "second", "empty", "capital", "after", "unit"))
     n = len(ids)
     begins = np.zeros(n + 1, bool)
     begins[bounds[:-1][bounds[:-1] < n]] = True
@@ -183,7 +198,7 @@ def templates(texts: pa.Array) -> Templates:
     is_number = code == NUM
     before_number = np.concatenate([[False], is_number[:-1]]) & ~begins_between(begins, previous, solid)
     code[unit[ids[solid]] & before_number] = UNIT
-    name = capital[ids[solid]] & ~open_solid & (code != UNIT)
+    name = capital[ids[solid]] & (~open_solid | (seen["other"][ids[solid]] & (form == NAMED))) & (code != UNIT)
     code[name] = NAME
     two = second[ids[solid]] != 0
     times = 1 + two.astype(np.int64)
@@ -193,10 +208,12 @@ def templates(texts: pa.Array) -> Templates:
     codes[at_second] = second[ids[solid]][two]
     part[at_second] = 1
     token = np.repeat(solid, times)
-    # Names side by side are one name.
+    # Names side by side are one name, but not over the end of a sentence, nor a word that opens one with what a mark parts from it.
+    opened = np.repeat(open_solid, times)
+    apart = opened[1:] | opened[:-1] & np.repeat(seen["marked"][ids[solid]], times)[:-1]
     text_of = np.searchsorted(bounds, token, side="right")
     merged = np.zeros(len(codes), bool)
-    merged[1:] = (codes[1:] == NAME) & (codes[:-1] == NAME) & (text_of[1:] == text_of[:-1])
+    merged[1:] = (codes[1:] == NAME) & (codes[:-1] == NAME) & (text_of[1:] == text_of[:-1]) & ~apart
     codes, token, part, text_of = codes[~merged], token[~merged], part[~merged], text_of[~merged]
     starts = np.searchsorted(token, bounds)
     return Templates(codes, starts, token, words, ids, part)
@@ -229,22 +246,35 @@ def _slots(t: Templates, at: int, size: int) -> list[str]:
     return [t.value(i) for i in np.flatnonzero(np.isin(t.codes[at : at + size], SLOTS)) + at]
 
 
-def _emit(t: Templates, row: np.ndarray, ids: list, keys: list, at: np.ndarray, h: np.ndarray, size: int, total: np.ndarray) -> pa.RecordBatch:
+def forms(texts: pa.Array) -> Iterator[tuple[int, Templates, np.ndarray]]:
+    """(form, templates, which texts have it): the second form only of texts
+    in which it differs from the first."""
+    seen = read(texts)
+    plain, named = formed(*seen, PLAIN), formed(*seen, NAMED)
+    yield PLAIN, plain, np.ones(len(texts), bool)
+    names = lambda t: np.diff(np.concatenate([[0], np.cumsum(t.codes == NAME)])[t.starts])
+    # More names, or the same number of longer ones.
+    other = (names(plain) != names(named)) | (np.diff(plain.starts) != np.diff(named.starts))
+    if other.any():
+        yield NAMED, named, other
+
+
+def _emit(t: Templates, row: np.ndarray, ids: list, keys: list, form: int, at: np.ndarray, h: np.ndarray, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([ids[r] for r in row], pa.int64()),
             pa.array([keys[r] for r in row], pa.int64()),
+            pa.array(np.full(len(at), form, np.int32)),
             pa.array(at - t.starts[row]),
             pa.array(np.full(len(at), size, np.int32)),
             pa.array(h.view(np.int64)),
             pa.array([_slots(t, a, size) for a in at.tolist()], pa.list_(pa.string())),
-            pa.array(total[row] if len(total) else np.zeros(0, np.int64)),
         ],
-        ["id", "row", "pos", "size", "hash", "slots", "total"],
+        ["id", "row", "form", "pos", "size", "hash", "slots"],
     )
 
 
-_SCHEMA = "id long, row long, pos long, size int, hash long, slots array<string>, total long"
+_SCHEMA = "id long, row long, form int, pos long, size int, hash long, slots array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -254,14 +284,14 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                t = templates(b.column("text"))
-                ids, lengths = b.column("id").to_pylist(), np.diff(t.starts)
-                for size in {WINDOW} | {int(n) for n in lengths if SHORTEST <= n < WINDOW}:
-                    at, h = windows(t, size)
-                    row = np.searchsorted(t.starts, at, side="right") - 1
-                    own = lengths[row] >= WINDOW if size == WINDOW else lengths[row] == size
-                    at, h, row = at[own], h[own], row[own]
-                    yield _emit(t, row, ids, ids, at, h, size, np.bincount(row, minlength=len(ids)))
+                ids = b.column("id").to_pylist()
+                for form, t, has in forms(b.column("text")):
+                    lengths = np.diff(t.starts)
+                    for size in {WINDOW} | {int(n) for n in lengths if SHORTEST <= n < WINDOW}:
+                        at, h = windows(t, size)
+                        row = np.searchsorted(t.starts, at, side="right") - 1
+                        own = has[row] & (lengths[row] >= WINDOW if size == WINDOW else lengths[row] == size)
+                        yield _emit(t, row[own], ids, ids, form, at[own], h[own], size)
 
     return benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, _SCHEMA)
 
@@ -274,15 +304,15 @@ def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFr
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in batches:
             for b in slices(batch):
-                t = templates(b.column("text"))
                 ids, keys = b.column("id").to_pylist(), b.column("row").to_pylist()
-                for size in sizes:
-                    at, h = windows(t, size)
-                    hit = bits[h >> np.uint64(64 - BITS)]
-                    at, h = at[hit], h[hit]
-                    if len(at):
+                for form, t, has in forms(b.column("text")):
+                    for size in sizes:
+                        at, h = windows(t, size)
+                        hit = bits[h >> np.uint64(64 - BITS)]
+                        at, h = at[hit], h[hit]
                         row = np.searchsorted(t.starts, at, side="right") - 1
-                        yield _emit(t, row, ids, keys, at, h, size, np.diff(t.starts))
+                        if (own := has[row]).any():
+                            yield _emit(t, row[own], ids, keys, form, at[own], h[own], size)
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, _SCHEMA)
 
@@ -303,11 +333,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits[places.astype(np.int64)] = True
     asked = document_windows(docs, np.packbits(bits).tobytes(), sizes)
     # A window that an item has twice counts once, where it stands first.
-    once = items.groupBy("id", "size", "hash").agg(F.min_by("slots", "pos").alias("item_slots"), F.min("pos").alias("item_pos"))
-    places = once.groupBy(F.col("id").alias("item_id")).agg(F.collect_list("item_pos").alias("places"))
-    met = written(asked.drop("total").join(once.withColumnRenamed("id", "item_id"), ["hash", "size"]), "template-matches")
+    once = items.groupBy(F.col("id").alias("item_id"), F.col("form").alias("item_form"), "size", "hash").agg(F.min_by("slots", "pos").alias("item_slots"), F.min("pos").alias("item_pos"))
+    places = once.groupBy("item_id", "item_form").agg(F.collect_list("item_pos").alias("places"))
+    met = written(asked.join(once, ["hash", "size"]), "template-matches")
     mark = F.struct((F.col("pos") - F.col("item_pos")).alias("line"), F.col("item_pos").alias("pos"), F.col("item_slots").alias("was"), F.col("slots").alias("now"))
-    pairs = met.groupBy("id", "row", "item_id").agg(F.max("size").alias("size"), F.collect_set(mark).alias("marks")).join(places, "item_id")
+    pairs = met.groupBy("id", "row", "form", "item_id", "item_form").agg(F.max("size").alias("size"), F.collect_set(mark).alias("marks")).join(places, ["item_id", "item_form"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

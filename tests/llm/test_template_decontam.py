@@ -105,3 +105,12 @@ def test_a_chain_leaves_out_an_alignment_with_other_values():
     assert td.judge(one + [mark(1, p, "a", "x") for p in range(14, 20)], 8, places) == (12, 1.0, False)
     assert td.judge(one + [mark(1, p, "a", "y") for p in range(14, 20)], 8, places) is None
     assert td.judge(one + [mark(40, p, "a", "x") for p in range(14, 20)], 8, places) is None
+
+
+def test_names_that_open_sentences(spark):
+    item = "Alice buys 3 apples. Alice gives 2 to Bob. How many does Alice have?"
+    only = "Alice walks 4 km to the old mill and buys 3 bags of flour. Alice carries them home and bakes 6 loaves of bread. Dana eats 2 loaves on the way."
+    carol = lambda x: x.replace("Alice", "Carol").replace("Dana", "Emil")
+    rows = [(1, carol(item)), (2, "before it stands a word. " + carol(only) + " Then more."), (3, "Exercise: " + carol(only)), (5, item), (6, "a line before\n" + only)]
+    got = found(spark, rows, [(8, item), (9, only)])
+    assert got == {1: ([8], True), 2: ([9], True), 3: ([9], True), 5: ([8], False), 6: ([9], False)}
