@@ -6,7 +6,10 @@ a sentence as <name>, neighbours merged. Whether the capitalised word that opens
 a sentence is a name can't be seen, so a text has two forms: in the first such
 words are plain, in the second they are names unless they are among the common
 ``OPENERS``. Windows of both forms of a document meet those of both forms of an
-item, and each pair of forms is judged on its own. Windows of ``WINDOW`` template tokens
+item, and each pair of forms is judged on its own. Windows with fewer plain
+words than half are left out, as chance matches them; an item that has no other
+in its first form (sums, tables of numbers, lists of names) is matched in a
+third form too, its words, numbers and units by value. Windows of ``WINDOW`` template tokens
 are hashed; documents' windows meet the benchmark's in a join on the hash, and
 the values behind the placeholders (the slots) tell whether a match is the
 item itself or the item with other parameters: along one alignment of document
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from ._shared import slices, written
 
 WINDOW = 8
-#: Items shorter than this many template tokens can't be told from chance; windows need as many plain words as half their length.
+#: Items shorter than this many tokens of a form can't be told from chance; windows of templates need as many plain words as half their length.
 SHORTEST = 4
 COVERAGE = 0.5
 RUN = 18
@@ -53,7 +56,7 @@ BITS = 22
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year km/h mph m/s kw kwh w v a hz kb mb gb tb % $ € £ usd eur gbp dollars dollar cents cent euros euro °c °f degrees percent meters metres kilometers kilometres miles inches feet pounds grams kilograms liters litres".split())
 # Words that open sentences and are no names.
 OPENERS = frozenset("a an the this that these those there here it its he she they we you i his her their our your my if when whenever while then what which who whom whose why where how and but or nor so because since although though after before during until once in on at of for from to with without by as is are was were do does did has have had can could will would shall should may might must not no each every all both some any one two three four five six seven eight nine ten find calculate compute determine solve suppose consider let given assume show prove explain answer question problem solution note now today yesterday tomorrow finally however therefore also".split())
-PLAIN, NAMED = 0, 1
+PLAIN, NAMED, VALUES = 0, 1, 2
 NUM, UNIT, NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<num>", "<unit>", "<name>"))
 SLOTS = np.array([NUM, UNIT, NAME], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -153,6 +156,7 @@ def _classified(words: pa.Array) -> dict[str, np.ndarray]:
     first[empty] = 0
     found = {
         "empty": empty,
+        "value": _hashes(pc.utf8_lower(core)),
         "capital": flag(pc.match_substring_regex(word, r"^\p{Lu}")) & ~shout & ~empty,
         "other": ~flag(pc.is_in(low, value_set=pa.array(sorted(OPENERS), pa.large_string()))),
         "marked": flag(pc.match_substring_regex(words, r"[^\pL\pN_]$")),
@@ -194,6 +198,8 @@ def formed(bounds: np.ndarray, ids: np.ndarray, words: pa.Array, seen: dict[str,
     group = np.concatenate([[0], np.cumsum(opens)])
     previous = np.concatenate([[-1], solid[:-1]])
     open_solid = group[solid + 1] > group[previous + 1]
+    if form == VALUES:
+        return Templates(seen["value"][ids[solid]], np.searchsorted(solid, bounds), solid, words, ids, np.zeros(len(solid), np.int64))
     code = first[ids[solid]].copy()
     is_number = code == NUM
     before_number = np.concatenate([[False], is_number[:-1]]) & ~begins_between(begins, previous, solid)
@@ -225,20 +231,20 @@ def begins_between(begins: np.ndarray, previous: np.ndarray, solid: np.ndarray)
     return total[solid + 1] > total[previous + 1]
 
 
-def windows(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first code, hash) of the windows of so many codes with
-    enough plain words, inside one text each."""
+def windows(t: Templates, size: int, form: int = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first code, hash) of the windows of so many codes inside
+    one text each, of templates only those with enough plain words."""
     n = len(t.codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(size))
+    h = np.full(n, np.uint64(size + (1 << 32 if form == VALUES else 0)))
     for k in range(size):
         h = h * np.uint64(_BASE) + t.codes[k : k + n]
     h ^= h >> np.uint64(29)
     plain = np.concatenate([[0], np.cumsum(~np.isin(t.codes, SLOTS))])
     text = np.searchsorted(t.starts, np.arange(n), side="right")
     whole = t.starts[np.minimum(text, len(t.starts) - 1)] >= np.arange(n) + size
-    at = np.flatnonzero(whole & (2 * (plain[size:] - plain[:n]) >= size))
+    at = np.flatnonzero(whole & ((form == VALUES) | (2 * (plain[size:] - plain[:n]) >= size)))
     return at, h[at]
 
 
@@ -246,9 +252,9 @@ def _slots(t: Templates, at: int, size: int) -> list[str]:
     return [t.value(i) for i in np.flatnonzero(np.isin(t.codes[at : at + size], SLOTS)) + at]
 
 
-def forms(texts: pa.Array) -> Iterator[tuple[int, Templates, np.ndarray]]:
+def forms(texts: pa.Array, values: bool) -> Iterator[tuple[int, Templates, np.ndarray]]:
     """(form, templates, which texts have it): the second form only of texts
-    in which it differs from the first."""
+    in which it differs from the first, the third if it is asked for."""
     seen = read(texts)
     plain, named = formed(*seen, PLAIN), formed(*seen, NAMED)
     yield PLAIN, plain, np.ones(len(texts), bool)
@@ -257,6 +263,8 @@ def forms(texts: pa.Array) -> Iterator[tuple[int, Templates, np.ndarray]]:
     other = (names(plain) != names(named)) | (np.diff(plain.starts) != np.diff(named.starts))
     if other.any():
         yield NAMED, named, other
+    if values:
+        yield VALUES, formed(*seen, VALUES), np.ones(len(texts), bool)
 
 
 def _emit(t: Templates, row: np.ndarray, ids: list, keys: list, form: int, at: np.ndarray, h: np.ndarray, size: int) -> pa.RecordBatch:
@@ -285,29 +293,34 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             for b in slices(batch):
                 ids = b.column("id").to_pylist()
-                for form, t, has in forms(b.column("text")):
+                bare = np.ones(len(ids), bool)  # no window in the first form
+                for form, t, has in forms(b.column("text"), True):
                     lengths = np.diff(t.starts)
+                    has = bare if form == VALUES else has
                     for size in {WINDOW} | {int(n) for n in lengths if SHORTEST <= n < WINDOW}:
-                        at, h = windows(t, size)
+                        at, h = windows(t, size, form)
                         row = np.searchsorted(t.starts, at, side="right") - 1
                         own = has[row] & (lengths[row] >= WINDOW if size == WINDOW else lengths[row] == size)
+                        if form == PLAIN:
+                            bare[row[own]] = False
                         yield _emit(t, row[own], ids, ids, form, at[own], h[own], size)
 
     return benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(run, _SCHEMA)
 
 
-def document_windows(docs: DataFrame, bitmap: bytes, sizes: list[int]) -> DataFrame:
+def document_windows(docs: DataFrame, bitmap: bytes, sizes: dict[bool, list[int]]) -> DataFrame:
     """doc_id, text -> the windows whose hash the bitmap has; ``row`` is a hash
-    of the text, for alignments hold inside one text."""
+    of the text, for alignments hold inside one text. ``sizes`` are those of
+    the items' windows by value (true) and by template."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool)
         for batch in batches:
             for b in slices(batch):
                 ids, keys = b.column("id").to_pylist(), b.column("row").to_pylist()
-                for form, t, has in forms(b.column("text")):
-                    for size in sizes:
-                        at, h = windows(t, size)
+                for form, t, has in forms(b.column("text"), bool(sizes[True])):
+                    for size in sizes[form == VALUES]:
+                        at, h = windows(t, size, form)
                         hit = bits[h >> np.uint64(64 - BITS)]
                         at, h = at[hit], h[hit]
                         row = np.searchsorted(t.starts, at, side="right") - 1
@@ -321,13 +334,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, reparameterised), one row per
     document and item that contaminates it.
 
-    Null or short texts (under ``SHORTEST`` template tokens), on either side,
-    match nothing; rows with one doc_id count as one document, those without
+    Null or short texts (under ``SHORTEST`` template tokens, and as many words
+    and numbers where an item is matched by value), on either side, match
+    nothing; rows with one doc_id count as one document, those without
     an id too; an item that stands twice in the benchmark is matched under both
     ids, an id given twice counts as the longer item; other columns are ignored.
     """
     items = written(benchmark_windows(benchmark), "template-items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
+    asked_for = items.select((F.col("form") == VALUES).alias("v"), "size").distinct().collect()  # at most 2 * WINDOW rows
+    sizes = {v: sorted(r.size for r in asked_for if r.v == v) for v in (False, True)}
     places = items.select(F.shiftrightunsigned("hash", 64 - BITS).alias("p")).distinct().toArrow()["p"].to_numpy()  # at most 2**22
     bits = np.zeros(1 << BITS, bool)
     bits[places.astype(np.int64)] = True

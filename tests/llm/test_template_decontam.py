@@ -114,3 +114,10 @@ def test_names_that_open_sentences(spark):
     rows = [(1, carol(item)), (2, "before it stands a word. " + carol(only) + " Then more."), (3, "Exercise: " + carol(only)), (5, item), (6, "a line before\n" + only)]
     got = found(spark, rows, [(8, item), (9, only)])
     assert got == {1: ([8], True), 2: ([9], True), 3: ([9], True), 5: ([8], False), 6: ([9], False)}
+
+
+def test_items_without_plain_words_match_by_value(spark):
+    sums, table, names = "Calculate 12.5 * 8 - 3", "12 7 9 30 41 5 6 8 10 77 3 19", "anna Bert Carla Dora Emil Frida"
+    items = [(1, sums), (2, table), (3, names), (4, "3 * 4 - 5")]
+    rows = [(1, f"some words and then {sums} is asked"), (2, "Calculate 12.5 * 9 - 3"), (3, f"numbers: {table}, no more"), (4, table.replace("41", "40")), (5, "we saw Anna, Bert, Carla, Dora, Emil, Frida there"), (6, "we saw Anna, Bert and Dora there"), (7, "3 * 4 - 5")]
+    assert found(spark, rows, items) == {1: ([1], False), 3: ([2], False), 5: ([3], False)}
