@@ -1,7 +1,10 @@
 r"""Secret scan: three base patterns and a battery of randomness tests.
 
 Candidates of the battery are maximal runs of 16 or more of ``[A-Za-z0-9+/_=-]``
-that mix letters with digits, or cases. From its symbols a candidate's encoding
+that mix letters with digits, or cases; a run with an inner ``=`` is cut there
+(NAME=VALUE), and a part that no alphabet has whole, as it holds both one of
+``+/`` and one of ``-_``, is cut at the former, at the latter and at both, and of
+pieces that overlap the least text-like one stands. From its symbols a candidate's encoding
 is inferred (hex, base32, base36, base62, base64) and with it the size K of the
 alphabet. Three tests are made on the symbols' places in the alphabet:
 
@@ -41,6 +44,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGNED, MIN_ACCESS = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART = re.compile(r"[^=]+=*")
+_PIECES = [re.compile(x) for x in ("[A-Za-z0-9+/]{16,}", "[A-Za-z0-9_-]{16,}", "[A-Za-z0-9]{16,}")]
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 #: Keywords without which no base pattern but hex can match, in lower case.
@@ -127,14 +132,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def parts(start: int, end: int, run: str) -> Iterator[list[tuple[int, int]]]:
+    """The spans to be tested in each part of a run between inner ``=``; the
+    run itself if it is one part that an alphabet may have."""
+    for m in _PART.finditer(run):
+        core = m[0].rstrip("=")
+        if ("+" in core or "/" in core) and ("-" in core or "_" in core):
+            yield sorted({(start + m.start() + x.start(), start + m.start() + x.end()) for piece in _PIECES for x in piece.finditer(core)})
+            continue
+        size = len(m[0] if start + m.end() == end else core)  # padding at the end of the run only
+        if size >= 16:
+            yield [(start + m.start(), start + m.start() + size)]
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, class of length, bin of p) of fair candidates outside base spans."""
     found = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s <= start and end <= e for s, _, e in spans) or (p := battery(m[0])) is None or p[0] < FAIR:
-            continue
-        found.append((start, end, sum(end - start >= x for x in LENGTHS) - 1, int(-10 * math.log10(p[1]))))
+        for part in parts(*m.span(), m[0]):
+            fair = []
+            for start, end in part:
+                if any(s <= start and end <= e for s, _, e in spans) or (p := battery(text[start:end])) is None or p[0] < FAIR:
+                    continue
+                fair.append((start, end, sum(end - start >= x for x in LENGTHS) - 1, int(-10 * math.log10(p[1]))))
+            taken: list[tuple[int, int, int, int]] = []
+            for c in sorted(fair, key=lambda c: (-c[3], c[0] - c[1], c[0])):
+                if all(c[1] <= t[0] or t[1] <= c[0] for t in taken):
+                    taken.append(c)
+            found += sorted(taken)
     return found
 
 

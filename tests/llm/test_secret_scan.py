@@ -92,3 +92,20 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert rows[2].text == TEXTS[2] and rows[0].text is None and rows[0].n_chars is None
     assert "0123456789abcdef" not in rows[8].text
     assert ss.op3(given.limit(0)).count() == 0 and ss.redact(given.limit(0)).count() == 0
+
+
+def test_secrets_behind_names_and_in_paths(spark):
+    rng = random.Random(8)
+    key = lambda more, n=40: "".join(rng.choice(ALNUM + more) for _ in range(n))
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "PRIVATE_KEY={}==", "x&sig={}&y", "a=b={}=c", "https://host.example/my-app/v1/{}/get", "it ={}"]
+    cases = [(form, key("/+" if k < 2 else "")) for k, form in enumerate(forms) for _ in range(20)]
+    texts = [form.format(k) for form, k in cases] + ["/usr/share/some-long-path/of_words/that-is/no_secret-at/all=this-is-not-one-either_nor/this"]
+    rows = {r.doc_id: r for r in ss.op3(docs(spark, texts)).collect()}
+    clean = {r.doc_id: r.text for r in ss.redact(docs(spark, texts)).collect()}
+    for form in forms:
+        ids = [i for i, (f, _) in enumerate(cases) if f == form]
+        hit = [any(s.startswith("random") and int(s.split(":")[1]) <= texts[i].index(cases[i][1]) and int(s.split(":")[2]) >= texts[i].index(cases[i][1]) + 40 for s in rows[i].spans.split(",")) for i in ids]
+        assert np.mean(hit) >= 0.9, (form, np.mean(hit))
+        assert np.mean([cases[i][1] not in clean[i] for i in ids]) >= 0.9, form
+    assert rows[len(cases)].n_random == 0 and clean[len(cases)] == texts[-1]
+    assert clean[0].startswith("AWS_SECRET_ACCESS_KEY=")
