@@ -1,11 +1,13 @@
 """Main text of pages by consensus of their host.
 
 First pass: every page scores its containers by the text of their own blocks
-(long, with few links, no boilerplate by name) and votes for the best one's
-path: tags with their classes, digits generalised, from the body down. In
+(long, with few links, no boilerplate by name), climbs from the best one to its
+parents while what they add is not mostly links, and votes for the path of
+that: tags with their classes, digits generalised, from the body down. In
 Spark the votes are summed by host and path, and each host keeps the path with
 the most. Second pass: the text is taken from the containers at the host's
-path; a page that has none there uses its own best.
+path, from which the page climbs likewise inside the body; a page that has none
+there uses its own best.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ class Container:
     parent: int
     chars: float = 0.0
     blocks: int = 0
+    text: int = 0
+    links: int = 0
 
 
 @dataclass
@@ -83,6 +87,8 @@ def parse(html: str) -> Page:
                 good = max(0, len(text) - state["links"]) * (1.0 if len(text) > 40 else 0.25)
                 page.containers[c].chars += good
                 page.containers[c].blocks += 1
+                page.containers[c].text += len(text)
+                page.containers[c].links += min(len(text), state["links"])
         state["links"] = 0
 
     def close(to: int) -> None:
@@ -164,9 +170,38 @@ def best(page: Page) -> tuple[int, float]:
     return k, own[k] * weight[k]
 
 
+def climbed(page: Page, roots: set[int], body: bool) -> set[int]:
+    """Each container, or the highest above it up to which each one adds text that is
+    not mostly links. The body, if it may be taken, must add mostly long
+    blocks; an article or main is taken also if it adds nothing."""
+    chars, text, links = ([float(getattr(c, x)) for c in page.containers] for x in ("chars", "text", "links"))
+    for k in range(len(page.containers) - 1, 0, -1):
+        for sums in (chars, text, links):
+            sums[page.containers[k].parent] += sums[k]
+    found = set()
+    for k in roots:
+        at, up = k, page.containers[k].parent
+        while up >= 0:
+            c, more = page.containers[up], text[up] - text[at]
+            whole = not c.path or bool(re.fullmatch(r">body[^>]*", c.path))
+            if more and (not body or 2 * (chars[up] - chars[at]) < more if whole else 2 * (links[up] - links[at]) > more):
+                break
+            if more or re.search(r">(?:article|main)[^>]*$", c.path):
+                at = up
+            up = c.parent
+        found.add(at)
+    return found
+
+
+def chosen(page: Page) -> tuple[int, float]:
+    """(container, score): where the best container climbs to, with the best one's score."""
+    k, score = best(page)
+    return min(climbed(page, {k}, body=True)), score
+
+
 def text_at(page: Page, path: str | None) -> str:
-    """The text of all containers at a path, or of the page's best where there is none."""
-    roots = {k for k, c in enumerate(page.containers) if c.path == path} or {best(page)[0]}
+    """The text of all containers at a path and where they climb to, or of the page's own choice where there is none."""
+    roots = climbed(page, {k for k, c in enumerate(page.containers) if c.path == path}, body=False) or {chosen(page)[0]}
     inside = [False] * len(page.containers)
     for k, c in enumerate(page.containers):  # parents come first
         inside[k] = k in roots or c.parent >= 0 and inside[c.parent]
@@ -174,8 +209,8 @@ def text_at(page: Page, path: str | None) -> str:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """host, html -> (host, path, share): the page's best container's path and
-    its score as a share of the page's text, 0 to 1."""
+    """host, html -> (host, path, share): the path of the page's chosen container and
+    the best one's score as a share of the page's text, 0 to 1."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +218,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 paths, shares = [], []
                 for t in b.column("html"):
                     page = parse(t.as_py() or "")
-                    k, score = best(page)
+                    k, score = chosen(page)
                     paths.append(page.containers[k].path)
                     shares.append(min(1.0, score / max(1.0, 1.5 * sum(len(x) for _, x in page.blocks))))
                 yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], ["host", "path", "share"])

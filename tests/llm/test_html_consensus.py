@@ -47,3 +47,19 @@ def test_shuffled_winners_give_the_same(spark, monkeypatch):
     one = texts(spark, rows)
     monkeypatch.setattr(hc, "BROADCAST_HOSTS", 0)
     assert texts(spark, rows) == one
+
+
+def test_one_long_section_does_not_drop_the_rest_of_the_article(spark):
+    line, links = LONG.strip(), "<div class='more'>" + "<a href=1>Another page that is linked from here</a> " * 9 + "</div>"
+    article = f"<article><h1>Title</h1><p>{LONG}</p><section><p>{LONG * 30}</p></section><section><p>{LONG * 2}</p></section></article>{links}"
+    divs = f"<div class='wrap'><div class='b'><p>{LONG * 20}</p></div><div class='c'><p>{LONG * 2}</p></div></div>{links}"
+    bare = f"<h1>Title</h1><p>{LONG * 3}</p><div class='b'><p>{LONG * 40}</p></div>"
+    one = f"<article><section><p>{LONG * 9}</p></section></article>"
+    bodies = {1: article, 2: divs, 3: bare, **{k: one for k in range(10, 15)}}
+    rows = [(k, f"http://{'a' if k in (1, *range(10, 15)) else k}.example/", f"<html><body class='home'>{b}</body></html>") for k, b in bodies.items()]
+    got = {k: v[0] for k, v in texts(spark, rows).items()}
+    many = lambda n: (LONG * n).strip()
+    assert got[1] == "\n\n".join(["Title", line, many(30), many(2)])
+    assert got[2] == "\n\n".join([many(20), many(2)])
+    assert got[3] == "\n\n".join(["Title", many(3), many(40)])
+    assert got[12] == many(9)
