@@ -384,6 +384,12 @@ def bridged(at: dict[int, list[int]], size: int, places: list[int]) -> set[int]:
     return found
 
 
+def kept(item: str, document: str) -> bool:
+    """Whether a value is the item's, also if a capitalised neighbour of the
+    passage has been merged with its first or last name."""
+    return item == document or document.endswith(f" {item}") or document.startswith(f"{item} ")
+
+
 def judge(marks: list[dict], size: int, places: list[int]) -> tuple[int, float, bool] | None:
     """(windows, coverage, whether all values are the item's) of the alignment
     or chain with the most windows, if it is enough. ``marks`` are the windows of a
@@ -416,7 +422,7 @@ def judge(marks: list[dict], size: int, places: list[int]) -> tuple[int, float,
         whole = {p for x in held.values() for p in x}
         cover = len(whole | bridged(held, size, places))
         if cover >= COVERAGE * len(places) or cover >= RUN:
-            found.append((len(whole), cover / len(places), all(i == d for i, d in seen.items())))
+            found.append((len(whole), cover / len(places), all(kept(i, d) for i, d in seen.items())))
     return max(found, default=None)
 
 

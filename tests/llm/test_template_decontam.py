@@ -121,3 +121,8 @@ def test_items_without_plain_words_match_by_value(spark):
     items = [(1, sums), (2, table), (3, names), (4, "3 * 4 - 5")]
     rows = [(1, f"some words and then {sums} is asked"), (2, "Calculate 12.5 * 9 - 3"), (3, f"numbers: {table}, no more"), (4, table.replace("41", "40")), (5, "we saw Anna, Bert, Carla, Dora, Emil, Frida there"), (6, "we saw Anna, Bert and Dora there"), (7, "3 * 4 - 5")]
     assert found(spark, rows, items) == {1: ([1], False), 3: ([2], False), 5: ([3], False)}
+
+
+def test_a_copy_after_a_capitalised_word_is_no_other_version(spark):
+    item = "Rere bakes a loaf of bread for all. Thenor likes it more than the others do. Erlyan wants another one."
+    assert found(spark, [(1, "it ends.\nCallmi " + item + " and so on")], [(7, item)]) == {1: ([7], False)}
