@@ -22,12 +22,14 @@ def brute_targets(sizes):
     return want
 
 
-def test_targets():
+def test_targets(spark):
     rng = random.Random(1)
-    for _ in range(50):
-        sizes = [rng.choice([0, 1, 10, 1000, rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 9))]
-        weights = np.array([(5, 2, 1)[k % 3] for k in range(len(sizes))], float)
-        assert np.allclose(em.targets(np.array(sizes, float), weights, 1.5, 2.0), brute_targets(sizes), rtol=1e-6)
+    for n in (1, 2, 7, 40):
+        sizes = [rng.choice([0, 1, 10, 1000, rng.randint(1, 10**6)]) for _ in range(n)]
+        rows = [(f"+{k:03}", size) for k, size in enumerate(sizes)]
+        rng.shuffle(rows)
+        got = em.targets(spark.createDataFrame(rows, "key string, size long")).orderBy("key").collect()
+        assert [r.place for r in got] == list(range(n)) and np.allclose([r.goal for r in got], brute_targets(sizes), rtol=1e-6)
 
 
 def docs(spark, rows):
@@ -60,11 +62,51 @@ def test_mix_against_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, em.op9(frame.repartition(7)).collect()))
 
 
-def test_rates_are_tilted_to_the_targets(spark):
-    rows = [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(200)]
-    r = {x["source_size"]: x for x in em.mix(docs(spark, rows)).collect()}
-    for x in r.values():
-        assert math.isclose(x.rate * x.source_size, x.target, rel_tol=1e-6)
+def test_rates_solve_the_dual(spark):
+    """KKT conditions: tokens meet the targets, and below the limit the rate's
+    logarithm over the base is one multiple of the size in each source."""
+    rng = random.Random(3)
+    rows = [(i, "w " * min(int(rng.paretovariate(0.7)) + 1, 5000), rng.choice("aaabcdefgh")) for i in range(3000)]
+    got = em.mix(docs(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.source_size, []).append(r)
+    many = 0
+    for group in by.values():
+        assert abs(sum(r.rate * r.size for r in group) - group[0].target) <= 1e-8 * group[0].target
+        free = [(math.log(r.rate / em.SHARE) / r.size, r) for r in group if r.rate < em.LIMIT - 1e-9 and r.rate > 1e-200]
+        assert all(math.isclose(m, free[0][0], rel_tol=1e-6) for m, _ in free)
+        assert not free or all(em.SHARE * math.exp(min(700, free[0][0] * r.size)) >= em.LIMIT - 1e-6 for r in group if r.rate >= em.LIMIT - 1e-9)
+        many += len({r.rate for r in group}) > 1
+    assert many >= 3
+
+
+def test_equal_rows_fill_the_cells_and_reruns_agree(spark):
+    rows = [(7, "one two three", "a")] * 60_000 + [(None, "one", "b")] * 3000 + [(i, "x y", "c") for i in range(500)] * 4
+    frame = docs(spark, rows)
+    dealt = em.dealt(em.narrow(frame)).groupBy("key", "cell").count().collect()
+    assert len([r for r in dealt if r.key == "+a"]) == 30 and max(r["count"] for r in dealt) < 3 * em.CELL and sum(r["count"] for r in dealt) == len(rows)
+    count = lambda f: sorted(map(str, em.mix(f).groupBy("doc_id", "size", "copies").count().collect()))
+    assert count(frame) == count(frame.repartition(9)) == count(docs(spark, rows[::-1]))
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    big = (1 << 62) + 1
+    got = em.op9(docs(spark, [(big, "a b", "s"), (None, "c", "s"), (big + 1, "d", "s")])).collect()
+    assert {r.doc_id for r in got} == {big, big + 1, None}
+
+
+def test_rows_that_the_mix_takes(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(1, 30), rng.choice("abc")) for i in range(300)] + [(1, "other text", "a"), (5, None, "a"), (None, "no id", "b")] + [(400, "same row", "c")] * 9
+    frame = docs(spark, rows)
+    got, names = em.taken(frame)
+    assert got.columns == [*frame.columns, *names] and names == ["size_", "target_", "copies", "taken"]
+    out = sorted((str(r.doc_id), r.text, r.copies) for r in got.collect())
+    mixed = em.rounded(em.dealt(em.narrow(frame))).filter("copies > 0").collect()
+    text = lambda t: len(t.split())
+    assert sorted((i, text(t), n) for i, t, n in out) == sorted((str(r.doc_id), r["size"], r.copies) for r in mixed)
+    assert out == sorted((str(r.doc_id), r.text, r.copies) for r in em.taken(docs(spark, rows[::-1]))[0].collect())
 
 
 def test_empty_and_wordless(spark):
