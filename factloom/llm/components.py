@@ -17,13 +17,13 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -34,7 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges count once; no edges give no rows.
 
     Each round is written to the shared folder, so that lineage stays short;
-    the number of rounds grows with the logarithm of the longest chain.
+    the number of rounds grows with the logarithm of the longest chain. The
+    least neighbours are written too: joined from a table, both sides are plain
+    exchanges, and a node of very many edges is split.
     """
     spark = edges.sparkSession
     now = written(_small_star(edges.filter("a <> b").select("a", "b")), "components")

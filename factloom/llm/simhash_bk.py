@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import fresh, slices, wider, written
 from .components import components
 
 SEED = 42
@@ -170,25 +170,59 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.select("fps").mapInArrow(run, "a long, b long")
 
 
+def groups(own: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """(id, fp) -> (fp, component_id, root), one row per fingerprint: the
+    smallest id that its links reach, and the fingerprint that stands for all
+    that they reach."""
+    per_fp = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    found = written(links(per_fp.select("fp"), radius), "simhash-links")
+    member = components(found)
+    linked = member.join(per_fp, member.node == per_fp.fp).select("fp", "root", "least")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    moved = linked.join(least, "root").select("fp", "component", "root")
+    # From a table of its own: then both sides of a join on it are plain exchanges, and a fingerprint of very many rows is split.
+    return written(per_fp.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "simhash-groups")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), one row per input row.
 
     component_id is the smallest id among all documents that links reach.
-    Null or wordless texts have fingerprint zero and link like others; a null
-    id takes part without ever being the smallest; repeated rows and ties give
-    one row each; an empty table gives no rows. Other columns are ignored,
-    whatever their names.
+    Null or wordless texts have fingerprint zero and link like others; a text
+    of any length is read whole, in runs; a null id takes part without ever
+    being the smallest; repeated rows and ties give one row each; an empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     own = written(fingerprints(docs, id_col, text_col), "simhash")
-    per_fp = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = written(links(per_fp.select("fp"), radius), "simhash-links")
-    member = components(found)
-    linked = member.join(per_fp, member.node == per_fp.fp).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = linked.join(least, "root").select("fp", "component")
-    group = per_fp.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    # From a table of its own: then both sides of the join are plain exchanges, and a fingerprint of very many rows is split.
-    return own.join(written(group, "simhash-groups"), "fp", "left").select("doc_id", "fp", "component_id")
+    return own.join(groups(own, "doc_id", radius).drop("root"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs without near duplicates: of each group one row stays, with all its
+    columns.
+
+    It is the row with the smallest id (null counts as the largest), of those
+    the one whose text has the smallest hash, of those the one whose whole row
+    has; rows alike in that are alike in all. Rows are told apart by a number
+    of their own and not by id, so unlike texts under one id both stay.
+    """
+    row, fp, whole, root = fresh(docs, "row", "fp", "whole", "root")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, text_col):
+                found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(text_col).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*b.schema.names, fp])
+
+    marked = docs.mapInArrow(run, wider(docs, **{fp: "long"})).withColumns({row: F.monotonically_increasing_id(), whole: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    own = written(marked, "simhash-documents")
+    slim = own.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(whole).alias("whole"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    of = groups(slim, "id", radius).select(F.col("fp").alias("of"), F.col("root").alias(root))
+    least = F.min(F.struct(F.col("id").isNull(), "id", "h", "whole", "row")).alias("least")
+    # First within a fingerprint, where most copies meet, and only then by group.
+    first = slim.groupBy("fp").agg(least)
+    stays = first.join(of, F.col("fp") == F.col("of")).groupBy(root).agg(F.min("least").alias("least")).select(F.col("least.row").alias("stays"))
+    return own.join(written(stays, "simhash-stays"), F.col(row) == F.col("stays"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -41,6 +41,37 @@ def test_whole_query_against_brute_force(spark):
     assert got == brute_groups(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(n))
+    a, b = text(60), text(60)
+    near = next(x for k in range(60) if 0 < (brute_fingerprint(x := " ".join([*b.split()[:k], "new", *b.split()[k + 1 :]])) ^ brute_fingerprint(b)).bit_count() <= 2)
+    rows = [(1, a), (5, a), (5, b), (5, near), (None, a), (None, text(50)), (7, a.upper()), (8, None), (9, ""), (None, " ")]
+    rows += [(10, c := text(40))] * 5 + [(11, c)] * 3 + [(20 + k, text(45)) for k in range(9)] * 2
+    full = [(i, t, "l" if k % 2 else None, None, k % 3, "x", "y") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, SCHEMA)
+    got = simhash_bk.deduplicated(docs)
+    assert got.columns == docs.columns
+    out = got.collect()
+    # Brute force: one row of each class of linked fingerprints, with its smallest id.
+    prints = [brute_fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(prints):
+            for j, y in enumerate(prints):
+                if (x ^ y).bit_count() <= 2:
+                    group[i] = group[j] = min(group[i], group[j])
+    ids = {}
+    for k, g in enumerate(group):
+        ids.setdefault(g, []).append(rows[k][0])
+    want = sorted(str(min((i for i in x if i is not None), default=None)) for x in ids.values())
+    assert sorted(str(r.doc_id) for r in out) == want
+    assert len({group[full.index(tuple(r))] for r in out}) == len(out) == len(ids)
+    assert {r.text for r in out if r.doc_id == 5} <= {b, near} and (1, a) in {(r.doc_id, r.text) for r in out}
+    assert sorted(map(str, out)) == sorted(map(str, simhash_bk.deduplicated(spark.createDataFrame(full[::-1], SCHEMA).repartition(7)).collect()))
+    assert simhash_bk.deduplicated(docs.limit(0)).count() == 0
+
+
 def test_very_long_text_is_read_in_runs():
     text = "Some WORDS of\na text " * 120_000
     assert simhash_bk.fingerprint(text.encode()) == brute_fingerprint(text)
