@@ -41,10 +41,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import slices, written
+from ._shared import fresh, slices, written
 
 WINDOW = 8
-#: Items shorter than this many tokens of a form can't be told from chance; windows of templates need as many plain words as half their length.
+#: Items shorter than this many tokens are told from chance only where they are the whole text; windows of templates need as many plain words as half their length.
 SHORTEST = 4
 COVERAGE = 0.5
 RUN = 18
@@ -297,7 +297,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 for form, t, has in forms(b.column("text"), True):
                     lengths = np.diff(t.starts)
                     has = bare if form == VALUES else has
-                    for size in {WINDOW} | {int(n) for n in lengths if SHORTEST <= n < WINDOW}:
+                    for size in {WINDOW} | {int(n) for n in lengths if (1 if form == VALUES else SHORTEST) <= n < WINDOW}:
                         at, h = windows(t, size, form)
                         row = np.searchsorted(t.starts, at, side="right") - 1
                         own = has[row] & (lengths[row] >= WINDOW if size == WINDOW else lengths[row] == size)
@@ -324,22 +324,18 @@ def document_windows(docs: DataFrame, bitmap: bytes, sizes: dict[bool, list[int]
                         hit = bits[h >> np.uint64(64 - BITS)]
                         at, h = at[hit], h[hit]
                         row = np.searchsorted(t.starts, at, side="right") - 1
-                        if (own := has[row]).any():
+                        own = has[row]
+                        if size < SHORTEST:
+                            own &= np.diff(t.starts)[row] == size
+                        if own.any():
                             yield _emit(t, row[own], ids, keys, form, at[own], h[own], size)
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, _SCHEMA)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, reparameterised), one row per
-    document and item that contaminates it.
-
-    Null or short texts (under ``SHORTEST`` template tokens, and as many words
-    and numbers where an item is matched by value), on either side, match
-    nothing; rows with one doc_id count as one document, those without
-    an id too; an item that stands twice in the benchmark is matched under both
-    ids, an id given twice counts as the longer item; other columns are ignored.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, row, item_id, n, coverage, same): the pairs of a text, under its
+    id and hash, with an item that contaminates it."""
     items = written(benchmark_windows(benchmark), "template-items")
     asked_for = items.select((F.col("form") == VALUES).alias("v"), "size").distinct().collect()  # at most 2 * WINDOW rows
     sizes = {v: sorted(r.size for r in asked_for if r.v == v) for v in (False, True)}
@@ -360,13 +356,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 one = batch.slice(r, 1).to_pylist()[0]
                 if found := judge(one["marks"], one["size"], one["places"]):
-                    rows.append((one["id"], one["item_id"], *found))
+                    rows.append((one["id"], one["row"], one["item_id"], *found))
             yield pa.RecordBatch.from_pylist([dict(zip(judged.names, x, strict=True)) for x in rows], judged)
 
-    judged = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n", pa.int64()), ("coverage", pa.float64()), ("same", pa.bool_())])
-    good = pairs.select("id", "item_id", "size", "marks", "places").mapInArrow(run, "doc_id long, item_id long, n long, coverage double, same boolean")
+    judged = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item_id", pa.int64()), ("n", pa.int64()), ("coverage", pa.float64()), ("same", pa.bool_())])
+    return pairs.select("id", "row", "item_id", "size", "marks", "places").mapInArrow(run, "doc_id long, row long, item_id long, n long, coverage double, same boolean")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, coverage, reparameterised), one row per
+    document and item that contaminates it.
+
+    Null and empty texts, on either side, match nothing; an item of fewer than
+    ``SHORTEST`` words and numbers matches only texts that are nothing else; a
+    text of any length is read whole; rows with one doc_id count as one
+    document, those without an id too; an item that stands twice in the
+    benchmark is matched under both ids, an id given twice counts as the longer
+    item; other columns are ignored.
+    """
     best = F.max(F.struct("n", "coverage", "same")).alias("best")
-    return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.n").alias("n_windows"), F.col("best.coverage").alias("coverage"), (~F.col("best.same")).alias("reparameterised"))
+    good = matches(docs, benchmark).groupBy("doc_id", "item_id").agg(best)
+    return good.select("doc_id", "item_id", F.col("best.n").alias("n_windows"), F.col("best.coverage").alias("coverage"), (~F.col("best.same")).alias("reparameterised"))
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows whose own text an item contaminates, with or
+    without an id; unlike texts under one id are told apart by their hash."""
+    gone = written(matches(docs, benchmark).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "template-contaminated")
+    (row,) = fresh(docs, "row")
+    hashed = docs.withColumn(row, F.xxhash64("text"))
+    kept = hashed.join(gone, (F.col(row) == F.col("gone_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def bridged(at: dict[int, list[int]], size: int, places: list[int]) -> set[int]:

@@ -29,8 +29,23 @@ def test_copies_and_other_parameters_and_inconsistent_slots(spark):
 
 def test_short_items_and_repeats(spark):
     items = [(1, "the quick brown fox"), (2, "too short"), (3, "the quick brown fox")]
-    got = found(spark, [(1, "see the quick brown fox run"), (2, "the quick red fox"), (3, "too short")], items)
-    assert got == {1: ([1, 3], False)}
+    got = found(spark, [(1, "see the quick brown fox run"), (2, "the quick red fox"), (3, "Too short!"), (4, "this is too short")], items)
+    assert got == {1: ([1, 3], False), 3: ([2], False)}
+
+
+def test_rows_go_by_their_own_text(spark):
+    rows = [(1, QUESTION), (1, "a clean text under the same number"), (None, QUESTION), (None, "a clean text without a number"), (None, None), (2, None), (3, ""), (4, QUESTION), (4, QUESTION), (5, "clean")]
+    frame = docs(spark, rows)
+    items = spark.createDataFrame([(9, QUESTION)], ITEMS)
+    got = td.decontaminated(frame, items)
+    assert got.columns == frame.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, [r for r in rows if r[1] != QUESTION]))
+    assert td.decontaminated(frame.limit(0), items).count() == 0 and td.decontaminated(frame, items.limit(0)).count() == len(rows)
+
+
+def test_very_long_text(spark):
+    filler = "some words that stand for nothing " * 150_000
+    assert found(spark, [(1, filler + QUESTION + " " + filler), (2, filler)], [(9, QUESTION)]) == {1: ([9], False)}
 
 
 def test_empty_tables(spark):
@@ -120,7 +135,7 @@ def test_items_without_plain_words_match_by_value(spark):
     sums, table, names = "Calculate 12.5 * 8 - 3", "12 7 9 30 41 5 6 8 10 77 3 19", "anna Bert Carla Dora Emil Frida"
     items = [(1, sums), (2, table), (3, names), (4, "3 * 4 - 5")]
     rows = [(1, f"some words and then {sums} is asked"), (2, "Calculate 12.5 * 9 - 3"), (3, f"numbers: {table}, no more"), (4, table.replace("41", "40")), (5, "we saw Anna, Bert, Carla, Dora, Emil, Frida there"), (6, "we saw Anna, Bert and Dora there"), (7, "3 * 4 - 5")]
-    assert found(spark, rows, items) == {1: ([1], False), 3: ([2], False), 5: ([3], False)}
+    assert found(spark, rows, items) == {1: ([1], False), 3: ([2], False), 5: ([3], False), 7: ([4], False)}
 
 
 def test_a_copy_after_a_capitalised_word_is_no_other_version(spark):
