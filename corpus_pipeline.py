@@ -17,8 +17,9 @@ from factloom.llm._shared import crc_mod, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letters, or below the
-    calibrated threshold) go."""
+    """Documents whose language can't be told (null or empty texts, no letters,
+    or below the calibrated threshold) go; each row is judged by its own text,
+    with or without an id, repeated rows alike. An empty table stays empty."""
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = langid.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
     named, _, _, rejected = langid.predict(docs, model)
@@ -26,38 +27,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id
-    stays, once. Documents without an id stay."""
-    groups = written(simhash_bk.near_duplicates(docs), "pipeline-groups")
-    gone = groups.filter("doc_id <> component_id").select("doc_id")
-    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near duplicates one row stays, the one with the
+    smallest id (null is the largest). Rows are told apart by their texts, so
+    unlike texts under one id or without an id stay; null and empty texts are
+    one group; repeated rows leave one."""
+    return simhash_bk.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, also with other parameters, go.
-    Documents without an id can't be named and stay."""
-    found = template_decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    gone = written(found.select("doc_id").distinct(), "pipeline-contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows whose text holds a benchmark item, also with other parameters, go,
+    with or without an id, repeated rows alike. Null and empty texts stay."""
+    return template_decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; all documents stay."""
+    """Secrets are replaced in the texts; all rows stay, null and empty texts
+    and null ids as they are, repeated rows alike."""
     return secret_scan.redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their numbers of copies and words
-    taken. Documents without an id, and those taken no time, go."""
-    taken = entropy_mix.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("target").alias("target"), F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    names = dict(zip(taken.columns[1:], langid.fresh(docs, *taken.columns[1:]), strict=True))
-    taken = written(taken, "pipeline-mix").withColumnsRenamed(names)
-    return docs.join(taken, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns], *names.values())
+    """The rows that the mix takes, with their size, number of copies and words
+    taken and their source's target; those taken no time (wordless ones among
+    them) go. Null ids and null sources are mixed like others, repeated rows
+    have copies of their own."""
+    return entropy_mix.taken(docs)[0]
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
