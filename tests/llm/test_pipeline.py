@@ -1,7 +1,8 @@
 import random
+import re
 
 import corpus_pipeline as cp
-from factloom.llm import entropy_mix, langid, secret_scan, simhash_bk, template_decontam
+from factloom.llm import simhash_bk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, rejected int, size string"
 WORDS = ["lorem", "ipsum", "dolor", "sit", "amet", "consect", "adipis", "elit", "sed", "do", "eius", "tempor", "incid", "labore"]
@@ -14,6 +15,7 @@ def corpus():
     rows = [(i, text(rng.randint(20, 90)), "la", f"s{i % 3}") for i in range(60)]
     rows += [(100 + k, rows[k][1].upper(), "la", "s1") for k in range(5)]
     rows += [(200, text(20) + " " + ITEM + " " + text(9), "la", "s0"), (201, "12 34 !!", "la", "s0"), (202, None, None, None), (203, 'x password = "abcdefgh1" ' + text(30), "la", "s2"), (203, 'x password = "abcdefgh1" ' + text(30), "la", "s2")]
+    rows += [(7, text(40), "la", "s1"), (None, text(33), None, "s2"), (None, text(8) + " " + ITEM + " " + text(11), "la", "s1"), (204, rows[9][1], "la", "s2")]
     return rows
 
 
@@ -36,30 +38,37 @@ def test_each_stage_against_its_operator(spark, tmp_path):
         after = docs.collect()
         assert docs.columns[: len(columns)] == columns
         if name == "language":
-            gone = {r.doc_id for r in langid.op6(spark.createDataFrame(before, SCHEMA)).filter("rejected").collect()}
-            assert {201, 202} <= gone and sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if r.doc_id not in gone)
+            # Two documents have no letters; all others are in the one language there is.
+            assert sorted(map(str, after)) == sorted(map(str, [r for r in before if r.doc_id not in (201, 202)]))
         elif name == "near_duplicates":
-            prints = [(r.doc_id, simhash_bk.fingerprint(r.text.encode())) for r in before]
-            group = {i: i for i, _ in prints}
+            prints = [simhash_bk.fingerprint(r.text.encode()) for r in before]
+            group = list(range(len(before)))
             for _ in prints:
-                for i, a in prints:
-                    for j, b in prints:
+                for i, a in enumerate(prints):
+                    for j, b in enumerate(prints):
                         if (a ^ b).bit_count() <= 2:
                             group[i] = group[j] = min(group[i], group[j])
-            assert sorted(r.doc_id for r in after) == sorted({i for i in group if group[i] == i})
-            assert not {r.doc_id for r in after} & set(range(100, 105))
+            ids = {}
+            for k, g in enumerate(group):
+                ids.setdefault(g, []).append(before[k].doc_id)
+            assert sorted(str(r.doc_id) for r in after) == sorted(str(min((i for i in x if i is not None), default=None)) for x in ids.values())
+            assert not {r.doc_id for r in after} & set(range(100, 105)) and len([r for r in after if r.doc_id == 7]) == 2
         elif name == "decontamination":
-            found = {r.doc_id for r in template_decontam.op10(spark.createDataFrame(before, SCHEMA), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
-            assert found == {200} and {r.doc_id for r in after} == {r.doc_id for r in before} - found
+            # Brute force: plain lower-case texts hold the item if they hold its words in order.
+            held = lambda t: f" {ITEM} " in f" {t} "
+            assert sorted(map(str, after)) == sorted(map(str, [r for r in before if not held(r.text)])) and sum(held(r.text) for r in before) == 2
         elif name == "secrets":
-            was = {r.doc_id: r.text for r in before}
-            assert len(after) == len(before)
-            for r in after:
-                assert not secret_scan.base_spans(r.text) and r.n_chars == len(r.text)
-                assert r.text == was[r.doc_id] or secret_scan.base_spans(was[r.doc_id])
+            want = [re.sub('password = "[a-z0-9]+"', 'password = "[SECRET]"', r.text) for r in before]
+            assert sorted((r.text, r.n_chars) for r in after) == sorted((t, len(t)) for t in want) and sum("[SECRET]" in t for t in want) == 2
         else:
-            taken = {r.doc_id: r.copies for r in entropy_mix.mix(spark.createDataFrame(before, SCHEMA)).collect()}
-            assert {r.doc_id: r.copies for r in after} == {i: n for i, n in taken.items() if n}
+            # Three sources of weights 5, 2 and 1: the first's share is cut at its limit.
+            size = {s: sum(len(r.text.split()) for r in before if r.source == s) for s in ("s0", "s1", "s2")}
+            got = {s: sum(r.taken for r in after if r.source == s) for s in size}
+            left = 1.5 * sum(size.values()) - 2 * size["s0"]
+            want = {"s0": 2 * size["s0"], "s1": min(2 * size["s1"], left * 2 / 3), "s2": left - min(2 * size["s1"], left * 2 / 3)}
+            assert all(abs(got[s] - want[s]) <= 0.03 * want[s] for s in size)
+            assert all(r.taken == r.copies * len(r.text.split()) and 1 <= r.copies <= 2 for r in after)
+            assert {(r.doc_id, r.text) for r in after} <= {(r.doc_id, r.text) for r in before}
 
 
 def test_run(spark, tmp_path):
