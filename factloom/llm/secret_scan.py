@@ -4,29 +4,36 @@ Candidates of the battery are maximal runs of 16 or more of ``[A-Za-z0-9+/_=-]``
 that mix letters with digits, or cases; a run with an inner ``=`` is cut there
 (NAME=VALUE), and a part that no alphabet has whole, as it holds both one of
 ``+/`` and one of ``-_``, is cut at the former, at the latter and at both, and of
-pieces that overlap the least text-like one stands. From its symbols a candidate's encoding
-is inferred (hex, base32, base36, base62, base64) and with it the size K of the
-alphabet. Three tests are made on the symbols' places in the alphabet:
-
-* chi-squared uniformity, both against the alphabet (a key fits) and against a
-  text-like source, whose coincidence index is ``TEXTLIKE`` (a key is too even
-  for it): the p-value of the latter is what is controlled;
-* runs above and below the middle of the alphabet (Wald-Wolfowitz);
+pieces that overlap the least text-like one stands. From its symbols a
+candidate's encoding is inferred (hex, base32, base36, base62, base64) and with
+it the size K of the alphabet. Three tests are made on the symbols' places:
+
+* chi-squared uniformity. The statistic is linear in the share of equal pairs;
+  tokens built of words have a share of about ``EQUAL`` (by case and length);
+* runs: of symbols of one class (upper, lower, digit, other), which words and
+  numbers make long, and above and below the alphabet's middle (Wald-Wolfowitz);
 * serial correlation at lag 1.
 
-A candidate must pass the first against its alphabet and the other two at
-``FAIR``. Of those that do, text-likeness is rejected by the procedure of
-Benjamini and Hochberg at rate ``RATE``, in each class of lengths on its own,
-over the candidates of all documents. It needs only the counts of p-values in
-tenth-of-a-decade bins, which are at most ``len(LENGTHS) * BINS`` numbers; a
-bin counts as its upper edge, so that the rate is never exceeded.
+The hypothesis that is rejected is 'built of words and numbers'. Its p-value
+combines the equal pairs and the runs of classes by Fisher's method, with
+Brown's correction for what the two have in common, and divides by a weight of
+at most 1 that falls with the smallest p-value for randomness of all these
+tests: what is patterned instead of worded can't be significant either. Where
+one of several overlapping pieces was chosen its p-value counts as often as
+there were pieces. Every candidate is a hypothesis, none is left out for its
+figures. Benjamini and Hochberg's procedure at rate ``RATE`` is done in each
+class of lengths on its own, over the candidates of all documents. It needs
+only the counts of p-values in tenth-of-a-decade bins, which are at most
+``len(LENGTHS) * BINS`` numbers; a bin counts as its upper edge.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +61,14 @@ _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 LENGTHS = (16, 24, 32, 48, 64, 128)
 BINS = 400
-TEXTLIKE = {16: 0.11, 32: 0.0667, 36: 0.0667, 62: 0.0667, 64: 0.0667}
-FAIR = 0.001
 RATE = 0.01
+#: The share of equal pairs in tokens of words, (limit, what short ones lack), by the size of the alphabet; and its spread, (scale, power).
+EQUAL = {16: (0.085, 0.0), 32: (0.064, 0.33), 36: (0.064, 0.33), 62: (0.0395, 0.06), 64: (0.0395, 0.06)}
+SPREAD = (0.105, -0.6)
+#: How often the class of symbols changes in such tokens, of one case and of both.
+CHANGES = {16: 0.2, 32: 0.2, 36: 0.2, 62: 0.4, 64: 0.4}
+#: A p-value for randomness from which the weight is 1.
+FAIR = 0.01
 
 _ALPHABETS = [
     ("0123456789abcdef", 16),
@@ -92,12 +104,41 @@ def _chi2_z(x: float, mean: float, variance: float) -> float:
     return ((x / mean) ** (1 / 3) - (1 - 2 / (9 * dof))) / math.sqrt(2 / (9 * dof))
 
 
+def _class(c: str) -> int:
+    return 0 if "A" <= c <= "Z" else 1 if "a" <= c <= "z" else 2 if c.isdigit() else 3
+
+
+#: How often the class changes in random symbols, by the size of the alphabet.
+MIXED = {k: 1 - sum([_class(c) for c in a].count(kind) ** 2 for kind in range(4)) / k**2 for a, k in _ALPHABETS}
+
+
+def _at_least(n: int, rate: float, k: int) -> float:
+    """P(at least k of n) of a binomial variable."""
+    if k <= 0:
+        return 1.0
+    log = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(rate) + (n - j) * math.log1p(-rate) for j in range(k, min(n, k + 400) + 1)]
+    return min(1.0, sum(map(math.exp, log)))
+
+
+def _at_most(mean: float, k: int) -> float:
+    """P(at most k) of a Poisson variable; only the last terms count."""
+    return sum(math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) for j in range(max(0, k - 400), k + 1))
+
+
+def _brown(first: float, second: float) -> float:
+    """Fisher's combination of two p-values whose statistics go together: a
+    chi-squared variable of 3 instead of 4 degrees, scaled to the same mean."""
+    x = -1.5 * (math.log(max(first, 1e-300)) + math.log(max(second, 1e-300)))
+    return min(1.0, math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2))
+
+
 def battery(token: str) -> tuple[float, float] | None:
-    """(smallest p-value of the three randomness tests, p-value of
-    text-likeness), or None for what is no candidate."""
+    """(smallest p-value for randomness of the three tests, p-value of the
+    hypothesis that the token is built of words and numbers), or None for what
+    is no candidate."""
     core = token.rstrip("=")
-    digits = sum(c.isdigit() for c in core)
-    lower, upper = sum("a" <= c <= "z" for c in core), sum("A" <= c <= "Z" for c in core)
+    classes = [_class(c) for c in core]
+    digits, lower, upper = classes.count(2), classes.count(1), classes.count(0)
     if not (digits >= 2 and lower + upper >= 2 or lower >= 3 and upper >= 3) or (found := infer(core)) is None:
         return None
     places, K = found
@@ -107,10 +148,15 @@ def battery(token: str) -> tuple[float, float] | None:
     squares = float((counts * counts).sum())
     chi2 = K * squares / n - n
     uniform = _tail(_chi2_z(chi2, K - 1, 2 * (K - 1) * (n - 1) / n))
-    k = TEXTLIKE[K]
-    mean = K * (1 + (n - 1) * k) - n
-    delta = max(0.0, mean - (K - 1))
-    text = 1 - _tail(_chi2_z(max(chi2, 1e-9), mean, 2 * (K - 1) + 4 * delta))
+    limit, lack = EQUAL[K]
+    usual, equal = limit - lack / n, (squares - n) / (n * (n - 1))
+    worded = 1 - _tail(_chi2_z(max(equal, 1e-9), usual, (SPREAD[0] * n ** SPREAD[1]) ** 2))
+    worded = max(worded, _at_most(n * (n - 1) / 2 * usual, int(squares - n) // 2))  # few pairs are no continuous figure
+    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    often = MIXED[K]
+    usually, around = (n - 1) * often, math.sqrt((n - 1) * often * (1 - often))
+    changes_p = 2 * _tail(abs(changes - usually) / around)
+    together = _at_least(n - 1, CHANGES[K], min(changes, int(usually + 2 * around)))  # more changes than random ones have tell no more
     high = x >= K / 2
     a, b = int(high.sum()), int(n - high.sum())
     if not a or not b:
@@ -121,7 +167,9 @@ def battery(token: str) -> tuple[float, float] | None:
     c = x - x.mean()
     serial = float((c[1:] * c[:-1]).sum() / max(1e-9, (c * c).sum()))
     serial_p = 2 * _tail(abs(serial + 1 / (n - 1)) * math.sqrt(n))
-    return min(uniform, runs_p, serial_p), min(1.0, max(text, 10.0 ** (-BINS / 10)))
+    fair = min(uniform, runs_p, changes_p, serial_p)
+    weight = max(1e-300, min(1.0, (fair / FAIR) ** 2))
+    return fair, max(min(1.0, _brown(worded, together) / weight), 10.0 ** (-BINS / 10))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -146,20 +194,25 @@ def parts(start: int, end: int, run: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, class of length, bin of p) of fair candidates outside base spans."""
+    """(start, end, class of length, bin of p) of candidates outside base spans,
+    which come by their starts."""
+    starts = [s for s, _, _ in spans]
+    reach = list(accumulate((e for _, _, e in spans), max))
     found = []
     for m in CANDIDATE.finditer(text):
         for part in parts(*m.span(), m[0]):
-            fair = []
+            tested = []
             for start, end in part:
-                if any(s <= start and end <= e for s, _, e in spans) or (p := battery(text[start:end])) is None or p[0] < FAIR:
+                k = bisect_right(starts, start)
+                if k and reach[k - 1] >= end or (p := battery(text[start:end])) is None:
                     continue
-                fair.append((start, end, sum(end - start >= x for x in LENGTHS) - 1, int(-10 * math.log10(p[1]))))
-            taken: list[tuple[int, int, int, int]] = []
-            for c in sorted(fair, key=lambda c: (-c[3], c[0] - c[1], c[0])):
-                if all(c[1] <= t[0] or t[1] <= c[0] for t in taken):
-                    taken.append(c)
-            found += sorted(taken)
+                tested.append((min(1.0, p[1] * len(part)), start, end))
+            taken: list[tuple[int, int, float]] = []
+            for p, start, end in sorted(tested, key=lambda c: (c[0], c[1] - c[2], c[1])):
+                k = bisect_right(taken, (start, end, 2.0))
+                if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                    taken.insert(k, (start, end, p))
+            found += [(start, end, sum(end - start >= x for x in LENGTHS) - 1, int(-10 * math.log10(p))) for start, end, p in taken]
     return found
 
 
@@ -243,8 +296,9 @@ def _joined(spans: Column) -> Column:
 def op3(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans), one
     row per input row. Null and empty texts have no spans (base_sha256 is that
-    of the empty text, spans is empty); repeated rows are scanned alike; null
-    ids stay; other columns are ignored."""
+    of the empty text, spans is empty); a text of any length is scanned whole,
+    in time that grows with it; repeated rows are scanned alike; null ids stay;
+    other columns are ignored."""
     table = written(found(docs), "secrets")
     least = thresholds(table.select("random"))
     extra = F.transform(significant(F.col("random"), least), lambda c: F.struct(c.start.alias("start"), F.lit(3).alias("kind"), c.end.alias("end")))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from factloom.llm import secret_scan as ss
 SCHEMA = "doc_id long, text string, lang string, n_chars long, base string, spans string, changed string"
 RNG = random.Random(11)
 ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-KEYS = ["".join(RNG.choice(ALNUM) for _ in range(40)) for _ in range(30)]
+KEYS = ["".join(RNG.choice(ALNUM) for _ in range(64)) for _ in range(30)]
 TEXTS = [
     None,
     "",
@@ -64,14 +65,93 @@ def test_prefilter_loses_nothing():
 
 
 def test_battery_tells_random_from_patterned():
-    for token in ("abcdefghijklmnopqrstuvwxyz0123456789", "AAAABBBBCCCCDDDD1111222233334444", "aB1" * 12):
+    for token in ("abcdefghijklmnopqrstuvwxyz0123456789", "AAAABBBBCCCCDDDD1111222233334444", "aB1" * 12, "a1b2c3d4e5f6" * 3, "Zz9" + "y" * 40):
         p = ss.battery(token)
-        assert p is None or p[0] < ss.FAIR or p[1] > 1e-3
+        assert p is None or p[1] > 1e-3, token
     good = [ss.battery(k) for k in KEYS]
-    assert np.mean([p[0] >= ss.FAIR and p[1] < 1e-3 for p in good]) > 0.9
+    assert np.mean([p[1] < 1e-3 for p in good]) > 0.9
     assert ss.battery("justlowercaseletters") is None
 
 
+SAID = (
+    "about above after again along around because before began between bring build call carry change check city clear close color common country cover create data deep different direct down draw during each earth every example eye face fact family father field figure find first follow food form friend from front gave general give good great ground group grow hand hard have head hear help here high home horse hour house idea inch island just keep kind king know "
+    "land large last later lead learn leave left letter life light like line list little live long look made make many mark mean measure might mile money morning most mother mountain move much music must name near need never next night north note notice number object off often once only open order other over page paper part pass pattern people piece place plain plant play point port possible power press problem product question quick rain reach read ready real "
+    "record remember right river road rock room rule same school science second sentence serve several shape ship short should show side simple slow small snow some song sound south space special spell stand star start state stay still stop story street study such sure system table take talk teach tell test their them there these thing think those thought three through time together took town travel tree true turn under unit until usual very voice vowel walk warm watch water week well went were west what wheel where which while white whole wind with wonder wood word work world would write year young"
+).split()
+
+
+def worded(rng, kind, n):
+    """A token of n symbols that is built of words and numbers."""
+    word = lambda: rng.choice(SAID)
+    number = lambda k: str(rng.randrange(10**k))
+    text = word()
+    while len(text) < n:
+        if kind in ("plain", "upper"):
+            text += word()
+        elif kind == "camel":
+            text += word().capitalize()
+        elif kind == "camel with numbers":
+            text += word().capitalize() + (number(2) if rng.random() < 0.3 else "")
+        elif kind == "short camel":
+            text += rng.choice([w for w in SAID if len(w) < 6]).capitalize()
+        elif kind == "number":
+            text += number(1)
+        else:
+            text += ("/" if kind == "path" else rng.choice("_-")) + (word() if rng.random() < 0.7 else rng.choice([word().capitalize(), number(3)]))
+    text = list(text[:n])
+    if kind in ("plain", "upper"):
+        for _ in range(2):
+            text[rng.randrange(n)] = number(1)
+    return "".join(text).upper() if kind == "upper" else "".join(text)
+
+
+KINDS = ("plain", "upper", "camel", "camel with numbers", "short camel", "number", "snake", "path")
+ENCODINGS = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": ALNUM[:26] + "234567", "base36": ALNUM[26:], "base62": ALNUM, "base64": ALNUM + "+/", "base64url": ALNUM + "-_"}
+
+
+def significant(p):
+    """Benjamini and Hochberg on all p-values at once."""
+    order = np.sort(p)
+    ok = np.flatnonzero(order <= ss.RATE * np.arange(1, len(p) + 1) / len(p))
+    return p <= (order[ok[-1]] if len(ok) else -1)
+
+
+def test_false_discoveries_are_rarer_than_the_rate_and_recall_is_as_stated():
+    """The README states these figures: each encoding against as many tokens of
+    each kind, by length."""
+    rng = random.Random(12)
+    recall, share = {}, {}
+    for n in (16, 24, 32, 40, 48, 64):
+        false = {k: np.array([p[1] for p in (ss.battery(worded(rng, k, n)) for _ in range(400)) if p]) for k in KINDS}
+        true = {e: np.array([p[1] for p in (ss.battery("".join(rng.choice(a) for _ in range(n))) for _ in range(400)) if p]) for e, a in ENCODINGS.items()}
+        for k, null in false.items():
+            assert (null <= 0.01).mean() <= 0.02 and (null <= 0.001).mean() <= 0.003, (n, k)
+        for e, keys in true.items():
+            found = wrong = 0
+            for null in false.values():
+                hit = significant(np.concatenate([null, keys]))
+                found, wrong = found + hit[len(null) :].sum(), wrong + hit[: len(null)].sum()
+            recall[n, e], share[n, e] = found / len(KINDS) / 400, wrong / max(1, found + wrong)
+        both = np.concatenate([*false.values(), *true.values()])
+        hit = significant(both)
+        many = sum(map(len, false.values()))
+        assert hit[:many].sum() <= ss.RATE * max(1, hit.sum()), n
+    assert max(share.values()) <= ss.RATE, share
+    for n, e, least in ((32, "hex", 0.6), (32, "base62", 0.4), (40, "base64", 0.7), (48, "base36", 0.9), (48, "base62", 0.8), (64, "base32", 0.85), (64, "base62", 0.95), (64, "base64url", 0.95)):
+        assert recall[n, e] >= least, (n, e, recall[n, e])
+    print({k: round(float(v), 2) for k, v in recall.items()}, max(share.values()))
+
+
+def test_very_long_texts_take_time_in_proportion():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(ALNUM) for _ in range(24))
+    for text in ("token=abcdefg1 " * 100_000, " ".join(word() for _ in range(20_000)), "/".join(["ab-cd+ef" + word() for _ in range(15_000)]), "0a" * 500_000):
+        began = time.time()
+        spans = ss.base_spans(text)
+        ss.candidates(text, spans)
+        assert time.time() - began < 30
+
+
 def test_thresholds_follow_benjamini_and_hochberg(spark):
     rng = random.Random(3)
     p = sorted([10 ** -rng.uniform(3, 12) for _ in range(15)] + [rng.random() for _ in range(200)])
@@ -96,7 +176,7 @@ def test_redaction_keeps_rows_and_columns(spark):
 
 def test_secrets_behind_names_and_in_paths(spark):
     rng = random.Random(8)
-    key = lambda more, n=40: "".join(rng.choice(ALNUM + more) for _ in range(n))
+    key = lambda more, n=64: "".join(rng.choice(ALNUM + more) for _ in range(n))
     forms = ["AWS_SECRET_ACCESS_KEY={}", "PRIVATE_KEY={}==", "x&sig={}&y", "a=b={}=c", "https://host.example/my-app/v1/{}/get", "it ={}"]
     cases = [(form, key("/+" if k < 2 else "")) for k, form in enumerate(forms) for _ in range(20)]
     texts = [form.format(k) for form, k in cases] + ["/usr/share/some-long-path/of_words/that-is/no_secret-at/all=this-is-not-one-either_nor/this"]
@@ -104,7 +184,7 @@ def test_secrets_behind_names_and_in_paths(spark):
     clean = {r.doc_id: r.text for r in ss.redact(docs(spark, texts)).collect()}
     for form in forms:
         ids = [i for i, (f, _) in enumerate(cases) if f == form]
-        hit = [any(s.startswith("random") and int(s.split(":")[1]) <= texts[i].index(cases[i][1]) and int(s.split(":")[2]) >= texts[i].index(cases[i][1]) + 40 for s in rows[i].spans.split(",")) for i in ids]
+        hit = [any(s.startswith("random") and int(s.split(":")[1]) <= texts[i].index(cases[i][1]) and int(s.split(":")[2]) >= texts[i].index(cases[i][1]) + 64 for s in rows[i].spans.split(",")) for i in ids]
         assert np.mean(hit) >= 0.9, (form, np.mean(hit))
         assert np.mean([cases[i][1] not in clean[i] for i in ids]) >= 0.9, form
     assert rows[len(cases)].n_random == 0 and clean[len(cases)] == texts[-1]
