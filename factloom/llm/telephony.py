@@ -219,9 +219,9 @@ def to_pcm(media: DataFrame, rate: int = 16000) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, pcm binary")
 
 
-def describe(tag: int, own: int, pieces: Iterable[np.ndarray], rate: int) -> str:
-    """Codec, samples, peak, power and zero crossings of decoded audio, and the
-    checksum of its PCM at another rate."""
+def describe(tag: int, own: int, pieces: Iterable[np.ndarray], rate: int) -> tuple[str, bytes]:
+    """Codec, samples, peak, power and zero crossings of decoded audio with the
+    checksum of its PCM at another rate, and that PCM as a WAVE file."""
     n = peak = crossings = 0
     power, last, crc = 0, 0, 0
 
@@ -237,20 +237,23 @@ def describe(tag: int, own: int, pieces: Iterable[np.ndarray], rate: int) -> str
             last = x[-1]
             yield x
 
+    out = []
     for y in resample(watched(), own, rate):
+        out.append(y)
         crc = zlib.crc32(y.astype("<i2").tobytes(), crc)
-    return f"{NAMES[tag]};rate={own};samples={n};peak={peak};rms={round((power / max(n, 1)) ** 0.5)};crossings={crossings};pcm{rate}={crc:08x}"
+    return f"{NAMES[tag]};rate={own};samples={n};peak={peak};rms={round((power / max(n, 1)) ** 0.5)};crossings={crossings};pcm{rate}={crc:08x}", pcm_wave(out, rate)
 
 
 def op1(docs: DataFrame, rate: int = 16000) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature), one row per input row, all computed
-    from the bytes read back.
+    media_bytes, media_sha256, feature, pcm), one row per input row, all
+    computed from the bytes read back; pcm is a media column, the audio
+    resampled to 16-bit PCM in a WAVE file.
 
     Null and empty texts are one block of zeros; a text of any length is
-    decoded in pieces; repeated rows and null ids stay; other columns are
-    ignored. The resampled PCM takes four times the payload; the query keeps
-    its checksum in ``feature``, ``to_pcm`` keeps the audio.
+    decoded in pieces, and its PCM (4 times the payload, of ADPCM 7.6 times)
+    is one value, which Arrow and Spark hold up to 2 GB; repeated rows and null
+    ids stay; other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +263,13 @@ def op1(docs: DataFrame, rate: int = 16000) -> DataFrame:
                 stored = [m.as_buffer().to_pybytes() for m in b.column("media")]
                 files = [read(media) for media in stored]
                 for media, (tag, own, _, codes), pieces in zip(stored, files, samples(files), strict=True):
-                    feature = describe(tag, own, pieces, rate)
-                    rows.append((len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    feature, pcm = describe(tag, own, pieces, rate)
+                    rows.append((len(codes), hashlib.sha256(codes).hexdigest(), zlib.crc32(codes[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature, pcm))
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("n_bytes"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
-                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],
                 )
 
-    return store(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return store(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
