@@ -68,12 +68,8 @@ def directory(fetch: Fetch, size: int) -> list[Member]:
     count, length, start = struct.unpack_from("<HII", tail, end + 10)
     record = tail_at + end
     if record >= 20 and (locator := fetch(record - 20, 20))[:4] == LOCATOR64:
-        at64 = struct.unpack_from("<Q", locator, 8)[0]
-        end64 = fetch(at64, 56)
-        if end64[:4] != END64:
-            raise ValueError("the ZIP64 locator leads nowhere")
-        count, length, start = struct.unpack_from("<QQQ", end64, 32)
-        record = at64
+        record = _end64(fetch, record - 20, struct.unpack_from("<Q", locator, 8)[0])
+        count, length, start = struct.unpack_from("<QQQ", fetch(record, 56), 32)
     shift = record - length - start  # bytes that stand before the archive
     data, at, found = fetch(start + shift, length), 0, []
     for _ in range(count):
@@ -97,6 +93,22 @@ def directory(fetch: Fetch, size: int) -> list[Member]:
     return found
 
 
+def _end64(fetch: Fetch, locator: int, said: int) -> int:
+    """Where the ZIP64 end record stands: as the locator says, or further on by
+    what stands before the archive. It ends where the locator begins."""
+    for at in (said, locator - 56):
+        if 0 <= at <= locator - 56 and (head := fetch(at, 12))[:4] == END64 and at + 12 + struct.unpack_from("<Q", head, 4)[0] == locator:
+            return at
+    low = max(0, locator - 65_536)  # with data of its own
+    near = fetch(low, locator - low)
+    at = near.rfind(END64)
+    while at >= 0:
+        if len(near) - at >= 12 and at + 12 + struct.unpack_from("<Q", near, at + 4)[0] == len(near):
+            return low + at
+        at = near.rfind(END64, 0, at)
+    raise ValueError("the ZIP64 locator leads nowhere")
+
+
 def stored_at(fetch: Fetch, member: Member) -> int:
     """Where the bytes of a stored member begin."""
     if member.method != zipfile.ZIP_STORED:
@@ -184,25 +196,47 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return written(rows, "warc-manifest")
 
 
+def places(fetch: Fetch, members: list[Member]) -> dict[str, list[tuple[int, int]]]:
+    """(offset, length) of the records in each archive member, in order, from
+    all stored indexes (.cdxj, .cdxj.gz). An index names an archive by its
+    member's name or the end of it."""
+    found: dict[str, set[tuple[int, int]]] = {}
+    archives = [m.name for m in members if m.name.endswith((".warc.gz", ".warc"))]
+    for m in members:
+        if not m.name.endswith((".cdxj", ".cdxj.gz")):
+            continue
+        data = fetch(stored_at(fetch, m), m.size)
+        for line in (gzip.decompress(data) if m.name.endswith(".gz") else data).decode().splitlines():
+            if " {" not in line:
+                continue
+            x = json.loads(line[line.index(" {") :])
+            name = next((a for a in archives if a == x["filename"] or a.endswith(f"/{x['filename']}")), None)
+            if name is None:
+                raise ValueError(f"the index names no member: {x['filename']}")
+            found.setdefault(name, set()).add((int(x["offset"]), int(x["length"])))
+    return {name: sorted(x) for name, x in sorted(found.items())}
+
+
 def ranges(fetch: Fetch, size: int) -> Iterator[bytes]:
-    """The records of a package in the order of the WARC file, each fetched by
-    its range from the index."""
-    members = {m.name: m for m in directory(fetch, size)}
-    index = fetch(stored_at(fetch, members[INDEX]), members[INDEX].size).decode()
-    start, own = stored_at(fetch, members[WARC]), members[WARC].size
-    places = sorted((x["offset"], x["length"]) for x in (json.loads(line.split(" ", 2)[2]) for line in index.splitlines()))
-    k = 0
-    while k < len(places):
-        first = last = k
-        while last + 1 < len(places) and places[last + 1][0] == sum(places[last]) and sum(places[last + 1]) - places[first][0] <= FETCH:
-            last += 1
-        at, upto = places[first][0], sum(places[last])
-        if upto > own:
-            raise ValueError("the index leads out of the archive")
-        data = fetch(start + at, upto - at)
-        for offset, length in places[first : last + 1]:
-            yield gzip.decompress(data[offset - at : offset - at + length])
-        k = last + 1
+    """The records of a package's archives in their order, each fetched by its
+    range from the index."""
+    members = directory(fetch, size)
+    by = {m.name: m for m in members}
+    for name, spots in places(fetch, members).items():
+        start, own = stored_at(fetch, by[name]), by[name].size
+        k = 0
+        while k < len(spots):
+            first = last = k
+            while last + 1 < len(spots) and spots[last + 1][0] == sum(spots[last]) and sum(spots[last + 1]) - spots[first][0] <= FETCH:
+                last += 1
+            at, upto = spots[first][0], sum(spots[last])
+            if upto > own:
+                raise ValueError("the index leads out of the archive")
+            data = fetch(start + at, upto - at)
+            for offset, length in spots[first : last + 1]:
+                one = data[offset - at : offset - at + length]
+                yield gzip.decompress(one) if name.endswith(".gz") else one
+            k = last + 1
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
@@ -262,8 +296,9 @@ def op4(pages: DataFrame) -> DataFrame:
 
     Null and empty html are empty payloads (always responses); a page without
     an id never is referred to but may refer; rows repeated with the smallest
-    id of their payload are all responses; an empty table writes no package;
-    other columns are ignored.
+    id of their payload are all responses; html of any length is one record,
+    held whole by the task that writes or reads it; an empty table writes no
+    package; other columns are ignored.
     """
     folder = shared_path(pages.sparkSession, "warc")
     manifest = write_archives(with_revisits(pages), folder)

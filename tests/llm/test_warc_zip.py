@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import struct
@@ -46,6 +47,30 @@ def test_zip64_directory():
     (m,) = wz.directory(fetcher(data), len(data))
     at = wz.stored_at(fetcher(data), m)
     assert data[at : at + m.size] == body
+    data = b"bytes that stand before the archive" + data
+    (m,) = wz.directory(fetcher(data), len(data))
+    at = wz.stored_at(fetcher(data), m)
+    assert data[at : at + m.size] == body
+    with pytest.raises(ValueError):
+        wz.directory(fetcher(data.replace(wz.END64, b"none")), len(data))
+
+
+def test_packages_of_other_names_and_several_archives():
+    records = [wz.record(k, f"http://a/{k}", b"x" * k, hashlib.sha256(b"x" * k).hexdigest(), None) for k in range(6)]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        lines = []
+        for name, own in (("archive/one.warc.gz", records[:4]), ("archive/two.warc", records[4:])):
+            data = b""
+            for r in own:
+                packed = gzip.compress(r) if name.endswith("gz") else r
+                lines.append(f'com,a)/ 2025 {{"offset": "{len(data)}", "length": "{len(packed)}", "filename": "{name.split("/")[1]}"}}')
+                data += packed
+            z.writestr(name, data)
+        z.writestr("indexes/index.cdxj.gz", gzip.compress("\n".join(["!meta", *lines]).encode()))
+        z.writestr("pages/pages.jsonl", "{}")
+    data = out.getvalue()
+    assert list(wz.ranges(fetcher(data), len(data))) == records
 
 
 def test_no_zip():
