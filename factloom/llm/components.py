@@ -15,17 +15,25 @@ def _signature(edges: DataFrame) -> tuple:
     return row.n, row.s
 
 
+def _kept(edges: DataFrame, *used: DataFrame) -> DataFrame:
+    """Edges, written; the tables that they were made from go."""
+    out = written(edges, "components")
+    for table in used:
+        drop_written(edges.sparkSession, table)
+    return out
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _kept(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     least = written(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return _kept(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), least)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,14 +47,16 @@ def components(edges: DataFrame) -> DataFrame:
     exchanges, and a node of very many edges is split.
     """
     spark = edges.sparkSession
-    now = written(_small_star(edges.filter("a <> b").select("a", "b")), "components")
+    now = _small_star(edges.filter("a <> b").select("a", "b"))
     before = None
     while (mark := _signature(now)) != before:
         if not mark[0]:
             break
         before = mark
-        after = written(_small_star(_large_star(now)), "components")
-        drop_written(spark, now)
+        large = _large_star(now)
+        after = _small_star(large)
+        for done in (now, large):
+            drop_written(spark, done)
         now = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

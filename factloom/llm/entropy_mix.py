@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, fresh, written
+from ._shared import WORD, drop_written, fresh, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -133,7 +133,9 @@ def newton(sizes: DataFrame, sources: DataFrame, base: float, limit: float) -> D
         middle = (F.col("low") + F.col("high")) / 2
         moved = F.when(~F.col("open") | F.col("there"), F.col("m")).when(inside, aim).otherwise(middle)
         still = F.col("open") & ~F.col("there") & (moved != F.col("m"))  # a bracket of neighbouring numbers can't be halved
+        before = state
         state, unsolved = kept(met.select(*sources.columns, moved.alias("m"), "low", "high", still.alias("open")))
+        drop_written(before.sparkSession, before)
     return state.select(*sources.columns, "m")
 
 

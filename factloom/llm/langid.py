@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings under a linear
 softmax, with calibrated probabilities and rejection.
 
-Learnt on a bounded sample: of each language about ``PER_LANGUAGE`` documents,
-picked by a hash of the id. Four fifths of them train the model, in segments
+Learnt on a bounded sample: of each language at most ``PER_LANGUAGE`` documents,
+and of all together at most ``SAMPLE_BYTES`` of text, picked by a hash of id and
+text. Four fifths of them train the model, in segments
 of 1 to 32 words so that short texts are known too; the last fifth, as whole
 texts, sets the temperature that makes the scores probabilities and the
 rejection threshold, below which at most ``REJECT`` of rightly named texts lie,
@@ -16,13 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import crc_mod, fresh, id_hash, slices, wider
 from .subword import BUCKETS, read_words, softmax, train, word_logits
 
 PER_LANGUAGE = 1200
+SAMPLE_BYTES = 48 << 20
 SEGMENTS = 4
 REJECT = 0.001
 #: A score from which no text is rejected, however sure the others are.
@@ -51,19 +53,31 @@ def _document_logits(words, per_word: np.ndarray, bias: np.ndarray) -> np.ndarra
     return np.stack([np.bincount(doc, per_word[words.ids, k], minlength=len(many)) / many for k in range(len(bias))], axis=1) + bias
 
 
-def sample(docs: DataFrame, usable: Column, label: str, per_class: int, salt: int) -> DataFrame:
-    """Rows with a usable label, about ``per_class`` of each, by a hash of the id."""
-    marked = docs.filter(usable & F.col(label).isNotNull())
-    sizes = {r[0]: r[1] for r in marked.groupBy(label).count().collect()}
+def bounded(rows: DataFrame, label: str, per_class: int, salt: int) -> pa.Table:
+    """(doc_id, text, label) of rows with a text and a label, of each label at
+    most ``per_class`` rows and together at most ``SAMPLE_BYTES`` of texts: the
+    first by a hash of id and text. Rows equal in all three count once, however
+    many there are. Labels are a model's classes and so few."""
+    marked = rows.filter(F.col("text").isNotNull() & F.col(label).isNotNull()).select("doc_id", "text", F.col(label).alias("label"), F.xxhash64("text").alias("h"))
+    sizes = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
     if not sizes:
-        return marked.limit(0)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_class / n))])
-    return marked.filter(id_hash("doc_id", salt) < F.element_at(share, F.col(label)))
+        return marked.select("doc_id", "text", F.col("label").alias(label)).limit(0).toArrow()
+    # Half as many again as are needed come near; the exact bound follows on those.
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (1.5 * per_class + 100) / n))])
+    place = id_hash(F.struct("doc_id", "h"), salt)
+    near = marked.filter(place < F.element_at(share, F.col("label")))
+    each = near.groupBy("label", "doc_id", "h").agg(F.min(place).alias("place"), F.max(F.octet_length("text")).alias("bytes"))
+    order = Window.partitionBy("label").orderBy("place", "doc_id", "h")
+    ranked = each.select("*", F.row_number().over(order).alias("nth"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
+    chosen = ranked.filter((F.col("nth") <= per_class) & (F.col("so_far") <= SAMPLE_BYTES // len(sizes))).select(*[F.col(c).alias(f"c_{c}") for c in ("label", "doc_id", "h")])
+    same = F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("h") == F.col("c_h")) & (F.col("label") == F.col("c_label"))
+    met = near.join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "label", "h").agg(F.first("text").alias("text"))
+    return met.select("doc_id", "text", F.col("label").alias(label)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), (label, "ascending")])
 
 
 def fit(docs: DataFrame, usable: Column) -> Model:
     """docs: doc_id, text, lang. Only rows for which ``usable`` holds are learnt from."""
-    rows = sample(docs.select("doc_id", "text", "lang"), usable & F.col("text").isNotNull(), "lang", PER_LANGUAGE, 6).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = bounded(docs.select("doc_id", "text", "lang").filter(usable), "lang", PER_LANGUAGE, 6)
     languages = sorted(set(rows["lang"].to_pylist()))
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
@@ -120,7 +134,8 @@ def op6(docs: DataFrame) -> DataFrame:
     lang_pred is ``und`` with score 0 for a null text, a text without a letter
     and where no labelled document can be learnt from. A null id is neither
     learnt from nor held out; null langs are not learnt from; repeated rows
-    are predicted alike; columns besides doc_id, text and lang are ignored.
+    are predicted alike; a text of any length is averaged whole; an empty table
+    gives no rows; columns besides doc_id, text and lang are ignored.
     """
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = fit(docs, F.col("doc_id").isNotNull() & ~held_out)

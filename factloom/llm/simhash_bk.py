@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, slices, wider, written
+from ._shared import drop_written, fresh, slices, wider, written
 from .components import components
 
 SEED = 42
@@ -181,7 +181,10 @@ def groups(own: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> Data
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     moved = linked.join(least, "root").select("fp", "component", "root")
     # From a table of its own: then both sides of a join on it are plain exchanges, and a fingerprint of very many rows is split.
-    return written(per_fp.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "simhash-groups")
+    found_groups = written(per_fp.join(moved, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "simhash-groups")
+    for done in (per_fp, found, member):
+        drop_written(own.sparkSession, done)
+    return found_groups
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

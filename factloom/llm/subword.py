@@ -68,7 +68,7 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
     h = np.zeros(len(data), np.uint32)
     words, buckets = [], []
-    for n in range(1, max(SIZES) + 1):
+    for n in range(1, min(max(SIZES), len(data)) + 1):
         more = np.zeros(len(data), np.uint32)
         more[: len(data) - n + 1] = data[n - 1 :]
         h = h * np.uint32(16777619) ^ more

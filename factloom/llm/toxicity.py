@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import crc_mod, fresh, slices, wider
-from .langid import sample
+from ._shared import crc_mod, fresh, id_hash, slices, wider
+from .langid import bounded
 from .subword import BUCKETS, Words, feature_table, ragged, read_words, train, word_logits
 
 PER_LABEL = 2500
 WINDOW = 3
 ROUNDS = 3
-DROP = 0.2
+DROP = 0.4
 KEEP = r"\p{L}\p{N}"
 
 
@@ -51,11 +51,15 @@ def strongest(words: Words, per_word: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Of each text the largest mean over a window, and where it begins."""
     n = words.counts
     size = np.minimum(n, WINDOW)
-    total = np.concatenate([[0.0], np.cumsum(per_word[words.ids])])
-    at = np.arange(len(words.ids))
     doc = np.repeat(np.arange(len(n)), n)
-    end = at + size[doc]
-    mean = np.where(end <= words.starts[1:][doc], (total[np.minimum(end, len(at))] - total[at]) / np.maximum(size[doc], 1), -np.inf)
+    value = per_word[words.ids]
+    total = value.copy()
+    for k in range(1, WINDOW):  # word by word, so that a text's sums hang on no other text
+        more = np.zeros(len(value))
+        more[: len(value) - k] = value[k:]
+        total += np.where(k < size[doc], more, 0.0)
+    end = np.arange(len(value)) + size[doc]
+    mean = np.where(end <= words.starts[1:][doc], total / np.maximum(size[doc], 1), -np.inf)
     best, where = np.full(len(n), -np.inf), np.zeros(len(n), np.int64)
     full = np.flatnonzero(n)
     if len(full):
@@ -99,12 +103,15 @@ def _calibrated(z: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic, those to be learnt from. Of
-    each label about ``PER_LABEL`` documents are used, picked by a hash of the
-    id; an id labelled twice counts as toxic if one label says so."""
+    each label at most ``PER_LABEL`` documents are used, and together at most
+    ``langid.SAMPLE_BYTES`` of text, picked by a hash of id and text; an id
+    labelled twice counts as toxic if one label says so."""
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    # At most twice PER_LABEL ids or so: bounded for the broadcast.
-    chosen = sample(marked, F.lit(True), "toxic", PER_LABEL, 7)
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    sizes = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
+    # Twice the ids that are needed, about: bounded for the broadcast.
+    share = F.when(F.col("toxic") == 1, 2.0 * PER_LABEL / sizes.get(1, 1)).otherwise(2.0 * PER_LABEL / sizes.get(0, 1))
+    some = marked.filter(id_hash("doc_id", 7) < share)
+    rows = bounded(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "toxic", PER_LABEL, 7)
     label = rows["toxic"].to_numpy().astype(np.int64)
     words = read_words(rows["text"].combine_chunks(), KEEP)
     del rows
@@ -119,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     score = _telling(words, label, use)
     table, bias = np.zeros((BUCKETS, 2), np.float32), np.zeros(2)
     for _ in range(ROUNDS):
-        _, where = strongest(words, score)
+        _, where = strongest(words, score + rng.normal(0, 1e-6, len(score)))  # of equal windows another in each round
         bags, of = [], []
         for d in np.flatnonzero(use):
             size = min(WINDOW, words.counts[d])
@@ -153,7 +160,9 @@ def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Texts without a word get the share of toxic labels, at most 0.49. Without
     labels of both kinds every text does. Null ids are scored, never learnt
-    from; labels other than 0 and 1 are ignored; other columns are ignored.
+    from; equal texts, repeated rows among them, score alike; a text of any
+    length is scored whole; labels other than 0 and 1 are ignored; an empty
+    table gives no rows; other columns are ignored.
     """
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = fit(docs, labels.select("doc_id", "toxic").filter(~held_out))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Rules up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
-BROADCAST_RULES = 200_000
+#: Rules of up to so many bytes are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,17 +62,18 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     length the one with the longer host, then the smaller text. Without one
     the verdict is ``default`` and rule is null. A null url, or one without
     ://, has empty host and path and fits no rule but one with an empty host
-    and path. Repeated ids keep one row each; no rules or no pages are fine;
-    other columns are ignored.
+    and path. A url of any length is judged whole, with as many expressions as
+    the deepest rule has steps; repeated ids keep one row each; no rules or no
+    pages are fine; other columns are ignored.
     """
     table = rule_table(rules)
-    most = table.agg(F.count("*").alias("n"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_path", "/")) - 1).alias("depth")).first()
+    most = table.agg(F.count("*").alias("n"), F.max(F.size(F.split("rule_host", r"\."))).alias("labels"), F.max(F.size(F.split("rule_path", "/")) - 1).alias("depth"), F.sum(F.octet_length("rule") * 2 + 160).alias("bytes")).first()
     base = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not most.n:
         return base.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     named = F.posexplode(F.array_distinct(expressions(F.col("host"), F.col("path"), most.labels, most.depth)))
     asked = base.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "host", "path", named.alias("pos", "named")).withColumn("asked", _digest(F.col("named")))
-    near = table if most.n > BROADCAST_RULES else F.broadcast(table)
+    near = table if most.bytes > BROADCAST_BYTES else F.broadcast(table)
     met = asked.withColumn("short", F.substring("asked", 1, 8)).join(near, "short", "left")
     fits = F.coalesce((F.col("asked") == F.col("full")) & F.startswith(F.col("path"), F.col("rule_path")), F.lit(False))
     # Of what fits nothing, one row a url goes on, so that none is lost.

@@ -82,6 +82,40 @@ def test_toxicity_held_out_and_misspellings(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_equal_texts_score_alike_in_any_company():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=(subword.BUCKETS, 1)).astype(np.float32), 0.3, np.array([1.0, 0.1, -0.2]), 0.2)
+    texts = ["a few words of a text", "one", "two words", words("xx", 300), ""]
+    alone = [model.scores(pa.array([t], pa.string()))[0] for t in texts]
+    among = model.scores(pa.array([words("yy", 997), *texts, words("zz", 50), *texts[::-1]], pa.string()))
+    assert among[1:6].tolist() == alone and among[7:].tolist() == alone[::-1]
+
+
+def test_samples_are_bounded_and_repeats_count_once(spark, monkeypatch):
+    given = [(1, "the same text", "xx")] * 500 + [(2, f"text {k} of one id", "xx") for k in range(400)] + [(k, f"text {k}", "yy") for k in range(300)] + [(9, None, "xx"), (9, "no label", None)]
+    rows = frame(spark, given).select("doc_id", "text", "lang")
+    got = langid.bounded(rows, "lang", 50, 6).to_pylist()
+    assert sorted(r["lang"] for r in got) == ["xx"] * 50 + ["yy"] * 50 and len({(r["doc_id"], r["text"]) for r in got}) == 100
+    assert got == langid.bounded(rows.repartition(5), "lang", 50, 6).to_pylist()
+    assert len(langid.bounded(rows, "lang", 5000, 6)) == 701
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 400)
+    assert 0 < sum(len(r["text"]) for r in langid.bounded(rows, "lang", 5000, 6).to_pylist()) <= 400
+
+
+def test_language_scores_are_calibrated(spark):
+    """Of held-out texts of few words the mean score is near the share named rightly."""
+    rng = random.Random(4)
+    mixed = lambda lang: " ".join(words(lang if rng.random() < 0.55 else rng.choice(["xx", "yy", "zz"]), 1) for _ in range(rng.randint(1, 4)))
+    given = [(i, mixed(lang), lang) for i in range(2400) for lang in [("xx", "yy", "zz")[i % 3]]]
+    lang = {i: x for i, _, x in given}
+    held = [r for r in langid.op6(frame(spark, given)).collect() if r.held_out]
+    right = np.array([r.lang_pred == lang[r.doc_id] for r in held])
+    score = np.array([r.score for r in held])
+    bins = np.minimum((score * 5).astype(int), 4)
+    error = sum(abs(right[bins == k].mean() - score[bins == k].mean()) * (bins == k).mean() for k in range(5) if (bins == k).any())
+    assert 0.5 < right.mean() < 0.98 and error < 0.08, (right.mean(), error)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.op7(frame(spark, [(1, "abc", None)]), none).collect()

@@ -31,7 +31,7 @@ def test_contract_rules(spark):
 def test_rules_that_end_inside_a_segment_and_empty_ones(spark, monkeypatch):
     rules = [("block", "q.test", "/abc/def"), ("allow", "test", ""), ("block", "q.test", "/abc/"), ("block", "net", "/x//")]
     check(spark, rules)
-    monkeypatch.setattr(url_rules, "BROADCAST_RULES", 0)
+    monkeypatch.setattr(url_rules, "BROADCAST_BYTES", 0)
     check(spark, rules)
 
 
