@@ -68,7 +68,8 @@ def numbered(sources: DataFrame) -> DataFrame:
     for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):  # at most spark.sql.shuffle.partitions rows
         offsets.append((part, before))
         before += n
-    table = spark.createDataFrame(offsets, "part int, before long")
+    parts, sums = zip(*offsets, strict=True) if offsets else ((), ())
+    table = spark.createDataFrame(pa.table({"part": pa.array(parts, pa.int32()), "before": pa.array(sums, pa.int64())}))
     return ranged.join(F.broadcast(table), "part").select(*sources.columns, (F.col("before") + F.col("inside")).alias("place"))
 
 
@@ -205,16 +206,16 @@ def taken(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, list[
     """The rows of docs that the mix takes, with all their columns and four
     more, whose names follow: size, target, copies and taken. Rows equal in id,
     source and text have copies of their own each."""
-    row, *names = fresh(docs, "row", "size", "target", "copies", "taken")
+    row, chosen_row, *names = fresh(docs, "row", "chosen_row", "size", "target", "copies", "taken")
     own = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
     rows = written(narrow(own, source_col, row), "mix-sizes")
     same = ["doc_id", "key", "size", "h"]
     nth = F.row_number().over(Window.partitionBy(*same).orderBy(row)).cast("long")
-    mixed = rounded(dealt(rows)).filter("copies > 0").select(*[F.col(c).alias(f"m_{c}") for c in (*same, "nth")], *[F.col(c).alias(n) for c, n in zip(("size", "target", "copies", "taken"), names, strict=True)])
+    mixed = rounded(dealt(rows)).filter("copies > 0").select(*[F.col(c).alias(f"m_{c}") for c in (*same, "nth")], *[F.col(c).alias(f"chosen_{k}") for k, c in enumerate(("size", "target", "copies", "taken"))])
     match = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "doc_id" else F.col(c) == F.col(f"m_{c}") for c in (*same, "nth")]
-    chosen = rows.select(*same, F.col(row).alias("chosen_row"), nth.alias("nth")).join(mixed, match).select("chosen_row", *[F.col(n).alias(f"chosen_{k}") for k, n in enumerate(names)])
-    met = own.join(written(chosen, "mix-chosen"), F.col(row) == F.col("chosen_row"))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"chosen_{k}").alias(n) for k, n in enumerate(names)]), names
+    chosen = rows.select(*same, F.col(row).alias("chosen_row"), nth.alias("nth")).join(mixed, match).select("chosen_row", *[f"chosen_{k}" for k in range(len(names))])
+    met = own.join(written(chosen.toDF(chosen_row, *names), "mix-chosen"), F.col(row) == F.col(chosen_row))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], *names), names
 
 
 def op9(docs: DataFrame) -> DataFrame:

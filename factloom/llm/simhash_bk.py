@@ -209,7 +209,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     has; rows alike in that are alike in all. Rows are told apart by a number
     of their own and not by id, so unlike texts under one id both stay.
     """
-    row, fp, whole, root = fresh(docs, "row", "fp", "whole", "root")
+    row, fp, whole, kept = fresh(docs, "row", "fp", "whole", "kept")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,12 +220,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = docs.mapInArrow(run, wider(docs, **{fp: "long"})).withColumns({row: F.monotonically_increasing_id(), whole: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
     own = written(marked, "simhash-documents")
     slim = own.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(whole).alias("whole"), F.col(row).alias("row"), F.col(fp).alias("fp"))
-    of = groups(slim, "id", radius).select(F.col("fp").alias("of"), F.col("root").alias(root))
+    of = groups(slim, "id", radius).select(F.col("fp").alias("of"), "root")
     least = F.min(F.struct(F.col("id").isNull(), "id", "h", "whole", "row")).alias("least")
     # First within a fingerprint, where most copies meet, and only then by group.
     first = slim.groupBy("fp").agg(least)
-    stays = first.join(of, F.col("fp") == F.col("of")).groupBy(root).agg(F.min("least").alias("least")).select(F.col("least.row").alias("stays"))
-    return own.join(written(stays, "simhash-stays"), F.col(row) == F.col("stays"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = first.join(of, F.col("fp") == F.col("of")).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(kept))
+    return own.join(written(stays, "simhash-stays"), F.col(row) == F.col(kept), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:

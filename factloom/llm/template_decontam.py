@@ -382,10 +382,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose own text an item contaminates, with or
     without an id; unlike texts under one id are told apart by their hash."""
-    gone = written(matches(docs, benchmark).select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct(), "template-contaminated")
-    (row,) = fresh(docs, "row")
+    row, gone_id, gone_row = fresh(docs, "row", "gone_id", "gone_row")
+    gone = written(matches(docs, benchmark).select(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row)).distinct(), "template-contaminated")
     hashed = docs.withColumn(row, F.xxhash64("text"))
-    kept = hashed.join(gone, (F.col(row) == F.col("gone_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    kept = hashed.join(gone, (F.col(row) == F.col(gone_row)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -102,6 +102,8 @@ def test_rows_that_the_mix_takes(spark):
     frame = docs(spark, rows)
     got, names = em.taken(frame)
     assert got.columns == [*frame.columns, *names] and names == ["size_", "target_", "copies", "taken"]
+    plain, names = em.taken(frame.select("doc_id", "text", "source"))
+    assert plain.columns == ["doc_id", "text", "source", "size", "target", "copies", "taken"] and plain.count() == got.count()
     out = sorted((str(r.doc_id), r.text, r.copies) for r in got.collect())
     mixed = em.rounded(em.dealt(em.narrow(frame))).filter("copies > 0").collect()
     text = lambda t: len(t.split())
