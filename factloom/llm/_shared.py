@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -43,6 +44,22 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def anchored(docs: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """docs with two columns more, whose names follow: a hash of the file and
+    the place in it from which each row comes. They name a row in any later
+    read of it, so that what is decided about a row needs no copy of the row. A
+    table that isn't read from Parquet files as it is, is written to some first."""
+    file, place = fresh(docs, "from_file", "from_place")
+    for frame in (docs, None):
+        frame = frame or written(docs, name)
+        try:
+            meta = frame.metadataColumn("_metadata")
+            return frame.withColumns({file: F.xxhash64(meta["file_path"]), place: meta["row_index"]}), file, place
+        except AnalysisException:
+            continue
+    raise ValueError("the shared folder gives no places of rows")
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing reads any more."""
     for file in df.inputFiles()[:1]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, drop_written, fresh, written
+from ._shared import WORD, anchored, drop_written, fresh, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -148,7 +148,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...], share: float, limit: float
     return newton(sizes.filter("size > 0"), scaled, share, limit)
 
 
-def narrow(docs: DataFrame, source_col: str = "source", *more: str) -> DataFrame:
+def narrow(docs: DataFrame, source_col: str = "source", *more: Column) -> DataFrame:
     """(doc_id, key, size, h, more): h is a hash of the text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(F.col(source_col)).alias("key"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), *more)
 
@@ -206,16 +206,19 @@ def taken(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, list[
     """The rows of docs that the mix takes, with all their columns and four
     more, whose names follow: size, target, copies and taken. Rows equal in id,
     source and text have copies of their own each."""
-    row, chosen_row, *names = fresh(docs, "row", "chosen_row", "size", "target", "copies", "taken")
-    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
-    rows = written(narrow(own, source_col, row), "mix-sizes")
+    names = fresh(docs, "size", "target", "copies", "taken")
+    own, file, place = anchored(docs, "mix-documents")
+    rows = written(narrow(own, source_col, F.col(file).alias("file"), F.col(place).alias("place")), "mix-sizes")
     same = ["doc_id", "key", "size", "h"]
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(row)).cast("long")
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("file", "place")).cast("long")
     mixed = rounded(dealt(rows)).filter("copies > 0").select(*[F.col(c).alias(f"m_{c}") for c in (*same, "nth")], *[F.col(c).alias(f"chosen_{k}") for k, c in enumerate(("size", "target", "copies", "taken"))])
     match = [F.col(c).eqNullSafe(F.col(f"m_{c}")) if c == "doc_id" else F.col(c) == F.col(f"m_{c}") for c in (*same, "nth")]
-    chosen = rows.select(*same, F.col(row).alias("chosen_row"), nth.alias("nth")).join(mixed, match).select("chosen_row", *[f"chosen_{k}" for k in range(len(names))])
-    met = own.join(written(chosen.toDF(chosen_row, *names), "mix-chosen"), F.col(row) == F.col(chosen_row))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns], *names), names
+    chosen_file, chosen_place, *chosen_names = fresh(own, "chosen_file", "chosen_place", *names)
+    chosen = rows.select(*same, "file", "place", nth.alias("nth")).join(mixed, match).select("file", "place", *[f"chosen_{k}" for k in range(len(names))])
+    chosen = written(chosen.toDF(chosen_file, chosen_place, *chosen_names), "mix-chosen")
+    # The list grows with the corpus, so it is never a broadcast.
+    met = own.join(chosen.hint("merge"), (F.col(file) == F.col(chosen_file)) & (F.col(place) == F.col(chosen_place)))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(chosen_names, names, strict=True)]), names
 
 
 def op9(docs: DataFrame) -> DataFrame:

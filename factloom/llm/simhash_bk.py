@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_written, fresh, slices, wider, written
+from ._shared import anchored, drop_written, fresh, slices, written
 from .components import components
 
 SEED = 42
@@ -206,26 +206,28 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     It is the row with the smallest id (null counts as the largest), of those
     the one whose text has the smallest hash, of those the one whose whole row
-    has; rows alike in that are alike in all. Rows are told apart by a number
-    of their own and not by id, so unlike texts under one id both stay.
+    has; rows alike in that are alike in all. Rows are told apart by where they
+    stand and not by id, so unlike texts under one id both stay.
     """
-    row, fp, whole, kept = fresh(docs, "row", "fp", "whole", "kept")
+    own, file, place = anchored(docs, "simhash-documents")
+    asked = own.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(file).alias("file"), F.col(place).alias("place"), F.col(text_col).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, text_col):
-                found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(text_col).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], [*b.schema.names, fp])
+            for b in slices(batch):
+                found = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column("text").cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], [*b.schema.names[:-1], "fp"])
 
-    marked = docs.mapInArrow(run, wider(docs, **{fp: "long"})).withColumns({row: F.monotonically_increasing_id(), whole: F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
-    own = written(marked, "simhash-documents")
-    slim = own.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(whole).alias("whole"), F.col(row).alias("row"), F.col(fp).alias("fp"))
+    slim = written(asked.mapInArrow(run, "id long, h long, whole long, file long, place long, fp long"), "simhash")
     of = groups(slim, "id", radius).select(F.col("fp").alias("of"), "root")
-    least = F.min(F.struct(F.col("id").isNull(), "id", "h", "whole", "row")).alias("least")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "h", "whole", "file", "place")).alias("least")
     # First within a fingerprint, where most copies meet, and only then by group.
     first = slim.groupBy("fp").agg(least)
-    stays = first.join(of, F.col("fp") == F.col("of")).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(kept))
-    return own.join(written(stays, "simhash-stays"), F.col(row) == F.col(kept), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept_file, kept_place = fresh(own, "kept_file", "kept_place")
+    stays = first.join(of, F.col("fp") == F.col("of")).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.file").alias(kept_file), F.col("least.place").alias(kept_place))
+    # The list grows with the corpus, so it is never a broadcast.
+    kept = own.join(written(stays, "simhash-stays").hint("merge"), (F.col(file) == F.col(kept_file)) & (F.col(place) == F.col(kept_place)), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:
