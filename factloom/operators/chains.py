@@ -16,17 +16,17 @@ DEPTH_CAP = 64
 
 def _walk(memory: DataFrame, anchor: object, forward: bool, cap: int) -> DataFrame:
     """(id, depth) by a recursive query: one hop per round, in the engine."""
-    spark = memory.sparkSession
-    name = f"_chain_{abs(hash((id(memory), forward)))}"
-    memory.select("id", "superseded_by").createOrReplaceTempView(name)
-    literal = f"'{anchor}'" if isinstance(anchor, str) else str(anchor)
     hop = "m.id = c.superseded_by" if forward else "m.superseded_by = c.id"
-    return spark.sql(f"""
+    return memory.sparkSession.sql(
+        f"""
         WITH RECURSIVE chain(id, superseded_by, depth) AS (
-          SELECT id, superseded_by, 0 FROM {name} WHERE id = {literal}
+          SELECT id, superseded_by, 0 FROM {{links}} WHERE id = :anchor
           UNION ALL
-          SELECT m.id, m.superseded_by, c.depth + 1 FROM {name} m JOIN chain c ON {hop} WHERE c.depth < {cap}
-        ) SELECT id, depth FROM chain""")
+          SELECT m.id, m.superseded_by, c.depth + 1 FROM {{links}} m JOIN chain c ON {hop} WHERE c.depth < {cap}
+        ) SELECT id, depth FROM chain""",
+        args={"anchor": anchor},
+        links=memory.select("id", "superseded_by"),
+    )
 
 
 def chain_ids(memory: DataFrame, anchor: object, cap: int = DEPTH_CAP) -> DataFrame:

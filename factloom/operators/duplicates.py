@@ -15,7 +15,7 @@ from ..functions.vector import similar_pairs as pairs_at
 from .listing import in_cleanup, live_embedded_counts, unread
 
 # Similarity bands and the bound of a pair scan.
-NEAR_CERTAIN, MODEL_FLOOR, CONFLICT_FLOOR, SCAN_MAX, STALE_DAYS = 0.97, 0.65, 0.90, 2000, 90
+NEAR_CERTAIN, MODEL_FLOOR, CONFLICT_FLOOR, SCAN_MAX, STALE_DAYS, STALE_MOST = 0.97, 0.65, 0.90, 2000, 90, 1_000_000
 
 
 def exact_duplicates(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None, limit: int | None = None) -> DataFrame:
@@ -41,10 +41,11 @@ def similar_pairs(memory: DataFrame, grants: Iterable[Grant], now: datetime, flo
     return left.select(*found.columns).union(right.select(*found.columns)).distinct()
 
 
-def conflicts(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, dismissed: DataFrame | None = None, *, limit: int | None = None, offset: int = 0) -> DataFrame:
+def conflicts(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, dismissed: DataFrame | None = None, *, limit: int | None = None, offset: int = 0, scan_most: int | None = SCAN_MAX) -> DataFrame:
     """Pairs of live facts that say nearly the same, older first, without those
-    that somebody dismissed."""
+    that somebody dismissed. A namespace too large for a pair scan is refused."""
     grants = list(grants)
+    refuse_large(memory, grants, now, scan_most)
     rows = memory.filter(live(now) & readable(grants))
     found = pairs_at(rows, floor)
     if dismissed is not None:
@@ -64,6 +65,12 @@ def largest_scan(memory: DataFrame, grants: Iterable[Grant], now: datetime, most
     return top[0].namespace if top and top[0].n > most else None
 
 
+def refuse_large(memory: DataFrame, grants: Iterable[Grant], now: datetime, most: int | None = SCAN_MAX) -> None:
+    """Pair scans are quadratic in a namespace; None takes the guard away."""
+    if most is not None and (name := largest_scan(memory, grants, now, most)):
+        raise ValueError(f"more than {most} live facts with vectors in {name}: narrow the scan")
+
+
 def live_members(members: DataFrame, memory: DataFrame) -> DataFrame:
     """Members of proposals with what became of them: missing, retired, changed or none."""
     state = memory.select(F.col("id").alias("memory_id"), F.lit(True).alias("here"), F.col("superseded_by").isNotNull().alias("gone"), F.col("content").alias("now_content"))
@@ -97,11 +104,14 @@ def survivors(groups: DataFrame) -> DataFrame:
     return groups.groupBy("norm").agg(F.when(F.count("occurred_at") > 0, dated).otherwise(undated).alias("keep_id"), F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None, daily: bool = True, near: float = NEAR_CERTAIN, floor: float = MODEL_FLOOR) -> dict[str, DataFrame]:
+def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None, daily: bool = True, near: float = NEAR_CERTAIN, floor: float = MODEL_FLOOR, stale_most: int = STALE_MOST, scan_most: int | None = SCAN_MAX) -> dict[str, DataFrame]:
     """One pass: exact groups; near-certain pairs neither side of which an
     exact group took; pairs for the model to judge, open on both sides; stale
-    facts on the daily pass; and the new watermark."""
+    facts on the daily pass, and whether there are more than are given; and the
+    new watermark. A namespace too large for a pair scan is refused."""
     grants = list(grants)
+    refuse_large(memory, grants, now, scan_most)
+    old = unread(memory, grants, STALE_DAYS, stale_most + 1, now, level, scope) if daily else memory.limit(0)
     exact = exact_duplicates(memory, grants, now, since=since, level=level, scope=scope)
     claimed = exact.select("id").distinct()
     pairs = similar_pairs(memory, grants, now, floor, since=since, level=level, scope=scope)
@@ -115,7 +125,8 @@ def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, s
         "exact": exact,
         "near_certain": free.filter(F.col("similarity") >= near),
         "model_band": model,
-        "stale": unread(memory, grants, STALE_DAYS, 1_000_000, now, level, scope) if daily else memory.limit(0),
+        "stale": old.limit(stale_most),
+        "stale_truncated": old.agg((F.count("*") > stale_most).alias("truncated")),
         "watermark": newest.select(through.alias("through")),
     }
 

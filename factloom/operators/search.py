@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import match_documents
 from ..functions.predicates import Ceiling, has_tags, held_at, linked, live, use_boost, within
-from ..functions.vector import similarity_to
+from ..functions.vector import CellIndex, cell_index, nearest_in_cells, similarity_to
 
 
 @dataclass(frozen=True)
@@ -109,15 +109,15 @@ def nearest_ids(memory: DataFrame, probe: Sequence[float], k: int) -> DataFrame:
     return vector_arm(memory.filter(linked()), probe, k).select("id", "similarity", F.col("rank_vec").alias("rank"))
 
 
-def nearest_ids_approximate(memory: DataFrame, probe: Sequence[float], k: int, planes: int = 8, tables: int = 16) -> DataFrame:
-    """The k nearest among rows that share a random-plane bucket with the probe."""
-    from ..functions.vector import signatures
+def approximate_index(memory: DataFrame, k: int = 10) -> CellIndex:
+    """An index of all linked rows, for ``nearest_ids_approximate``."""
+    return cell_index(memory.filter(linked()), k)
 
-    probes = memory.sparkSession.createDataFrame([(list(map(float, probe)),)], "embedding array<float>")
-    own = signatures(probes, planes, tables, len(probe)).first()["buckets"]
-    signed = signatures(memory.filter(linked() & F.col("embedding").isNotNull()), planes, tables, len(probe))
-    near = signed.filter(F.arrays_overlap("buckets", F.array(*map(F.lit, own))))
-    return vector_arm(near, probe, k).select("id", "similarity", F.col("rank_vec").alias("rank"))
+
+def nearest_ids_approximate(index: CellIndex, probes: DataFrame, k: int) -> DataFrame:
+    """(probe_id, vector) -> (probe_id, id, similarity, rank): the k nearest of
+    each probe among the rows of the cells that it is compared with."""
+    return nearest_in_cells(index, probes, k)
 
 
 def forget_candidates(memory: DataFrame, probe: Sequence[float], query: str | None, ceilings: Iterable[Ceiling], *, now: datetime, floor: float, limit: int = 25) -> DataFrame:

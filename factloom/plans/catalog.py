@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import credentials, evaluation, guards, predicates, text, vector
+from ..functions import credentials, evaluation, guards, lexical, predicates, text, vector
 from ..operators import alias, chains, duplicates, graph, listing, policy, registry, search, telemetry
 from . import fixtures as fx
 from .fixtures import NARROW, NOW, NOW_SQL, OWNER, with_fixtures
@@ -239,11 +240,11 @@ def f21_null_safe_difference(spark, sf):
 # ---- Joins ----
 
 
-@query(f"SELECT m.id, s.id AS successor_id, s.namespace AS successor_namespace FROM fx_memory m LEFT JOIN fx_memory s ON s.id = m.superseded_by WHERE m.id % 10 = 3")
+@query(f"SELECT m.id, s.id AS successor_id, s.namespace AS successor_namespace FROM fx_memory m LEFT JOIN fx_memory s ON s.id = m.superseded_by")
 def j03_successor(spark, sf):
     m = mem(spark, sf)
     s = m.select(F.col("id").alias("successor_id"), F.col("namespace").alias("successor_namespace"))
-    rows = m.filter("id % 10 = 3")
+    rows = m.select("id", "superseded_by")
     return rows.join(s, rows.superseded_by == s.successor_id, "left").select("id", "successor_id", "successor_namespace")
 
 
@@ -313,7 +314,7 @@ def j17_members_now(spark, sf):
 
 @query(
     f"""SELECT e.memory_id, {t('e.first_emitted_at')}, o.id AS probe_id
-FROM fx_emission e JOIN (SELECT id, sha256(regexp_replace(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), '[.!?,;:]+$', '')) AS hash, created_at + INTERVAL 30 DAY AS observed_at FROM fx_memory WHERE id % 7 = 0) o ON e.content_sha256 = o.hash
+FROM fx_emission e JOIN (SELECT id, sha256(regexp_replace(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), '[.!?,;:]+$', '')) AS hash, created_at + INTERVAL 30 DAY AS observed_at FROM fx_memory) o ON e.content_sha256 = o.hash
 JOIN fx_memory m ON m.id = e.memory_id
 WHERE e.first_emitted_at <= o.observed_at + INTERVAL 300 SECOND AND e.first_emitted_at >= o.observed_at - INTERVAL 90 DAY AND {narrow()}"""
 )
@@ -321,7 +322,7 @@ def j14_emission_interval_join(spark, sf):
     from ..operators.ingest import emissions_matching
 
     m = mem(spark, sf)
-    probes = m.filter("id % 7 = 0").select(F.col("id").alias("probe_id"), text.content_digest("content").alias("content_sha256"), (F.col("created_at") + F.make_dt_interval(days=F.lit(30))).alias("observed_at"))
+    probes = m.select(F.col("id").alias("probe_id"), text.content_digest("content").alias("content_sha256"), (F.col("created_at") + F.make_dt_interval(days=F.lit(30))).alias("observed_at"))
     found = emissions_matching(fx.fx_emission(spark, sf), probes, m, NARROW)
     return found.select("memory_id", ts("first_emitted_at"), "probe_id")
 
@@ -502,7 +503,7 @@ def a21_strongest_speaker(spark, sf):
 def relevance(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """(query_id, ids, gold): the nearest other vectors of every tenth vector,
     and the vectors with its label."""
-    v = fx.table(spark, sf, "embeddings").filter("vec_id < 500").select(F.col("vec_id").alias("id"), "embedding", "label")
+    v = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     asked = v.filter("id % 10 = 0")
     near = vector.nearest(v, asked.select(F.col("id").alias("probe_id"), F.col("embedding").alias("vector")), k + 1).filter("probe_id <> id")
     ranked = near.groupBy(F.col("probe_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x.id).alias("ids"))
@@ -510,7 +511,7 @@ def relevance(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     return ranked.join(gold, "query_id")
 
 
-RANKED = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id < 500),
+RANKED = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 r AS (SELECT q.vec_id AS query_id, q.label, d.vec_id AS id, d.label = q.label AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, d.e) DESC, d.vec_id) AS k FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 10 = 0),
 g AS (SELECT label, count(*) - 1 AS gold FROM v GROUP BY label),
 s AS (SELECT query_id, label, max(CASE WHEN rel AND k <= 5 THEN 1.0 ELSE 0.0 END) AS recall_any_at_5, max(CASE WHEN rel AND k <= 10 THEN 1.0 ELSE 0.0 END) AS recall_any_at_10, max(CASE WHEN rel AND k <= 20 THEN 1.0 ELSE 0.0 END) AS recall_any_at_20,
@@ -530,25 +531,29 @@ def a22_evaluation_means(spark, sf):
 
 
 @query(
-    f"""WITH {RANKED}, h AS (SELECT query_id, min(CASE WHEN id = (query_id + 7) % 500 THEN k END) AS place FROM r WHERE k <= 20 GROUP BY query_id)
+    f"""WITH {RANKED}, h AS (SELECT query_id, min(CASE WHEN id = (query_id + 7) % (SELECT count(*) FROM embeddings) THEN k END) AS place FROM r WHERE k <= 20 GROUP BY query_id)
 SELECT count(*) AS cases, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_1, round(avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(coalesce(1.0 / place, 0)), 4) AS mrr FROM h"""
 )
 def a23_golden_cases(spark, sf):
     r = relevance(spark, sf)
-    cases = r.select("query_id", ((F.col("query_id") + 7) % 500).alias("expect_id"))
+    cases = r.select("query_id", ((F.col("query_id") + 7) % fx.table(spark, sf, "embeddings").count()).alias("expect_id"))
     return evaluation.golden(cases, r.select("query_id", F.posexplode("ids").alias("pos", "id"))).select("cases", *[F.round(c, 4).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr")])
 
 
-@query()
-def a24_ann_recall(spark, sf):
+def ann_overlap(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    """Of every vector whose number 20 divides, the exact and the approximate
+    nearest of all vectors, at the index's own parameters."""
     m = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(None).cast("long").alias("superseded_by"))
-    rows = []
-    for k in (0, 50, 100, 150):
-        p = probe(spark, sf, k)
-        exact = [r.id for r in search.nearest_ids(m, p, 10).collect()]
-        near = [r.id for r in search.nearest_ids_approximate(m, p, 10, planes=4).collect()]
-        rows.append((k, exact, near))
-    return evaluation.overlap(spark.createDataFrame(rows, "query_id long, exact array<long>, approximate array<long>"))
+    probes = m.filter("id % 20 = 0").select(F.col("id").alias("probe_id"), F.col("embedding").alias("vector"))
+    lists = lambda found, name: found.groupBy(F.col("probe_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x.id).alias(name))
+    exact = lists(vector.nearest(m, probes, k), "exact")
+    near = lists(search.nearest_ids_approximate(search.approximate_index(m, k), probes, k), "approximate")
+    return evaluation.overlap(exact.join(near, "query_id", "left").select("query_id", "exact", F.coalesce("approximate", F.array().cast("array<long>")).alias("approximate")))
+
+
+@query("SELECT count(*) AS queries, true AS recall_of_nine_tenths, true AS first_found_by_nine_tenths FROM embeddings WHERE vec_id % 20 = 0")
+def a24_ann_recall(spark, sf):
+    return ann_overlap(spark, sf).agg(F.count("*").alias("queries"), (F.avg("recall") >= 0.9).alias("recall_of_nine_tenths"), (F.avg((~F.col("top_missed")).cast("int")) >= 0.9).alias("first_found_by_nine_tenths"))
 
 
 @query("SELECT count(*) AS cases, round(avg(CASE WHEN id % 4 <> 0 THEN 1.0 ELSE 0.0 END), 4) AS accuracy, count(*) FILTER (WHERE id % 6 = 0) AS returned_both FROM fx_memory WHERE superseded_by IS NOT NULL")
@@ -603,9 +608,9 @@ def o01_vector_top_k(spark, sf):
     return search.nearest_ids(mem(spark, sf, True), probe(spark, sf), 30).select("id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
-@query(f"SELECT id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM fx_memory WHERE id % 2 = 0 ORDER BY fx_memory.occurred_at ASC NULLS LAST, id LIMIT 180")
+@query(f"SELECT id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM fx_memory ORDER BY fx_memory.occurred_at ASC NULLS LAST, id")
 def o07_nulls_last(spark, sf):
-    return mem(spark, sf).filter("id % 2 = 0").orderBy(F.col("occurred_at").asc_nulls_last(), "id").limit(180).select("id", ts("occurred_at"))
+    return mem(spark, sf).orderBy(F.col("occurred_at").asc_nulls_last(), "id").select("id", ts("occurred_at"))
 
 
 @query("SELECT name, hop FROM (SELECT 'asia' AS name, 0 AS hop UNION SELECT alias, 1 FROM fx_alias WHERE canonical = 'asia')")
@@ -681,8 +686,27 @@ def g07_route(spark, sf):
 # ---- Retrieval ----
 
 
+#: A query of the lexical arm: two groups of alternatives, a phrase among them, and a word that must not occur.
+WORDS = 'und or der or la "de la" or die or los or pour -moron'
+WORDS_SQL = "(list_contains(stems, 'und') OR list_contains(stems, 'der') OR list_contains(stems, 'la')) AND (contains(line, ' de la ') OR list_contains(stems, 'die') OR list_contains(stems, 'lo') OR list_contains(stems, 'pour')) AND NOT list_contains(stems, 'moron')"
+WORDS_STEMS = ["de", "der", "die", "la", "lo", "pour", "und"]
+
+
+def lexical_sql(source: str, matching: str = WORDS_SQL, stems: list[str] = WORDS_STEMS) -> str:
+    """Common table expressions up to matched (id, lexical): BM25 over stems."""
+    stop = ", ".join(f"'{w}'" for w in lexical.STOP)
+    stem = "w"
+    for pattern, to in (("sses$", "ss"), ("ies$", "y"), ("([^s])s$", "\\1"), ("([aeiouy].*)(?:ing|edly|ed|ly)$", "\\1"), *((f"{c}{c}$", c) for c in "bdfgmnprt")):
+        stem = f"regexp_replace({stem}, '{pattern}', '{to}')"
+    tf = lambda w: f"len(list_filter(stems, lambda s: s = '{w}'))"
+    score = " + ".join(f"ln(1 + (n - w{k} + 0.5) / (w{k} + 0.5)) * {tf(w)} * 2.2 / ({tf(w)} + 1.2 * (0.25 + 0.75 * len(stems) / greatest(mean, 1.0)))" for k, w in enumerate(stems))
+    return f"""stemmed AS (SELECT id, list_transform(list_filter(regexp_split_to_array(lower(content), '[^\\pL\\pN]+'), lambda w: w <> '' AND w NOT IN ({stop})), lambda w: {stem}) AS stems FROM {source}),
+counted AS (SELECT count(*) AS n, coalesce(avg(len(stems)), 0) AS mean, {', '.join(f"count(*) FILTER (list_contains(stems, '{w}')) AS w{k}" for k, w in enumerate(stems))} FROM stemmed),
+matched AS (SELECT id, ({score}) / (1 + ({score})) AS lexical FROM (SELECT *, ' ' || array_to_string(stems, ' ') || ' ' AS line FROM stemmed), counted WHERE {matching})"""
+
+
 def _fused(fusion: str, holds: str, tags: str = "true", secondary: bool = False, usage: float = 0.05, limit: int = 8) -> str:
-    """The search with the words of one literal as its lexical arm."""
+    """Both arms and their fusion, the lexical one for the words of ``WORDS``."""
     reach = f"m.sensitivity = 'open' AND m.namespace IN ('project:alpha', 'user:me'{', ' + repr('global') if secondary else ''}) AND {holds} AND {tags}"
     use = "least(ln(1 + m.access_count) / ln(11), 1)"
     near = "CASE WHEN m.namespace IN ('project:alpha', 'user:me') THEN 1.0 ELSE 0.85 END"
@@ -690,20 +714,14 @@ def _fused(fusion: str, holds: str, tags: str = "true", secondary: bool = False,
     n = max(4 * limit, 20)
     return f"""WITH reach AS (SELECT * FROM fx_memory m WHERE {reach}),
 vec AS (SELECT id, list_cosine_similarity(embedding, {PROBE_SQL}) AS similarity, row_number() OVER (ORDER BY list_cosine_similarity(embedding, {PROBE_SQL}) DESC, id) AS rv FROM reach QUALIFY rv <= {n}),
-lex AS (SELECT id, 1.0 / (1 + length(content)) AS lexical, row_number() OVER (ORDER BY 1.0 / (1 + length(content)) DESC, id) AS rl FROM reach WHERE content LIKE '%the%' QUALIFY rl <= {n}),
+{lexical_sql("reach WHERE content IS NOT NULL")},
+lex AS (SELECT id, lexical, row_number() OVER (ORDER BY lexical DESC, id) AS rl FROM matched QUALIFY rl <= {n}),
 g AS (SELECT coalesce(v.id, l.id) AS id, coalesce(similarity, 0) AS similarity, least(coalesce(lexical, 0), 1) AS lexical, rv, rl FROM vec v FULL JOIN lex l ON l.id = v.id)
 SELECT id, similarity, score FROM (SELECT m.id, round(g.similarity, 4) AS similarity, round({score}, 4) AS score, row_number() OVER (ORDER BY {score} DESC, m.created_at DESC, m.id) AS n FROM g JOIN fx_memory m USING (id)) WHERE n <= {limit}"""
 
 
-def _search(spark: SparkSession, sf: str, secondary: bool = False, fusion: str = "linear", **options: object) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    m = mem(spark, sf, True)
-    primary, more = [("project:alpha", "open"), ("user:me", "open")], [("global", "open")] if secondary else []
-    reach = m.filter(predicates.within([*primary, *more]) & search.holds(NOW, options.get("as_of"), options.get("history", False)) & predicates.has_tags(list(options.get("tags", ()))))
-    lex = reach.filter(F.contains("content", F.lit("the"))).select("id", (1.0 / (1 + F.length("content"))).alias("lexical")).orderBy(F.col("lexical").desc(), "id").limit(32)
-    lex = lex.withColumn("rank_lex", F.row_number().over(W.orderBy(F.col("lexical").desc(), "id")))
-    hits = search.search(m, probe(spark, sf), None, primary, more, now=NOW, fusion=fusion, lexical=lex, **options)
+def _search(spark: SparkSession, sf: str, secondary: bool = False, **options: object) -> DataFrame:
+    hits = search.search(mem(spark, sf, True), probe(spark, sf), WORDS, [("project:alpha", "open"), ("user:me", "open")], [("global", "open")] if secondary else [], now=NOW, **options)
     return hits.select("id", F.round("similarity", 4).alias("similarity"), F.round("score", 4).alias("score"))
 
 
@@ -735,6 +753,46 @@ def r05_secondary_namespaces(spark, sf):
     return _search(spark, sf, secondary=True)
 
 
+@query(_fused("rrf", HELD))
+def f13_rrf_as_of(spark, sf):
+    return _search(spark, sf, fusion="rrf", as_of=INSTANT)
+
+
+@query(_fused("linear", "true"))
+def f13_linear_history(spark, sf):
+    return _search(spark, sf, history=True)
+
+
+@query(_fused("rrf", "true", secondary=True))
+def f13_rrf_history(spark, sf):
+    return _search(spark, sf, secondary=True, fusion="rrf", history=True)
+
+
+@query(_fused("rrf", live(), tags="list_contains(m.tags, 'preference')"))
+def f13_rrf_tagged(spark, sf):
+    return _search(spark, sf, fusion="rrf", tags=["preference"])
+
+
+@query(_fused("linear", HELD, tags="list_contains(m.tags, 'preference')"))
+def f13_linear_as_of_tagged(spark, sf):
+    return _search(spark, sf, as_of=INSTANT, tags=["preference"])
+
+
+@query(_fused("rrf", HELD, tags="list_contains(m.tags, 'preference')"))
+def f13_rrf_as_of_tagged(spark, sf):
+    return _search(spark, sf, fusion="rrf", as_of=INSTANT, tags=["preference"])
+
+
+@query(_fused("linear", "true", tags="list_contains(m.tags, 'preference')"))
+def f13_linear_history_tagged(spark, sf):
+    return _search(spark, sf, history=True, tags=["preference"])
+
+
+@query(_fused("rrf", "true", tags="list_contains(m.tags, 'preference')"))
+def f13_rrf_history_tagged(spark, sf):
+    return _search(spark, sf, fusion="rrf", history=True, tags=["preference"])
+
+
 @query(f"SELECT id, round(list_cosine_similarity(embedding, {PROBE_SQL}), 4) AS similarity FROM fx_memory m WHERE namespace = 'project:alpha' AND {live()} AND list_cosine_similarity(embedding, {PROBE_SQL}) >= 0.1 ORDER BY list_cosine_similarity(embedding, {PROBE_SQL}) DESC, id LIMIT 10")
 def r06_neighbours(spark, sf):
     return search.neighbours(mem(spark, sf, True), probe(spark, sf), "project:alpha", now=NOW, floor=0.1, limit=10).select("id", F.round("similarity", 4).alias("similarity"))
@@ -750,11 +808,14 @@ def r08_forget_candidates(spark, sf):
     return search.forget_candidates(mem(spark, sf, True), probe(spark, sf), None, CEILINGS, now=NOW, floor=0.2).select("id", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
+@query(f"WITH {lexical_sql("fx_memory m WHERE sensitivity = 'open' AND content IS NOT NULL")} SELECT id, round(lexical, 4) AS lexical FROM matched")
 def r09_lexical_arm(spark, sf):
-    from ..functions.lexical import match_documents
+    return lexical.match_documents(mem(spark, sf).filter("sensitivity = 'open' and content is not null"), WORDS).select("id", F.round("lexical", 4).alias("lexical"))
+
 
-    return match_documents(mem(spark, sf).filter("sensitivity = 'open'"), 'idiot or "moron" -stupid').select("id", F.round("lexical", 4).alias("lexical"))
+@query(f"WITH {lexical_sql("fx_memory m WHERE sensitivity = 'open' AND content IS NOT NULL")} SELECT id, round(lexical, 4) AS lexical, k AS rank FROM (SELECT *, row_number() OVER (ORDER BY lexical DESC, id) AS k FROM matched) WHERE k <= 30")
+def o02_lexical_top_k(spark, sf):
+    return search.lexical_arm(mem(spark, sf), WORDS, 30).select("id", F.round("lexical", 4).alias("lexical"), F.col("rank_lex").alias("rank"))
 
 
 @query()
@@ -1049,15 +1110,21 @@ def m18_close_answered(spark, sf):
 
 
 @query(
-    f"""WITH s AS (SELECT id, {NORM} AS norm, namespace, embedding FROM fx_memory m WHERE {live()}), x AS (SELECT id FROM s WHERE norm IN (SELECT norm FROM s GROUP BY norm HAVING count(*) > 1))
+    f"""WITH s AS (SELECT id, {NORM} AS norm, namespace, sensitivity, embedding FROM fx_memory m WHERE {live()}), x AS (SELECT id FROM s WHERE norm IN (SELECT norm FROM s GROUP BY norm HAVING count(*) > 1))
 SELECT 'exact' AS finding, count(*) AS n FROM x UNION ALL
 SELECT 'near_certain', count(*) FROM s a JOIN s b ON a.namespace = b.namespace AND a.id < b.id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.97 AND a.id NOT IN (SELECT id FROM x) AND b.id NOT IN (SELECT id FROM x) UNION ALL
+SELECT 'model_band', count(*) FROM s a JOIN s b ON a.namespace = b.namespace AND a.id < b.id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.4 AND list_cosine_similarity(a.embedding, b.embedding) < 0.97 AND a.sensitivity = 'open' AND b.sensitivity = 'open' AND a.id NOT IN (SELECT id FROM x) AND b.id NOT IN (SELECT id FROM x) UNION ALL
+SELECT 'stale_truncated', 0 UNION ALL
+SELECT 'watermark', CAST(epoch(max(created_at)) AS BIGINT) FROM fx_memory m WHERE {live()} UNION ALL
 SELECT 'stale', count(*) FROM fx_memory m WHERE {live()} AND access_count = 0 AND last_confirmed_at IS NULL AND created_at < {NOW_SQL} - INTERVAL 90 DAY"""
 )
 def m16_cleanup_pass(spark, sf):
-    found = duplicates.cleanup_pass(mem(spark, sf, True), OWNER, NOW, near=0.97, floor=0.97)
-    parts = [found[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("finding"), "n") for k in ("exact", "near_certain", "stale")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    # The supplied vectors are random: at 0.65 the model's band would be empty.
+    found = duplicates.cleanup_pass(mem(spark, sf, True), OWNER, NOW, near=0.97, floor=0.4)
+    parts = [found[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("finding"), "n") for k in ("exact", "near_certain", "model_band", "stale")]
+    parts.append(found["stale_truncated"].select(F.lit("stale_truncated").alias("finding"), F.col("truncated").cast("long").alias("n")))
+    parts.append(found["watermark"].select(F.lit("watermark").alias("finding"), F.unix_timestamp("through").alias("n")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 # ---- Time ----

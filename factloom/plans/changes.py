@@ -98,9 +98,9 @@ def m05_delete_and_splice(spark, sf):
     return mutations.delete(m, gone).select("id", "superseded_by")
 
 
-@query("SELECT lo, hi FROM (SELECT DISTINCT least(id, id * 7 % 100) AS lo, greatest(id, id * 7 % 100) AS hi FROM fx_memory WHERE id < 100 AND id <> id * 7 % 100 UNION SELECT id, id + 500 FROM fx_memory WHERE id % 4 = 0)")
+@query("SELECT lo, hi FROM (SELECT DISTINCT least(id, id * 7 % 100) AS lo, greatest(id, id * 7 % 100) AS hi FROM fx_memory WHERE id <> id * 7 % 100 UNION SELECT id, id + 500 FROM fx_memory WHERE id % 4 = 0)")
 def m08_dismiss_pairs(spark, sf):
-    pairs = mem(spark, sf).filter("id < 100").select(F.col("id").alias("a"), (F.col("id") * 7 % 100).alias("b"))
+    pairs = mem(spark, sf).select(F.col("id").alias("a"), (F.col("id") * 7 % 100).alias("b"))
     return mutations.dismiss(dismissed(spark, sf), pairs, "owner", NOW).select(F.col("lo_id").alias("lo"), F.col("hi_id").alias("hi"))
 
 

@@ -14,7 +14,6 @@ NOW_SQL = "TIMESTAMP '2025-06-01 00:00:00'"
 OWNER = [("*", "sealed")]
 NARROW = [("project:*", "open"), ("user:me", "private")]
 NAMESPACES = ["global", "user:me", "project:alpha", "project:beta", "personal:finance", "personal:health", "project:rare"]
-VECTORS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +36,7 @@ def _pick(k: Column, names: list[str]) -> Column:
 
 
 def fx_memory(spark: SparkSession, sf_dir: str, embedding: bool = True) -> DataFrame:
-    """Facts. The vectors are the 500 with the smallest numbers, so they are
-    broadcast; without them the join is left out."""
+    """Facts. Each has one of the vectors, in turns; without them the join is left out."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
     ids = docs.select((F.col("id") - 70).alias("id"), F.lit(True).alias("has_next"))
     k = (F.col("id") % 500) % 7
@@ -64,8 +62,8 @@ def fx_memory(spark: SparkSession, sf_dir: str, embedding: bool = True) -> DataF
     )
     if not embedding:
         return rows
-    vectors = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < VECTORS).select("vec_id", "embedding")
-    return rows.join(F.broadcast(vectors), F.col("id") % VECTORS == F.col("vec_id")).drop("vec_id")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rows.join(vectors, F.col("id") % vectors.count() == F.col("vec_id")).drop("vec_id")
 
 
 def fx_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +148,7 @@ fx_memory AS (
          d.doc_id % 13 AS access_count,
          CASE WHEN d.doc_id % 13 > 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(d.doc_id) + INTERVAL 1 DAY END AS last_accessed_at,
          CASE WHEN d.doc_id % 19 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(d.doc_id) + INTERVAL 30 DAY END AS last_confirmed_at
-  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500 LEFT JOIN documents n ON n.doc_id = d.doc_id + 70
+  FROM documents d CROSS JOIN (SELECT count(*) AS n FROM embeddings) z JOIN embeddings e ON e.vec_id = d.doc_id % z.n LEFT JOIN documents n ON n.doc_id = d.doc_id + 70
 )""",
     "fx_tool_calls": """
 fx_tool_calls AS (

@@ -64,15 +64,15 @@ def s10_event_transcript(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents WHERE doc_id < 400)
+    """WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
 SELECT CASE WHEN doc_id < 200 THEN 'HEALTH' ELSE 'PROJECTS' END AS section, CASE WHEN k = 3 THEN 'inferred' ELSE 'stated' END AS confidence, count(*) AS n, count(*) FILTER (WHERE k IN (1, 3)) AS dated, count(*) FILTER (WHERE k = 2) AS future_dated FROM d GROUP BY 1, 2"""
 )
 def s11_memory_dump(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx.table(spark, sf, "documents").filter("doc_id < 400")
+    d = fx.table(spark, sf, "documents")
     k = F.col("doc_id") % 4
     day = F.when(k == 0, "unknown").when(k == 2, "2031-01-01").otherwise("2024-05-06")
     line = F.concat(F.lit("["), day, F.lit("] "), F.when(k == 3, "(inferred)").otherwise("(stated)"), F.lit(" - fact "), F.col("doc_id"))
-    rows = d.select(F.col("doc_id").alias("n"), line.alias("value")).union(spark.createDataFrame([(-1, "HEALTH"), (1_000_000, "COMPLETE")], "n long, value string"))
+    rows = d.select(F.col("doc_id").alias("n"), line.alias("value")).union(spark.createDataFrame([(-1, "HEALTH"), (1 << 60, "COMPLETE")], "n long, value string"))
     rows = rows.union(spark.createDataFrame([(199, "PROJECTS")], "n long, value string"))
     order = rows.orderBy("n", F.length("value").desc()).select("value")
     parsed = dump.parse(dump.read(spark, _texts(order.coalesce(1), "s11")).filter("text <> ''"), date(2025, 6, 1))
