@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_mix, html_consensus, langid, secret_scan, simhash_bk, telephony, template_decontam, toxicity, url_rules, warc_zip
+from . import entropy_mix, html_consensus, importance, langid, secret_scan, simhash_bk, telephony, template_decontam, toxicity, url_rules, warc_zip
 from ._shared import table
 
 
@@ -50,6 +50,10 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return template_decontam.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_html_consensus, op3_secret_scan, op4_warc_zip, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLES: dict[str, str] = {"op4_warc_zip": warc_zip.ORACLE, "op5_url_rules": url_rules.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_html_consensus, op3_secret_scan, op4_warc_zip, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination, op11_importance_resampling)}
+
+ORACLES: dict[str, str] = {"op4_warc_zip": warc_zip.ORACLE, "op5_url_rules": url_rules.ORACLE, "op11_importance_resampling": importance.ORACLE}
