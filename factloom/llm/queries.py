@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entropy_mix, html_consensus, importance, langid, secret_scan, simhash_bk, svd_whitening, telephony, template_decontam, toxicity, url_rules, warc_zip
+from . import brown_lm, entropy_mix, html_consensus, importance, langid, secret_scan, simhash_bk, svd_whitening, telephony, template_decontam, toxicity, url_rules, warc_zip
 from ._shared import table
 
 
@@ -58,6 +58,10 @@ def op12_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return svd_whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_html_consensus, op3_secret_scan, op4_warc_zip, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination, op11_importance_resampling, op12_svd_whitening)}
+def op13_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.op13(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_telephony, op2_html_consensus, op3_secret_scan, op4_warc_zip, op5_url_rules, op6_language_id, op7_toxicity, op8_simhash_bk_trees, op9_entropy_mix, op10_template_decontamination, op11_importance_resampling, op12_svd_whitening, op13_brown_lm)}
 
 ORACLES: dict[str, str] = {"op4_warc_zip": warc_zip.ORACLE, "op5_url_rules": url_rules.ORACLE, "op11_importance_resampling": importance.ORACLE}
