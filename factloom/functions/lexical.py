@@ -1,108 +1,167 @@
-"""Lexical search: words, stems and a published ranking, in built-in functions.
-
-English stop words go; the rest is cut back by a light suffix stemmer (plural
-and verb endings, as in step 1 of Porter's algorithm); matches are ranked by
-BM25 and squashed to [0, 1) by s / (1 + s). A query is a list of words that all
-must match, "quoted phrases", ``or`` between alternatives, and ``-`` before
-what must not occur.
+"""Lexical search: words, stems, queries as people type them, and a ranking by
+how often and how near to each other their words stand.
+
+A text's words are its runs of letters and digits in lower case, numbered from
+1; English stop words go but keep their number, words of letters are cut back
+to their stem. In a query words are joined by and, which binds closer than
+``or``; "quoted words" stand in this order, as do the parts of a word like
+``a.b``; ``-`` before either means that it does not occur.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, mul, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stemmer import stem
+
 # Common English words that carry no subject.
 STOP = (
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves"
 ).split()
-K1, B = 1.2, 0.75
-_SUFFIXES = [(r"sses$", "ss"), (r"ies$", "y"), (r"([^s])s$", "$1"), (r"([aeiouy].*)(?:ing|edly|ed|ly)$", "$1"), (r"([bdfgmnprt])\1$", "$1")]
+_STOP = frozenset(STOP)
+_WORD, _PART = re.compile(r"[^\W_]+"), re.compile(r'(-?)"([^"]*)"|(\S+)')
+
+# Fixed values of the ranking: the weight of a place in a text, the sum of all
+# 1 / n², the farthest that two places are called near, and the curve between.
+WEIGHT, ALL_SQUARES, FAR = 0.1, 1.64493406685, 100
+LEAST_PAIR, LEAST = 1e-16, 1e-20
 
 
-def stem(token: Column) -> Column:
-    for pattern, to in _SUFFIXES:
-        token = F.regexp_replace(token, pattern, to)
-    return token
+def lexeme(word: str) -> str | None:
+    """What a word in lower case is indexed as: nothing if it is a stop word,
+    itself if it has a digit, else its stem."""
+    return None if word in _STOP else stem(word) if word.isalpha() else word
 
 
-def tokens(text: str | Column) -> Column:
-    """Stems in order, stop words left out."""
-    t = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*STOP))
-    return F.transform(words, stem)
+def words(text: str | Column) -> Column:
+    """The words of a text in order, stop words too."""
+    return F.array_remove(F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"[^\p{L}\p{N}]+"), "")
+
+
+@dataclass(frozen=True)
+class Term:
+    """Stems and their places from the first one on; whether they must not occur."""
+
+    stems: tuple[tuple[str, int], ...]
+    negated: bool = False
 
 
 @dataclass(frozen=True)
 class Query:
-    groups: tuple[tuple[str, ...], ...]  # all must match; of a group one phrase
-    none: tuple[str, ...]
+    alternatives: tuple[tuple[Term, ...], ...]
+
+    @property
+    def stems(self) -> list[str]:
+        return sorted({s for terms in self.alternatives for t in terms for s, _ in t.stems})
+
+    @property
+    def by_nearness(self) -> bool:
+        """Whether words that stand near each other count, or each by itself."""
+        if len(self.alternatives) != 1 or len(self.stems) < 2:
+            return False
+        terms = self.alternatives[0]
+        return len(terms) > 1 or not terms[0].negated and len(terms[0].stems) > 1
+
+    @property
+    def open_ended(self) -> bool:
+        """Whether a text with none of the words can match."""
+        return any(all(t.negated for t in terms) for terms in self.alternatives)
 
 
 def parse_query(text: str) -> Query:
-    groups: list[list[str]] = []
-    none: list[str] = []
-    join = False
-    for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', text):
-        quoted, word = m[2] is not None, m[3] or ""
-        if not quoted and word.lower() == "or":
-            join = bool(groups)
-            continue
-        minus = m[1] == "-" or not quoted and word.startswith("-")
-        phrase = m[2] if quoted else word.lstrip("-")
-        if not phrase.strip():
+    """Terms without an indexed word are left out, as are empty alternatives."""
+    alternatives: list[list[Term]] = [[]]
+    for m in _PART.finditer(text):
+        if m[3] and m[3].lower() == "or":
+            alternatives.append([])
             continue
-        if minus:
-            none.append(phrase)
-        elif join:
-            groups[-1].append(phrase)
-        else:
-            groups.append([phrase])
-        join = False
-    return Query(tuple(map(tuple, groups)), tuple(none))
-
-
-def _has_phrase(stems: Column, wanted: list[str]) -> Column:
-    """A phrase of no stems (stop words only) is everywhere."""
-    if not wanted:
-        return F.lit(True)
-    here = F.array_contains(stems, wanted[0])
-    if len(wanted) == 1:
-        return here
-    whole = F.array(*map(F.lit, wanted))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(stems) - len(wanted) + 1, F.lit(1)))
-    return here & F.exists(starts, lambda k: F.slice(stems, k, len(wanted)) == whole)
-
-
-def match_documents(docs: DataFrame, query: str, text: str = "content") -> DataFrame:
-    """(id, lexical) of the documents that match. The corpus gives the numbers
-    of documents with each stem and the mean length, in one aggregate."""
-    q = parse_query(query)
-    phrases = list(dict.fromkeys([*(p for g in q.groups for p in g), *q.none]))
-    if not q.groups:
-        return docs.select("id", F.lit(0.0).alias("lexical")).limit(0)
-    asked = docs.sparkSession.range(1).select(*[tokens(F.lit(p)).alias(f"p{k}") for k, p in enumerate(phrases)]).first()
-    stems_of = {p: list(asked[f"p{k}"]) for k, p in enumerate(phrases)}
-    words = sorted({w for g in q.groups for p in g for w in stems_of[p]})
-    if not words:
-        return docs.select("id", F.lit(0.0).alias("lexical")).limit(0)
-    # Generated, not projected: the stems are made once a row, whatever reads them.
-    stemmed = docs.select("id", F.explode(F.array(tokens(text))).alias("stems"))
-    stats = stemmed.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("stems")), F.lit(0.0)).alias("mean"), *[F.count_if(F.array_contains("stems", w)).alias(f"w{k}") for k, w in enumerate(words)]).first()
-    hit = F.lit(True)
-    for group in q.groups:
-        one = F.lit(False)
-        for p in group:
-            one = one | _has_phrase(F.col("stems"), stems_of[p])
-        hit = hit & one
-    for p in q.none:
-        hit = hit & ~_has_phrase(F.col("stems"), stems_of[p])
-    score = F.lit(0.0)
-    for k, w in enumerate(words):
-        tf = (F.size("stems") - F.size(F.array_remove("stems", w))).cast("double")
-        idf = F.log(F.lit(1 + (stats.n - stats[f"w{k}"] + 0.5) / (stats[f"w{k}"] + 0.5)))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("stems") / max(stats["mean"], 1.0)))
-    return stemmed.filter(hit).select("id", score.alias("raw")).select("id", (F.col("raw") / (1 + F.col("raw"))).alias("lexical"))
+        found = [(lexeme(w), k) for k, w in enumerate(_WORD.findall((m[3] or m[2] or "").lower()))]
+        kept = [(s, k) for s, k in found if s is not None]
+        if kept:
+            term = Term(tuple((s, k - kept[0][1]) for s, k in kept), (m[3] or m[1]).startswith("-"))
+            alternatives[-1].append(term)
+    return Query(tuple(tuple(terms) for terms in alternatives if terms))
+
+
+def _occurs(term: Term, at: dict[str, Column]) -> Column:
+    first, *rest = term.stems
+    if not rest:
+        return at[first[0]].isNotNull()
+    follows = lambda p: reduce(and_, [F.array_contains(at[s], p + k) for s, k in rest])
+    return reduce(and_, [at[s].isNotNull() for s, _ in term.stems]) & F.exists(at[first[0]], follows)
+
+
+def matches(query: Query, at: dict[str, Column]) -> Column:
+    """at: the places of each stem in a text, null where it has none."""
+    one = lambda t: ~F.coalesce(_occurs(t, at), F.lit(False)) if t.negated else F.coalesce(_occurs(t, at), F.lit(False))
+    return reduce(or_, [reduce(and_, map(one, terms)) for terms in query.alternatives])
+
+
+def _nearness(distance: Column) -> Column:
+    return WEIGHT * F.sqrt(1 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
+
+
+#: Of two places next to each other.
+NEXT = WEIGHT * math.sqrt(1 / (1.005 + 0.05 * math.exp(1 / 1.5 - 2)))
+
+
+def _squares(n: Column) -> Column:
+    """1 + 1/4 + 1/9 + ... + 1/n²"""
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, k: s + 1 / (k.cast("double") * k))
+
+
+def _separate(query: Query, times: dict[str, Column]) -> Column:
+    each = [F.when(times[s] > 0, WEIGHT * _squares(times[s]) / ALL_SQUARES).otherwise(0.0) for s in query.stems]
+    return sum(each[1:], each[0]) / len(each)
+
+
+def rank(query: Query, at: dict[str, Column]) -> Column:
+    """How well a text that matches does: between 0 and 1.
+
+    Where all words must occur, each two places of different words at most
+    ``FAR`` apart add to it by their distance; else each word adds by how often
+    it occurs. Words that must not occur count among the words.
+    """
+    stems = query.stems
+    if not query.by_nearness:
+        return _separate(query, {s: F.coalesce(F.size(at[s]), F.lit(0)) for s in stems})
+
+    def apart(a: Column, b: Column) -> Column:
+        """The product over near pairs of what each leaves of 1."""
+        each = lambda x: F.aggregate(F.filter(b, lambda y: (y != x) & (F.abs(y - x) <= FAR)), F.lit(1.0), lambda s, y: s * (1 - _nearness(F.abs(y - x).cast("double"))))
+        return F.coalesce(F.aggregate(a, F.lit(1.0), lambda s, x: s * each(x)), F.lit(1.0))
+
+    left = reduce(mul, [apart(at[a], at[b]) for k, a in enumerate(stems) for b in stems[k + 1 :]])
+    there = sum((at[s].isNotNull().cast("int") for s in stems[1:]), at[stems[0]].isNotNull().cast("int"))
+    return F.when(left < 1, 1 - left).when(there > 1, LEAST_PAIR).otherwise(LEAST)
+
+
+def bound(query: Query, most: dict[str, Column]) -> Column:
+    """No text with at most so many places of each stem (null: none) ranks higher."""
+    times = {s: F.coalesce(most[s], F.lit(0)) for s in query.stems}
+    if not query.by_nearness:
+        return _separate(query, times)
+    stems = query.stems
+    pairs = reduce(lambda a, b: a + b, [times[a].cast("double") * times[b] for k, a in enumerate(stems) for b in stems[k + 1 :]])
+    return F.greatest(1 - F.pow(F.lit(1 - NEXT), pairs), F.lit(LEAST_PAIR))
+
+
+def can_match(query: Query, most: dict[str, Column]) -> Column:
+    """Whether a block can hold a text that matches: all stems of the positive
+    terms of one alternative are in it."""
+    sure = lambda terms: reduce(and_, [most[s].isNotNull() for t in terms if not t.negated for s, _ in t.stems], F.lit(True))
+    return reduce(or_, map(sure, query.alternatives))
+
+
+def crude_places(text: str, wanted: Sequence[str]) -> dict[str, list[int]]:
+    """Of one text, the places of each wanted stem: the index by hand."""
+    found = [lexeme(w) for w in _WORD.findall(text.lower())]
+    return {s: [k + 1 for k, x in enumerate(found) if x == s] for s in wanted}

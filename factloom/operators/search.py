@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lexical import match_documents
 from ..functions.predicates import Ceiling, has_tags, held_at, linked, live, use_boost, within
 from ..functions.vector import CellIndex, cell_index, nearest_in_cells, similarity_to
+from . import postings
 
 
 @dataclass(frozen=True)
@@ -46,10 +46,14 @@ def vector_arm(rows: DataFrame, probe: Sequence[float], limit: int) -> DataFrame
     return top.withColumn("rank_vec", F.row_number().over(W.orderBy(F.col("similarity").desc(), "id")).cast("long"))
 
 
-def lexical_arm(rows: DataFrame, query: str, limit: int) -> DataFrame:
-    """(id, lexical, rank_lex): open rows that match the query, best first."""
-    found = match_documents(rows.filter("sensitivity = 'open' and content is not null"), query)
-    top = found.orderBy(F.col("lexical").desc(), "id").limit(limit)
+def lexical_arm(rows: DataFrame, query: str, limit: int, index: DataFrame | None = None) -> DataFrame:
+    """(id, lexical, rank_lex): open rows that match the query, best first. The
+    index holds open texts alone; without one the rows' own are indexed here."""
+    reach = rows.filter("sensitivity = 'open' and content is not null")
+    if index is None:
+        top = postings.match(postings.pack(reach), query, reach).orderBy(F.col("lexical").desc(), "id").limit(limit)
+    else:
+        top = postings.top(index, query, reach, limit)
     return top.withColumn("rank_lex", F.row_number().over(W.orderBy(F.col("lexical").desc(), "id")).cast("long"))
 
 
@@ -67,13 +71,15 @@ def search(
     history: bool = False,
     tags: Sequence[str] = (),
     weights: Weights = Weights(),  # noqa: B008
+    index: DataFrame | None = None,
     lexical: DataFrame | None = None,
 ) -> DataFrame:
     """The best rows of both arms: memory's columns, similarity, lexical,
     is_primary, score (unrounded), by score, then newest, then id.
 
-    Without a query, or a lexical arm given as (id, lexical, rank_lex), only
-    the vector arm counts. The arms hold at most ``candidates(limit)`` rows
+    ``index`` is the inverted index that the lexical arm reads; an arm of one's
+    own is given as (id, lexical, rank_lex). Without a query only the vector
+    arm counts. The arms hold at most ``candidates(limit)`` rows
     each, so that their fusion and the join back are broadcasts.
     """
     primary, secondary = list(primary), list(secondary)
@@ -81,7 +87,7 @@ def search(
     n = candidates(limit)
     vec = vector_arm(reach, probe, n)
     if lexical is None:
-        lexical = lexical_arm(reach, query, n) if query else None
+        lexical = lexical_arm(reach, query, n, index) if query else None
     if lexical is None:
         merged = vec.withColumn("lexical", F.lit(0.0)).withColumn("rank_lex", F.lit(None).cast("long"))
     else:
@@ -120,9 +126,9 @@ def nearest_ids_approximate(index: CellIndex, probes: DataFrame, k: int) -> Data
     return nearest_in_cells(index, probes, k)
 
 
-def forget_candidates(memory: DataFrame, probe: Sequence[float], query: str | None, ceilings: Iterable[Ceiling], *, now: datetime, floor: float, limit: int = 25) -> DataFrame:
+def forget_candidates(memory: DataFrame, probe: Sequence[float], query: str | None, ceilings: Iterable[Ceiling], *, now: datetime, floor: float, limit: int = 25, index: DataFrame | None = None) -> DataFrame:
     """What a request to forget would remove: history too, use does not count."""
-    found = search(memory, probe, query, ceilings, now=now, limit=min(limit, 25), history=True, weights=Weights(usage=0.0))
+    found = search(memory, probe, query, ceilings, now=now, limit=min(limit, 25), history=True, weights=Weights(usage=0.0), index=index)
     return found.filter(F.col("similarity") >= floor)
 
 

@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import credentials, evaluation, guards, lexical, predicates, text, vector
-from ..operators import alias, chains, duplicates, graph, listing, policy, registry, search, telemetry
+from ..functions import credentials, evaluation, guards, predicates, text, vector
+from ..operators import alias, chains, duplicates, graph, listing, policy, postings, registry, search, telemetry
 from . import fixtures as fx
+from . import lexical_sql
 from .fixtures import NARROW, NOW, NOW_SQL, OWNER, with_fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -686,23 +687,13 @@ def g07_route(spark, sf):
 # ---- Retrieval ----
 
 
-#: A query of the lexical arm: two groups of alternatives, a phrase among them, and a word that must not occur.
-WORDS = 'und or der or la "de la" or die or los or pour -moron'
-WORDS_SQL = "(list_contains(stems, 'und') OR list_contains(stems, 'der') OR list_contains(stems, 'la')) AND (contains(line, ' de la ') OR list_contains(stems, 'die') OR list_contains(stems, 'lo') OR list_contains(stems, 'pour')) AND NOT list_contains(stems, 'moron')"
-WORDS_STEMS = ["de", "der", "die", "la", "lo", "pour", "und"]
-
-
-def lexical_sql(source: str, matching: str = WORDS_SQL, stems: list[str] = WORDS_STEMS) -> str:
-    """Common table expressions up to matched (id, lexical): BM25 over stems."""
-    stop = ", ".join(f"'{w}'" for w in lexical.STOP)
-    stem = "w"
-    for pattern, to in (("sses$", "ss"), ("ies$", "y"), ("([^s])s$", "\\1"), ("([aeiouy].*)(?:ing|edly|ed|ly)$", "\\1"), *((f"{c}{c}$", c) for c in "bdfgmnprt")):
-        stem = f"regexp_replace({stem}, '{pattern}', '{to}')"
-    tf = lambda w: f"len(list_filter(stems, lambda s: s = '{w}'))"
-    score = " + ".join(f"ln(1 + (n - w{k} + 0.5) / (w{k} + 0.5)) * {tf(w)} * 2.2 / ({tf(w)} + 1.2 * (0.25 + 0.75 * len(stems) / greatest(mean, 1.0)))" for k, w in enumerate(stems))
-    return f"""stemmed AS (SELECT id, list_transform(list_filter(regexp_split_to_array(lower(content), '[^\\pL\\pN]+'), lambda w: w <> '' AND w NOT IN ({stop})), lambda w: {stem}) AS stems FROM {source}),
-counted AS (SELECT count(*) AS n, coalesce(avg(len(stems)), 0) AS mean, {', '.join(f"count(*) FILTER (list_contains(stems, '{w}')) AS w{k}" for k, w in enumerate(stems))} FROM stemmed),
-matched AS (SELECT id, ({score}) / (1 + ({score})) AS lexical FROM (SELECT *, ' ' || array_to_string(stems, ' ') || ' ' AS line FROM stemmed), counted WHERE {matching})"""
+#: A query of the lexical arm: alternatives, a phrase in one and a word that must not occur in another; and its match in SQL.
+WORDS = 'und die der or la "de la" -moron or pour or los'
+WORDS_SQL = "({{und}} AND {{die}} AND {{der}}) OR ({{la}} AND [[de la]] AND NOT {{moron}}) OR {{pour}} OR {{los}}"
+WORDS_STEMS = ["de", "der", "die", "la", "los", "moron", "pour", "und"]
+#: One of words that must all occur, ranked by how near they stand.
+NEAR_WORDS, NEAR_SQL, NEAR_STEMS = "la de -pour", "{{la}} AND {{de}} AND NOT {{pour}}", ["de", "la", "pour"]
+OPEN_FACTS = "fx_memory m WHERE sensitivity = 'open' AND content IS NOT NULL"
 
 
 def _fused(fusion: str, holds: str, tags: str = "true", secondary: bool = False, usage: float = 0.05, limit: int = 8) -> str:
@@ -714,14 +705,14 @@ def _fused(fusion: str, holds: str, tags: str = "true", secondary: bool = False,
     n = max(4 * limit, 20)
     return f"""WITH reach AS (SELECT * FROM fx_memory m WHERE {reach}),
 vec AS (SELECT id, list_cosine_similarity(embedding, {PROBE_SQL}) AS similarity, row_number() OVER (ORDER BY list_cosine_similarity(embedding, {PROBE_SQL}) DESC, id) AS rv FROM reach QUALIFY rv <= {n}),
-{lexical_sql("reach WHERE content IS NOT NULL")},
+{lexical_sql.matched_sql("reach WHERE content IS NOT NULL", WORDS_SQL, WORDS_STEMS, False)},
 lex AS (SELECT id, lexical, row_number() OVER (ORDER BY lexical DESC, id) AS rl FROM matched QUALIFY rl <= {n}),
 g AS (SELECT coalesce(v.id, l.id) AS id, coalesce(similarity, 0) AS similarity, least(coalesce(lexical, 0), 1) AS lexical, rv, rl FROM vec v FULL JOIN lex l ON l.id = v.id)
 SELECT id, similarity, score FROM (SELECT m.id, round(g.similarity, 4) AS similarity, round({score}, 4) AS score, row_number() OVER (ORDER BY {score} DESC, m.created_at DESC, m.id) AS n FROM g JOIN fx_memory m USING (id)) WHERE n <= {limit}"""
 
 
 def _search(spark: SparkSession, sf: str, secondary: bool = False, **options: object) -> DataFrame:
-    hits = search.search(mem(spark, sf, True), probe(spark, sf), WORDS, [("project:alpha", "open"), ("user:me", "open")], [("global", "open")] if secondary else [], now=NOW, **options)
+    hits = search.search(mem(spark, sf, True), probe(spark, sf), WORDS, [("project:alpha", "open"), ("user:me", "open")], [("global", "open")] if secondary else [], now=NOW, index=fx.lexical_index(spark, sf), **options)
     return hits.select("id", F.round("similarity", 4).alias("similarity"), F.round("score", 4).alias("score"))
 
 
@@ -808,14 +799,31 @@ def r08_forget_candidates(spark, sf):
     return search.forget_candidates(mem(spark, sf, True), probe(spark, sf), None, CEILINGS, now=NOW, floor=0.2).select("id", F.round("similarity", 4).alias("similarity"))
 
 
-@query(f"WITH {lexical_sql("fx_memory m WHERE sensitivity = 'open' AND content IS NOT NULL")} SELECT id, round(lexical, 4) AS lexical FROM matched")
+@query(f"WITH {lexical_sql.matched_sql(OPEN_FACTS, WORDS_SQL, WORDS_STEMS, False)} SELECT id, round(lexical, 6) AS lexical FROM matched")
 def r09_lexical_arm(spark, sf):
-    return lexical.match_documents(mem(spark, sf).filter("sensitivity = 'open' and content is not null"), WORDS).select("id", F.round("lexical", 4).alias("lexical"))
+    return postings.match(fx.lexical_index(spark, sf), WORDS).select("id", F.round("lexical", 6).alias("lexical"))
+
+
+@query(f"WITH {lexical_sql.matched_sql(OPEN_FACTS, NEAR_SQL, NEAR_STEMS, True)} SELECT id, round(lexical, 6) AS lexical FROM matched")
+def r09_by_nearness(spark, sf):
+    return postings.match(fx.lexical_index(spark, sf), NEAR_WORDS).select("id", F.round("lexical", 6).alias("lexical"))
+
+
+@query(f"WITH {lexical_sql.places_sql(OPEN_FACTS)} SELECT id, 0.0::DOUBLE AS lexical FROM {OPEN_FACTS} EXCEPT SELECT id, 0.0 FROM places WHERE stem IN ('la', 'und')")
+def r09_what_must_not_occur(spark, sf):
+    open_facts = mem(spark, sf).filter("sensitivity = 'open' and content is not null")
+    return postings.match(fx.lexical_index(spark, sf), "-la -und", open_facts).select("id", F.round("lexical", 6).alias("lexical"))
+
+
+@query(f"WITH {lexical_sql.places_sql(OPEN_FACTS)} SELECT stem, count(DISTINCT id) AS texts, count(*) AS places, max(pos) AS last FROM places GROUP BY stem")
+def r09_index(spark, sf):
+    each = fx.lexical_index(spark, sf).select("stem", F.size("ids").alias("texts"), F.flatten("places").alias("places"))
+    return each.groupBy("stem").agg(F.sum("texts").alias("texts"), F.sum(F.size("places")).alias("places"), F.max(F.array_max("places")).alias("last"))
 
 
-@query(f"WITH {lexical_sql("fx_memory m WHERE sensitivity = 'open' AND content IS NOT NULL")} SELECT id, round(lexical, 4) AS lexical, k AS rank FROM (SELECT *, row_number() OVER (ORDER BY lexical DESC, id) AS k FROM matched) WHERE k <= 30")
+@query(f"WITH {lexical_sql.matched_sql(OPEN_FACTS, NEAR_SQL, NEAR_STEMS, True)} SELECT id, round(lexical, 6) AS lexical, k AS rank FROM (SELECT *, row_number() OVER (ORDER BY lexical DESC, id) AS k FROM matched) WHERE k <= 30")
 def o02_lexical_top_k(spark, sf):
-    return search.lexical_arm(mem(spark, sf), WORDS, 30).select("id", F.round("lexical", 4).alias("lexical"), F.col("rank_lex").alias("rank"))
+    return search.lexical_arm(mem(spark, sf), NEAR_WORDS, 30, fx.lexical_index(spark, sf)).select("id", F.round("lexical", 6).alias("lexical"), F.col("rank_lex").alias("rank"))
 
 
 @query()

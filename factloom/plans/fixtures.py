@@ -9,6 +9,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import scratch
+from ..operators import postings
+
 NOW = datetime(2025, 6, 1)
 NOW_SQL = "TIMESTAMP '2025-06-01 00:00:00'"
 OWNER = [("*", "sealed")]
@@ -66,6 +69,18 @@ def fx_memory(spark: SparkSession, sf_dir: str, embedding: bool = True) -> DataF
     return rows.join(vectors, F.col("id") % vectors.count() == F.col("vec_id")).drop("vec_id")
 
 
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of the open facts: made once a session and store."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        open_facts = fx_memory(spark, sf_dir, embedding=False).filter("sensitivity = 'open' and content is not null").select("id", "content")
+        _INDEXES[key] = postings.create(open_facts, scratch(spark, "postings"))
+    return _INDEXES[key]
+
+
 def fx_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls_of(table(spark, sf_dir, "events"))
 
