@@ -14,8 +14,6 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, mul, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,39 +89,33 @@ def parse_query(text: str) -> Query:
     return Query(tuple(tuple(terms) for terms in alternatives if terms))
 
 
-def _occurs(term: Term, at: dict[str, Column]) -> Column:
-    first, *rest = term.stems
+def _occurs(term: Term, at: dict[str, str]) -> str:
+    (first, _), *rest = term.stems
+    there = " AND ".join(f"{at[s]} IS NOT NULL" for s, _ in term.stems)
     if not rest:
-        return at[first[0]].isNotNull()
-    follows = lambda p: reduce(and_, [F.array_contains(at[s], p + k) for s, k in rest])
-    return reduce(and_, [at[s].isNotNull() for s, _ in term.stems]) & F.exists(at[first[0]], follows)
+        return there
+    follows = " AND ".join(f"array_contains({at[s]}, p + {k})" for s, k in rest)
+    return f"{there} AND exists({at[first]}, p -> {follows})"
 
 
-def matches(query: Query, at: dict[str, Column]) -> Column:
-    """at: the places of each stem in a text, null where it has none."""
-    one = lambda t: ~F.coalesce(_occurs(t, at), F.lit(False)) if t.negated else F.coalesce(_occurs(t, at), F.lit(False))
-    return reduce(or_, [reduce(and_, map(one, terms)) for terms in query.alternatives])
-
-
-def _nearness(distance: Column) -> Column:
-    return WEIGHT * F.sqrt(1 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
+def matches(query: Query, at: dict[str, str]) -> Column:
+    """at: the column with the places of each stem in a text, null where it has none."""
+    one = lambda t: f"{'NOT ' * t.negated}coalesce({_occurs(t, at)}, false)"
+    return F.expr(" OR ".join(f"({' AND '.join(map(one, terms))})" for terms in query.alternatives))
 
 
 #: Of two places next to each other.
 NEXT = WEIGHT * math.sqrt(1 / (1.005 + 0.05 * math.exp(1 / 1.5 - 2)))
 
 
-def _squares(n: Column) -> Column:
-    """1 + 1/4 + 1/9 + ... + 1/n²"""
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, k: s + 1 / (k.cast("double") * k))
-
-
-def _separate(query: Query, times: dict[str, Column]) -> Column:
-    each = [F.when(times[s] > 0, WEIGHT * _squares(times[s]) / ALL_SQUARES).otherwise(0.0) for s in query.stems]
-    return sum(each[1:], each[0]) / len(each)
+def _separate(query: Query, times: dict[str, str]) -> str:
+    """Each stem by 1 + 1/4 + 1/9 + ... + 1/n² of its n places."""
+    squares = "aggregate(sequence(1, {0}), 0D, (s, k) -> s + 1D / (double(k) * k))"
+    each = [f"if({times[s]} > 0, {WEIGHT}D * {squares.format(times[s])} / {ALL_SQUARES}D, 0D)" for s in query.stems]
+    return f"({' + '.join(each)}) / {len(each)}"
 
 
-def rank(query: Query, at: dict[str, Column]) -> Column:
+def rank(query: Query, at: dict[str, str]) -> Column:
     """How well a text that matches does: between 0 and 1.
 
     Where all words must occur, each two places of different words at most
@@ -132,33 +124,29 @@ def rank(query: Query, at: dict[str, Column]) -> Column:
     """
     stems = query.stems
     if not query.by_nearness:
-        return _separate(query, {s: F.coalesce(F.size(at[s]), F.lit(0)) for s in stems})
+        return F.expr(_separate(query, {s: f"coalesce(size({at[s]}), 0)" for s in stems}))
+    # The product over near pairs of what each leaves of 1.
+    left = f"1 - {WEIGHT}D * sqrt(1 / (1.005D + 0.05D * exp(abs(y - x) / 1.5D - 2)))"
+    apart = "coalesce(aggregate({0}, 1D, (s, x) -> s * aggregate(filter({1}, y -> y <> x AND abs(y - x) <= {far}), 1D, (t, y) -> t * ({left}))), 1D)"
+    product = " * ".join(apart.format(at[a], at[b], far=FAR, left=left) for k, a in enumerate(stems) for b in stems[k + 1 :])
+    there = " + ".join(f"int({at[s]} IS NOT NULL)" for s in stems)
+    return F.expr(f"transform(array({product}), r -> CASE WHEN r < 1 THEN 1 - r WHEN {there} > 1 THEN {LEAST_PAIR}D ELSE {LEAST}D END)[0]")
 
-    def apart(a: Column, b: Column) -> Column:
-        """The product over near pairs of what each leaves of 1."""
-        each = lambda x: F.aggregate(F.filter(b, lambda y: (y != x) & (F.abs(y - x) <= FAR)), F.lit(1.0), lambda s, y: s * (1 - _nearness(F.abs(y - x).cast("double"))))
-        return F.coalesce(F.aggregate(a, F.lit(1.0), lambda s, x: s * each(x)), F.lit(1.0))
 
-    left = reduce(mul, [apart(at[a], at[b]) for k, a in enumerate(stems) for b in stems[k + 1 :]])
-    there = sum((at[s].isNotNull().cast("int") for s in stems[1:]), at[stems[0]].isNotNull().cast("int"))
-    return F.when(left < 1, 1 - left).when(there > 1, LEAST_PAIR).otherwise(LEAST)
-
-
-def bound(query: Query, most: dict[str, Column]) -> Column:
+def bound(query: Query, most: dict[str, str]) -> Column:
     """No text with at most so many places of each stem (null: none) ranks higher."""
-    times = {s: F.coalesce(most[s], F.lit(0)) for s in query.stems}
+    times, stems = {s: f"coalesce({most[s]}, 0)" for s in query.stems}, query.stems
     if not query.by_nearness:
-        return _separate(query, times)
-    stems = query.stems
-    pairs = reduce(lambda a, b: a + b, [times[a].cast("double") * times[b] for k, a in enumerate(stems) for b in stems[k + 1 :]])
-    return F.greatest(1 - F.pow(F.lit(1 - NEXT), pairs), F.lit(LEAST_PAIR))
+        return F.expr(_separate(query, times))
+    pairs = " + ".join(f"double({times[a]}) * {times[b]}" for k, a in enumerate(stems) for b in stems[k + 1 :])
+    return F.expr(f"greatest(1 - pow({1 - NEXT}D, {pairs}), {LEAST_PAIR}D)")
 
 
-def can_match(query: Query, most: dict[str, Column]) -> Column:
+def can_match(query: Query, most: dict[str, str]) -> Column:
     """Whether a block can hold a text that matches: all stems of the positive
     terms of one alternative are in it."""
-    sure = lambda terms: reduce(and_, [most[s].isNotNull() for t in terms if not t.negated for s, _ in t.stems], F.lit(True))
-    return reduce(or_, map(sure, query.alternatives))
+    sure = lambda terms: " AND ".join(["true", *(f"{most[s]} IS NOT NULL" for t in terms if not t.negated for s, _ in t.stems)])
+    return F.expr(" OR ".join(f"({sure(terms)})" for terms in query.alternatives))
 
 
 def crude_places(text: str, wanted: Sequence[str]) -> dict[str, list[int]]:

@@ -67,7 +67,7 @@ def _past_and_progressive(w: str, r1: int) -> str:
     return base + "e" if len(base) == r1 and _SHORT.search(base) else base
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 18)
 def stem(word: str) -> str:
     if len(word) <= 2:
         return word

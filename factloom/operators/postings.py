@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical
@@ -74,8 +74,9 @@ def pack(docs: DataFrame, text: str = "content", generation: int = 0) -> DataFra
 
 
 def _stored(rows: DataFrame, path: str, mode: str) -> DataFrame:
-    order = ("bucket", "stem", "block")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(path)
+    """A task of the shuffle has one bucket of the texts of sixteen tasks."""
+    placed = rows.repartition("bucket", F.shiftright("block", 28)).sortWithinPartitions("bucket", "stem", "block")
+    placed.write.mode(mode).partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -99,27 +100,29 @@ def _asked(index: DataFrame, query: lexical.Query) -> DataFrame:
     return index.filter(F.col("bucket").isin(sorted({bucket(s) for s in query.stems})) & F.col("stem").isin(query.stems))
 
 
+def _by_stem(columns: dict[str, str], value: str) -> list[Column]:
+    return [F.expr(f"max(CASE WHEN stem = '{s}' THEN {value} END) AS {c}") for s, c in columns.items()]
+
+
 def block_bounds(index: DataFrame, query: lexical.Query) -> DataFrame:
     """(block, bound) of the blocks that can hold a match, from one number a row."""
-    names = {s: f"m{k}" for k, s in enumerate(query.stems)}
-    most = _asked(index, query).groupBy("block").agg(*[F.max(F.when(F.col("stem") == s, F.col("most"))).alias(c) for s, c in names.items()])
-    of = {s: F.col(c) for s, c in names.items()}
+    of = {s: f"m{k}" for k, s in enumerate(query.stems)}
+    most = _asked(index, query).groupBy("block").agg(*_by_stem(of, "most"))
     return most.filter(lexical.can_match(query, of)).select("block", lexical.bound(query, of).alias("bound"))
 
 
 def _ranked(index: DataFrame, query: lexical.Query, blocks: DataFrame | None, universe: DataFrame | None) -> DataFrame:
     """(id, lexical) of all matches in these blocks."""
-    names = {s: f"p{k}" for k, s in enumerate(query.stems)}
+    of = {s: f"p{k}" for k, s in enumerate(query.stems)}
     rows = _asked(index, query)
     if blocks is not None:
         rows = rows.join(blocks.select("block"), "block", "left_semi")
     each = rows.select("block", "stem", F.explode(F.arrays_zip("ids", "places")).alias("text"))
-    texts = each.groupBy("block", F.col("text.ids").alias("id")).agg(*[F.max(F.when(F.col("stem") == s, F.col("text.places"))).alias(c) for s, c in names.items()])
+    texts = each.groupBy("block", F.col("text.ids").alias("id")).agg(*_by_stem(of, "text.places"))
     if query.open_ended:
         if universe is None:
             raise ValueError("a query of what must not occur needs the texts that are asked")
         texts = universe.select("id").join(texts, "id", "left")
-    of = {s: F.col(c) for s, c in names.items()}
     return texts.filter(lexical.matches(query, of)).select("id", lexical.rank(query, of).alias("lexical"))
 
 

@@ -48,10 +48,11 @@ def vector_arm(rows: DataFrame, probe: Sequence[float], limit: int) -> DataFrame
 
 def lexical_arm(rows: DataFrame, query: str, limit: int, index: DataFrame | None = None) -> DataFrame:
     """(id, lexical, rank_lex): open rows that match the query, best first. The
-    index holds open texts alone; without one the rows' own are indexed here."""
-    reach = rows.filter("sensitivity = 'open' and content is not null")
+    index holds open texts alone, so that no text is read here; without an index the
+    rows' own are indexed first."""
+    reach = rows.filter("sensitivity = 'open'")
     if index is None:
-        top = postings.match(postings.pack(reach), query, reach).orderBy(F.col("lexical").desc(), "id").limit(limit)
+        top = postings.match(postings.pack(reach.filter("content is not null")), query, reach.filter("content is not null")).orderBy(F.col("lexical").desc(), "id").limit(limit)
     else:
         top = postings.top(index, query, reach, limit)
     return top.withColumn("rank_lex", F.row_number().over(W.orderBy(F.col("lexical").desc(), "id")).cast("long"))

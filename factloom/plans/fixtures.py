@@ -66,7 +66,7 @@ def fx_memory(spark: SparkSession, sf_dir: str, embedding: bool = True) -> DataF
     if not embedding:
         return rows
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return rows.join(vectors, F.col("id") % vectors.count() == F.col("vec_id")).drop("vec_id")
+    return rows.join(vectors, F.col("id") % vectors.agg(F.count("*")).scalar() == F.col("vec_id")).drop("vec_id")
 
 
 _INDEXES: dict[tuple[str, str], DataFrame] = {}
