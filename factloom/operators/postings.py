@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,17 @@ from ..functions import lexical
 
 BLOCK = 512
 BUCKETS = 32
-#: Blocks of the highest bound whose ranks set what the others must reach.
-FIRST_BLOCKS = 4
+#: Blocks of the highest bound whose ranks set what the others must reach; an
+#: index of no more than so many times as many is ranked whole, at less cost.
+FIRST_BLOCKS, WORTH_BOUNDS = 4, 16
+
+
+@dataclass(frozen=True)
+class Index:
+    """The rows of an index, and how many blocks of texts there are."""
+
+    rows: DataFrame
+    blocks: int
 
 
 def bucket(stem: str) -> int:
@@ -73,26 +83,27 @@ def pack(docs: DataFrame, text: str = "content", generation: int = 0) -> DataFra
     return cut.mapInArrow(run, f"bucket int, stem string, block long, ids array<{kind}>, places array<array<int>>, most int")
 
 
-def _stored(rows: DataFrame, path: str, mode: str) -> DataFrame:
+def _store(rows: DataFrame, path: str, mode: str) -> Index:
     """A task of the shuffle has one bucket of the texts of sixteen tasks."""
     placed = rows.repartition("bucket", F.shiftright("block", 28)).sortWithinPartitions("bucket", "stem", "block")
     placed.write.mode(mode).partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return load(rows.sparkSession, path)
 
 
-def create(docs: DataFrame, path: str, text: str = "content") -> DataFrame:
+def create(docs: DataFrame, path: str, text: str = "content") -> Index:
     """Index texts at a path; the index is what is given to a search."""
-    return _stored(pack(docs, text), path, "error")
+    return _store(pack(docs, text), path, "error")
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load(spark: SparkSession, path: str) -> Index:
+    rows = spark.read.parquet(path)
+    return Index(rows, rows.agg(F.count_distinct("block")).first()[0])
 
 
-def add(docs: DataFrame, path: str, text: str = "content") -> DataFrame:
+def add(docs: DataFrame, path: str, text: str = "content") -> Index:
     """Index further texts: the blocks that are there stay as they are."""
-    last = load(docs.sparkSession, path).agg(F.max("block")).first()[0]
-    return _stored(pack(docs, text, 0 if last is None else (last >> 48) + 1), path, "append")
+    last = docs.sparkSession.read.parquet(path).agg(F.max("block")).first()[0]
+    return _store(pack(docs, text, 0 if last is None else (last >> 48) + 1), path, "append")
 
 
 def _asked(index: DataFrame, query: lexical.Query) -> DataFrame:
@@ -135,7 +146,7 @@ def match(index: DataFrame, query: str, universe: DataFrame | None = None) -> Da
     return found if universe is None or q.open_ended else found.join(universe.select("id"), "id", "left_semi")
 
 
-def top(index: DataFrame, query: str, universe: DataFrame, limit: int) -> DataFrame:
+def top(index: Index, query: str, universe: DataFrame, limit: int) -> DataFrame:
     """(id, lexical), the best matches within the universe (id), by rank and
     then id: exactly those of ``match``.
 
@@ -144,11 +155,12 @@ def top(index: DataFrame, query: str, universe: DataFrame, limit: int) -> DataFr
     """
     q = lexical.parse_query(query)
     order = (F.col("lexical").desc(), F.col("id"))
-    if not q.alternatives or q.open_ended:
-        return match(index, query, universe).orderBy(*order).limit(limit)
-    bounds = block_bounds(index, q)
+    rows = index.rows
+    if not q.alternatives or q.open_ended or index.blocks <= WORTH_BOUNDS * FIRST_BLOCKS:
+        return match(rows, query, universe).orderBy(*order).limit(limit)
+    bounds = block_bounds(rows, q)
     seen = universe.select("id")
-    first = _ranked(index, q, bounds.orderBy(F.col("bound").desc(), "block").limit(FIRST_BLOCKS), None).join(seen, "id", "left_semi").orderBy(*order).limit(limit)
+    first = _ranked(rows, q, bounds.orderBy(F.col("bound").desc(), "block").limit(FIRST_BLOCKS), None).join(seen, "id", "left_semi").orderBy(*order).limit(limit)
     reach = first.agg(F.coalesce(F.when(F.count("*") == limit, F.min("lexical")), F.lit(-1.0)).alias("reach"))
-    found = _ranked(index, q, bounds.filter(F.col("bound") >= reach.scalar() - 1e-12), None)
+    found = _ranked(rows, q, bounds.filter(F.col("bound") >= reach.scalar() - 1e-12), None)
     return found.join(seen, "id", "left_semi").orderBy(*order).limit(limit)

@@ -46,7 +46,7 @@ def vector_arm(rows: DataFrame, probe: Sequence[float], limit: int) -> DataFrame
     return top.withColumn("rank_vec", F.row_number().over(W.orderBy(F.col("similarity").desc(), "id")).cast("long"))
 
 
-def lexical_arm(rows: DataFrame, query: str, limit: int, index: DataFrame | None = None) -> DataFrame:
+def lexical_arm(rows: DataFrame, query: str, limit: int, index: postings.Index | None = None) -> DataFrame:
     """(id, lexical, rank_lex): open rows that match the query, best first. The
     index holds open texts alone, so that no text is read here; without an index the
     rows' own are indexed first."""
@@ -72,7 +72,7 @@ def search(
     history: bool = False,
     tags: Sequence[str] = (),
     weights: Weights = Weights(),  # noqa: B008
-    index: DataFrame | None = None,
+    index: postings.Index | None = None,
     lexical: DataFrame | None = None,
 ) -> DataFrame:
     """The best rows of both arms: memory's columns, similarity, lexical,
@@ -127,7 +127,7 @@ def nearest_ids_approximate(index: CellIndex, probes: DataFrame, k: int) -> Data
     return nearest_in_cells(index, probes, k)
 
 
-def forget_candidates(memory: DataFrame, probe: Sequence[float], query: str | None, ceilings: Iterable[Ceiling], *, now: datetime, floor: float, limit: int = 25, index: DataFrame | None = None) -> DataFrame:
+def forget_candidates(memory: DataFrame, probe: Sequence[float], query: str | None, ceilings: Iterable[Ceiling], *, now: datetime, floor: float, limit: int = 25, index: postings.Index | None = None) -> DataFrame:
     """What a request to forget would remove: history too, use does not count."""
     found = search(memory, probe, query, ceilings, now=now, limit=min(limit, 25), history=True, weights=Weights(usage=0.0), index=index)
     return found.filter(F.col("similarity") >= floor)

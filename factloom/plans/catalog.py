@@ -696,7 +696,7 @@ NEAR_WORDS, NEAR_SQL, NEAR_STEMS = "la de -pour", "{{la}} AND {{de}} AND NOT {{p
 OPEN_FACTS = "fx_memory m WHERE sensitivity = 'open' AND content IS NOT NULL"
 
 
-def _fused(fusion: str, holds: str, tags: str = "true", secondary: bool = False, usage: float = 0.05, limit: int = 8) -> str:
+def _fused(fusion: str, holds: str, tags: str = "true", secondary: bool = False, usage: float = 0.05, limit: int = 8, floor: float = -1.0) -> str:
     """Both arms and their fusion, the lexical one for the words of ``WORDS``."""
     reach = f"m.sensitivity = 'open' AND m.namespace IN ('project:alpha', 'user:me'{', ' + repr('global') if secondary else ''}) AND {holds} AND {tags}"
     use = "least(ln(1 + m.access_count) / ln(11), 1)"
@@ -708,7 +708,7 @@ vec AS (SELECT id, list_cosine_similarity(embedding, {PROBE_SQL}) AS similarity,
 {lexical_sql.matched_sql("reach WHERE content IS NOT NULL", WORDS_SQL, WORDS_STEMS, False)},
 lex AS (SELECT id, lexical, row_number() OVER (ORDER BY lexical DESC, id) AS rl FROM matched QUALIFY rl <= {n}),
 g AS (SELECT coalesce(v.id, l.id) AS id, coalesce(similarity, 0) AS similarity, least(coalesce(lexical, 0), 1) AS lexical, rv, rl FROM vec v FULL JOIN lex l ON l.id = v.id)
-SELECT id, similarity, score FROM (SELECT m.id, round(g.similarity, 4) AS similarity, round({score}, 4) AS score, row_number() OVER (ORDER BY {score} DESC, m.created_at DESC, m.id) AS n FROM g JOIN fx_memory m USING (id)) WHERE n <= {limit}"""
+SELECT id, similarity, score FROM (SELECT m.id, round(g.similarity, 4) AS similarity, round({score}, 4) AS score, row_number() OVER (ORDER BY {score} DESC, m.created_at DESC, m.id) AS n FROM g JOIN fx_memory m USING (id)) WHERE n <= {limit} AND similarity >= {floor}"""
 
 
 def _search(spark: SparkSession, sf: str, secondary: bool = False, **options: object) -> DataFrame:
@@ -794,30 +794,31 @@ def r07_nearest_ids(spark, sf):
     return search.nearest_ids(mem(spark, sf, True), probe(spark, sf), 10).select("id", "rank")
 
 
-@query(f"SELECT id, round(s, 4) AS similarity FROM (SELECT id, list_cosine_similarity(embedding, {PROBE_SQL}) AS s, created_at FROM fx_memory m WHERE {ceil()} ORDER BY s DESC, created_at DESC, id LIMIT 25) WHERE s >= 0.2")
+@query(_fused("linear", "true", usage=0.0, limit=25, floor=0.2))
 def r08_forget_candidates(spark, sf):
-    return search.forget_candidates(mem(spark, sf, True), probe(spark, sf), None, CEILINGS, now=NOW, floor=0.2).select("id", F.round("similarity", 4).alias("similarity"))
+    found = search.forget_candidates(mem(spark, sf, True), probe(spark, sf), WORDS, [("project:alpha", "open"), ("user:me", "open")], now=NOW, floor=0.2, index=fx.lexical_index(spark, sf))
+    return found.select("id", F.round("similarity", 4).alias("similarity"), F.round("score", 4).alias("score"))
 
 
 @query(f"WITH {lexical_sql.matched_sql(OPEN_FACTS, WORDS_SQL, WORDS_STEMS, False)} SELECT id, round(lexical, 6) AS lexical FROM matched")
 def r09_lexical_arm(spark, sf):
-    return postings.match(fx.lexical_index(spark, sf), WORDS).select("id", F.round("lexical", 6).alias("lexical"))
+    return postings.match(fx.lexical_index(spark, sf).rows, WORDS).select("id", F.round("lexical", 6).alias("lexical"))
 
 
 @query(f"WITH {lexical_sql.matched_sql(OPEN_FACTS, NEAR_SQL, NEAR_STEMS, True)} SELECT id, round(lexical, 6) AS lexical FROM matched")
 def r09_by_nearness(spark, sf):
-    return postings.match(fx.lexical_index(spark, sf), NEAR_WORDS).select("id", F.round("lexical", 6).alias("lexical"))
+    return postings.match(fx.lexical_index(spark, sf).rows, NEAR_WORDS).select("id", F.round("lexical", 6).alias("lexical"))
 
 
 @query(f"WITH {lexical_sql.places_sql(OPEN_FACTS)} SELECT id, 0.0::DOUBLE AS lexical FROM {OPEN_FACTS} EXCEPT SELECT id, 0.0 FROM places WHERE stem IN ('la', 'und')")
 def r09_what_must_not_occur(spark, sf):
     open_facts = mem(spark, sf).filter("sensitivity = 'open' and content is not null")
-    return postings.match(fx.lexical_index(spark, sf), "-la -und", open_facts).select("id", F.round("lexical", 6).alias("lexical"))
+    return postings.match(fx.lexical_index(spark, sf).rows, "-la -und", open_facts).select("id", F.round("lexical", 6).alias("lexical"))
 
 
 @query(f"WITH {lexical_sql.places_sql(OPEN_FACTS)} SELECT stem, count(DISTINCT id) AS texts, count(*) AS places, max(pos) AS last FROM places GROUP BY stem")
 def r09_index(spark, sf):
-    each = fx.lexical_index(spark, sf).select("stem", F.size("ids").alias("texts"), F.flatten("places").alias("places"))
+    each = fx.lexical_index(spark, sf).rows.select("stem", F.size("ids").alias("texts"), F.flatten("places").alias("places"))
     return each.groupBy("stem").agg(F.sum("texts").alias("texts"), F.sum(F.size("places")).alias("places"), F.max(F.array_max("places")).alias("last"))
 
 

@@ -69,10 +69,10 @@ def fx_memory(spark: SparkSession, sf_dir: str, embedding: bool = True) -> DataF
     return rows.join(vectors, F.col("id") % vectors.agg(F.count("*")).scalar() == F.col("vec_id")).drop("vec_id")
 
 
-_INDEXES: dict[tuple[str, str], DataFrame] = {}
+_INDEXES: dict[tuple[str, str], postings.Index] = {}
 
 
-def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexical_index(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The inverted index of the open facts: made once a session and store."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:

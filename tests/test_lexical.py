@@ -75,29 +75,30 @@ def test_queries_as_typed():
 
 
 @pytest.mark.parametrize("query", QUERIES)
-def test_matches_and_ranks_by_hand(spark, docs, index, query):
+def test_matches_and_ranks_by_hand(spark, docs, index, query, monkeypatch):
     everything = spark.createDataFrame([(i,) for i, t in docs if t is not None], "id long")
     want = by_hand(query, [(i, t) for i, t in docs if t is not None])
-    got = {r.id: r.lexical for r in postings.match(index, query, everything).collect()}
+    got = {r.id: r.lexical for r in postings.match(index.rows, query, everything).collect()}
     assert got == pytest.approx(want, rel=1e-9, abs=1e-14)
     some = everything.filter("id % 3 <> 1")
+    monkeypatch.setattr(postings, "WORTH_BOUNDS", 1)
     best = [(r.id, r.lexical) for r in postings.top(index, query, some, 12).collect()]
     assert [i for i, _ in best] == [i for i, s in sorted(((i, got[i]) for i in want if i % 3 != 1), key=lambda x: (-x[1], x[0]))][:12]
 
 
 def test_bounds_hold_and_prune(spark, docs, index):
     q = lexical.parse_query("port zebra")
-    bounds = {r.block: r.bound for r in postings.block_bounds(index, q).collect()}
+    bounds = {r.block: r.bound for r in postings.block_bounds(index.rows, q).collect()}
     ranks = by_hand("port zebra", docs)
-    for r in index.filter("stem = 'port'").select("block", "ids").collect():
+    for r in index.rows.filter("stem = 'port'").select("block", "ids").collect():
         assert all(ranks.get(i, 0) <= bounds.get(r.block, 0) + 1e-12 for i in r.ids)
-    assert index.filter("stem = 'port'").count() > postings.FIRST_BLOCKS and not bounds.keys() - {r.block for r in index.select("block").collect()}
+    assert index.blocks > 4 * postings.FIRST_BLOCKS and not bounds.keys() - {r.block for r in index.rows.select("block").collect()}
 
 
 def test_a_search_reads_its_own_stems_only(spark, index):
-    plan = postings.match(index, "port zebra")._jdf.queryExecution().executedPlan().toString()
+    plan = postings.match(index.rows, "port zebra")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "In(stem, [port,zebra])" in plan and "Python" not in plan and "Arrow" not in plan
-    heads = postings.block_bounds(index, lexical.parse_query("port zebra"))._jdf.queryExecution().executedPlan().toString()
+    heads = postings.block_bounds(index.rows, lexical.parse_query("port zebra"))._jdf.queryExecution().executedPlan().toString()
     assert "places" not in heads and "ids" not in heads
 
 
