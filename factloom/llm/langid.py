@@ -25,6 +25,7 @@ from .subword import BUCKETS, read_words, softmax, train, word_logits
 
 PER_LANGUAGE = 1200
 SAMPLE_BYTES = 48 << 20
+MOST_LABELS = 256
 SEGMENTS = 4
 REJECT = 0.001
 #: A score from which no text is rejected, however sure the others are.
@@ -54,25 +55,33 @@ def _document_logits(words, per_word: np.ndarray, bias: np.ndarray) -> np.ndarra
 
 
 def bounded(rows: DataFrame, label: str, per_class: int, salt: int) -> pa.Table:
-    """(doc_id, text, label) of rows with a text and a label, of each label at
-    most ``per_class`` rows and together at most ``SAMPLE_BYTES`` of texts: the
-    first by a hash of id and text. Rows equal in all three count once, however
-    many there are. Labels are a model's classes and so few."""
+    """(doc_id, text, label) of rows with a text and a label: of the
+    ``MOST_LABELS`` labels with most rows each at most ``per_class`` rows and an
+    equal share of ``SAMPLE_BYTES`` of text, the first by a hash of id and text.
+
+    Rows equal in all three count once, however many there are. A text of more
+    than a quarter of its label's share is left out; a label that has no
+    shorter one gives a quarter's worth of one text.
+    """
     marked = rows.filter(F.col("text").isNotNull() & F.col(label).isNotNull()).select("doc_id", "text", F.col(label).alias("label"), F.xxhash64("text").alias("h"))
-    sizes = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
-    if not sizes:
-        return marked.select("doc_id", "text", F.col("label").alias(label)).limit(0).toArrow()
+    each = marked.groupBy("label", "doc_id", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
+    sizes = each.groupBy("label").count().orderBy(F.col("count").desc(), "label").limit(MOST_LABELS).toArrow()
+    empty = marked.select("doc_id", "text", F.col("label").alias(label)).limit(0)
+    if not sizes.num_rows:
+        return empty.toArrow()
+    share = SAMPLE_BYTES // sizes.num_rows
     # Half as many again as are needed come near; the exact bound follows on those.
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, (1.5 * per_class + 100) / n))])
+    counts = rows.sparkSession.createDataFrame(sizes.to_pylist(), marked.select("label").schema.add("count", "long"))
     place = id_hash(F.struct("doc_id", "h"), salt)
-    near = marked.filter(place < F.element_at(share, F.col("label")))
-    each = near.groupBy("label", "doc_id", "h").agg(F.min(place).alias("place"), F.max(F.octet_length("text")).alias("bytes"))
-    order = Window.partitionBy("label").orderBy("place", "doc_id", "h")
-    ranked = each.select("*", F.row_number().over(order).alias("nth"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"))
-    chosen = ranked.filter((F.col("nth") <= per_class) & (F.col("so_far") <= SAMPLE_BYTES // len(sizes))).select(*[F.col(c).alias(f"c_{c}") for c in ("label", "doc_id", "h")])
+    near = each.join(F.broadcast(counts), "label").withColumns({"place": place, "fits": F.col("bytes") <= share // 4}).filter(F.col("place") < (1.5 * per_class + 100) / F.col("count"))
+    order = Window.partitionBy("label", "fits").orderBy("place", "doc_id", "h")
+    ranked = near.select("*", F.row_number().over(order).alias("nth"), F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"), F.max("fits").over(Window.partitionBy("label")).alias("any_fits"))
+    taken = F.when(F.col("fits"), (F.col("nth") <= per_class) & (F.col("so_far") <= share)).otherwise((F.col("nth") == 1) & ~F.col("any_fits"))
+    chosen = ranked.filter(taken).select(*[F.col(c).alias(f"c_{c}") for c in ("label", "doc_id", "h")])
     same = F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("h") == F.col("c_h")) & (F.col("label") == F.col("c_label"))
-    met = near.join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "label", "h").agg(F.first("text").alias("text"))
-    return met.select("doc_id", "text", F.col("label").alias(label)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), (label, "ascending")])
+    met = marked.join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "label", "h").agg(F.first("text").alias("text"))
+    cut = F.when(F.octet_length("text") <= share // 4, F.col("text")).otherwise(F.substring("text", 1, share // 4))
+    return met.select("doc_id", cut.alias("text"), F.col("label").alias(label)).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), (label, "ascending")])
 
 
 def fit(docs: DataFrame, usable: Column) -> Model:

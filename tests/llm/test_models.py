@@ -131,3 +131,29 @@ def test_words_and_features_do_not_depend_on_company():
         word, bucket = subword.features(vocabulary)
         for k, name in enumerate(vocabulary):
             assert one.setdefault(name, sorted(bucket[word == k].tolist())) == sorted(bucket[word == k].tolist())
+
+
+def test_a_sample_keeps_its_labels_with_repeats_and_long_texts(spark, monkeypatch):
+    given = [(i, words(("xx", "yy")[i % 2], 20), ("xx", "yy")[i % 2]) for i in range(200)]
+    plain = langid.bounded(frame(spark, given), "lang", 1000, 6)
+    repeated = frame(spark, given).union(frame(spark, given[:1]).crossJoin(spark.range(50_000)).drop("id"))
+    assert langid.bounded(repeated, "lang", 1000, 6).equals(plain) and plain.num_rows == 200
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 100_000)
+    long = [(1000 + i, words("xx", 9000), "xx") for i in range(30)]
+    got = langid.bounded(frame(spark, given + long), "lang", 1000, 6)
+    assert got.equals(langid.bounded(frame(spark, given), "lang", 1000, 6)) and got.num_rows == 200
+    only = langid.bounded(frame(spark, given[1::2] + long), "lang", 1000, 6)
+    assert only["lang"].to_pylist().count("xx") == 1 and only["lang"].to_pylist().count("yy") == 100
+    assert max(map(len, only["text"].to_pylist())) <= 12_500
+
+
+def test_repeats_and_one_long_text_change_no_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 400_000)
+    given = [(i, words(("xx", "yy")[i % 2], 20), ("xx", "yy")[i % 2]) for i in range(300)]
+    more = [(given[0][0], given[0][1], "xx")] * 3000 + [(4000 + i, words("xx", 30_000), "xx") for i in range(4)]
+    known = {i: lang for i, _, lang in given}
+    got = [r for r in langid.op6(frame(spark, given + more)).collect() if r.held_out and r.doc_id in known]
+    assert got and all(r.lang_pred == known[r.doc_id] for r in got)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    scores = {r.doc_id: r.predicted for r in toxicity.op7(frame(spark, given + more), labels).collect() if r.held_out and r.doc_id in known}
+    assert scores and np.mean([p == i % 2 for i, p in scores.items()]) > 0.95
