@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,8 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .staging import written
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -111,119 +108,6 @@ def embed(df: DataFrame, text: str = "content", out: str = "embedding", dim: int
     return df.withColumn(out, run(F.col(text)))
 
 
-#: Rows of a cell of the index, about; and rows that a fit of its centres looks at.
-CELL_ROWS, FIT_ROWS = 256, 20_000
-#: Recall that the number of cells looked into is tuned to, over so many probes.
-AIM, TUNE_PROBES = 0.95, 64
-
-
-@dataclass
-class CellIndex:
-    """Every row of a table under the cell of its nearest centre. ``rows`` is
-    (cell, block, id, e), ``blocks`` (cell, blocks): a cell of very many rows is
-    cut into blocks, so that no task holds it whole. ``look`` is how many cells
-    a probe is compared with."""
-
-    centres: np.ndarray
-    rows: DataFrame
-    blocks: DataFrame
-    look: int
-
-
-def _unit(vectors: list) -> np.ndarray:
-    x = np.stack([np.asarray(v, float) for v in vectors])
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-
-
-def _centres(sample: np.ndarray, many: int, seed: int = 5) -> np.ndarray:
-    """Spherical k-means of a bounded sample."""
-    rng = np.random.default_rng(seed)
-    c = sample[rng.choice(len(sample), min(many, len(sample)), replace=False)]
-    for _ in range(10):
-        own = (sample @ c.T).argmax(axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, own, sample)
-        length = np.sqrt((total * total).sum(axis=1, keepdims=True))
-        c = np.where(length > 0, total / np.maximum(length, 1e-300), c)
-    return c
-
-
-def cell_index(df: DataFrame, k: int = 10, embedding: str = "embedding") -> CellIndex:
-    """Index every row with a vector. The centres are learnt on at most about
-    ``FIT_ROWS`` rows, picked by a hash of the id; the number of cells to look
-    into is the smallest power of 2 that finds ``AIM`` of the exact k nearest of
-    ``TUNE_PROBES`` rows, picked likewise."""
-    rows = df.filter(F.col(embedding).isNotNull()).select("id", F.col(embedding).alias("e"))
-    n = rows.count()
-    place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(place < FIT_ROWS / max(n, 1)).limit(2 * FIT_ROWS).toArrow()
-    if not n or not sample.num_rows:
-        sample = rows.limit(1).toArrow()
-    if not sample.num_rows:
-        return CellIndex(np.zeros((0, 0)), written(rows.select(F.lit(0).alias("cell"), F.lit(0).alias("block"), "id", "e"), "cells"), df.sparkSession.createDataFrame([(0, 1)], "cell int, blocks int"), 1)
-    centres = _centres(_unit(sample.sort_by("id")["e"].to_pylist()), max(1, min(sample.num_rows, n // CELL_ROWS)))
-    id_type = df.schema["id"].dataType.simpleString()
-    e_type = df.schema[embedding].dataType.simpleString()
-
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                own = (_unit(b.column("e").to_pylist()) @ centres.T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column("id"), b.column("e")], ["cell", "id", "e"])
-
-    celled = written(rows.mapInArrow(assign, f"cell int, id {id_type}, e {e_type}"), "cells")
-    blocks = written(celled.groupBy("cell").agg(F.ceil(F.count("*") / (16 * CELL_ROWS)).cast("int").alias("blocks")), "cell-sizes")
-    placed = celled.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "e")
-    index = CellIndex(centres, placed, blocks, 1)
-    some = rows.filter(place < 4 * TUNE_PROBES / n).orderBy(place, "id").limit(TUNE_PROBES).select(F.col("id").alias("probe_id"), F.col("e").alias("vector"))
-    some = written(some, "cell-probes")
-    exact = written(nearest(rows.select("id", F.col("e").alias("embedding")), some, k).select("probe_id", "id"), "cell-exact")
-    while index.look < len(centres):
-        found = nearest_in_cells(index, some, k).join(exact, ["probe_id", "id"]).count()
-        if found >= AIM * exact.count():
-            break
-        index.look = min(2 * index.look, len(centres))
-    return index
-
-
-def nearest_in_cells(index: CellIndex, probes: DataFrame, k: int) -> DataFrame:
-    """probes (probe_id, vector), any number of them -> (probe_id, id,
-    similarity, rank): the k nearest among the rows of the cells whose centres
-    are nearest to the probe. Probes and rows meet by cell and block; a task
-    holds one block and the probes that ask for it."""
-    centres, look = index.centres, min(index.look, len(index.centres))
-    probe_type, vector_type = (probes.schema[c].dataType.simpleString() for c in ("probe_id", "vector"))
-    id_type = index.rows.schema["id"].dataType.simpleString()
-    if not look:
-        return probes.select("probe_id", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank")).limit(0)
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = np.argpartition(-(_unit(b.column("vector").to_pylist()) @ centres.T), look - 1, axis=1)[:, :look]
-                rows = np.repeat(np.arange(b.num_rows), look)
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), b.column("probe_id").take(pa.array(rows)), b.column("vector").take(pa.array(rows))], ["cell", "probe_id", "vector"])
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, asked = left["id"].to_pylist(), right["probe_id"].to_pylist()
-        out: list[tuple] = []
-        if ids and asked:
-            x = _unit(left["e"].to_pylist())
-            order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
-            for at in range(0, len(asked), 1024):
-                s = (_unit(right["vector"].slice(at, 1024).to_pylist()) @ x.T)[:, order]
-                for p, row in zip(asked[at : at + 1024], s, strict=True):
-                    out += [(p, ids[order[j]], float(row[j])) for j in np.argsort(-row, kind="stable")[:k]]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(("probe_id", "id", "similarity"), columns, (right["probe_id"].type, left["id"].type, pa.float64()), strict=True)})
-
-    asked = probes.select("probe_id", "vector").mapInArrow(ask, f"cell int, probe_id {probe_type}, vector {vector_type}")
-    spread = asked.join(index.blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "probe_id", "vector")
-    found = index.rows.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInArrow(best, f"probe_id {probe_type}, id {id_type}, similarity double")
-    order = W.partitionBy("probe_id").orderBy(F.col("similarity").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def nearest(df: DataFrame, probes: DataFrame, k: int, embedding: str = "embedding") -> DataFrame:
     """probes (probe_id, vector), a bounded set that is sent to every task ->
     (probe_id, id, similarity, rank): the k nearest of df to each. A task keeps

@@ -69,6 +69,15 @@ def fx_memory(spark: SparkSession, sf_dir: str, embedding: bool = True) -> DataF
     return rows.join(vectors, F.col("id") % vectors.agg(F.count("*")).scalar() == F.col("vec_id")).drop("vec_id")
 
 
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts whose vectors lie around 50 of the given ones."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    n, i = vectors.agg(F.count("*")).scalar(), F.col("id")
+    centres = vectors.filter("vec_id < 50").select(F.col("vec_id").alias("centre"), F.col("v").alias("c"))
+    rows = fx_memory(spark, sf_dir, embedding=False).select("id", "namespace").join(centres, i % 50 == F.col("centre"))
+    return rows.join(vectors, (i + F.floor(i / n)) % n == F.col("vec_id")).select("id", "namespace", F.zip_with("c", "v", lambda c, v: (c + v / 2).cast("float")).alias("embedding"))
+
+
 _INDEXES: dict[tuple[str, str], postings.Index] = {}
 
 

@@ -312,29 +312,6 @@ def test_findings_are_done_whole_or_not(spark):
     assert {r.id: r.superseded_by for r in after.collect()} == {"a": None, "b": "a", "c": None, "d": None}
 
 
-def test_approximate_index_finds_nine_tenths_and_splits_large_cells(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(12, 16))
-    x = np.concatenate([centres[rng.integers(0, 12, 3000)] + rng.normal(scale=0.6, size=(3000, 16)), np.tile(centres[0], (5000, 1))])  # over a third are alike
-    rows = spark.createDataFrame([(i, [float(v) for v in e], None) for i, e in enumerate(x)], "id long, embedding array<float>, superseded_by long")
-    probes = rows.filter("id % 20 = 0").selectExpr("id as probe_id", "embedding as vector")
-    index = search.approximate_index(rows, 10)
-    assert index.rows.count() == len(x) and index.rows.groupBy("cell", "block").count().agg({"count": "max"}).first()[0] < 2 * 16 * vector.CELL_ROWS
-    near = {(r.probe_id, r.id): r.similarity for r in search.nearest_ids_approximate(index, probes, 10).collect()}
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = total = 0
-    for p in range(0, 3000, 20):
-        s = np.float32(unit) @ np.float32(unit[p])
-        tenth = np.sort(s)[-10]
-        found = [i for (q, i) in near if q == p]
-        assert len(found) == 10
-        hits, total = hits + sum(s[i] >= tenth - 1e-5 for i in found), total + 10
-    assert hits >= 0.9 * total
-    assert search.nearest_ids_approximate(search.approximate_index(rows.limit(0)), probes, 3).count() == 0
-
-
 def test_chain_of_an_id_with_a_quote(spark):
     rows = spark.createDataFrame([("a'b", "c"), ("c", None), ("d", None)], "id string, superseded_by string")
     assert {r.id for r in chains.chain_ids(rows, "a'b").collect()} == {"a'b", "c"}
