@@ -31,16 +31,43 @@ def _lines(rows: DataFrame, name: str) -> DataFrame:
     return files.lines(rows.sparkSession, _texts(rows, name), pattern="part-*")
 
 
-@query("SELECT count(*) AS lines, CAST(sum(strlen(to_json({'i': doc_id})) + 1) AS BIGINT) AS bytes FROM documents")
-def s07_lines_with_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.table(spark, sf, "documents").select(F.to_json(F.struct(F.col("doc_id").alias("i"))).alias("value"))
-    return _lines(rows, "s07").agg(F.count("*").alias("lines"), F.sum(F.col("byte_end") - F.col("byte_start")).alias("bytes"))
+LINES = """l AS (SELECT doc_id, to_json({'i': doc_id, 't': text}) AS line FROM documents),
+o AS (SELECT doc_id, line, strlen(line) + 1 AS bytes, CAST(sum(strlen(line) + 1) OVER (ORDER BY doc_id) AS BIGINT) AS byte_end FROM l)"""
 
 
-@query()
+def _one_file(docs: DataFrame, name: str) -> str:
+    """A file of a JSON line a document, by number."""
+    rows = docs.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")), {"ignoreNullFields": "false"}).alias("value"))
+    return _texts(rows.repartition(1).sortWithinPartitions("doc_id").select("value"), name)
+
+
+@query(f"WITH {LINES} SELECT doc_id, byte_end - bytes AS byte_start, byte_end, md5(line) AS text FROM o")
+def s07_lines_with_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """One file in ranges of 100,000 bytes: a line has its own place in it."""
+    read = files.lines(spark, _one_file(fx.table(spark, sf, "documents"), "s07"), pattern="part-*", range_bytes=100_000)
+    return read.select(F.get_json_object("text", "$.i").cast("long").alias("doc_id"), "byte_start", "byte_end", F.md5("text").alias("text"))
+
+
+@query(f"WITH {LINES}, h AS (SELECT max(byte_end) AS reached FROM o WHERE doc_id < 100) SELECT 'grown' AS file, doc_id, byte_end - bytes AS byte_start FROM o, h WHERE byte_end > reached UNION ALL SELECT 'changed', doc_id, byte_end - bytes - (SELECT sum(bytes) FROM o WHERE doc_id = 0) FROM o WHERE doc_id > 0")
+def t05_only_new_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """What was read up to document 100 is not read again where it still begins
+    a file; a file that begins otherwise is read from 0."""
+    docs = fx.table(spark, sf, "documents")
+    mark = files.reached(files.lines(spark, _one_file(docs.filter("doc_id < 100"), "t05"), pattern="part-*"))
+    out = []
+    for name, rows in (("grown", docs), ("changed", docs.filter("doc_id > 0"))):
+        path = _one_file(rows, "t05")
+        here = files.discover(spark, path, "part-*").select(F.col("path").alias("file_path"))
+        marks = here.join(mark.drop("file_path"))
+        read = files.lines(spark, path, marks, "part-*", range_bytes=100_000)
+        out.append(read.select(F.lit(name).alias("file"), F.get_json_object("text", "$.i").cast("long").alias("doc_id"), "byte_start"))
+    return out[0].unionAll(out[1])
+
+
+@query("SELECT sum(strlen(n_name) + 1)::BIGINT AS length FROM nation")
 def s08_discover_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.table(spark, sf, "nation").select("n_name")
-    path = _texts(rows.withColumnRenamed("n_name", "value"), "s08")
+    path = _texts(rows.withColumnRenamed("n_name", "value").coalesce(1), "s08")
     return files.discover(spark, path, "part-*").select("length")
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from datetime import datetime
+import json
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Parts of paths that are never read, and sizes.
-SENSITIVE = [".ssh", ".gnupg", ".aws", ".kube", "secrets", "credentials", "id_rsa", ".env", ".pem", ".p12", "keychain"]
+from . import byte_lines
+from .byte_lines import SENSITIVE
+
+# Fixed value: the longest line that is read.
 MAX_LINE = 4 << 20
+RANGE_BYTES = 64 << 20
 
 
 def sensitive(path: str | Column = "path") -> Column:
@@ -25,51 +28,57 @@ def sensitive(path: str | Column = "path") -> Column:
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl", since: datetime | None = None, most: int | None = None) -> DataFrame:
-    """(path, length, modified) of the files below a folder; names only, no
-    contents are read. Sensitive paths are left out."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    if since is not None:
-        reader = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
-    files = reader.load(root).select("path", "length", F.col("modificationTime").alias("modified")).filter(~sensitive())
-    return files if most is None else files.orderBy(F.col("modified").desc(), "path").limit(most)
-
-
-def split_lines(content: bytes, start: int = 0, max_line: int = MAX_LINE) -> Iterator[tuple[int, int, bytes | None]]:
-    """(start, end, line) from a byte on; a line over the limit is counted but
-    not given; what has no newline yet stays for the next run."""
-    at = start
-    while (end := content.find(b"\n", at)) >= 0:
-        line = content[at:end].removesuffix(b"\r")
-        yield at, end + 1, None if len(line) > max_line else line
-        at = end + 1
-
-
-def lines(spark: SparkSession, root: str, marks: DataFrame | None = None, pattern: str = "*.jsonl", max_line: int = MAX_LINE) -> DataFrame:
+    """(path, length, modified) of the files below a folder, at most so many of
+    the newest; names only, no contents are read. Sensitive paths and what
+    symbolic links lead to are left out."""
+    after = since.replace(tzinfo=since.tzinfo or UTC).timestamp() if since else 0.0
+    found = [f for f in byte_lines.listed(root, pattern) if f[2] >= after][:most]
+    rows = spark.createDataFrame(found, "path string, length long, at double")
+    return rows.select("path", "length", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("modified"))
+
+
+def intact(marks: DataFrame) -> DataFrame:
+    """(file_path, byte_offset): from where each file of marks (file_path,
+    byte_offset, prefix_sha256) is to be read; 0 where the beginning is no
+    longer what was read. A task hashes a file at a time, in constant memory."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                try:
+                    same = r["prefix_sha256"] is None or byte_lines.digest(r["file_path"], r["byte_offset"]) == r["prefix_sha256"]
+                except FileNotFoundError:
+                    same = False
+                out.append((r["file_path"], r["byte_offset"] if same else 0))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["file_path", "byte_offset"])
+
+    return marks.select("file_path", F.col("byte_offset").cast("long").alias("byte_offset"), "prefix_sha256").mapInArrow(run, "file_path string, byte_offset long")
+
+
+def lines(spark: SparkSession, root: str, marks: DataFrame | None = None, pattern: str = "*.jsonl", max_line: int = MAX_LINE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file_path, byte_start, byte_end, text, oversized): all whole lines after
-    each file's offset in marks (file_path, byte_offset, prefix_sha256); a file
-    whose beginning is no longer the one that was read is read from 0."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).filter(~sensitive())
-    asked = files.select(F.col("path").alias("file_path"), "content")
-    if marks is None:
-        asked = asked.select("*", F.lit(0).cast("long").alias("byte_offset"), F.lit(None).cast("string").alias("prefix_sha256"))
-    else:
-        asked = asked.join(marks.select("file_path", "byte_offset", "prefix_sha256"), "file_path", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content, offset, prefix in pdf[["file_path", "content", "byte_offset", "prefix_sha256"]].itertuples(index=False):
-                start = 0 if pd.isna(offset) else int(offset)
-                if start and isinstance(prefix, str) and (start > len(content) or hashlib.sha256(content[:start]).hexdigest() != prefix):
-                    start = 0
-                rows = [(path, a, b, None if t is None else t.decode("utf-8", "replace"), t is None) for a, b, t in split_lines(content, start, max_line)]
-                yield pd.DataFrame(rows, columns=["file_path", "byte_start", "byte_end", "text", "oversized"])
-
-    return asked.mapInPandas(run, "file_path string, byte_start long, byte_end long, text string, oversized boolean")
-
-
-def reached(spark: SparkSession, root: str, read: DataFrame, pattern: str = "*.jsonl") -> DataFrame:
+    each file's offset in marks; a file whose beginning is no longer the one
+    that was read is read from 0. The driver holds a number for each file."""
+    spark.dataSource.register(byte_lines.ByteLines)
+    offsets = {} if marks is None else {r.file_path: r.byte_offset for r in intact(marks).collect() if r.byte_offset}
+    options = {"path": root, "pattern": pattern, "rangeBytes": str(range_bytes), "maxLine": str(max_line), "offsets": json.dumps(offsets)}
+    return spark.read.format("byte_lines").options(**options).load()
+
+
+def line_stream(spark: SparkSession, root: str, pattern: str = "*.jsonl", max_line: int = MAX_LINE, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The same lines as a stream, as files grow."""
+    spark.dataSource.register(byte_lines.ByteLines)
+    return spark.readStream.format("byte_lines").options(path=root, pattern=pattern, rangeBytes=str(range_bytes), maxLine=str(max_line)).load()
+
+
+def reached(read: DataFrame) -> DataFrame:
     """(file_path, byte_offset, prefix_sha256): how far each file was read."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [byte_lines.digest(p, n) for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=["file_path", "byte_offset", "prefix_sha256"])
+
     ends = read.groupBy("file_path").agg(F.max("byte_end").alias("byte_offset"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    both = files.select(F.col("path").alias("file_path"), "content").join(ends, "file_path")
-    return both.select("file_path", "byte_offset", F.sha2(F.expr("substring(content, 1, cast(byte_offset as int))"), 256).alias("prefix_sha256"))
+    return ends.mapInArrow(run, "file_path string, byte_offset long, prefix_sha256 string")
