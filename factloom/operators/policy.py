@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Ceiling, Grant, any_of, pattern_matches, rank_of, sensitivity_rank
+from ..functions.predicates import LEVELS, Ceiling, Grant, any_of, pattern_matches, rank_of, sensitivity_rank
 
 #: What each callable operation needs.
 CAPABILITIES = {
@@ -42,6 +42,13 @@ def resolve(grants: Sequence[Grant], namespaces: Iterable[str]) -> list[Ceiling]
     return [(n, top) for n in namespaces if (top := ceiling(grants, n)) is not None]
 
 
+def ceilings(grants: Sequence[Grant], namespace: str | Column = "namespace") -> Column:
+    """The highest level that the matching grants give, null where none matches."""
+    n = F.col(namespace) if isinstance(namespace, str) else namespace
+    held = lambda level: any_of(pattern_matches(p, n) for p, top in grants if top == level)
+    return F.coalesce(*[F.when(held(level), level) for level in reversed(LEVELS)])
+
+
 def admits(grants: Sequence[Grant], namespace: str, level: str) -> bool:
     top = ceiling(grants, namespace)
     return top is not None and rank_of(level) <= rank_of(top)

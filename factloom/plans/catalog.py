@@ -188,10 +188,11 @@ def f12_confirm_window(spark, sf):
     return mem(spark, sf).filter(predicates.confirm_hidden(NOW, 480)).select("id")
 
 
-@query("""SELECT ns AS namespace, level FROM (VALUES ('global', 'sealed'), ('user:me', 'sealed'), ('project:alpha', 'sealed')) v(ns, level)""")
+@query("SELECT DISTINCT namespace, CASE WHEN namespace = 'user:me' THEN 'private' WHEN namespace = 'project:rare' THEN 'sealed' ELSE 'open' END AS level FROM fx_memory WHERE namespace = 'user:me' OR starts_with(namespace, 'project:')")
 def f14_resolve(spark, sf):
-    grants = [("project:*", "open"), ("*", "sealed"), ("user:me", "private")]
-    return spark.createDataFrame(policy.resolve(grants, ["global", "user:me", "project:alpha"]), "namespace string, level string")
+    grants = [("project:*", "open"), ("project:r*", "sealed"), ("user:me", "private"), ("user:me", "open")]
+    level = policy.ceilings(grants, "namespace")
+    return mem(spark, sf).select("namespace").distinct().select("namespace", level.alias("level")).filter("level is not null")
 
 
 RULES = [("personal:*", "private"), ("personal:health", "sealed"), ("project:*", "open"), ("project:rare", "private")]
@@ -993,16 +994,18 @@ def x09_normal_tags(spark, sf):
     return mem(spark, sf).select("id", F.array_join(text.normal_tags(messy), "|").alias("tags"))
 
 
-@query("SELECT i AS n, CASE WHEN i % 4 = 0 THEN 'machines.box' || i || '.os' WHEN i % 4 = 1 THEN 'machines.h' || i || '.gpu' WHEN i % 4 = 2 THEN 'services.s' || i || '.port' END AS suggestion FROM range(200) t(i)")
+@query("SELECT doc_id AS n, CASE doc_id % 4 WHEN 0 THEN 'machines.' || lang || doc_id || '.os' WHEN 1 THEN 'machines.' || lang || doc_id || '.gpu' WHEN 2 THEN 'services.' || lang || doc_id || '.port' END AS suggestion FROM documents WHERE regexp_full_match(lang, '[a-z]+')")
 def x10_suggest_key(spark, sf):
-    i = F.col("id").cast("string")
-    key = F.when(F.col("id") % 4 == 0, F.concat(F.lit("machine.box"), i, F.lit(".os"))).when(F.col("id") % 4 == 1, F.concat(F.lit("Hosts h"), i, F.lit(" GPUs"))).when(F.col("id") % 4 == 2, F.concat(F.lit("servcies.s"), i, F.lit(".port"))).otherwise("zzz.qqq")
-    return spark.range(200).select(F.col("id").alias("n"), guards.suggested_keys(key).alias("suggestion"))
+    n, name = F.col("doc_id"), F.concat("lang", F.col("doc_id").cast("string"))
+    key = F.when(n % 4 == 0, F.concat(F.lit("machine."), name, F.lit(".os"))).when(n % 4 == 1, F.concat(F.lit("Hosts "), name, F.lit(" GPUs"))).when(n % 4 == 2, F.concat(F.lit("servcies."), name, F.lit(".port"))).otherwise("zzz.qqq")
+    return fx.table(spark, sf, "documents").filter("lang rlike '^[a-z]+$'").select(n.alias("n"), guards.suggested_keys(key).alias("suggestion"))
 
 
-@query("SELECT v AS kind, CASE v WHEN 'Hosts' THEN 'host' WHEN 'model route' THEN 'model-route' WHEN 'dataset' THEN 'dataset' END AS canonical FROM (VALUES ('Hosts'), ('model route'), ('dataset'), ('thing')) t(v)")
+@query("SELECT doc_id AS n, CASE doc_id % 4 WHEN 0 THEN 'host' WHEN 1 THEN 'model-route' WHEN 2 THEN 'dataset' END AS canonical FROM documents")
 def x11_kinds(spark, sf):
-    return spark.createDataFrame([("Hosts",), ("model route",), ("dataset",), ("thing",)], "kind string").select("kind", guards.canonical_kinds("kind").alias("canonical"))
+    k = F.col("doc_id") % 4
+    kind = F.when(k == 0, " Hosts").when(k == 1, "model route").when(k == 2, "Dataset").otherwise(F.concat(F.coalesce("lang", F.lit("no")), F.lit(" thing")))
+    return fx.table(spark, sf, "documents").select(F.col("doc_id").alias("n"), guards.canonical_kinds(kind).alias("canonical"))
 
 
 @query("SELECT DISTINCT namespace AS raw, namespace AS normal FROM fx_memory UNION ALL SELECT 'project:-x', NULL UNION ALL SELECT ' Project:A/B ', 'project:a/b'")
@@ -1020,24 +1023,27 @@ def x13_credentials(spark, sf):
 PEM = "'-----BEGIN ' || CASE i % 3 WHEN 0 THEN 'RSA ' WHEN 1 THEN '' ELSE 'X ' END || 'PRIVATE KEY-----'"
 
 
-@query("SELECT i AS n, CASE i % 5 WHEN 0 THEN 'pem_private_key' WHEN 1 THEN 'aws_access_key_id' WHEN 2 THEN 'github_token' END AS rule FROM range(100) t(i)")
+@query("SELECT doc_id AS n, CASE doc_id % 5 WHEN 0 THEN 'pem_private_key' WHEN 1 THEN 'aws_access_key_id' WHEN 2 THEN 'github_token' END AS rule FROM documents")
 def x16_prefix_rules_without_python(spark, sf):
-    i = F.col("id")
-    content = F.when(i % 5 == 0, "x -----BEGIN RSA PRIVATE KEY-----").when(i % 5 == 1, F.concat(F.lit("id AKIA"), F.lpad(i.cast("string"), 16, "A"))).when(i % 5 == 2, F.concat(F.lit("ghp_"), F.lpad(i.cast("string"), 36, "b"))).when(i % 5 == 3, "AKIA123").otherwise("xghp_" + "c" * 36)
-    return spark.range(100).select(i.alias("n"), credentials.finding_sql(content).alias("rule"))
+    i = F.col("doc_id")
+    secret = F.when(i % 5 == 0, "x -----BEGIN RSA PRIVATE KEY-----").when(i % 5 == 1, F.concat(F.lit("id AKIA"), F.lpad(i.cast("string"), 16, "A"))).when(i % 5 == 2, F.concat(F.lit("ghp_"), F.lpad(i.cast("string"), 36, "b"))).when(i % 5 == 3, "AKIA123").otherwise("xghp_" + "c" * 36)
+    content = F.concat_ws(" ", F.regexp_replace("text", "[^a-z ]", " "), secret)
+    return fx.table(spark, sf, "documents").select(i.alias("n"), credentials.finding_sql(content).alias("rule"))
 
 
-@query("SELECT i AS n, '2024-03-' || lpad(CAST(i % 28 + 1 AS VARCHAR), 2, '0') || '|2023-05-12' AS dates FROM range(100) t(i)")
+@query("SELECT o_orderkey AS n, strftime(o_orderdate, '%Y-%m-%d') || '|' || strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') || '|' || strftime(o_orderdate + INTERVAL 500 DAY, '%Y-%m-%d') AS dates FROM orders")
 def x20_dates(spark, sf):
-    content = F.concat(F.lit("On 2024-03-"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"), F.lit(", and May 12, 2023; 12 may 2023 again, 2024-02-31 never."))
-    return spark.range(100).select(F.col("id").alias("n"), F.array_join(F.transform(guards.stated_dates(content), lambda d: d.cast("string")), "|").alias("dates"))
+    day = lambda n, form: F.date_format(F.date_add(F.col("o_orderdate").cast("date"), n), form)
+    content = F.concat(F.lit("Ordered "), day(0, "yyyy-MM-dd"), F.lit(", sent "), day(40, "MMMM d, yyyy"), F.lit("; again "), day(0, "d MMM yyyy"), F.lit(", due "), day(500, "d MMMM yyyy"), F.lit(". 2024-02-31 never."))
+    return fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("n"), F.array_join(F.transform(guards.stated_dates(content), lambda d: d.cast("string")), "|").alias("dates"))
 
 
-@query("SELECT i AS n, CASE i % 4 WHEN 0 THEN 'digits-differ' WHEN 1 THEN 'identifiers-differ' WHEN 2 THEN 'negation-differs' END AS why FROM range(40) t(i)")
+@query("SELECT o_orderkey AS n, CASE o_orderkey % 4 WHEN 0 THEN 'digits-differ' WHEN 1 THEN 'identifiers-differ' WHEN 2 THEN 'negation-differs' END AS why FROM orders")
 def x21_collapse_guard(spark, sf):
-    pairs = [("port is 8787", "port is 8080"), ("see A.B now", "see C.D now"), ("it is not on", "it is on"), ("the box is on", "the box, it is on")]
-    rows = [(i, *pairs[i % 4]) for i in range(40)]
-    return spark.createDataFrame(rows, "n long, a string, b string").select("n", guards.collapse_blocks("a", "b").alias("why"))
+    k, key = F.col("o_orderkey") % 4, F.col("o_orderkey")
+    said = F.concat(F.lit("order "), key, F.lit(" of "), F.col("o_orderdate").cast("string"), F.lit(" is in state "), F.lower("o_orderstatus"))
+    other = F.when(k == 0, F.concat(F.lit("order "), key + 1, F.lit(" of "), F.col("o_orderdate").cast("string"), F.lit(" is in state "), F.lower("o_orderstatus"))).when(k == 1, F.concat(said, F.lit(" at A.B"))).when(k == 2, F.concat(said, F.lit(", not open"))).otherwise(F.concat(F.lit("The "), said, F.lit("!")))
+    return fx.table(spark, sf, "orders").select(key.alias("n"), guards.collapse_blocks(said, other).alias("why"))
 
 
 @query()
@@ -1046,10 +1052,11 @@ def x22_hash_embedder(spark, sf):
     return d.select("doc_id", F.round(vector.norm(F.col("embedding")), 4).alias("length"))
 
 
-@query("SELECT i AS n, CASE i % 3 WHEN 0 THEN '2024-05-06 00:00:00' WHEN 1 THEN '2024-05-06 05:08:09' END AS at FROM range(30) t(i)")
+@query("SELECT event_id AS n, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d') || ' 00:00:00' WHEN 1 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') END AS at FROM events")
 def x24_parse_instant(spark, sf):
-    raw = F.when(F.col("id") % 3 == 0, "2024-05-06").when(F.col("id") % 3 == 1, "2024-05-06T07:08:09+02:00").otherwise("May 2024")
-    return spark.range(30).select(F.col("id").alias("n"), F.date_format(text.parse_instant(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    at, k = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    raw = F.when(k == 0, F.date_format(at, "yyyy-MM-dd")).when(k == 1, F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.date_format(at, "MMMM yyyy"))
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("n"), F.date_format(text.parse_instant(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("SELECT doc_id, CASE WHEN NOT regexp_matches(trim(text), '\\p{L}') THEN 'no_letters' WHEN length(trim(text)) < 10 THEN 'too_short' END AS rule FROM documents")
@@ -1074,16 +1081,18 @@ def x30_windows(spark, sf):
     return fx.table(spark, sf, "documents").filter("text <> ''").select("doc_id", F.posexplode(text.windows("text", 1000)).alias("part", "piece")).withColumn("part", F.col("part").cast("long"))
 
 
-@query("SELECT i AS n, CASE WHEN i % 2 = 0 THEN '2023-05-20 02:21:00' END AS at FROM range(10) t(i)")
+@query("SELECT event_id AS n, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:00') END AS at FROM events")
 def x31_haystack_date(spark, sf):
-    raw = F.when(F.col("id") % 2 == 0, "2023/05/20 (Sat) 02:21").otherwise("20 May")
-    return spark.range(10).select(F.col("id").alias("n"), F.date_format(text.parse_haystack_date(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    at = F.col("ts").cast("timestamp")
+    raw = F.when(F.col("event_id") % 2 == 0, F.date_format(at, "yyyy/MM/dd (EEE) HH:mm")).otherwise(F.date_format(at, "d MMM"))
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("n"), F.date_format(text.parse_haystack_date(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("SELECT * FROM (VALUES ('conflict:a:b', 'conflict', 'a', 'b'), ('stale:7', 'stale', '7', NULL), ('proposal:o:9', 'proposal', 'o', '9'), ('stale:', NULL, NULL, NULL), ('x:y', NULL, NULL, NULL)) t(raw, source, first, second)")
+@query("SELECT doc_id AS n, CASE doc_id % 5 WHEN 0 THEN 'conflict' WHEN 1 THEN 'stale' WHEN 2 THEN 'proposal' END AS source, CASE WHEN doc_id % 5 IN (0, 1) THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 5 = 2 THEN lang END AS first, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id + 1 AS VARCHAR) WHEN doc_id % 5 = 2 THEN CAST(doc_id AS VARCHAR) END AS second FROM documents WHERE lang IS NOT NULL")
 def x33_review_key(spark, sf):
-    raw = spark.createDataFrame([("conflict:a:b",), ("stale:7",), ("proposal:o:9",), ("stale:",), ("x:y",)], "raw string")
-    return raw.select("raw", text.review_key("raw").alias("k")).select("raw", "k.source", "k.first", "k.second")
+    n = F.col("doc_id")
+    raw = F.when(n % 5 == 0, F.concat(F.lit("conflict:"), n, F.lit(":"), n + 1)).when(n % 5 == 1, F.concat(F.lit("stale:"), n)).when(n % 5 == 2, F.concat(F.lit("proposal:"), "lang", F.lit(":"), n)).when(n % 5 == 3, "stale:").otherwise(F.concat(F.lit("x:"), n))
+    return fx.table(spark, sf, "documents").filter("lang is not null").select(n.alias("n"), text.review_key(raw).alias("k")).select("n", "k.source", "k.first", "k.second")
 
 
 @query(r"SELECT session_id, turn, coalesce(speaker = 'owner_typed' AND contains(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[.!?,;:]+$', ''), regexp_replace(lower(trim(regexp_replace(substr(text, 1, 20), '\s+', ' ', 'g'))), '[.!?,;:]+$', '')), false) AS auto FROM fx_entries")

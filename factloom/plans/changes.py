@@ -131,17 +131,21 @@ def m25_record_calls(spark, sf):
     return record(c, c.dropDuplicates(["client"])).groupBy("client").agg(F.count("*").alias("calls"))
 
 
-@query("SELECT i AS n, CASE i % 4 WHEN 0 THEN 'connection_string_password' WHEN 2 THEN 'high_entropy_token' WHEN 3 THEN 'hex_credential' END AS rule FROM range(80) t(i)")
+@query("SELECT doc_id AS n, CASE doc_id % 5 WHEN 0 THEN 'connection_string_password' WHEN 2 THEN 'high_entropy_token' WHEN 3 THEN 'hex_credential' WHEN 4 THEN 'jwt' END AS rule FROM documents")
 def x15_to_x19_credential_rules(spark, sf):
-    i = F.col("id")
-    content = F.when(i % 4 == 0, F.concat(F.lit("use postgres://u:pw"), i, F.lit("@h/db"))).when(i % 4 == 1, "use postgres://u:${PW}@h/db").when(i % 4 == 2, "k aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3").otherwise("bearer " + "0123456789abcdef" * 3)
-    return spark.range(80).select(i.alias("n"), credentials.finding(content)["rule"].alias("rule"))
+    i = F.col("doc_id")
+    header = F.regexp_replace(F.base64(F.encode(F.concat(F.lit('{"alg":"HS256","kid":"'), i, F.lit('"}')), "utf-8")), "=+$", "")
+    token = F.concat(F.lit("jwt "), header, F.lit(".eyJzdWIiOiJ4In0."), F.lit("s" * 43))
+    secret = F.when(i % 5 == 0, F.concat(F.lit("use postgres://u:pw"), i, F.lit("@h/db"))).when(i % 5 == 1, "use postgres://u:${PW}@h/db").when(i % 5 == 2, "k aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1eF3").when(i % 5 == 3, "bearer " + "0123456789abcdef" * 3).otherwise(token)
+    content = F.concat_ws(" " * 60, F.regexp_replace("text", "[^a-z ]", " "), secret)  # no word stands near
+    return fx.table(spark, sf, "documents").select(i.alias("n"), credentials.finding(content)["rule"].alias("rule"))
 
 
-@query("SELECT * FROM (VALUES ('/home/me/My App/', 'my-app'), ('Atlas v1.2_b', 'atlas-v1.2_b'), ('//', NULL)) t(raw, slug)")
+@query("SELECT doc_id AS n, CASE doc_id % 3 WHEN 0 THEN 'my-app-' || doc_id WHEN 1 THEN 'atlas-v1.' || doc_id || '_b' END AS slug FROM documents")
 def x25_project_slug(spark, sf):
-    raw = spark.createDataFrame([("/home/me/My App/",), ("Atlas v1.2_b",), ("//",)], "raw string")
-    return raw.select("raw", text.project_slug("raw").alias("slug"))
+    n = F.col("doc_id")
+    raw = F.when(n % 3 == 0, F.concat(F.lit("/home/me/My App "), n, F.lit("/"))).when(n % 3 == 1, F.concat(F.lit("Atlas v1."), n, F.lit("_b"))).otherwise("//")
+    return fx.table(spark, sf, "documents").select(n.alias("n"), text.project_slug(raw).alias("slug"))
 
 
 @query()
@@ -150,9 +154,11 @@ def x29_chunked_sessions(spark, sf):
     return ingest.pack(lines, "conv_id", "turn", budget=2000).select("conv_id", "chunk", F.length("text").alias("chars"))
 
 
-@query("SELECT * FROM (VALUES ('Ａｂｃ', 'abc'), ('a\u200bb  C', 'ab c')) t(raw, folded)")
+@query("SELECT doc_id AS n, CASE doc_id % 2 WHEN 0 THEN 'abc ' || doc_id ELSE 'ab c ' || lower(lang) END AS folded FROM documents WHERE lang IS NOT NULL")
 def x43_folded_names(spark, sf):
-    return spark.createDataFrame([("Ａｂｃ",), ("a\u200bb  C",)], "raw string").select("raw", clients.folded("raw").alias("folded"))
+    n = F.col("doc_id")
+    raw = F.when(n % 2 == 0, F.concat(F.lit("Ａｂｃ  "), n)).otherwise(F.concat(F.lit("a\u200bb  C "), F.upper("lang")))
+    return fx.table(spark, sf, "documents").filter("lang is not null").select(n.alias("n"), clients.folded(raw).alias("folded"))
 
 
 @query("SELECT table_name AS \"table\", count(*) AS n FROM (SELECT 'memory' AS table_name FROM fx_memory WHERE namespace = 'user:me' UNION ALL SELECT 'registry' FROM fx_registry WHERE namespace = 'user:me') GROUP BY 1")

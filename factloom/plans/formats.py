@@ -136,12 +136,13 @@ def s15_question_set(spark: SparkSession, sf: str) -> DataFrame:
     return df.agg(F.count("*").alias("questions")).crossJoin(F.broadcast(s.agg(F.count("*").alias("sessions"), F.count_if("gold").alias("gold"))))
 
 
-@query("SELECT 'good' AS verdict, count(*) FILTER (WHERE i % 3 < 2) AS n FROM range(90) t(i) UNION ALL SELECT 'refused', count(*) FILTER (WHERE i % 3 = 2) FROM range(90) t(i)")
+@query("SELECT CASE WHEN doc_id % 3 < 2 THEN 'good' ELSE 'refused' END AS verdict, count(*) AS n, CAST(sum(CASE WHEN doc_id % 3 = 0 THEN doc_id END) AS BIGINT) AS expected FROM documents WHERE regexp_matches(text, '[a-z]') GROUP BY 1")
 def s16_golden_cases(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    case = F.to_json(F.struct(F.lit("q").alias("question"), F.when(i % 3 != 1, i.cast("string")).alias("expect_id"), F.when(i % 3 > 0, "none").alias("expect")))
-    good, refused = evaluation.cases(spark, _texts(spark.range(90).select(case.alias("value")), "s16"))
-    return good.agg(F.count("*").alias("n")).select(F.lit("good").alias("verdict"), "n").unionAll(refused.agg(F.count("*").alias("n")).select(F.lit("refused").alias("verdict"), "n"))
+    i = F.col("doc_id")
+    case = F.to_json(F.struct(F.col("text").alias("question"), F.when(i % 3 != 1, i.cast("string")).alias("expect_id"), F.when(i % 3 > 0, "none").alias("expect")))
+    good, refused = evaluation.cases(spark, _texts(fx.table(spark, sf, "documents").filter("text rlike '[a-z]'").select(case.alias("value")), "s16"))
+    counted = lambda df, name, ids: df.agg(F.count("*").alias("n"), F.sum(ids).cast("long").alias("expected")).select(F.lit(name).alias("verdict"), "n", "expected")
+    return counted(good, "good", F.col("expect_id").cast("long")).unionAll(counted(refused, "refused", F.lit(None).cast("long")))
 
 
 UUID = "00000000-0000-0000-0000-000000000001"
@@ -163,11 +164,14 @@ def x42_backstop(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").select("doc_id", ingest.backstop("text", {"memory_context": "the and"}).alias("token"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'Desk (2023)'), ('b', 'desk (2024)'), ('c', 'Phone'), ('d', 'Tab #1'), ('e', 'Tab #2')) t(client_id, label)")
+@query("""SELECT doc_id AS client_id, CASE WHEN doc_id % 2 = 0 THEN 'Tab ' ELSE 'TAB ' END || (doc_id // 2) ||
+  CASE WHEN n = 1 THEN '' WHEN (doc_id // 2) % 3 = 0 THEN ' (' || (2023 + doc_id % 2) || ')' WHEN (doc_id // 2) % 3 = 1 THEN ' (2024-0' || (1 + doc_id % 2) || ')' ELSE ' #' || (1 + doc_id % 2) END AS label
+FROM (SELECT doc_id, count(*) OVER (PARTITION BY doc_id // 2) AS n FROM documents)""")
 def l15_client_names(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("a", "Desk", "2023-01-01"), ("b", "desk", "2024-01-01"), ("c", "Phone", "2024-01-01"), ("d", "Tab", "2024-01-01"), ("e", "Tab", "2024-01-01")]
-    df = spark.createDataFrame(rows, "client_id string, name string, d string").withColumn("consented_at", F.to_timestamp("d"))
-    return clients.name_clients(df).select("client_id", "label")
+    n, pair = F.col("doc_id"), F.floor(F.col("doc_id") / 2)
+    day = F.when(pair % 3 == 0, F.make_date(2023 + (n % 2).cast("int"), F.lit(1), F.lit(1))).when(pair % 3 == 1, F.make_date(F.lit(2024), 1 + (n % 2).cast("int"), F.lit(1))).otherwise(F.make_date(F.lit(2024), F.lit(1), F.lit(1)))
+    rows = fx.table(spark, sf, "documents").select(n.alias("client_id"), F.concat(F.when(n % 2 == 0, "Tab ").otherwise("TAB "), pair).alias("name"), day.cast("timestamp").alias("consented_at"))
+    return clients.name_clients(rows).select("client_id", "label")
 
 
 # ---- Streams ----
