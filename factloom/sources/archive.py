@@ -8,37 +8,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
 from ..functions.text import slug
+from . import gzip_members
 
 # The sections in their order, format and version.
 SECTIONS = ["memory", "registry", "alias", "registry_history", "sealed_item"]
 FORMAT, VERSION = "fact-archive", 1
 
 
-def write(tables: dict[str, DataFrame], path: str, created_at: str, includes_superseded: bool = True, keys: dict[str, list[str]] | None = None) -> None:
-    """One gzip file of JSON lines: the header with the sections' counts, then
-    the sections, each by its key. An archive is one file by its format, so
-    its last step is one task; the rows are turned to text before that."""
+#: Records of a member, and what an archive may expand to by default.
+MEMBER_ROWS = 50_000
+MOST_BYTES, MOST_RATIO = 1 << 40, 200.0
+
+
+def write(tables: dict[str, DataFrame], path: str, created_at: str, includes_superseded: bool = True, keys: dict[str, list[str]] | None = None, member_rows: int = MEMBER_ROWS) -> None:
+    """A folder of gzip members which, one after the other, are one gzip file
+    of JSON lines: the header with the sections' counts, then the sections,
+    each by its key. A range partition each task sorts; a record's number is its
+    place there after all partitions before, so that the members are cut
+    alike on every run."""
     spark = next(iter(tables.values())).sparkSession
     keys = keys or {}
-    counts = {name: tables[name].count() if name in tables else 0 for name in SECTIONS}
-    head = spark.range(1).select(
-        F.lit(-1).alias("section_no"), F.lit("").alias("key"),
-        F.to_json(F.struct(F.lit("header").alias("section"), F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.lit(created_at).alias("created_at"), F.struct(*[F.lit(n).alias(k) for k, n in counts.items()]).alias("counts"), F.lit(includes_superseded).alias("includes_superseded"))).alias("value"),
-    )
-    parts = [head]
+    parts = []
     for k, name in enumerate(SECTIONS):
         if name in tables:
             df = tables[name]
             order = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in keys.get(name, df.columns[:1])])
             parts.append(df.select(F.lit(k).alias("section_no"), order.alias("key"), F.to_json(F.struct(F.lit(name).alias("section"), *[F.col(c) for c in df.columns])).alias("value")))
-    rows = reduce(DataFrame.unionByName, parts)
-    rows.repartition(1).sortWithinPartitions("section_no", "key").select("value").write.option("compression", "gzip").text(path)
-
-
-def read(spark: SparkSession, path: str, schemas: dict[str, str], max_version: int = VERSION) -> dict[str, DataFrame]:
-    """The sections as tables. Refused: no header, another format, a newer
-    version, and counts that are not what the header says."""
+    by = ("section_no", "key", "value")
+    ordered = written(reduce(DataFrame.unionByName, parts).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()), "archive")
+    counts = dict.fromkeys(SECTIONS, 0) | {SECTIONS[r.section_no]: r["count"] for r in ordered.groupBy("section_no").count().collect()}
+    part, before, offsets = F.shiftright("place", 33), 0, []
+    for r in sorted(ordered.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r["part"], before))
+        before += r["count"]
+    nth = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    numbered = ordered.withColumn("part", part).join(F.broadcast(spark.createDataFrame(offsets, "part long, before long")), "part").select(nth.alias("nth"), "value")
+    head = F.struct(F.lit("header").alias("section"), F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.lit(created_at).alias("created_at"), F.struct(*[F.lit(counts[k]).alias(k) for k in SECTIONS]).alias("counts"), F.lit(includes_superseded).alias("includes_superseded"))
+    rows = spark.range(1).select(F.lit(-1).cast("long").alias("nth"), F.to_json(head).alias("value")).unionAll(numbered)
+    gzip_members.write(rows.withColumn("member", F.greatest(F.floor(F.col("nth") / member_rows), F.lit(0))), path)
+
+
+def read(spark: SparkSession, path: str, schemas: dict[str, str], max_version: int = VERSION, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_RATIO) -> dict[str, DataFrame]:
+    """The sections as tables. Refused: what expands to more than a budget of
+    bytes or of the ratio to its size (before it is expanded), no header,
+    another format, a newer version, and counts that are not what the header says."""
+    size = gzip_members.sizes(spark, path, most_bytes, most_ratio).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.bool_or("refused"), F.lit(False)).alias("refused")).first()
+    if size.refused or size.bytes > most_bytes:
+        raise ValueError(f"the archive expands to more than {most_bytes} bytes, or {most_ratio} times its size")
     lines = spark.read.text(path).withColumn("section", F.get_json_object("value", "$.section"))
     head = lines.filter("section = 'header'").select(F.from_json("value", f"format string, version int, counts struct<{','.join(f'{s}:bigint' for s in SECTIONS)}>").alias("h")).select("h.*").collect()
     if len(head) != 1 or head[0].format != FORMAT:
