@@ -859,7 +859,10 @@ def r11_bootstrap(spark, sf):
     return listing.bootstrap(listing.digest(mem(spark, sf), fx.fx_registry(spark, sf), CEILINGS, NOW, project="project:alpha", days=480))
 
 
-@query()
+@query(
+    """WITH g AS (SELECT canonical, list_sort(list(DISTINCT name)) AS names FROM (SELECT canonical, alias AS name FROM fx_alias UNION SELECT canonical, canonical FROM fx_alias) GROUP BY canonical)
+SELECT n_nationkey AS query_id, canonical, array_to_string(names, '|') AS names FROM nation JOIN g ON list_contains(names, lower(n_name))"""
+)
 def r12_alias_expansion(spark, sf):
     queries = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("ships to "), F.lower("n_name"), F.lit(" ports")).alias("text"))
     return alias.expand_query(queries, fx.fx_alias(spark, sf)).select("query_id", "canonical", F.array_join("names", "|").alias("names"))
@@ -892,7 +895,7 @@ def l04_stale(spark, sf):
     return listing.stale(mem(spark, sf), NARROW, 90, 50, NOW, 5).select("id")
 
 
-@query()
+@query(f"SELECT id, CASE WHEN id % 5 = 0 THEN 'ambiguous' ELSE 'proposed' END AS verdict, '2024-03-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') || CASE WHEN id % 5 = 0 THEN '|2023-03-12' ELSE '' END AS dates FROM fx_memory m WHERE occurred_at IS NULL AND {live()} AND {ceil()} ORDER BY created_at DESC, id DESC LIMIT 50")
 def l06_date_candidates(spark, sf):
     from ..operators.review import date_candidates
 
@@ -923,7 +926,7 @@ def l10_due_for_review(spark, sf):
     return registry.due_for_review(fx.fx_registry(spark, sf), CEILINGS, datetime(2024, 2, 15)).select("key", ts("review_after"))
 
 
-@query()
+@query(f"SELECT 'Hosts.s' || registry_id || '.GPUs' AS key, CAST(NULL AS VARCHAR) AS canonical, 'machines.s' || registry_id || '.gpu' AS suggestion FROM fx_registry m WHERE registry_id % 2 = 0 AND {ceil()}")
 def l10_non_canonical(spark, sf):
     r = fx.fx_registry(spark, sf).withColumn("key", F.when(F.col("registry_id") % 2 == 0, F.concat(F.lit("Hosts.s"), "registry_id", F.lit(".GPUs"))).otherwise(F.col("key")))
     return registry.non_canonical(r, CEILINGS).select("key", "canonical", "suggestion")

@@ -148,7 +148,13 @@ def x25_project_slug(spark, sf):
     return fx.table(spark, sf, "documents").select(n.alias("n"), text.project_slug(raw).alias("slug"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT conv_id, turn, length(concat_ws(': ', role, text)) AS chars FROM conversations),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) AS n, least(2000, chars - k * 2000) AS size FROM (SELECT *, unnest(range(0, (chars + 1999) // 2000)) AS k FROM l)),
+c AS (SELECT conv_id, n, 0::BIGINT AS chunk, size FROM p WHERE n = 1
+  UNION ALL SELECT p.conv_id, p.n, c.chunk + CASE WHEN c.size + 1 + p.size > 2000 THEN 1 ELSE 0 END, CASE WHEN c.size + 1 + p.size > 2000 THEN p.size ELSE c.size + 1 + p.size END FROM c JOIN p ON p.conv_id = c.conv_id AND p.n = c.n + 1)
+SELECT conv_id, chunk, max(size) AS chars FROM c GROUP BY conv_id, chunk"""
+)
 def x29_chunked_sessions(spark, sf):
     lines = fx.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", "text").alias("text"))
     return ingest.pack(lines, "conv_id", "turn", budget=2000).select("conv_id", "chunk", F.length("text").alias("chars"))
