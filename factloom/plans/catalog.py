@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import credentials, evaluation, guards, predicates, text, vector
+from ..functions.staging import written
 from ..operators import alias, chains, duplicates, graph, listing, neighbours, policy, postings, registry, search, telemetry
 from . import fixtures as fx
 from . import lexical_sql
@@ -695,10 +696,18 @@ def g05_graph_neighbours(spark, sf):
     return graph.expand(sub, [2, 16, 37, 58, 9], 60, 5)
 
 
-@query()
+@query(
+    f"""WITH e AS ({TAG_EDGES}), rd AS (SELECT id FROM fx_memory m WHERE {live()}), sub AS (SELECT e.* FROM e JOIN rd a ON a.id = e.src_id JOIN rd b ON b.id = e.dst_id),
+x AS (SELECT src_id AS from_id, dst_id AS to_id, relation FROM sub UNION ALL SELECT dst_id, src_id, relation FROM sub),
+steps AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY from_id) AS d, row_number() OVER (PARTITION BY from_id ORDER BY relation, to_id) AS rn FROM x) WHERE d <= 200 AND rn <= 25),
+seeds AS (SELECT DISTINCT src_id AS id FROM sub ORDER BY id LIMIT 3),
+h1 AS (SELECT DISTINCT to_id AS id FROM steps WHERE from_id IN (SELECT id FROM seeds) AND to_id NOT IN (SELECT id FROM seeds)),
+h2 AS (SELECT DISTINCT to_id AS id FROM steps WHERE from_id IN (SELECT id FROM h1) AND to_id NOT IN (SELECT id FROM seeds) AND to_id NOT IN (SELECT id FROM h1))
+SELECT id, 1 AS hop, 'shares_tag' AS via FROM h1 UNION ALL SELECT id, 2, 'shares_tag' FROM h2"""
+)
 def g06_two_hop_walk(spark, sf):
     m = mem(spark, sf)
-    sub = graph.readable_edges(graph.tag_edges(m, 46), m, OWNER, NOW)
+    sub = written(graph.readable_edges(graph.tag_edges(m, 46), m, OWNER, NOW), "g06")  # edges are a table of the store
     seeds = [r.src_id for r in sub.select("src_id").distinct().orderBy("src_id").limit(3).collect()]
     return graph.walk(sub, seeds)
 
