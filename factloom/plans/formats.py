@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import live
 from ..functions.staging import scratch
+from ..functions.text import content_digest
 from ..operators import ingest
 from ..sources import archive, clients, dump, evaluation, files, transcripts
 from ..streaming import calls
@@ -205,14 +206,30 @@ def t01_hourly_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _drained(calls.hourly(_events(spark, sf)), "complete", "t01").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT client, CAST(sum(calls) AS BIGINT) AS calls FROM (SELECT client, count(*) AS calls FROM fx_tool_calls GROUP BY client) GROUP BY client")
+@query("SELECT client, bucket, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS calls FROM (SELECT client, date_trunc('hour', created_at) AS hour, coalesce(session_id, 'hour:' || strftime(created_at, '%Y-%m-%d %H')) AS bucket FROM fx_tool_calls) GROUP BY client, bucket, hour")
 def t02_session_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _drained(calls.sessions(_events(spark, sf)), "complete", "t02").groupBy("client").agg(F.sum("calls").alias("calls"))
+    return _drained(calls.sessions(_events(spark, sf)), "complete", "t02").select("client", "bucket", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "calls")
 
 
-@query("SELECT client, count(*) * 24 AS calls FROM fx_tool_calls GROUP BY client")
+@query("SELECT strftime(until, '%Y-%m-%d %H:%M:%S') AS until, client, count(*) AS calls FROM (SELECT client, unnest(list_transform(range(1, 25), lambda i: date_trunc('hour', created_at) + to_hours(CAST(i AS INTEGER)))) AS until FROM fx_tool_calls) GROUP BY 1, 2")
 def t03_sliding_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _drained(calls.sliding(_events(spark, sf)), "complete", "t03").groupBy("client").agg(F.sum("calls").alias("calls"))
+    return _drained(calls.sliding(_events(spark, sf)), "complete", "t03").select(ts("until"), "client", "calls")
+
+
+@query(
+    """SELECT e.memory_id, strftime(e.first_emitted_at, '%Y-%m-%d %H:%M:%S') AS first_emitted_at, o.probe_id
+FROM fx_emission e JOIN (SELECT id AS probe_id, sha256(regexp_replace(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), '[.!?,;:]+$', '')) AS hash, created_at + INTERVAL 30 DAY AS observed_at FROM fx_memory) o ON e.content_sha256 = o.hash
+WHERE e.first_emitted_at <= o.observed_at + INTERVAL 300 SECOND AND e.first_emitted_at >= o.observed_at - INTERVAL 90 DAY"""
+)
+def t07_echo_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Emissions and what was said after, both as streams."""
+    said = mem(spark, sf).select(F.col("id").alias("probe_id"), content_digest("content").alias("content_sha256"), (F.col("created_at") + F.make_dt_interval(days=F.lit(30))).alias("observed_at"))
+    sides = []
+    for name, rows in (("shown", fx.fx_emission(spark, sf)), ("said", said)):
+        path = scratch(spark, f"t07-{name}")
+        rows.write.parquet(path)
+        sides.append(spark.readStream.schema(rows.schema).parquet(path))
+    return _drained(calls.echoes(*sides), "append", "t07").select("memory_id", ts("first_emitted_at"), "probe_id")
 
 
 @query("SELECT count(DISTINCT client || tool) AS n FROM fx_tool_calls WHERE tool IS NOT NULL")

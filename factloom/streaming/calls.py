@@ -47,7 +47,7 @@ def echoes(emissions: DataFrame, probes: DataFrame, slack: int = ECHO_SLACK, day
     e = emissions.withWatermark("first_emitted_at", f"{slack} seconds").alias("e")
     p = probes.withWatermark("observed_at", f"{slack} seconds").alias("p")
     on = F.expr(f"e.content_sha256 = p.content_sha256 AND e.first_emitted_at <= p.observed_at + INTERVAL {slack} SECONDS AND e.first_emitted_at >= p.observed_at - INTERVAL {days} DAYS")
-    return e.join(p, on).select("e.content_sha256", "e.memory_id", "e.first_emitted_at", "p.observed_at")
+    return e.join(p, on).select("e.*", *[f"p.{c}" for c in probes.columns if c != "content_sha256"])
 
 
 def fences(lines: DataFrame) -> DataFrame:
