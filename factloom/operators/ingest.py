@@ -276,3 +276,25 @@ def clear_plaintext(proposals: DataFrame, memory: DataFrame) -> DataFrame:
     rows = proposals.join(facts, "memory_id", "left")
     drop = F.col("state").isin("written", "rejected") & ~F.coalesce("_clear", F.lit(False))
     return rows.withColumns({c: F.when(drop, None).otherwise(F.col(c)) for c in ("content", "quote")}).select(*proposals.columns)
+
+
+def _cleared(rows: DataFrame, gone: Column, columns: list[str]) -> DataFrame:
+    return rows.withColumns({"content": F.when(gone, "").otherwise(F.col("content")), "quote": F.when(gone, None).otherwise(F.col("quote"))}).select(*columns)
+
+
+def relinked(before: DataFrame, after: DataFrame, memory: DataFrame) -> DataFrame:
+    """Proposals after a change of their links: the words of one go that now
+    points at a sealed fact (one without content), or that lost its link."""
+    was = before.select("id", F.col("memory_id").alias("_was"))
+    sealed = memory.filter("content is null").select(F.col("id").alias("memory_id"), F.lit(True).alias("_sealed"))
+    rows = after.join(was, "id", "left").join(sealed, "memory_id", "left")
+    onto = F.col("memory_id").isNotNull() & ~F.col("memory_id").eqNullSafe(F.col("_was")) & F.coalesce("_sealed", F.lit(False))
+    return _cleared(rows, onto | (F.col("_was").isNotNull() & F.col("memory_id").isNull()), after.columns)
+
+
+def sealed_later(proposals: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Proposals after facts were sealed: the words of those go whose fact had
+    its content before and has none now."""
+    held = before.filter("content is not null").select("id")
+    now = after.filter("content is null").join(held, "id", "left_semi").select(F.col("id").alias("memory_id"), F.lit(True).alias("_sealed"))
+    return _cleared(proposals.join(now, "memory_id", "left"), F.coalesce("_sealed", F.lit(False)), proposals.columns)

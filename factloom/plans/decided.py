@@ -211,6 +211,28 @@ def m23_plaintext_cleared(spark, sf):
     return ingest.clear_plaintext(p, m.filter("id % 3 <> 0")).select("id", F.col("quote").isNotNull().alias("readable"))
 
 
+def _linked(spark, sf):
+    return mem(spark, sf).select("id", F.when(F.col("id") % 4 != 3, F.col("id")).alias("memory_id"), F.coalesce("content", F.lit("words")).alias("content"), F.lit("quote").alias("quote"))
+
+
+def _sealed_facts(spark, sf):
+    return mem(spark, sf).select("id", F.when(F.col("id") % 3 != 0, F.coalesce("content", F.lit("words"))).alias("content"))
+
+
+@query("SELECT id, quote, content = '' AS empty FROM (SELECT doc_id AS id, CASE WHEN (doc_id % 4 = 3 AND doc_id % 3 = 0) OR (doc_id % 4 <> 3 AND doc_id % 5 = 0) THEN '' ELSE coalesce(text, 'words') END AS content, CASE WHEN (doc_id % 4 = 3 AND doc_id % 3 = 0) OR (doc_id % 4 <> 3 AND doc_id % 5 = 0) THEN NULL ELSE 'quote' END AS quote FROM documents)")
+def m23_links_that_change(spark, sf):
+    """What had no link gets one, and of the others each fifth loses it."""
+    before = _linked(spark, sf)
+    after = before.withColumn("memory_id", F.when(F.col("memory_id").isNull(), F.col("id")).when(F.col("id") % 5 != 0, F.col("memory_id")))
+    return ingest.relinked(before, after, _sealed_facts(spark, sf)).select("id", "quote", (F.col("content") == "").alias("empty"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN NOT (doc_id % 4 <> 3 AND doc_id % 3 = 0) THEN 'quote' END AS quote, (doc_id % 4 <> 3 AND doc_id % 3 = 0) OR coalesce(text, 'words') = '' AS empty FROM documents")
+def m23_facts_sealed_later(spark, sf):
+    before = mem(spark, sf).select("id", F.coalesce("content", F.lit("words")).alias("content"))
+    return ingest.sealed_later(_linked(spark, sf), before, _sealed_facts(spark, sf)).select("id", "quote", (F.col("content") == "").alias("empty"))
+
+
 # ---- Joins of the ingest path ----
 
 
