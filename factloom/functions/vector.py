@@ -48,7 +48,7 @@ def similar_pairs(df: DataFrame, threshold: float, group: str = "namespace", id_
     memory of a task and the skew are bounded by the block.
     """
     sizes = df.groupBy(group).count().withColumn("_blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    base = df.filter(F.col(embedding).isNotNull()).select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(embedding).alias("e")).join(F.broadcast(sizes.withColumnRenamed(group, "g")), "g")
+    base = df.filter(F.col(embedding).isNotNull()).select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(embedding).alias("e")).join(sizes.withColumnRenamed(group, "g"), "g")
     placed = base.withColumn("k", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     cell = placed.withColumn("o", everywhere).select("g", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") <= F.col("o")).alias("first"), (F.col("k") == F.col("o")).alias("own"), "id", "e")

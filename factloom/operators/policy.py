@@ -76,14 +76,15 @@ def default_level(df: DataFrame, rules: DataFrame, requested: str | Column | Non
     the smaller text), else open; a request may raise it, never lower it.
 
     rules: (pattern, sensitivity). The patterns meet the distinct namespaces,
-    which are few, not the rows.
+    not the rows, and meet them by equality: each namespace asks with itself
+    and with all its beginnings.
     """
-    names = df.select("namespace").distinct()
     star = F.endswith("pattern", F.lit("*"))
     stem = F.when(star, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern"))
-    fits = F.when(star, F.startswith("namespace", stem)).otherwise(F.col("namespace") == stem)
-    clean = rules.select(F.trim(F.lower("pattern")).alias("pattern"), F.col("sensitivity").alias("rule_level"))
-    best = names.join(F.broadcast(clean), fits).groupBy("namespace").agg(F.min_by("rule_level", F.struct(-F.length("pattern"), F.col("pattern"))).alias("rule_level"))
+    clean = rules.select(F.trim(F.lower("pattern")).alias("pattern"), F.col("sensitivity").alias("rule_level")).withColumns({"star": star, "stem": stem})
+    asks = F.expr("transform(sequence(0, length(namespace) + 1), k -> IF(k > length(namespace), struct(false AS star, namespace AS stem), struct(true AS star, left(namespace, k) AS stem)))")
+    names = df.select("namespace").distinct().select("namespace", F.inline(asks))
+    best = names.join(clean, ["star", "stem"]).groupBy("namespace").agg(F.min_by("rule_level", F.struct(-F.length("pattern"), F.col("pattern"))).alias("rule_level"))
     level = F.coalesce("rule_level", F.lit("open"))
     joined = df.join(best, "namespace", "left")
     if requested is not None:

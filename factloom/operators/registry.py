@@ -22,7 +22,7 @@ def _arms(rows: DataFrame, aliases: DataFrame, namespace: str, kind: str, key: s
     own = rows.filter((F.col("namespace") == namespace) & (F.col("kind") == kind) & (sensitivity_rank() <= rank_of(top)))
     to = aliases.filter((F.col("namespace") == namespace) & (F.col("kind") == kind) & (F.col("alias_key") == key)).select(F.col("canonical").alias("key"), F.col("alias_key").alias("resolved_from"))
     direct = own.filter(F.col("key") == key).withColumn("resolved_from", F.lit(None).cast("string")).withColumn("preference", F.lit(0))
-    return direct.unionByName(own.join(F.broadcast(to), "key").withColumn("preference", F.lit(1)))
+    return direct.unionByName(own.join(to, "key").withColumn("preference", F.lit(1)))
 
 
 def get(registry: DataFrame, aliases: DataFrame, namespace: str, kind: str, key: str, top: str = "sealed") -> DataFrame:
