@@ -16,6 +16,7 @@ from ..sources import archive, clients, dump, evaluation, files, transcripts
 from ..streaming import calls
 from . import fixtures as fx
 from .catalog import QUERIES, mem, query, ts
+from .catalog import live as live_sql
 from .fixtures import NOW
 
 
@@ -121,6 +122,17 @@ def s12_archive_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return facts.unionAll(back["registry"].select(F.lit("registry"), "key", "namespace", F.md5("value"), F.lit(None).cast("long")))
 
 
+@query(f"SELECT count(*) AS notes, count(DISTINCT doc_id) AS files, true AS same_bytes FROM documents d JOIN fx_memory m ON m.id = d.doc_id WHERE {live_sql()}")
+def s14_vault_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The vault as files, against its manifest and its notes."""
+    notes, base = archive.vault(mem(spark, sf).filter(live(NOW))), scratch(spark, "s14")
+    manifest = archive.write_vault(notes, base)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(f"{base}/vault")
+    there = read.select(F.regexp_replace("path", "^.*/(?=vault/memory/)", "").alias("path"), "length", F.sha2("content", 256).alias("found"))
+    both = manifest.join(there, "path", "left").join(notes.select("path", F.sha2("contents", 256).alias("wanted")), "path", "full")
+    return both.agg(F.count("bytes").alias("notes"), F.count("length").alias("files"), F.bool_and((F.col("bytes") == F.col("length")) & (F.col("sha256") == F.col("wanted")) & (F.col("found") == F.col("wanted"))).alias("same_bytes"))
+
+
 @query()
 def s14_vault_notes(spark: SparkSession, sf: str) -> DataFrame:
     return archive.vault(mem(spark, sf).filter(live(NOW))).select("path", F.md5("contents").alias("contents"))

@@ -3,14 +3,18 @@ and a vault of one Markdown file per fact."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import written
 from ..functions.text import slug
 from . import gzip_members
+from .byte_lines import opened
 
 # The sections in their order, format and version.
 SECTIONS = ["memory", "registry", "alias", "registry_history", "sealed_item"]
@@ -97,18 +101,25 @@ def vault(memory: DataFrame, root: str = "vault") -> DataFrame:
     return linked.select(F.concat_ws("/", F.lit(root), F.lit("memory"), slug("namespace", 48), F.concat("_stem", F.lit(".md"))).alias("path"), note.alias("contents"))
 
 
-def write_vault(notes: DataFrame, base: str) -> None:
-    """Writes each note as a file of its own; tasks write what they hold, a
-    repeated task writes the same again."""
-
-    def run(rows) -> None:
-        import pyarrow.fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(base)
-        for r in rows:
-            path = f"{root}/{r.path}"
-            fs.create_dir(path.rsplit("/", 1)[0])
-            with fs.open_output_stream(path) as out:
-                out.write(r.contents.encode())
-
-    notes.foreachPartition(run)
+def write_vault(notes: DataFrame, base: str) -> DataFrame:
+    """Writes each note as a file of its own and gives the manifest (path,
+    bytes, sha256), which is written as JSON lines below ``_manifest`` once all
+    notes are there. Tasks write what they hold; a repeated task writes the same
+    bytes to the same places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root, _ = opened(base)
+        for batch in batches:
+            rows = []
+            for path, contents in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = contents.encode()
+                fs.create_dir(f"{root}/{path}".rsplit("/", 1)[0])
+                with fs.open_output_stream(f"{root}/{path}", compression=None) as out:
+                    out.write(data)
+                rows.append((path, len(data), hashlib.sha256(data).hexdigest()))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["path", "bytes", "sha256"])
+
+    manifest = notes.select("path", "contents").mapInArrow(run, "path string, bytes long, sha256 string")
+    manifest.write.mode("overwrite").json(f"{base}/_manifest")
+    return notes.sparkSession.read.schema("path string, bytes long, sha256 string").json(f"{base}/_manifest")

@@ -48,3 +48,11 @@ def test_what_expands_too_much_is_refused(spark, tmp_path):
     assert gzip_members.expanded(iter([gzip.compress(b"abcd")]), 3, 200)[1]
     with pytest.raises(ValueError, match="expands"):
         archive.read(spark, f"{tmp_path}/bomb.gz", SCHEMAS)
+
+
+def test_vault_files_and_manifest(spark, tmp_path):
+    notes = spark.createDataFrame([("vault/memory/a/é.md", "one\n"), ("vault/memory/b/x.md", "two é\n")], "path string, contents string")
+    for _ in range(2):
+        manifest = {r.path: (r.bytes, r.sha256) for r in archive.write_vault(notes, str(tmp_path)).collect()}
+    assert {p: n for p, (n, _) in manifest.items()} == {"vault/memory/a/é.md": 4, "vault/memory/b/x.md": 7}
+    assert (tmp_path / "vault/memory/b/x.md").read_text() == "two é\n"
