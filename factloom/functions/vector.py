@@ -1,4 +1,4 @@
-"""Vectors: cosine in doubles, top-k, the hash embedder, blocked pair search."""
+"""Vectors: cosine in doubles, top-k, the hash embedder."""
 
 from __future__ import annotations
 
@@ -34,44 +34,6 @@ def similarity_to(probe: Sequence[float], embedding: str | Column = "embedding")
     return dot(e, vector) / (norm(e) * F.lit(length))
 
 
-#: Rows of a block in the search for pairs: 1,024 by 1,024 products at once.
-BLOCK = 1024
-
-
-def similar_pairs(df: DataFrame, threshold: float, group: str = "namespace", id_col: str = "id", embedding: str = "embedding") -> DataFrame:
-    """(group, a, b, similarity) with a < b: all pairs of one group at the
-    threshold or above.
-
-    Rows are dealt to blocks by a hash of the id, about ``BLOCK`` to each; each
-    pair of blocks of a group is one matrix product in one task, and only pairs
-    that pass leave it. The work is quadratic in a group, by what is asked; the
-    memory of a task and the skew are bounded by the block.
-    """
-    sizes = df.groupBy(group).count().withColumn("_blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    base = df.filter(F.col(embedding).isNotNull()).select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(embedding).alias("e")).join(sizes.withColumnRenamed(group, "g"), "g")
-    placed = base.withColumn("k", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    cell = placed.withColumn("o", everywhere).select("g", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") <= F.col("o")).alias("first"), (F.col("k") == F.col("o")).alias("own"), "id", "e")
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = bool(pdf["own"].iloc[0])
-        left = pdf if own else pdf[pdf["first"]]
-        right = pdf if own else pdf[~pdf["first"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"g": [], "a": [], "b": [], "similarity": []})
-        x, y = (np.stack([np.asarray(v, float) for v in side["e"]]) for side in (left, right))
-        s = (x @ y.T) / np.outer(np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1)))
-        p, q = np.nonzero(s >= threshold)
-        a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
-        keep = a < b if own else np.ones(len(a), bool)
-        low, high = np.where(a < b, a, b)[keep], np.where(a < b, b, a)[keep]
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "a": low, "b": high, "similarity": s[p, q][keep]})
-
-    found = cell.groupBy("g", "i", "j").applyInPandas(run, f"g string, a {id_type}, b {id_type}, similarity double")
-    return found.withColumnRenamed("g", group)
-
-
 DIMENSIONS = 768
 _TOKEN = re.compile(r"[a-z0-9']+")
 

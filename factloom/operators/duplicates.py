@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Grant, differs, live, readable
 from ..functions.text import cluster_key, duplicate_key
-from ..functions.vector import similar_pairs as pairs_at
+from . import similarity
 from .listing import in_cleanup, live_embedded_counts, unread
 
 # Similarity bands and the bound of a pair scan.
@@ -33,21 +33,17 @@ def similar_pairs(memory: DataFrame, grants: Iterable[Grant], now: datetime, flo
     """(namespace, a, b, similarity): pairs of one namespace at the floor or
     above, at least one side not older than the watermark."""
     rows = in_cleanup(memory, grants, now, level, scope)
-    found = pairs_at(rows, floor)
-    if since is None:
-        return found
-    new = rows.filter(F.col("created_at") >= F.lit(since)).select("id")
-    left, right = (found.join(new.withColumnRenamed("id", side), side, "left_semi") for side in ("a", "b"))
-    return left.select(*found.columns).union(right.select(*found.columns)).distinct()
+    return similarity.pairs(rows, floor, asked=None if since is None else F.col("created_at") >= F.lit(since))
 
 
-def conflicts(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, dismissed: DataFrame | None = None, *, limit: int | None = None, offset: int = 0, scan_most: int | None = SCAN_MAX) -> DataFrame:
+def conflicts(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, dismissed: DataFrame | None = None, *, limit: int | None = None, offset: int = 0, scan_most: int | None = None) -> DataFrame:
     """Pairs of live facts that say nearly the same, older first, without those
-    that somebody dismissed. A namespace too large for a pair scan is refused."""
+    that somebody dismissed. Namespaces of more than ``scan_most`` live vectors
+    are refused, if that is given (``SCAN_MAX``); else all are answered."""
     grants = list(grants)
     refuse_large(memory, grants, now, scan_most)
     rows = memory.filter(live(now) & readable(grants))
-    found = pairs_at(rows, floor)
+    found = similarity.pairs(rows, floor)
     if dismissed is not None:
         found = found.join(dismissed.select(F.col("lo_id").alias("a"), F.col("hi_id").alias("b")), ["a", "b"], "left_anti")
     side = rows.select("id", "created_at", "content")
@@ -65,8 +61,8 @@ def largest_scan(memory: DataFrame, grants: Iterable[Grant], now: datetime, most
     return top[0].namespace if top and top[0].n > most else None
 
 
-def refuse_large(memory: DataFrame, grants: Iterable[Grant], now: datetime, most: int | None = SCAN_MAX) -> None:
-    """Pair scans are quadratic in a namespace; None takes the guard away."""
+def refuse_large(memory: DataFrame, grants: Iterable[Grant], now: datetime, most: int | None) -> None:
+    """For callers who would rather narrow a scan than wait for it."""
     if most is not None and (name := largest_scan(memory, grants, now, most)):
         raise ValueError(f"more than {most} live facts with vectors in {name}: narrow the scan")
 
@@ -104,21 +100,20 @@ def survivors(groups: DataFrame) -> DataFrame:
     return groups.groupBy("norm").agg(F.when(F.count("occurred_at") > 0, dated).otherwise(undated).alias("keep_id"), F.array_sort(F.collect_set("id")).alias("ids"))
 
 
-def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None, daily: bool = True, near: float = NEAR_CERTAIN, floor: float = MODEL_FLOOR, stale_most: int = STALE_MOST, scan_most: int | None = SCAN_MAX) -> dict[str, DataFrame]:
+def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None, daily: bool = True, near: float = NEAR_CERTAIN, floor: float = MODEL_FLOOR, stale_most: int = STALE_MOST, scan_most: int | None = None) -> dict[str, DataFrame]:
     """One pass: exact groups; near-certain pairs neither side of which an
-    exact group took; pairs for the model to judge, open on both sides; stale
-    facts on the daily pass, and whether there are more than are given; and the
-    new watermark. A namespace too large for a pair scan is refused."""
+    exact group took, so what those took is not compared at all; pairs for the
+    model to judge, open on both sides; stale facts on the daily pass, and
+    whether there are more than are given; and the new watermark."""
     grants = list(grants)
     refuse_large(memory, grants, now, scan_most)
     old = unread(memory, grants, STALE_DAYS, stale_most + 1, now, level, scope) if daily else memory.limit(0)
     exact = exact_duplicates(memory, grants, now, since=since, level=level, scope=scope)
     claimed = exact.select("id").distinct()
-    pairs = similar_pairs(memory, grants, now, floor, since=since, level=level, scope=scope)
-    free = pairs.join(claimed.withColumnRenamed("id", "a"), "a", "left_anti").join(claimed.withColumnRenamed("id", "b"), "b", "left_anti").select(*pairs.columns)
+    free = similar_pairs(memory.join(claimed, "id", "left_anti"), grants, now, floor, since=since, level=level, scope=scope)
     open_ids = memory.filter("sensitivity = 'open'").select("id")
     band = free.filter(F.col("similarity") < near)
-    model = band.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi").join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select(*pairs.columns)
+    model = band.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi").join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select(*free.columns)
     newest = in_cleanup(memory, grants, now, level, scope).agg(F.max("created_at").alias("newest"))
     through = F.greatest(F.col("newest"), F.lit(since)) if since is not None else F.col("newest")
     return {

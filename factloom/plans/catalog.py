@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import credentials, evaluation, guards, predicates, text, vector
 from ..functions.staging import written
-from ..operators import alias, chains, duplicates, graph, listing, neighbours, policy, postings, registry, search, telemetry
+from ..operators import alias, chains, duplicates, graph, listing, neighbours, policy, postings, registry, search, similarity, telemetry
 from . import fixtures as fx
 from . import lexical_sql
 from .fixtures import NARROW, NOW, NOW_SQL, OWNER, with_fixtures
@@ -280,6 +280,29 @@ def j06_similar_pairs(spark, sf):
     return duplicates.similar_pairs(mem(spark, sf, True), OWNER, NOW, 0.4, since=INSTANT).select("a", "b", F.round("similarity", 4).alias("similarity"))
 
 
+@query(
+    """WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM fx_clustered), c AS (SELECT id, min(id) OVER (PARTITION BY e) AS class_id FROM v),
+n AS (SELECT a.id, count(*) AS n FROM v a JOIN v b ON a.id <> b.id AND list_cosine_similarity(a.e, b.e) >= 0.9 GROUP BY a.id)
+SELECT c.id, c.class_id, coalesce(n.n, 0) AS links FROM c LEFT JOIN n ON n.id = c.id"""
+)
+def j05_links_of_all(spark, sf):
+    """All facts as one namespace, whatever its size: the class of equal
+    vectors and the number of others near each."""
+    rows = fx.clustered(spark, sf).withColumn("namespace", F.lit("all"))
+    return similarity.classes(similarity.links(rows, 0.9)).select("id", "class_id", "links")
+
+
+@query()
+def j05_scan_figures(spark, sf):
+    """What the pruning left of the work, by threshold, as measured."""
+    parts = []
+    for name, rows in (("given", _given_vectors(spark, sf)), ("clustered", fx.clustered(spark, sf).select("id", "embedding"))):
+        for threshold in (0.9, 0.97):
+            found = similarity.links(rows.withColumn("namespace", F.lit("all")), threshold)
+            parts.append(similarity.figures(found).withColumns({"vectors_of": F.lit(name), "threshold": F.lit(threshold)}).drop("g"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 ALIASES = "(SELECT 'project:alpha' AS namespace, 'the and' AS alias, 'ErTion' AS canonical UNION ALL SELECT 'global', 'leau', 'mentel' UNION ALL SELECT 'project:beta', 'zzzz', 'the')"
 
 

@@ -156,6 +156,11 @@ def fx_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "fx_clustered": """
+fx_clustered AS (
+  SELECT m.id, m.namespace, list_transform(list_zip(c.embedding, v.embedding), lambda z: CAST(CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE) / 2 AS FLOAT)) AS embedding
+  FROM fx_memory m JOIN embeddings c ON c.vec_id = m.id % 50 JOIN embeddings v ON v.vec_id = (m.id + m.id // (SELECT count(*) FROM embeddings)) % (SELECT count(*) FROM embeddings)
+)""",
     "fx_memory": """
 fx_memory AS (
   SELECT d.doc_id AS id, d.text AS content, CAST(e.embedding AS DOUBLE[]) AS embedding,

@@ -143,16 +143,6 @@ def test_dismissed_pairs_are_no_conflicts(spark):
     assert mutations.undismiss(ledger, spark.createDataFrame([("a", "b")], "a string, b string")).count() == 0
 
 
-def test_pair_search_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vector, "BLOCK", 7)
-    rows = [{"id": f"{k:03d}", "embedding": [float(k % 11 == j) + 0.001 * k for j in range(11)]} for k in range(60)]
-    m = facts(spark, *rows)
-    got = {(r.a, r.b) for r in vector.similar_pairs(m, 0.9).collect()}
-    cos = lambda x, y: sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
-    want = {(a["id"], b["id"]) for a in rows for b in rows if a["id"] < b["id"] and cos(a["embedding"], b["embedding"]) >= 0.9}
-    assert got == want and want
-
-
 def test_empty_store(spark):
     m = facts(spark, {"id": "a"}).limit(0)
     r = listing.staleness(m, NOW).first()
