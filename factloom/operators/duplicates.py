@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Grant, differs, live, readable
+from ..functions.staging import written
 from ..functions.text import cluster_key, duplicate_key
 from . import similarity
 from .listing import in_cleanup, live_embedded_counts, unread
@@ -110,7 +111,7 @@ def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, s
     old = unread(memory, grants, STALE_DAYS, stale_most + 1, now, level, scope) if daily else memory.limit(0)
     exact = exact_duplicates(memory, grants, now, since=since, level=level, scope=scope)
     claimed = exact.select("id").distinct()
-    free = similar_pairs(memory.join(claimed, "id", "left_anti"), grants, now, floor, since=since, level=level, scope=scope)
+    free = written(similar_pairs(memory.join(claimed, "id", "left_anti"), grants, now, floor, since=since, level=level, scope=scope), "cleanup-pairs")
     open_ids = memory.filter("sensitivity = 'open'").select("id")
     band = free.filter(F.col("similarity") < near)
     model = band.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi").join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select(*free.columns)

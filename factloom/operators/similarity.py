@@ -39,11 +39,11 @@ from .neighbours import key_of
 #: Nodes of a block, and visitors that meet one at once.
 BLOCK = 1024
 #: A pivot for so many nodes, up to the most pivots of a group.
-PER_PIVOT, MOST_PIVOTS = 64, 256
+PER_PIVOT, MOST_PIVOTS = 16, 256
 #: Nodes among which a group's pivots are chosen.
 SAMPLE = 2048
 #: Nodes placed at once; steps of the angle that rings are made of; parts of a cell's visitors.
-PLACED, STEPS, PARTS = 8192, 4096, 32
+PLACED, STEPS, PARTS = 2048, 4096, 32
 #: Room for rounding in the bounds.
 SLACK = 1e-6
 
@@ -112,11 +112,12 @@ def _reach(x: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndar
     near = np.ones(s.shape, bool)
     if threshold > 0:
         apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+        per = np.divide(1.0, apart, out=np.zeros_like(apart), where=apart > 1e-6)
         limit = np.sqrt(max(0.0, 1 - threshold * threshold)) + SLACK
-        for c in range(len(pivots)):
-            others = apart[c] > 1e-6
-            if others.any():
-                near[:, c] = ((s[:, others] - s[:, [c]]) / apart[c, others]).max(axis=1) <= limit
+        for at in range(0, len(s), 512):
+            some = s[at : at + 512]
+            for c in range(len(pivots)):
+                near[at : at + 512, c] = ((some - some[:, [c]]) * per[c]).max(axis=1) <= limit
     return home, np.arccos(s), near
 
 
@@ -142,7 +143,7 @@ def _placed(nodes: DataFrame, sizes: DataFrame, pivots: DataFrame, threshold: fl
         return out.append_column("angles", pa.ListArray.from_arrays(ends, pa.array(angles[at, cells])))
 
     g = nodes.schema["g"].dataType.simpleString()
-    schema = f"g {g}, width int, key string, asked boolean, e array<double>, cell int, angle double, cells array<int>, angles array<double>"
+    schema = f"g {g}, width int, key string, asked boolean, e {nodes.schema["e"].dataType.simpleString()}, cell int, angle double, cells array<int>, angles array<double>"
     return dealt.groupBy(*GROUP, "p").cogroup(copies.groupBy(*GROUP, "p")).applyInArrow(place, schema)
 
 
@@ -161,11 +162,11 @@ def _rings(placed: DataFrame) -> DataFrame:
 def links(df: DataFrame, threshold: float, group: str = "namespace", id_col: str = "id", embedding: str = "embedding", asked: Column | None = None) -> Links:
     """All pairs of unlike vectors of one group with a cosine of the threshold
     or more, exactly; only those with an asked row on either side, if told."""
-    e = F.col(embedding).cast("array<double>")
+    e = F.col(embedding)
     usable = F.col(id_col).isNotNull() & F.col(group).isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
-    rows = df.filter(F.coalesce(usable, F.lit(False))).select(F.col(group).alias("g"), F.col(id_col).alias("id"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asked"), e.alias("e")).withColumn("key", key_of("e"))
-    members = rows.select("g", "key", "id", "asked")
-    nodes = _stored(rows.groupBy("g", "key").agg(F.first("e").alias("e"), F.max("asked").alias("asked")).withColumn("width", F.size("e")), "similar-nodes")
+    told = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    rows = _stored(df.filter(F.coalesce(usable, F.lit(False))).select(F.col(group).alias("g"), F.col(id_col).alias("id"), told.alias("asked"), key_of(embedding).alias("key"), e.alias("e")), "similar-rows")
+    nodes = _stored(rows().groupBy("g", "key").agg(F.first("e").alias("e"), F.max("asked").alias("asked")).withColumn("width", F.size("e")), "similar-nodes")
     sizes = nodes().groupBy(*GROUP).agg(F.count("*").alias("n"))
     pivots = _stored(_pivots(nodes(), sizes), "similar-pivots")
     placed = _stored(_placed(nodes(), sizes, pivots(), threshold), "similar-placed")
@@ -210,7 +211,7 @@ def links(df: DataFrame, threshold: float, group: str = "namespace", id_col: str
 
     g = df.schema[group].dataType.simpleString()
     found = left.groupBy(*BLOCKS, "piece").cogroup(right.groupBy(*BLOCKS, "piece")).applyInArrow(multiply, f"g {g}, a string, b string, similarity double")
-    return Links(members, found, work())
+    return Links(rows().select("g", "key", "id", "asked"), found, work())
 
 
 def pairs(df: DataFrame, threshold: float, group: str = "namespace", id_col: str = "id", embedding: str = "embedding", asked: Column | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def small(monkeypatch):
 
 @pytest.mark.parametrize(("d", "spread", "threshold"), [(8, 0.05, 0.97), (8, 0.4, 0.9), (3, 0.3, 0.6), (24, 3.0, 0.35), (5, 0.5, -0.2), (2, 0.5, 0.999)])
 def test_all_pairs_and_no_other(spark, small, d, spread, threshold):
-    x = clusters(330, 9, d, spread)
+    x = clusters(220, 9, d, spread)
     x[40:60] = x[3]  # copies
     x[60:70] = -x[3]
     rows = [("one" if i % 4 else "two", i, [float(v) for v in x[i]], "x") for i in range(len(x))]
