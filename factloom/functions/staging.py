@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> Callable[[], DataFrame]:
+    """Write a table; each call reads it anew, as the two sides of a cogroup
+    may not share columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return lambda: df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.staging import stored
+
+#: Names of one automaton, and bytes of text that one is run over at once.
+NAMES, BYTES = 50_000, 16 << 20
+
 
 def normal_name(name: str | Column) -> Column:
     return F.lower(F.trim(F.col(name) if isinstance(name, str) else name))
@@ -75,3 +83,45 @@ def put(alias: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def forget(alias: DataFrame, keys: DataFrame) -> DataFrame:
     return alias.join(keys.select("namespace", normal_name("alias").alias("alias")), ["namespace", "alias"], "left_anti")
+
+
+def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(namespace, name, id): the names of its namespace that a text holds,
+    each once, as substrings in the case they have. texts: (namespace, id,
+    text), names: (namespace, name).
+
+    A namespace's names are cut into shards and its texts into parts; a task
+    makes one automaton of a shard and runs it once over each text of a part,
+    whatever the number of names. Null texts and names hold and are nothing;
+    the empty name is in every text; ids of repeated rows are found again.
+    """
+    names = stored(names.filter("namespace is not null and name is not null").select("namespace", "name").distinct(), "alias-names")
+    shards = names().groupBy("namespace").agg(F.ceil(F.count("*") / NAMES).cast("int").alias("shards"))
+    rows = texts.filter("text is not null").select("namespace", "id", "text")
+    parts = rows.groupBy("namespace").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / BYTES).cast("int").alias("parts"))
+    plan = stored(parts.join(shards, "namespace"), "alias-plan")
+    part = F.pmod(F.xxhash64("id", "text"), F.col("parts")).cast("int")
+    shard = F.pmod(F.xxhash64("name"), F.col("shards")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(plan(), "namespace").select("namespace", each("shards").alias("shard"), part.alias("part"), "id", "text")
+    right = names().join(plan(), "namespace").select("namespace", shard.alias("shard"), each("parts").alias("part"), "name")
+
+    def run(key: tuple, texts: pa.Table, names: pa.Table) -> pa.Table:
+        known = names["name"].to_pylist()
+        automaton = ahocorasick.Automaton()
+        for n, name in enumerate(known):
+            if name:
+                automaton.add_word(name, n)
+        everywhere = {n for n, name in enumerate(known) if not name}
+        if len(automaton):
+            automaton.make_automaton()
+        at, found = [], []
+        for i, text in enumerate(texts["text"].to_pylist()):
+            hits = everywhere | ({n for _, n in automaton.iter(text)} if len(automaton) else set())
+            at += [i] * len(hits)
+            found += hits
+        return pa.table({"namespace": pa.array([key[0].as_py()] * len(at), pa.string()), "name": pa.array([known[n] for n in found], pa.string()), "id": texts["id"].take(pa.array(np.array(at, np.int64)))})
+
+    schema = f"namespace string, name string, id {texts.schema['id'].dataType.simpleString()}"
+    keys = ["namespace", "shard", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)

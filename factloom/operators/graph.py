@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Grant, linked, live, readable
+from ..functions.staging import written
+from .alias import occurrences
 
 # Hubs, caps and the router's thresholds.
 TAG_HUB, DEGREE_CAP, FAN_OUT, SEEDS = 40, 200, 25, 10
@@ -20,16 +22,19 @@ def supersedes_edges(memory: DataFrame) -> DataFrame:
     return memory.filter("superseded_by is not null").select(F.col("id").alias("src_id"), F.col("superseded_by").alias("dst_id"), F.lit("supersedes").alias("relation"))
 
 
-def alias_edges(memory: DataFrame, alias: DataFrame) -> DataFrame:
+def alias_edges(memory: DataFrame, alias: DataFrame, hub: int | None = None) -> DataFrame:
     """A fact with an alias and one with its canonical name, in one namespace.
-    Each name is looked for once in each fact of its namespace, and the pairs
-    are then joined by group; the alias table is broadcast if its size allows."""
-    rows = memory.filter(linked()).select("id", "namespace", F.lower("content").alias("text"))
-    current = alias.filter("until is null").select("namespace", "alias", "canonical")
-    hit = rows.join(current, "namespace")
-    a = hit.filter(F.instr("text", F.col("alias")) > 0).select("namespace", "alias", "canonical", F.col("id").alias("a"))
-    b = hit.filter(F.instr("text", F.lower("canonical")) > 0).select("namespace", "alias", "canonical", F.col("id").alias("b"))
-    pairs = a.join(b, ["namespace", "alias", "canonical"]).filter("a <> b")
+    An automaton over a namespace's names goes once over each fact, and the
+    pairs are then joined by group. A name in more facts than ``hub``, if that
+    is given, links none of them; by itself every name links."""
+    current = alias.filter("until is null").select("namespace", "alias", F.lower("canonical").alias("canonical")).distinct()
+    names = current.select("namespace", F.col("alias").alias("name")).unionAll(current.select("namespace", "canonical"))
+    hits = written(occurrences(memory.filter(linked()).select("namespace", "id", F.lower("content").alias("text")), names), "alias-hits").distinct()
+    if hub is not None:
+        small = hits.groupBy("namespace", "name").agg(F.count("*").alias("n")).filter(F.col("n") <= hub)
+        hits = hits.join(small.select("namespace", "name"), ["namespace", "name"])
+    a, b = (hits.withColumnsRenamed({"name": name, "id": end}) for name, end in (("alias", "a"), ("canonical", "b")))
+    pairs = current.join(a, ["namespace", "alias"]).join(b, ["namespace", "canonical"]).filter("a <> b")
     return pairs.select(F.least("a", "b").alias("src_id"), F.greatest("a", "b").alias("dst_id"), F.lit("shares_alias").alias("relation")).distinct()
 
 
@@ -45,9 +50,9 @@ def tag_edges(memory: DataFrame, hub: int = TAG_HUB) -> DataFrame:
     return pairs.select("src_id", "dst_id", F.lit("shares_tag").alias("relation")).distinct()
 
 
-def rebuild_edges(memory: DataFrame, alias: DataFrame, edges: DataFrame | None = None, hub: int = TAG_HUB) -> DataFrame:
+def rebuild_edges(memory: DataFrame, alias: DataFrame, edges: DataFrame | None = None, hub: int = TAG_HUB, alias_hub: int | None = None) -> DataFrame:
     """All edges anew: what structure produced is replaced, others stay."""
-    made = supersedes_edges(memory).unionByName(alias_edges(memory, alias)).unionByName(tag_edges(memory, hub)).withColumn("produced_by", F.lit("structure"))
+    made = supersedes_edges(memory).unionByName(alias_edges(memory, alias, alias_hub)).unionByName(tag_edges(memory, hub)).withColumn("produced_by", F.lit("structure"))
     if edges is not None:
         kept = edges.filter("produced_by <> 'structure'").select(*made.columns)
         made = kept.unionByName(made.join(kept.select("src_id", "dst_id", "relation"), ["src_id", "dst_id", "relation"], "left_anti"))

@@ -24,7 +24,6 @@ group that differ in width are never compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.staging import scratch
+from ..functions.staging import stored
 from .neighbours import key_of
 
 #: Nodes of a block, and visitors that meet one at once.
@@ -64,14 +63,6 @@ class Links:
     work: DataFrame
 
 
-def _stored(df: DataFrame, name: str) -> Callable[[], DataFrame]:
-    """Write a table; each call reads it anew, as the two sides of a cogroup
-    may not share columns."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return lambda: df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Unit vectors in doubles."""
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -165,15 +156,15 @@ def links(df: DataFrame, threshold: float, group: str = "namespace", id_col: str
     e = F.col(embedding)
     usable = F.col(id_col).isNotNull() & F.col(group).isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
     told = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
-    rows = _stored(df.filter(F.coalesce(usable, F.lit(False))).select(F.col(group).alias("g"), F.col(id_col).alias("id"), told.alias("asked"), key_of(embedding).alias("key"), e.alias("e")), "similar-rows")
-    nodes = _stored(rows().groupBy("g", "key").agg(F.first("e").alias("e"), F.max("asked").alias("asked")).withColumn("width", F.size("e")), "similar-nodes")
+    rows = stored(df.filter(F.coalesce(usable, F.lit(False))).select(F.col(group).alias("g"), F.col(id_col).alias("id"), told.alias("asked"), key_of(embedding).alias("key"), e.alias("e")), "similar-rows")
+    nodes = stored(rows().groupBy("g", "key").agg(F.first("e").alias("e"), F.max("asked").alias("asked")).withColumn("width", F.size("e")), "similar-nodes")
     sizes = nodes().groupBy(*GROUP).agg(F.count("*").alias("n"))
-    pivots = _stored(_pivots(nodes(), sizes), "similar-pivots")
-    placed = _stored(_placed(nodes(), sizes, pivots(), threshold), "similar-placed")
+    pivots = stored(_pivots(nodes(), sizes), "similar-pivots")
+    placed = stored(_placed(nodes(), sizes, pivots(), threshold), "similar-placed")
 
     steps = _rings(placed())
     rings = steps.groupBy(*RING).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("asked").alias("any_asked")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    spots = _stored(steps.select(*CELL, "step", "ring").join(rings, RING), "similar-rings")
+    spots = stored(steps.select(*CELL, "step", "ring").join(rings, RING), "similar-rings")
     rings = spots().select(*RING, "lo", "hi", "parts", "any_asked").distinct()
 
     def settled() -> DataFrame:
@@ -191,7 +182,7 @@ def links(df: DataFrame, threshold: float, group: str = "namespace", id_col: str
     visits = met.filter(on).select(*BLOCKS, "key", "asked", "e", own.alias("own"))
 
     counts = visits.groupBy(*BLOCKS).agg(F.count("*").alias("visits"))
-    work = _stored(counts.join(settled().groupBy(*BLOCKS).agg(F.count("*").alias("nodes")), BLOCKS), "similar-work")
+    work = stored(counts.join(settled().groupBy(*BLOCKS).agg(F.count("*").alias("nodes")), BLOCKS), "similar-work")
     pieces = lambda: work().select(*BLOCKS, F.ceil(F.col("visits") / BLOCK).cast("int").alias("pieces"))
     left = visits.join(pieces(), BLOCKS).withColumn("piece", F.pmod(F.xxhash64("key", F.lit(2)), F.col("pieces")).cast("int")).drop("pieces")
     right = settled().select(*BLOCKS, "key", "asked", "e").join(pieces(), BLOCKS).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
