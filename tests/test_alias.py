@@ -1,6 +1,6 @@
 """Names found by automata against a search for each name."""
 
-from factloom.operators import alias
+from factloom.operators import alias, graph
 
 TEXTS = [("one", 1, "the cat sat, theatre"), ("one", 2, "ca"), ("one", 3, None), ("one", 4, ""), ("one", 4, ""), ("one", 5, "straße 東京都 cats"), ("two", 6, "the cat"), (None, 7, "the cat"), ("one", None, "hat"), ("one", 8, "ab" * 40_000 + "theatre")]
 NAMES = [("one", "the"), ("one", "he"), ("one", "theatre"), ("one", "cat"), ("one", "cats"), ("one", "The"), ("one", "東京"), ("one", "ße"), ("one", None), ("one", "the"), ("two", ""), ("two", "dog"), (None, "cat"), ("three", "cat")]
@@ -28,3 +28,12 @@ def test_many_shards_and_parts(spark, monkeypatch):
 
 def test_nothing_to_find(spark):
     assert found(spark, texts=[]) == [] and found(spark, names=[]) == []
+
+
+def test_edges_and_hubs(spark):
+    schema = "id long, namespace string, content string, superseded_by long"
+    memory = spark.createDataFrame([(1, "one", "K8S and more", None), (2, "one", "kubernetes", None), (3, "one", "kubernetes k8s", None), (4, "one", "k8s", 1), (5, "two", "k8s kubernetes", None), (6, "one", None, None)], schema)
+    names = spark.createDataFrame([("one", "k8s", "Kubernetes", None), ("two", "k8s", "Kubernetes", None)], "namespace string, alias string, canonical string, until timestamp")
+    edges = lambda hub: {(r.src_id, r.dst_id) for r in graph.alias_edges(memory, names, hub).collect()}
+    assert edges(None) == edges(2) == {(1, 2), (1, 3), (2, 3)}
+    assert edges(1) == set()
