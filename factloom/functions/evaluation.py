@@ -6,30 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def recall_any(ids: Column, gold: Column, k: int) -> Column:
-    return F.when(F.arrays_overlap(F.slice(ids, 1, k), gold), 1.0).otherwise(0.0)
-
-
 def _dcg(hits: Column, k: int) -> Column:
     gains = F.transform(F.slice(hits, 1, k), lambda h, i: F.when(h, 1 / F.log2(i + 2.0)).otherwise(0.0))
     return F.aggregate(gains, F.lit(0.0), lambda s, x: s + x)
 
 
-def ndcg(ids: Column, gold: Column, k: int) -> Column:
-    hits = F.transform(ids, lambda i: F.array_contains(gold, i))
-    ideal = F.array_repeat(F.lit(True), F.least(F.size(gold), F.lit(k)))
-    return F.when(F.size(gold) > 0, _dcg(hits, k) / _dcg(ideal, k)).otherwise(0.0)
-
-
-def reciprocal_rank(ids: Column, gold: Column) -> Column:
-    first = F.array_position(F.transform(ids, lambda i: F.array_contains(gold, i)), True)
-    return F.when(first > 0, 1.0 / first).otherwise(0.0)
+def measures(results: DataFrame) -> DataFrame:
+    """(…, hits, relevant) with the five measures of each question: whether each
+    place holds what is relevant, and how many are relevant in all."""
+    hits, n = F.col("hits"), F.col("relevant")
+    ideal = lambda k: _dcg(F.array_repeat(F.lit(True), F.least(n, F.lit(k)).cast("int")), k)
+    first = F.array_position(hits, True)
+    any_of = {f"recall_any_at_{k}": F.when(F.array_contains(F.slice(hits, 1, k), True), 1.0).otherwise(0.0) for k in (5, 10, 20)}
+    ndcg = F.when(n > 0, _dcg(hits, 10) / ideal(10)).otherwise(0.0)
+    return results.withColumns({**any_of, "ndcg_at_10": ndcg, "mrr": F.when(first > 0, 1.0 / first).otherwise(0.0)})
 
 
 def metrics(results: DataFrame) -> DataFrame:
     """(…, ids, gold) with the five measures of each question."""
-    ids, gold = F.col("ids"), F.col("gold")
-    return results.withColumns({**{f"recall_any_at_{k}": recall_any(ids, gold, k) for k in (5, 10, 20)}, "ndcg_at_10": ndcg(ids, gold, 10), "mrr": reciprocal_rank(ids, gold)})
+    hits = F.transform("ids", lambda i: F.array_contains("gold", i))
+    return measures(results.withColumns({"hits": hits, "relevant": F.size("gold")})).drop("hits", "relevant")
 
 
 def aggregate(measured: DataFrame, kind: str) -> DataFrame:
