@@ -273,11 +273,18 @@ def clear_plaintext(proposals: DataFrame, memory: DataFrame) -> DataFrame:
     """A proposal keeps its words only while it waits, or while its fact is in
     the clear: content and quote go once it is decided and its fact is gone or sealed."""
     facts = memory.select(F.col("id").alias("memory_id"), F.col("content").isNotNull().alias("_clear"))
-    rows = proposals.join(facts, "memory_id", "left")
+    rows = _of_facts(proposals, facts)
     drop = F.col("state").isin("written", "rejected") & ~F.coalesce("_clear", F.lit(False))
     return rows.withColumns({c: F.when(drop, None).otherwise(F.col(c)) for c in ("content", "quote")}).select(*proposals.columns)
 
 
+def _of_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows with the columns of their fact, of facts (memory_id, …). Rows without
+    a link pass by the join: the nulls of its key would meet in one task."""
+    linked = rows.filter("memory_id is not null").join(facts, "memory_id", "left")
+    return linked.unionByName(rows.filter("memory_id is null"), allowMissingColumns=True)
+
+
 def _cleared(rows: DataFrame, gone: Column, columns: list[str]) -> DataFrame:
     return rows.withColumns({"content": F.when(gone, "").otherwise(F.col("content")), "quote": F.when(gone, None).otherwise(F.col("quote"))}).select(*columns)
 
@@ -287,7 +294,7 @@ def relinked(before: DataFrame, after: DataFrame, memory: DataFrame) -> DataFram
     points at a sealed fact (one without content), or that lost its link."""
     was = before.select("id", F.col("memory_id").alias("_was"))
     sealed = memory.filter("content is null").select(F.col("id").alias("memory_id"), F.lit(True).alias("_sealed"))
-    rows = after.join(was, "id", "left").join(sealed, "memory_id", "left")
+    rows = _of_facts(after.join(was, "id", "left"), sealed)
     onto = F.col("memory_id").isNotNull() & ~F.col("memory_id").eqNullSafe(F.col("_was")) & F.coalesce("_sealed", F.lit(False))
     return _cleared(rows, onto | (F.col("_was").isNotNull() & F.col("memory_id").isNull()), after.columns)
 
@@ -297,4 +304,4 @@ def sealed_later(proposals: DataFrame, before: DataFrame, after: DataFrame) -> D
     its content before and has none now."""
     held = before.filter("content is not null").select("id")
     now = after.filter("content is null").join(held, "id", "left_semi").select(F.col("id").alias("memory_id"), F.lit(True).alias("_sealed"))
-    return _cleared(proposals.join(now, "memory_id", "left"), F.coalesce("_sealed", F.lit(False)), proposals.columns)
+    return _cleared(_of_facts(proposals, now), F.coalesce("_sealed", F.lit(False)), proposals.columns)
