@@ -88,8 +88,9 @@ def vault(memory: DataFrame, root: str = "vault") -> DataFrame:
     named = memory.withColumn("_stem", stem)
     names = named.select(F.col("id").alias("_id"), F.col("_stem").alias("_name"))
     linked = named
-    for c in ("supersedes", "superseded_by"):
-        linked = linked.join(names.toDF(c, f"_{c}"), c, "left")
+    for c in ("supersedes", "superseded_by"):  # by id: most facts link to none, and nulls of a key would meet in one task
+        links = memory.filter(F.col(c).isNotNull()).select("id", c).join(names.toDF(c, f"_{c}"), c).drop(c)
+        linked = linked.join(links, "id", "left")
     line = lambda label, value: F.concat(F.lit(label + ": "), value)
     link = lambda c: F.concat(F.lit("[["), F.col(f"_{c}"), F.lit("]]"))
     front = F.concat_ws(
