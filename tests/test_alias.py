@@ -37,3 +37,17 @@ def test_edges_and_hubs(spark):
     edges = lambda hub: {(r.src_id, r.dst_id) for r in graph.alias_edges(memory, names, hub).collect()}
     assert edges(None) == edges(2) == {(1, 2), (1, 3), (2, 3)}
     assert edges(1) == set()
+
+
+def test_edges_once_and_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PART", 4)
+    said = ["k8s", "kubernetes", "k8s kubernetes", "k8s kube", "kube", "none"]
+    rows = [(i, "one" if i % 3 else "two", said[i % 6 if i % 4 else 2], None) for i in range(90)] + [(None, "one", "k8s kubernetes", None)]
+    memory = spark.createDataFrame(rows, "id long, namespace string, content string, superseded_by long")
+    known = [("one", "k8s", "kubernetes"), ("one", "kubernetes", "k8s"), ("one", "k8s", "kube"), ("two", "kube", "k8s"), ("two", "k8s", "k8s")]
+    names = spark.createDataFrame([(*k, None) for k in known], "namespace string, alias string, canonical string, until timestamp")
+    want = {(min(i, j), max(i, j)) for i, n, x, _ in rows for j, m, y, _ in rows for o, a, c in known if None not in (i, j) and i != j and n == m == o and a in x and c in y}
+    found = graph.alias_edges(memory, names)
+    got = [(r.src_id, r.dst_id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
