@@ -4,6 +4,7 @@ made from the supplied tables and written to the shared folder first."""
 from __future__ import annotations
 
 from datetime import date
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions.predicates import live
 from ..functions.staging import scratch
 from ..functions.text import content_digest
 from ..operators import ingest
-from ..sources import archive, clients, dump, evaluation, files, transcripts
+from ..sources import archive, byte_lines, clients, dump, evaluation, files, transcripts
 from ..streaming import calls
 from . import fixtures as fx
 from .catalog import QUERIES, mem, query, ts
@@ -37,31 +38,48 @@ LINES = """l AS (SELECT doc_id, to_json({'i': doc_id, 't': text}) AS line FROM d
 o AS (SELECT doc_id, line, strlen(line) + 1 AS bytes, CAST(sum(strlen(line) + 1) OVER (ORDER BY doc_id) AS BIGINT) AS byte_end FROM l)"""
 
 
-def _one_file(docs: DataFrame, name: str) -> str:
-    """A file of a JSON line a document, by number."""
+#: Bytes of text, about, of one segment of a log, and the document up to which one was read.
+SEGMENT, READ = 64 << 20, 100
+
+
+def _log(docs: DataFrame, name: str) -> str:
+    """A log of a JSON line a document, by number: one file, or as many segments
+    as keep each to one task's share, in the order of their names. Documents
+    below ``READ`` are in the first one, as what was read is its beginning."""
     rows = docs.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")), {"ignoreNullFields": "false"}).alias("value"))
-    return _texts(rows.repartition(1).sortWithinPartitions("doc_id").select("value"), name)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _texts(rows.repartitionByRange(size // SEGMENT + 1, F.greatest("doc_id", F.lit(READ - 1))).sortWithinPartitions("doc_id").select("value"), name)
+
+
+def _placed(read: DataFrame, path: str) -> DataFrame:
+    """Lines of segments with their places in the whole log. The driver holds a
+    number for each segment."""
+    segments = sorted((address, size) for address, size, _ in byte_lines.listed(path, "part-*"))
+    before = list(accumulate((size for _, size in segments), initial=0))
+    starts = read.sparkSession.createDataFrame([(address, at) for (address, _), at in zip(segments, before)], "file_path string, before long")
+    return read.join(F.broadcast(starts), "file_path").withColumns({c: F.col(c) + F.col("before") for c in ("byte_start", "byte_end")}).drop("before")
 
 
 @query(f"WITH {LINES} SELECT doc_id, byte_end - bytes AS byte_start, byte_end, md5(line) AS text FROM o")
 def s07_lines_with_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """One file in ranges of 100,000 bytes: a line has its own place in it."""
-    read = files.lines(spark, _one_file(fx.table(spark, sf, "documents"), "s07"), pattern="part-*", range_bytes=100_000)
+    """One log in ranges of 100,000 bytes: a line has its own place in it."""
+    path = _log(fx.table(spark, sf, "documents"), "s07")
+    read = _placed(files.lines(spark, path, pattern="part-*", range_bytes=100_000), path)
     return read.select(F.get_json_object("text", "$.i").cast("long").alias("doc_id"), "byte_start", "byte_end", F.md5("text").alias("text"))
 
 
 @query(f"WITH {LINES}, h AS (SELECT max(byte_end) AS reached FROM o WHERE doc_id < 100) SELECT 'grown' AS file, doc_id, byte_end - bytes AS byte_start FROM o, h WHERE byte_end > reached UNION ALL SELECT 'changed', doc_id, byte_end - bytes - (SELECT sum(bytes) FROM o WHERE doc_id = 0) FROM o WHERE doc_id > 0")
 def t05_only_new_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """What was read up to document 100 is not read again where it still begins
-    a file; a file that begins otherwise is read from 0."""
+    a log; a log that begins otherwise is read from 0."""
     docs = fx.table(spark, sf, "documents")
-    mark = files.reached(files.lines(spark, _one_file(docs.filter("doc_id < 100"), "t05"), pattern="part-*"))
+    mark = files.reached(files.lines(spark, _log(docs.filter(F.col("doc_id") < READ), "t05"), pattern="part-*"))
     out = []
     for name, rows in (("grown", docs), ("changed", docs.filter("doc_id > 0"))):
-        path = _one_file(rows, "t05")
-        here = files.discover(spark, path, "part-*").select(F.col("path").alias("file_path"))
+        path = _log(rows, "t05")
+        here = files.discover(spark, path, "part-*").agg(F.min("path").alias("file_path"))
         marks = here.join(mark.drop("file_path"))
-        read = files.lines(spark, path, marks, "part-*", range_bytes=100_000)
+        read = _placed(files.lines(spark, path, marks, "part-*", range_bytes=100_000), path)
         out.append(read.select(F.lit(name).alias("file"), F.get_json_object("text", "$.i").cast("long").alias("doc_id"), "byte_start"))
     return out[0].unionAll(out[1])
 

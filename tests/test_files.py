@@ -6,6 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from factloom.plans import formats
 from factloom.sources import byte_lines, files
 
 RNG = random.Random(7)
@@ -82,3 +83,17 @@ def test_a_stream_reads_new_bytes_only(spark, tmp_path):
     assert drain("2") == [("a.jsonl", 8, "half"), ("b.jsonl", 0, "b")]
     put(root / "a.jsonl", b"new\n")
     assert drain("3") == [("a.jsonl", 0, "new")]
+
+
+def test_a_log_of_segments_has_the_places_of_one_file(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {f.__name__: sorted(map(tuple, f(spark, sf).collect())) for f in (formats.s07_lines_with_offsets, formats.t05_only_new_bytes)}
+    monkeypatch.setattr(formats, "SEGMENT", 100_000)
+    path = formats._log(docs, "test-log")
+    sizes = [size for _, size, _ in byte_lines.listed(path, "part-*")]
+    assert len(sizes) > 2
+    assert {name: sorted(map(tuple, getattr(formats, name)(spark, sf).collect())) for name in want} == want
+    assert formats._placed(files.lines(spark, formats._log(docs.limit(0), "test-log"), pattern="part-*"), path).collect() == []
