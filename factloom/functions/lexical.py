@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ WEIGHT, ALL_SQUARES, FAR = 0.1, 1.64493406685, 100
 LEAST_PAIR, LEAST = 1e-16, 1e-20
 
 
+@lru_cache(maxsize=1 << 18)
 def lexeme(word: str) -> str | None:
     """What a word in lower case is indexed as: nothing if it is a stop word,
     itself if it has a digit, else its stem."""
