@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -30,30 +30,32 @@ def exact_duplicates(memory: DataFrame, grants: Iterable[Grant], now: datetime,
     return out if limit is None else out.limit(limit)
 
 
-def similar_pairs(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None) -> DataFrame:
+def similar_pairs(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, *, since: datetime | None = None, level: str = "sealed", scope: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(namespace, a, b, similarity): pairs of one namespace at the floor or
     above, at least one side not older than the watermark."""
     rows = in_cleanup(memory, grants, now, level, scope)
-    return similarity.pairs(rows, floor, asked=None if since is None else F.col("created_at") >= F.lit(since))
+    return similarity.pairs(rows, floor, asked=None if since is None else F.col("created_at") >= F.lit(since), carry=carry)
 
 
-def conflicts(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, dismissed: DataFrame | None = None, *, limit: int | None = None, offset: int = 0, scan_most: int | None = None) -> DataFrame:
+def conflicts(memory: DataFrame, grants: Iterable[Grant], now: datetime, floor: float, dismissed: DataFrame | None = None, *, limit: int | None = None, offset: int = 0, scan_most: int | None = None, contents: bool = True) -> DataFrame:
     """Pairs of live facts that say nearly the same, older first, without those
-    that somebody dismissed. Namespaces of more than ``scan_most`` live vectors
+    that somebody dismissed. Without contents, all pairs come in no order; a
+    page is cut before contents are looked up. Namespaces of more than ``scan_most`` live vectors
     are refused, if that is given (``SCAN_MAX``); else all are answered."""
     grants = list(grants)
     refuse_large(memory, grants, now, scan_most)
     rows = memory.filter(live(now) & readable(grants))
-    found = similarity.pairs(rows, floor)
-    if dismissed is not None:
-        found = found.join(dismissed.select(F.col("lo_id").alias("a"), F.col("hi_id").alias("b")), ["a", "b"], "left_anti")
-    side = rows.select("id", "created_at", "content")
-    both = found.join(side.toDF("a", "a_at", "a_content"), "a").join(side.toDF("b", "b_at", "b_content"), "b")
-    first = F.struct("a_at", "a") < F.struct(F.col("b_at").alias("a_at"), F.col("b").alias("a"))
+    found = similarity.pairs(rows, floor, carry=["created_at"], without=None if dismissed is None else dismissed.select("lo_id", "hi_id"))
+    first = F.struct(F.col("a_created_at").alias("at"), F.col("a").alias("id")) < F.struct(F.col("b_created_at").alias("at"), F.col("b").alias("id"))
     pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    out = both.select(pick("a", "b").alias("older_id"), pick("b", "a").alias("newer_id"), "namespace", "similarity", pick("a_at", "b_at").alias("older_at"), pick("a_content", "b_content").alias("older_content"), pick("b_content", "a_content").alias("newer_content"))
-    out = out.orderBy(F.col("similarity").desc(), "older_at", "older_id", "newer_id")
-    return out if limit is None else out.offset(offset).limit(limit)
+    out = found.select(pick("a", "b").alias("older_id"), pick("b", "a").alias("newer_id"), "namespace", "similarity", pick("a_created_at", "b_created_at").alias("older_at"))
+    order = (F.col("similarity").desc(), "older_at", "older_id", "newer_id")
+    if limit is not None:
+        out = out.orderBy(*order).offset(offset).limit(limit)
+    if not contents:
+        return out
+    of = lambda end: rows.select(F.col("id").alias(f"{end}_id"), F.col("content").alias(f"{end}_content"))
+    return out.join(of("older"), "older_id").join(of("newer"), "newer_id").orderBy(*order).select("older_id", "newer_id", "namespace", "similarity", "older_at", "older_content", "newer_content")
 
 
 def largest_scan(memory: DataFrame, grants: Iterable[Grant], now: datetime, most: int = SCAN_MAX) -> str | None:
@@ -111,10 +113,9 @@ def cleanup_pass(memory: DataFrame, grants: Iterable[Grant], now: datetime, *, s
     old = unread(memory, grants, STALE_DAYS, stale_most + 1, now, level, scope) if daily else memory.limit(0)
     exact = exact_duplicates(memory, grants, now, since=since, level=level, scope=scope)
     claimed = exact.select("id").distinct()
-    free = written(similar_pairs(memory.join(claimed, "id", "left_anti"), grants, now, floor, since=since, level=level, scope=scope), "cleanup-pairs")
-    open_ids = memory.filter("sensitivity = 'open'").select("id")
-    band = free.filter(F.col("similarity") < near)
-    model = band.join(open_ids.withColumnRenamed("id", "a"), "a", "left_semi").join(open_ids.withColumnRenamed("id", "b"), "b", "left_semi").select(*free.columns)
+    free = written(similar_pairs(memory.join(claimed, "id", "left_anti"), grants, now, floor, since=since, level=level, scope=scope, carry=["sensitivity"]), "cleanup-pairs")
+    model = free.filter((F.col("similarity") < near) & (F.col("a_sensitivity") == "open") & (F.col("b_sensitivity") == "open")).drop("a_sensitivity", "b_sensitivity")
+    free = free.drop("a_sensitivity", "b_sensitivity")
     newest = in_cleanup(memory, grants, now, level, scope).agg(F.max("created_at").alias("newest"))
     through = F.greatest(F.col("newest"), F.lit(since)) if since is not None else F.col("newest")
     return {

@@ -51,7 +51,7 @@ def review_queue(memory: DataFrame, proposals: DataFrame, members: DataFrame, di
     none = F.lit(None)
     parts = []
     if scan_max is None or largest_scan(memory, grants, now, scan_max) is None:
-        c = conflicts(memory, grants, now, floor, dismissed, limit=limit)
+        c = conflicts(memory, grants, now, floor, dismissed, limit=limit, contents=False)
         parts.append(c.select(F.concat_ws(":", F.lit("conflict"), "older_id", "newer_id").alias("key"), F.lit("conflict").alias("source"), "namespace", F.array(F.col("older_id").cast("string"), F.col("newer_id").cast("string")).alias("rows"), F.round("similarity", 4).alias("similarity"), none.cast("long").alias("age_days"), verdicts("conflict", may_delete).alias("verdicts")))
     s = stale(memory, grants, days, limit, now)
     parts.append(s.select(F.concat_ws(":", F.lit("stale"), "id").alias("key"), F.lit("stale").alias("source"), "namespace", F.array(F.col("id").cast("string")).alias("rows"), none.cast("double").alias("similarity"), age("created_at").alias("age_days"), verdicts("stale", may_delete).alias("verdicts")))

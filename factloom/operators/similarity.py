@@ -3,7 +3,8 @@
 Equal vectors of a group are one node, whatever number of rows has them. Pivots
 cut a group's nodes into cells, each node at home with its nearest pivot; a
 cell's nodes are cut by their angle to the pivot into rings and those into
-blocks of about ``BLOCK``. A node visits only blocks that can hold a partner:
+blocks of about ``BLOCK``, in a large group of up to ``MOST_BLOCK``: what is sent
+is a group's nodes times its blocks. A node visits only blocks that can hold a partner:
 
 * Nodes at home with c lie on c's side of the plane between c and any other
   pivot. A node that is a beyond that plane has a cosine of at most
@@ -13,8 +14,9 @@ blocks of about ``BLOCK``. A node visits only blocks that can hold a partner:
   so rings further off than that are left out.
 
 Both bounds are exact: pruning changes the work, never the result. A block's
-visitors are cut into pieces of about ``BLOCK``, and each piece meets the block
-in one matrix product of one task. Pivots are chosen from at most ``SAMPLE``
+visitors are cut into pieces of the same size, and each piece meets the block in
+matrix products of at most ``PRODUCTS`` pairs in one task. For pairs of rows a node
+brings its rows' ids along, ``ROWS`` at a time, so that no pair is sent for them. Pivots are chosen from at most ``SAMPLE``
 nodes a group; that choice decides how much is pruned only.
 
 Rows with a null id or group, without a vector, or whose vector holds a null or
@@ -24,10 +26,12 @@ group that differ in width are never compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,10 +41,16 @@ from .neighbours import key_of
 
 #: Nodes of a block, and visitors that meet one at once.
 BLOCK = 1024
+#: A block for so many of a large group, up to so many nodes and bytes in doubles.
+SHARE, MOST_BLOCK, BLOCK_BYTES = 32, 16_384, 16 << 20
+#: Pairs of one product, and rows of one node.
+PRODUCTS, ROWS = 1 << 20, 64
 #: A pivot for so many nodes, up to the most pivots of a group.
 PER_PIVOT, MOST_PIVOTS = 16, 256
 #: Nodes among which a group's pivots are chosen.
 SAMPLE = 2048
+#: Nodes of the sample that show what pivots leave open, and the share up to which they are worth it.
+TRIED, WORTH = 256, 0.75
 #: Nodes placed at once; steps of the angle that rings are made of; parts of a cell's visitors.
 PLACED, STEPS, PARTS = 2048, 4096, 32
 #: Room for rounding in the bounds.
@@ -56,7 +66,7 @@ BLOCKS = [*RING, "part"]
 class Links:
     """members: (g, key, id, asked) of every row with a usable vector; links:
     (g, a, b, similarity), keys of unlike vectors, a < b; work: (g, width,
-    cell, ring, part, nodes, visits), what each block was compared with."""
+    cell, ring, part, nodes, visits, pieces), what each block was compared with."""
 
     members: DataFrame
     links: DataFrame
@@ -81,14 +91,19 @@ def _spread(x: np.ndarray, count: int) -> np.ndarray:
     return x[chosen]
 
 
-def _pivots(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(g, width, n, pivots): one row a group, the pivots' unit vectors as bytes."""
+def _pivots(nodes: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(g, width, n, pivots): one row a group, the pivots' unit vectors as bytes;
+    one pivot where most of the sample must visit nearly all cells, as cells
+    then only multiply what is sent."""
     first = W.partitionBy(*GROUP).orderBy("key")  # a key is a hash
     sample = nodes.select(*GROUP, "key", "e").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE).drop("n")
 
     def choose(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
-        found = _spread(_matrix(table["e"], key[1].as_py()), table["wanted"][0].as_py())
+        x = _matrix(table["e"], key[1].as_py())
+        found = _spread(x, table["wanted"][0].as_py())
+        if _reach(x[:TRIED], found, threshold)[2].mean() > WORTH:
+            found = found[:1]
         return pa.table({"g": pa.array([key[0].as_py()], table["g"].type), "width": pa.array([key[1].as_py()], pa.int32()), "n": table["size"][:1], "pivots": [found.tobytes()]})
 
     wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / PER_PIVOT)).cast("int").alias("wanted")
@@ -116,9 +131,11 @@ def _placed(nodes: DataFrame, sizes: DataFrame, pivots: DataFrame, threshold: fl
     """nodes with their cell and angle, and the cells from there on that they
     visit, with the angles there."""
     parts = F.ceil(F.col("n") / PLACED).cast("int")
-    dealt = nodes.join(sizes, GROUP).withColumn("p", F.pmod(F.xxhash64("key"), parts).cast("int")).drop("n")
+    dealt = nodes.join(sizes, GROUP).withColumn("p", F.pmod(F.xxhash64("key", "chunk"), parts).cast("int")).drop("n")
     copies = pivots.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
 
+    columns = nodes.columns
+
     def place(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         width = key[1].as_py()
         x = _matrix(left["e"], width) if left.num_rows else np.zeros((0, width))
@@ -128,13 +145,13 @@ def _placed(nodes: DataFrame, sizes: DataFrame, pivots: DataFrame, threshold: fl
         near &= np.arange(near.shape[1]) >= home[:, None]
         at, cells = np.nonzero(near)
         ends = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
-        out = left.select(["g", "width", "key", "asked", "e"])
+        out = left.select(columns)
         out = out.append_column("cell", pa.array(home.astype(np.int32))).append_column("angle", pa.array(angles[rows, home]))
         out = out.append_column("cells", pa.ListArray.from_arrays(ends, pa.array(cells.astype(np.int32))))
         return out.append_column("angles", pa.ListArray.from_arrays(ends, pa.array(angles[at, cells])))
 
-    g = nodes.schema["g"].dataType.simpleString()
-    schema = f"g {g}, width int, key string, asked boolean, e {nodes.schema["e"].dataType.simpleString()}, cell int, angle double, cells array<int>, angles array<double>"
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    schema = f"{kinds}, cell int, angle double, cells array<int>, angles array<double>"
     return dealt.groupBy(*GROUP, "p").cogroup(copies.groupBy(*GROUP, "p")).applyInArrow(place, schema)
 
 
@@ -142,81 +159,160 @@ def _step(angle: str) -> Column:
     return F.floor(F.col(angle) / np.pi * STEPS).cast("int")
 
 
-def _rings(placed: DataFrame) -> DataFrame:
+def _block() -> Column:
+    """Nodes of a block of a group of n."""
+    most = F.least(F.lit(MOST_BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("width"))))
+    return F.greatest(F.lit(BLOCK), F.least(most, F.floor(F.col("n") / SHARE))).cast("int")
+
+
+def _rings(placed: DataFrame, sizes: DataFrame) -> DataFrame:
     """(cell, step, ring): steps of the angle taken together while they hold
     few nodes. Counts by step meet in a window, never the nodes."""
     steps = placed.groupBy(*CELL, _step("angle").alias("step")).agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.max("asked").alias("asked"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*CELL).orderBy("step").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return steps.withColumn("ring", F.floor(before / BLOCK).cast("int"))
+    return steps.withColumn("before", before).join(sizes.select(*GROUP, "block"), GROUP).withColumn("ring", F.floor(F.col("before") / F.col("block")).cast("int")).drop("before")
 
 
 def links(df: DataFrame, threshold: float, group: str = "namespace", id_col: str = "id", embedding: str = "embedding", asked: Column | None = None) -> Links:
     """All pairs of unlike vectors of one group with a cosine of the threshold
     or more, exactly; only those with an asked row on either side, if told."""
+    rows = stored(_usable(df, group, id_col, embedding, asked), "similar-rows")
+    nodes = rows().groupBy("g", "key").agg(F.first("e").alias("e"), F.max("asked").alias("asked")).withColumn("chunk", F.lit(0))
+    found, work = _met(nodes, threshold)
+    return Links(rows().select("g", "key", "id", "asked"), found, work)
+
+
+def _usable(df: DataFrame, group: str, id_col: str, embedding: str, asked: Column | None, carry: Sequence[str] = ()) -> DataFrame:
+    """(g, id, asked, key, e) and x_ with the name of each column carried."""
     e = F.col(embedding)
     usable = F.col(id_col).isNotNull() & F.col(group).isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(e, lambda v: v != 0)
     told = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
-    rows = stored(df.filter(F.coalesce(usable, F.lit(False))).select(F.col(group).alias("g"), F.col(id_col).alias("id"), told.alias("asked"), key_of(embedding).alias("key"), e.alias("e")), "similar-rows")
-    nodes = stored(rows().groupBy("g", "key").agg(F.first("e").alias("e"), F.max("asked").alias("asked")).withColumn("width", F.size("e")), "similar-nodes")
-    sizes = nodes().groupBy(*GROUP).agg(F.count("*").alias("n"))
-    pivots = stored(_pivots(nodes(), sizes), "similar-pivots")
-    placed = stored(_placed(nodes(), sizes, pivots(), threshold), "similar-placed")
-
-    steps = _rings(placed())
-    rings = steps.groupBy(*RING).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("asked").alias("any_asked")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = [F.col(group).alias("g"), F.col(id_col).alias("id"), told.alias("asked"), key_of(embedding).alias("key"), e.alias("e")]
+    return df.filter(F.coalesce(usable, F.lit(False))).select(*own, *[F.col(c).alias(f"x_{c}") for c in carry])
+
+
+def _met(made: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, work) of nodes (g, key, chunk, e, asked). Where they have rows m,
+    (id, asked, gone, x_...), links are of rows: (g, similarity, a, b, and each
+    side's carried columns), without those whose id is among the other's gone."""
+    nodes = stored(made.withColumn("width", F.size("e")), "similar-nodes")
+    bring = ["m"] if "m" in made.columns else []
+    sizes = nodes().groupBy(*GROUP).agg(F.count("*").alias("n")).withColumn("block", _block())
+    pivots = stored(_pivots(nodes(), sizes, threshold), "similar-pivots")
+    placed = stored(_placed(nodes(), sizes.drop("block"), pivots(), threshold), "similar-placed")
+
+    steps = _rings(placed(), sizes)
+    rings = steps.groupBy(*RING).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("asked").alias("any_asked"), F.first("block").alias("block")).withColumn("parts", F.ceil(F.col("n") / F.col("block")).cast("int")).drop("block")
     spots = stored(steps.select(*CELL, "step", "ring").join(rings, RING), "similar-rings")
     rings = spots().select(*RING, "lo", "hi", "parts", "any_asked").distinct()
 
     def settled() -> DataFrame:
         at = spots().select(*CELL, "step", "ring", "parts")
-        return placed().withColumn("step", _step("angle")).join(at, [*CELL, "step"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("step", "parts")
+        return placed().withColumn("step", _step("angle")).join(at, [*CELL, "step"]).withColumn("part", F.pmod(F.xxhash64("key", "chunk"), F.col("parts")).cast("int")).drop("step", "parts")
 
     homes = settled()
     turn = F.acos(F.lit(float(np.clip(threshold, -1, 1)))) + SLACK
-    trips = homes.select(*GROUP, F.col("cell").alias("own_cell"), F.col("ring").alias("own_ring"), F.col("part").alias("own_part"), "key", "asked", "e", F.explode(F.arrays_zip("cells", "angles")).alias("to"))
-    trips = trips.select("*", F.col("to.cells").alias("cell"), F.col("to.angles").alias("at"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(PARTS)).cast("int").alias("salt")).drop("to")
+    trips = homes.select(*GROUP, F.col("cell").alias("own_cell"), F.col("ring").alias("own_ring"), F.col("part").alias("own_part"), "key", "chunk", "asked", "e", *bring, F.explode(F.arrays_zip("cells", "angles")).alias("to"))
+    trips = trips.select("*", F.col("to.cells").alias("cell"), F.col("to.angles").alias("at"), F.pmod(F.xxhash64("key", "chunk", F.lit(1)), F.lit(PARTS)).cast("int").alias("salt")).drop("to")
     stops = rings.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     met = trips.join(stops, [*CELL, "salt"]).filter((F.col("at") >= F.col("lo") - turn) & (F.col("at") <= F.col("hi") + turn) & (F.col("asked") | F.col("any_asked")))
     own = F.struct("own_cell", "own_ring", "own_part") == F.struct(F.col("cell").alias("own_cell"), F.col("ring").alias("own_ring"), F.col("part").alias("own_part"))
     on = (F.col("cell") != F.col("own_cell")) | (F.col("ring") > F.col("own_ring")) | ((F.col("ring") == F.col("own_ring")) & (F.col("part") >= F.col("own_part")))
-    visits = met.filter(on).select(*BLOCKS, "key", "asked", "e", own.alias("own"))
+    visits = met.filter(on).select(*BLOCKS, "key", "chunk", "asked", "e", *bring, own.alias("own"))
 
     counts = visits.groupBy(*BLOCKS).agg(F.count("*").alias("visits"))
-    work = stored(counts.join(settled().groupBy(*BLOCKS).agg(F.count("*").alias("nodes")), BLOCKS), "similar-work")
-    pieces = lambda: work().select(*BLOCKS, F.ceil(F.col("visits") / BLOCK).cast("int").alias("pieces"))
-    left = visits.join(pieces(), BLOCKS).withColumn("piece", F.pmod(F.xxhash64("key", F.lit(2)), F.col("pieces")).cast("int")).drop("pieces")
-    right = settled().select(*BLOCKS, "key", "asked", "e").join(pieces(), BLOCKS).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-
-    def multiply(key: tuple, visitors: pa.Table, block: pa.Table) -> pa.Table:
-        kind = (visitors if visitors.num_rows else block)["g"].type
+    work = stored(counts.join(settled().groupBy(*BLOCKS).agg(F.count("*").alias("nodes")), BLOCKS).join(sizes.select(*GROUP, "block"), GROUP).withColumn("pieces", F.ceil(F.col("visits") / F.col("block")).cast("int")).drop("block"), "similar-work")
+    pieces = lambda: work().select(*BLOCKS, "pieces")
+    sent = [*BLOCKS, "piece", "key", "asked", "e", *bring]
+    left = visits.join(pieces(), BLOCKS).withColumn("piece", F.pmod(F.xxhash64("key", "chunk", F.lit(2)), F.col("pieces")).cast("int")).select(*sent, "own", F.lit(True).alias("visits"))
+    right = settled().join(pieces(), BLOCKS).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(*sent, F.lit(False).alias("own"), F.lit(False).alias("visits"))
+    g = f"g {made.schema['g'].dataType.simpleString()}"
+    if not bring:
+        schema = f"{g}, similarity double, a string, b string"
+    else:
+        fields = [f for f in made.schema["m"].dataType.elementType.fields if f.name == "id" or f.name.startswith("x_")]
+        schema = f"{g}, similarity double, " + ", ".join(f"{side}{'' if f.name == 'id' else f.name[1:]} {f.dataType.simpleString()}" for side in "ab" for f in fields)
+    carried = [f.name for f in fields] if bring else []
+
+    def multiply(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        visitors, block = table.filter(table["visits"]), table.filter(pc.invert(table["visits"]))
         if not visitors.num_rows or not block.num_rows:
-            return pa.table({"g": pa.array([], kind), "a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+            return
         width = key[1].as_py()
-        s = _matrix(visitors["e"], width) @ _matrix(block["e"], width).T
-        wanted = visitors["asked"].to_numpy()[:, None] | block["asked"].to_numpy()[None, :]
-        p, q = np.nonzero((s >= threshold) & wanted)
-        a, b = (np.asarray(side["key"].to_pylist(), object)[i] for side, i in ((visitors, p), (block, q)))
-        keep = ~visitors["own"].to_numpy()[p] | (a < b)
-        a, b = a[keep], b[keep]
-        return pa.table({"g": pa.array([key[0].as_py()] * len(a), kind), "a": pa.array(np.where(a < b, a, b), pa.string()), "b": pa.array(np.where(a < b, b, a), pa.string()), "similarity": pa.array(s[p, q][keep], pa.float64())})
-
-    g = df.schema[group].dataType.simpleString()
-    found = left.groupBy(*BLOCKS, "piece").cogroup(right.groupBy(*BLOCKS, "piece")).applyInArrow(multiply, f"g {g}, a string, b string, similarity double")
-    return Links(rows().select("g", "key", "id", "asked"), found, work())
-
-
-def pairs(df: DataFrame, threshold: float, group: str = "namespace", id_col: str = "id", embedding: str = "embedding", asked: Column | None = None) -> DataFrame:
+        y, at_once = _matrix(block["e"], width).T, max(1, PRODUCTS // block.num_rows)
+        keys = np.asarray(block["key"].to_pylist(), object)
+        asked = block["asked"].to_numpy()
+        for at in range(0, visitors.num_rows, at_once):
+            some = visitors.slice(at, at_once)
+            s = _matrix(some["e"], width) @ y
+            p, q = np.nonzero((s >= threshold) & (some["asked"].to_numpy()[:, None] | asked[None, :]))
+            a, b = np.asarray(some["key"].to_pylist(), object)[p], keys[q]
+            keep = (a != b) & (~some["own"].to_numpy()[p] | (a < b))
+            p, q, a, b = p[keep], q[keep], a[keep], b[keep]
+            if not len(p):
+                continue
+            if bring:
+                yield from _expanded(key[0], some["m"].combine_chunks(), block["m"].combine_chunks(), p, q, s[p, q], carried)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(p)), pa.array(s[p, q]), pa.array(np.where(a < b, a, b), pa.string()), pa.array(np.where(a < b, b, a), pa.string())], ["g", "similarity", "a", "b"])
+
+    met_in_blocks = left.unionByName(right).groupBy(*BLOCKS, "piece")
+    return met_in_blocks.applyInArrow(multiply, schema), work()
+
+
+def _expanded(g: pa.Scalar, left: pa.ListArray, right: pa.ListArray, p: np.ndarray, q: np.ndarray, s: np.ndarray, carried: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pairs of the rows of nodes p and q, at most about ``PRODUCTS`` at once."""
+    (rows, n, first), (others, m, start) = ((x.flatten(), c := x.value_lengths().to_numpy(zero_copy_only=False), np.cumsum(c) - c) for x in (left, right))
+    count = n[p].astype(np.int64) * m[q]
+    reached = np.cumsum(count)
+    cuts = np.unique(np.searchsorted(reached, np.arange(PRODUCTS, reached[-1] + PRODUCTS, PRODUCTS), side="right").clip(1, len(p)))
+    for lo, hi in zip([0, *cuts], [*cuts, len(p)]):
+        if lo == hi:
+            continue
+        c = count[lo:hi]
+        of = np.repeat(np.arange(lo, hi), c)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)
+        a, b = rows.take(pa.array(first[p[of]] + k // m[q[of]])), others.take(pa.array(start[q[of]] + k % m[q[of]]))
+        keep = pc.or_(a.field("asked"), b.field("asked")).to_numpy(zero_copy_only=False)
+        for x, y in ((a, b), (b, a)):
+            gone = x.field("gone")
+            sizes = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if sizes.any():
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                keep[at[pc.equal(gone.flatten(), y.field("id").take(pa.array(at))).to_numpy(zero_copy_only=False)]] = False
+        sides = [side.field(name).filter(pa.array(keep)) for side in (a, b) for name in carried]
+        yield pa.RecordBatch.from_arrays([pa.repeat(g, int(keep.sum())), pa.array(s[of][keep]), *sides], ["g", "similarity", *[f"{side}{'' if name == 'id' else name[1:]}" for side in "ab" for name in carried]])
+
+
+def pairs(df: DataFrame, threshold: float, group: str = "namespace", id_col: str = "id", embedding: str = "embedding", asked: Column | None = None, carry: Sequence[str] = (), without: DataFrame | None = None) -> DataFrame:
     """(group, a, b, similarity) with a < b: all pairs of rows of one group at
     the threshold or above, rows of equal vectors too (their cosine is 1). What
-    is asked is quadratic in the copies; ``classes`` is not."""
-    found = links(df, threshold, group, id_col, embedding, asked)
-    side = lambda name: found.members.select("g", F.col("key").alias(f"{name}_key"), F.col("id").alias(name), F.col("asked").alias(f"{name}_asked"))
-    unlike = found.links.withColumnsRenamed({"a": "a_key", "b": "b_key"}).join(side("a"), ["g", "a_key"]).join(side("b"), ["g", "b_key"])
-    out = unlike.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity", "a_asked", "b_asked")
+    is asked is quadratic in the copies; ``classes`` is not. Columns to carry
+    come as a_ and b_ with their names; pairs of ``without`` (lo, hi) are left
+    out, of which an id's own travel with it."""
+    kind = df.schema[id_col].dataType.simpleString()
+    usable = _usable(df, group, id_col, embedding, asked, carry)
+    if without is None:
+        usable = usable.withColumn("gone", F.lit(None).cast(f"array<{kind}>"))
+    else:
+        lo, hi = without.columns
+        gone = without.filter(F.col(lo) < F.col(hi)).groupBy(F.col(lo).cast(kind).alias("id")).agg(F.collect_set(F.col(hi).cast(kind)).alias("gone"))
+        usable = usable.join(gone, "id", "left")
+    rows = stored(usable, "similar-rows")
+    extra = [f"x_{c}" for c in carry]
+    chunks = rows().groupBy("g", "key").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("chunks"))
+    cut = rows().join(chunks, ["g", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    nodes = cut.groupBy("g", "key", "chunk").agg(F.first("e").alias("e"), F.max("asked").alias("asked"), F.collect_list(F.struct("id", "asked", "gone", *extra)).alias("m"))
+    unlike, _ = _met(nodes, threshold)
     if threshold <= 1:
-        alike = side("a").withColumnRenamed("a_key", "key").join(side("b").withColumnRenamed("b_key", "key"), ["g", "key"]).filter("a < b")
-        out = out.unionByName(alike.select("g", "a", "b", F.lit(1.0).alias("similarity"), "a_asked", "b_asked"))
-    return out.filter("a_asked or b_asked").select(F.col("g").alias(group), "a", "b", "similarity")
+        side = lambda name: rows().select("g", "key", F.col("id").alias(name), F.col("asked").alias(f"{name}_told"), F.col("gone").alias(f"{name}_gone"), *[F.col(f"x_{c}").alias(f"{name}_{c}") for c in carry])
+        alike = side("a").join(side("b"), ["g", "key"]).filter((F.col("a") < F.col("b")) & (F.col("a_told") | F.col("b_told")) & ~F.coalesce(F.array_contains("a_gone", F.col("b")), F.lit(False)))
+        unlike = unlike.unionByName(alike.withColumn("similarity", F.lit(1.0)).select(*unlike.columns))
+    swap = F.col("a") > F.col("b")
+    ends = [F.when(swap, F.col(f"{y}{c}")).otherwise(F.col(f"{x}{c}")).alias(f"{x}{c}") for c in ["", *[f"_{c}" for c in carry]] for x, y in ("ab", "ba")]
+    chosen = unlike.select(F.col("g").alias(group), "similarity", *ends)
+    return chosen.select(group, "a", "b", "similarity", *[f"{x}_{c}" for c in carry for x in "ab"])
 
 
 def classes(found: Links) -> DataFrame:
@@ -236,6 +332,6 @@ def figures(found: Links) -> DataFrame:
     vectors they held; a block against itself counts its pairs once."""
     n = F.sum("nodes")
     inner = F.sum(F.col("nodes") * F.col("visits") - F.col("nodes") * (F.col("nodes") + 1) / 2)
-    out = found.work.groupBy(*GROUP).agg(n.alias("vectors"), F.count("*").alias("blocks"), F.sum(F.ceil(F.col("visits") / BLOCK)).alias("products"), inner.cast("long").alias("compared"))
+    out = found.work.groupBy(*GROUP).agg(n.alias("vectors"), F.count("*").alias("blocks"), F.sum("pieces").alias("products"), inner.cast("long").alias("compared"))
     out = out.withColumn("possible", (F.col("vectors") * (F.col("vectors") - 1) / 2).cast("long"))
     return out.select("g", "vectors", "blocks", "products", "compared", "possible", F.when(F.col("possible") > 0, F.col("compared") / F.col("possible")).otherwise(0.0).alias("share"))

@@ -75,7 +75,7 @@ WHERE {live('a')} AND {live('b')} AND list_cosine_similarity(a.embedding, b.embe
 ORDER BY round(list_cosine_similarity(a.embedding, b.embedding), 9) DESC, a.created_at, a.id, b.id LIMIT 5 OFFSET 3"""
 )
 def l05_conflicts_page(spark, sf):
-    found = duplicates.conflicts(mem(spark, sf, True), NARROW, NOW, 0.35, dismissed(spark, sf))
+    found = duplicates.conflicts(mem(spark, sf, True), NARROW, NOW, 0.35, dismissed(spark, sf), contents=False)
     page = found.orderBy(F.round("similarity", 9).desc(), "older_at", "older_id", "newer_id").offset(3).limit(5)
     return page.select("older_id", "newer_id")
 

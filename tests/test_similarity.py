@@ -88,3 +88,18 @@ def test_rows_that_cannot_be_compared(spark):
     assert similarity.pairs(renamed, 0.9, "g", "key", "e").count() == len(got)
     assert similarity.pairs(df.limit(0), 0.9).collect() == [] and similarity.figures(similarity.links(df.limit(0), 0.9)).collect() == []
     assert {(r.id, r.class_id, r.links) for r in similarity.classes(similarity.links(df, 0.9)).collect()} >= {(14, 14, 0), (9, 9, 1), (15, 9, 1)}
+
+
+def test_few_blocks_where_nothing_is_pruned(spark, small, monkeypatch):
+    monkeypatch.setattr(similarity, "SHARE", 4)
+    monkeypatch.setattr(similarity, "PRODUCTS", 64)
+    monkeypatch.setattr(similarity, "ROWS", 2)
+    x = RNG.normal(size=(160, 16)).astype(np.float32)
+    x[:9] = x[9]
+    rows = [("one", i, [float(v) for v in x[i]], f"e{i}") for i in range(len(x))]
+    df, want = table(spark, rows), brute(rows, 0.35)
+    r = similarity.figures(similarity.links(df, 0.35)).first()
+    assert r.blocks <= 6 and r.share > 0.9
+    ledger = spark.createDataFrame([k[1:] for k in want][::3] + [(150, 3), (2, 900)], "lo long, hi long")
+    got = similarity.pairs(df, 0.35, carry=["extra"], without=ledger)
+    assert {(p.a, p.b, p.a_extra, p.b_extra) for p in got.collect()} == {(a, b, f"e{a}", f"e{b}") for n, (_, a, b) in enumerate(want) if n % 3}
