@@ -194,6 +194,28 @@ def emissions_matching(emissions: DataFrame, probes: DataFrame, memory: DataFram
     return near.join(seen, "memory_id").distinct()
 
 
+def echoes(emissions: DataFrame, probes: DataFrame, memory: DataFrame, grants: Sequence[Grant], digest: str = "content_sha256", slack: int = ECHO_SLACK, days: int = ECHO_DAYS) -> DataFrame:
+    """probes (a digest, observed_at, …) with ``echo``: whether ``emissions_matching``
+    has any row for them. Which one does not matter, so copies make no pairs: time is
+    cut into stretches as long as the window, a window lies in two of them, and of a
+    digest's emissions the last of the one and the first of the other decide.
+
+    The join is null-safe, and nulls are told apart after it, as a filter of nulls
+    would take each digest once more ahead of it."""
+    day, length = 86_400_000_000, (days * 86_400 + slack) * 1_000_000
+    begin = lambda t: t - F.pmod(t, F.lit(length))
+    seen = memory.filter(readable(grants)).select(F.col("id").alias("memory_id"))
+    shown = emissions.join(seen, "memory_id", "left_semi").select(F.col("content_sha256").alias("_digest"), F.unix_micros("first_emitted_at").alias("_t"))
+    t, none = F.col("_t"), F.lit(None).cast("long")
+    as_last = F.struct(begin(t).alias("_begin"), t.alias("_last"), none.alias("_first"))
+    as_first = F.struct((begin(t) - length).alias("_begin"), none.alias("_last"), t.alias("_first"))
+    near = shown.select("_digest", F.inline(F.array(as_last, as_first))).groupBy("_digest", "_begin").agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+    since = F.unix_micros("observed_at") - days * day
+    both = probes.withColumns({"_since": since, "_at": begin(since)}).join(near, F.col(digest).eqNullSafe(F.col("_digest")) & F.col("_at").eqNullSafe(F.col("_begin")), "left")
+    echo = F.col(digest).isNotNull() & ((F.col("_last") >= F.col("_since")) | (F.col("_first") <= F.col("_since") + length))
+    return both.withColumn("echo", F.coalesce(echo, F.lit(False))).drop("_since", "_at", "_digest", "_begin", "_last", "_first")
+
+
 def record_emissions(emissions: DataFrame, shown: DataFrame) -> DataFrame:
     """shown (content_sha256, memory_id, tool, session_id, emitted_at): counts
     go up, the last time moves, a known session stays."""
@@ -215,17 +237,20 @@ def post(facts: DataFrame, proposals: DataFrame, emissions: DataFrame, memory: D
     reinforced (proposed before), duplicate (of a fact in this batch), or
     proposed; and ``auto``."""
     ns = guards.namespace("namespace")
-    rows = facts.withColumns({"namespace": F.coalesce(ns, F.col("namespace")), "_ns_ok": ns.isNotNull() & guards.writable(ns), "fingerprint": content_digest("content"), "_cred": credentials.finding("content").isNotNull()})
+    rows = facts.withColumns({"namespace": F.coalesce(ns, F.col("namespace")), "_ns_ok": F.coalesce(ns.isNotNull() & guards.writable(ns), F.lit(False)), "fingerprint": content_digest("content")})
     level = first_rule_level("namespace", rules)
     granted = visible_at_level(grants, level)
-    echo = emissions_matching(emissions, rows.select(F.col("fingerprint").alias("content_sha256"), "observed_at", "fact_id"), memory, grants).select("fact_id").distinct().withColumn("_echo", F.lit(True))
-    before = proposals.select("fingerprint", "namespace").distinct().withColumn("_before", F.lit(True))
+    read = F.when(F.col("_ns_ok") & granted & (level == "open"), F.col("content"))  # all others are refused before, or stored above the open
+    rows = rows.withColumn("_cred", credentials.finding(read).isNotNull())
+    before = proposals.select(F.col("fingerprint").alias("_print"), F.col("namespace").alias("_of")).distinct().withColumn("_before", F.lit(True))
     first = W.partitionBy("fingerprint", "namespace").orderBy(F.col("observed_at").asc_nulls_last(), "fact_id")
-    flagged = rows.join(echo, "fact_id", "left").join(before, ["fingerprint", "namespace"], "left").withColumn("_nth", F.row_number().over(first))
+    told = echoes(emissions, rows, memory, grants, "fingerprint")
+    known = F.col("fingerprint").eqNullSafe(F.col("_print")) & F.col("namespace").eqNullSafe(F.col("_of"))
+    flagged = told.join(before, known, "left").withColumn("_nth", F.row_number().over(first))
     outcome = (
-        F.when(~F.coalesce("_ns_ok", F.lit(False)), "refused_namespace").when(~granted, "refused_grant").when(F.col("_cred") & (level == "open"), "refused_credential").when(F.col("_echo"), "echo").when(F.col("_before"), "reinforced").when(F.col("_nth") > 1, "duplicate").otherwise("proposed")
+        F.when(~F.col("_ns_ok"), "refused_namespace").when(~granted, "refused_grant").when(F.col("_cred"), "refused_credential").when(F.col("echo"), "echo").when(F.col("_before") & F.col("fingerprint").isNotNull(), "reinforced").when(F.col("_nth") > 1, "duplicate").otherwise("proposed")
     )
-    return flagged.withColumns({"outcome": outcome, "auto": qualifies_for_auto("speaker", "content", "span_text")}).drop("_ns_ok", "_cred", "_echo", "_before", "_nth")
+    return flagged.withColumns({"outcome": outcome, "auto": qualifies_for_auto("speaker", "content", "span_text")}).drop("_ns_ok", "_cred", "echo", "_print", "_of", "_before", "_nth")
 
 
 def approval_order(proposals: DataFrame, sources: DataFrame) -> DataFrame:
