@@ -153,7 +153,8 @@ def s14_vault_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def s14_vault_notes(spark: SparkSession, sf: str) -> DataFrame:
-    return archive.vault(mem(spark, sf).filter(live(NOW))).select("path", F.md5("contents").alias("contents"))
+    """A note for every fact: what was replaced stays, says so, and links both ways."""
+    return archive.vault(mem(spark, sf)).select("path", F.md5("contents").alias("contents"))
 
 
 @query("SELECT count(*) AS questions, CAST(count(*) * 2 AS BIGINT) AS sessions, count(*) AS gold FROM (SELECT conv_id FROM conversations GROUP BY conv_id)")

@@ -81,7 +81,8 @@ def _quoted(c: str | Column) -> Column:
 
 def vault(memory: DataFrame, root: str = "vault") -> DataFrame:
     """(path, contents): a note for each fact at a path that its day, text and
-    id give, with its data in front and links to what it replaced."""
+    id give, with its data in front and links to what it replaced and what
+    replaced it; of a fact that has no note here, the id."""
     day = F.date_format("created_at", "yyyy-MM-dd")
     short = F.substring(F.regexp_replace(F.col("id").cast("string"), "[^A-Za-z0-9]", ""), 1, 8)
     stem = F.concat_ws("-", day, F.nullif(slug("content", 48), F.lit("")), short)
@@ -92,7 +93,7 @@ def vault(memory: DataFrame, root: str = "vault") -> DataFrame:
         links = memory.filter(F.col(c).isNotNull()).select("id", c).join(names.toDF(c, f"_{c}"), c).drop(c)
         linked = linked.join(links, "id", "left")
     line = lambda label, value: F.concat(F.lit(label + ": "), value)
-    link = lambda c: F.concat(F.lit("[["), F.col(f"_{c}"), F.lit("]]"))
+    link = lambda c: F.coalesce(F.concat(F.lit("[["), F.col(f"_{c}"), F.lit("]]")), _quoted(c))
     front = F.concat_ws(
         "\n", line("fact_id", _quoted("id")), line("namespace", _quoted("namespace")), line("sensitivity", F.col("sensitivity")), line("source_client", _quoted("source_client")), line("created_at", _quoted(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))),
         line("access_count", F.col("access_count").cast("string")), F.when(F.size("tags") > 0, line("tags", F.concat(F.lit("["), F.array_join(F.transform("tags", _quoted), ", "), F.lit("]")))),

@@ -6,6 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.plans import fixtures as fx
+from factloom.plans import formats
 from factloom.sources import archive, gzip_members
 
 SCHEMAS = {"memory": "id long, content string", "registry": "key string, value string"}
@@ -56,3 +58,17 @@ def test_vault_files_and_manifest(spark, tmp_path):
         manifest = {r.path: (r.bytes, r.sha256) for r in archive.write_vault(notes, str(tmp_path)).collect()}
     assert {p: n for p, (n, _) in manifest.items()} == {"vault/memory/a/é.md": 4, "vault/memory/b/x.md": 7}
     assert (tmp_path / "vault/memory/b/x.md").read_text() == "two é\n"
+
+
+def test_every_fact_has_its_note(spark, tmp_path):
+    docs = spark.range(0, 100).selectExpr("id as doc_id", "concat('fact ', id) as text", "'en' as lang", "'web' as source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    facts = fx.fx_memory(spark, str(tmp_path), embedding=False)
+    assert 0 < facts.filter("superseded_by is not null").count() < 100 and facts.filter(~formats.live(formats.NOW)).count() > 0
+    got = {r.path: r.contents for r in formats.s14_vault_notes(spark, str(tmp_path)).collect()}
+    want = {r.path: r.contents for r in archive.vault(facts).select("path", F.md5("contents").alias("contents")).collect()}
+    assert len(got) == 100 and got == want
+    notes = {r.path.rsplit("-", 1)[1]: r.contents for r in archive.vault(facts).collect()}
+    assert "superseded_by: [[2024-01-04-fact-73-73]]\nstatus: superseded" in notes["3.md"] and "> Retired." in notes["3.md"] and "supersedes: [[2024-01-01-fact-3-3]]" in notes["73.md"]
+    alone = {r.path.rsplit("-", 1)[1]: r.contents for r in archive.vault(facts.filter("superseded_by is null")).collect()}
+    assert 'supersedes: "3"' in alone["73.md"]  # no note of it here
