@@ -1,7 +1,7 @@
 """Lines of files by ranges of bytes, as a data source in batches and streams.
 
-A partition is a range of one file, so that one large file is many tasks; a
-line belongs to the range that holds its first byte. Only bytes after a file's
+One large file is many ranges; a line belongs to the range that holds its first
+byte. A partition is some ranges, so that small ones do not cost a task each. Only bytes after a file's
 offset are read. A line longer than the limit is counted and not held; what has
 no newline yet waits for the next run. A stream's offsets are bytes by file,
 each with a hash of the ends of what was read: a file whose beginning is
@@ -23,6 +23,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "file_path string, byte_start long, byte_end long, text string, oversized boolean"
 CHUNK, BATCH = 1 << 20, 4 << 20
+#: What is read at once to find the end of a range's last line.
+TAIL = 64 << 10
+#: A task takes more than one range where there are more than so many, up to so many bytes.
+TASKS, TASK_BYTES = 200, 16 << 20
 #: Bytes at either end of what a stream has read that tell whether it changed.
 ENDS = 4096
 # Parts of paths that are never read.
@@ -95,7 +99,7 @@ def lines_of(f: pa.NativeFile, base: int, start: int, end: int, stop: int, max_l
     skipping = start > base  # the line before belongs to the range before
     line_start, held, size = start, bytearray(), 0
     while at < stop:
-        chunk = f.read_at(min(CHUNK, stop - at), at)
+        chunk = f.read_at(min(CHUNK, stop - at, max(end - at, TAIL)), at)
         if not chunk:
             return
         here = 0
@@ -135,6 +139,25 @@ def ranges(address: str, base: int, stop: int, size: int) -> list[Range]:
     return [Range(address, base, at, min(at + size, stop), stop) for at in range(base, stop, size)]
 
 
+@dataclass
+class Share(InputPartition):
+    ranges: list[Range]
+
+
+def shares(found: list[Range]) -> list[Share]:
+    """Ranges dealt to tasks, in their order."""
+    most = min(TASK_BYTES, sum(r.end - r.start for r in found) // TASKS)
+    out: list[Share] = []
+    held = 0
+    for r in found:
+        if not out or held + r.end - r.start > most:
+            out.append(Share([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.end - r.start
+    return out
+
+
 def rows_of(part: Range, max_line: int) -> Iterator[pa.RecordBatch]:
     fs, path, _ = opened(part.address)
     rows: list[tuple[int, int, str | None]] = []
@@ -167,11 +190,11 @@ class LineReader(DataSourceReader):
         self.o = _Options(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [r for address, size, _ in listed(self.o.path, self.o.pattern) for r in ranges(address, self.o.offsets.get(address, 0), size, self.o.size)]
+        return shares([r for address, size, _ in listed(self.o.path, self.o.pattern) for r in ranges(address, self.o.offsets.get(address, 0), size, self.o.size)])
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        if partition is not None:
-            yield from rows_of(partition, self.o.max_line)
+    def read(self, partition: Share | None) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges if partition is not None else []:
+            yield from rows_of(part, self.o.max_line)
 
 
 class LineStreamReader(DataSourceStreamReader):
@@ -195,10 +218,11 @@ class LineStreamReader(DataSourceStreamReader):
             if base and (base > stop or ends_digest(address, base) != known):
                 base = 0
             out += ranges(address, base, stop, self.o.size)
-        return out
+        return shares(out)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield from rows_of(partition, self.o.max_line)
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from rows_of(part, self.o.max_line)
 
 
 class ByteLines(DataSource):

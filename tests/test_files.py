@@ -97,3 +97,15 @@ def test_a_log_of_segments_has_the_places_of_one_file(spark, monkeypatch):
     assert len(sizes) > 2
     assert {name: sorted(map(tuple, getattr(formats, name)(spark, sf).collect())) for name in want} == want
     assert formats._placed(files.lines(spark, formats._log(docs.limit(0), "test-log"), pattern="part-*"), path).collect() == []
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    content = b"".join(b"line %d%s\n" % (i, b"." * RNG.randint(0, 60)) for i in range(2_000))
+    put(tmp_path / "in" / "a.jsonl", content)
+    put(tmp_path / "in" / "b.jsonl", b"one\ntwo\n")
+    read = files.lines(spark, str(tmp_path / "in"), range_bytes=20)
+    assert len(content) / 20 > 2_000 and read.rdd.getNumPartitions() <= 2 * byte_lines.TASKS
+    want = [("a.jsonl", at, line.decode()) for at, _, line in by_hand(content)] + [("b.jsonl", 0, "one"), ("b.jsonl", 4, "two")]
+    assert texts(read) == sorted(want)
+    dealt = byte_lines.shares(byte_lines.ranges("x", 0, 10 << 30, 100_000))
+    assert len(dealt) < 700 and sum(len(s.ranges) for s in dealt) == -(-(10 << 30) // 100_000)
