@@ -24,6 +24,8 @@ TOP = 32
 WIDEST = 8
 #: Nodes, and probes, that are handled at once.
 NODES, PROBES = 256, 64
+#: Nodes that a walk steps from at once.
+STEPS = 4
 
 
 @dataclass
@@ -103,7 +105,9 @@ def build(vectors: np.ndarray, seed: int = 16) -> Graph:
         places = np.searchsorted(layers[low], layers[low + 1])
         wide = np.full((len(layers[low]), CHOSEN), -1, np.int32)
         far = links[low + 1][:, :CHOSEN]
-        wide[places, : far.shape[1]] = np.where(far >= 0, places[far], -1)
+        there = np.where(far >= 0, places[far], -1)
+        known = (there[:, :, None] == links[low][places][:, None, :]).any(axis=2)
+        wide[places, : far.shape[1]] = np.where(known, -1, there)
         links[low] = np.concatenate([links[low], wide], axis=1)
     return Graph(x, layers, links)
 
@@ -121,21 +125,28 @@ class Beam:
 
 
 def _walk(x: np.ndarray, links: np.ndarray, probes: np.ndarray, beam: Beam) -> None:
-    """Step from the best node not yet walked from, until the beam has none."""
-    width = beam.nodes.shape[1]
-    every = np.arange(len(probes))
+    """Step from the best nodes not yet walked from, until the beam has none."""
+    width, wide = beam.nodes.shape[1], links.shape[1]
     while True:
-        ahead = np.where(beam.walked | (beam.nodes < 0), -np.inf, beam.sims)
-        step = ahead.argmax(axis=1)
-        active = every[np.isfinite(ahead[every, step])]
+        ahead = ~beam.walked & (beam.nodes >= 0)
+        active = np.flatnonzero(ahead.any(axis=1))
         if not len(active):
             return
-        beam.walked[active, step[active]] = True
-        to = links[beam.nodes[active, step[active]]]
-        fresh = (to >= 0) & ~beam.seen[active[:, None], to]
-        sims = np.where(fresh, np.einsum("pld,pd->pl", x[to], probes[active]), -np.inf)
+        nth = np.cumsum(ahead[active], axis=1)
+        rows, columns = np.nonzero(ahead[active] & (nth <= STEPS))
+        beam.walked[active[rows], columns] = True
+        to = np.full((len(active), STEPS, wide), -1, np.int32)
+        to[rows, nth[rows, columns] - 1] = links[beam.nodes[active[rows], columns]]
+        fresh = np.zeros(to.shape, bool)
+        for step in range(STEPS):  # one after the other: they may share links
+            new = (to[:, step] >= 0) & ~beam.seen[active[:, None], to[:, step]]
+            at, link = np.nonzero(new)
+            beam.seen[active[at], to[at, step, link]] = True
+            fresh[:, step] = new
+        to, fresh = to.reshape(len(active), -1), fresh.reshape(len(active), -1)
         rows, columns = np.nonzero(fresh)
-        beam.seen[active[rows], to[rows, columns]] = True
+        sims = np.full(to.shape, -np.inf, np.float32)
+        sims[rows, columns] = np.einsum("nd,nd->n", x[to[rows, columns]], probes[active[rows]])
         beam.compared[active] += fresh.sum(axis=1)
         nodes = np.concatenate([beam.nodes[active], np.where(fresh, to, -1)], axis=1)
         both = np.concatenate([beam.sims[active], sims], axis=1)

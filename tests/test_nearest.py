@@ -48,3 +48,26 @@ def test_what_is_relevant_is_counted_not_listed(spark):
     r = catalog.relevance(spark, "/root/testdata/sf0.001")
     assert "gold" not in r.columns and dict(r.dtypes)["relevant"] == "bigint"
     assert all(len(x.ids) == len(x.hits) == 20 for x in r.collect())
+
+
+@pytest.mark.parametrize("spread", [0.2, 5.0])
+def test_cells_that_cannot_hold_nearer_rows_are_left_out(spark, monkeypatch, spread):
+    for name, size in (("PROBES", 40), ("ROWS", 30)):
+        monkeypatch.setattr(vector, name, size)
+    monkeypatch.setattr(vector.cells, "PER_CELL", 20)
+    met = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(vector, "_best", lambda q, x, k, least, f=vector._best: met.add(len(q) * len(x)) or f(q, x, k, least))
+    centres = RNG.normal(size=(20, 8))
+    x = (centres[np.arange(800) % 20] + RNG.normal(scale=spread, size=(800, 8))).astype(np.float32)
+    x[5::20] = x[5]  # one cluster is copies
+    rows = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "id long, embedding array<float>")
+    probes = rows.filter("id % 5 = 0").selectExpr("id as probe_id", "embedding as vector")
+    found = {}
+    for r in vector.nearest(rows, probes, 7).orderBy("probe_id", "rank").collect():
+        found.setdefault(r.probe_id, []).append(r.id)
+    y = x.astype(float)
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    for p in range(0, 800, 5):
+        s = np.round((y[p] * y).sum(axis=1), 12)
+        assert found[p] == sorted(range(800), key=lambda i: (-s[i], i))[:7]
+    assert spread > 1 or 0 < met.value < 160 * 800 / 4

@@ -79,3 +79,15 @@ def test_nothing_indexed(spark):
     rows = spark.createDataFrame([("a", None)], "id string, embedding array<float>")
     index = neighbours.build(rows)
     assert neighbours.nearest(index, spark.createDataFrame([(1, [1.0])], "probe_id long, vector array<float>"), 3).count() == 0
+
+
+def test_only_shards_that_can_hold_nearer_ones_are_walked(spark):
+    x = clusters(2400, 24)
+    rows = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "id long, embedding array<float>")
+    index = neighbours.create(rows, f"file:///tmp/spark-neighbours-{uuid.uuid4().hex}", shard_nodes=200)
+    assert index.shards == 12 and index.graphs.count() == 12
+    probes = rows.filter("id % 40 = 0").selectExpr("id as probe_id", "embedding as vector")
+    found = neighbours.nearest(index, probes, 10).collect()
+    ids = np.array([[r.id for r in sorted(found, key=lambda r: r["rank"]) if r.probe_id == p] for p in range(0, 2400, 40)])
+    assert ids.shape == (60, 10) and recall(x, x[::40], ids) >= 0.95
+    assert np.mean([r.compared for r in found]) < 0.35 * len(x)  # a walk compares most of a shard of 200, and there are 12
