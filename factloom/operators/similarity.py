@@ -43,8 +43,10 @@ from .neighbours import key_of
 BLOCK = 1024
 #: A block for so many of a large group, up to so many nodes and bytes in doubles.
 SHARE, MOST_BLOCK, BLOCK_BYTES = 32, 16_384, 16 << 20
-#: Pairs of one product, and rows of one node.
+#: Pairs that are expanded at once, and rows of one node.
 PRODUCTS, ROWS = 1 << 20, 64
+#: Pairs of one product, few enough for a core's own cache; above this share of them all are taken in doubles.
+TILE, DENSE = 1 << 17, 1 / 16
 #: A pivot for so many nodes, up to the most pivots of a group.
 PER_PIVOT, MOST_PIVOTS = 16, 256
 #: Nodes among which a group's pivots are chosen.
@@ -81,6 +83,27 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, cosine) of the pairs of rows of x and y at the threshold or above:
+    tiles of products in single precision, with room for its rounding, and
+    what they leave in doubles."""
+    low = np.float32(threshold - (x.shape[1] + 4) * 2.0**-22)
+    single_x, single_y, step = x.astype(np.float32), np.ascontiguousarray(y.T.astype(np.float32)), max(1, TILE // max(1, len(y)))
+    ps, qs, sims = [], [], []
+    for at in range(0, len(x), step):
+        s = single_x[at : at + step] @ single_y
+        left = np.flatnonzero(s.ravel() >= low)
+        if not len(left):
+            continue
+        p, q = np.divmod(left, len(y))
+        sim = (x[at : at + step] @ y.T).ravel()[left] if len(left) > DENSE * s.size else np.einsum("nd,nd->n", x[p + at], y[q])
+        kept = sim >= threshold
+        ps.append(p[kept] + at)
+        qs.append(q[kept])
+        sims.append(sim[kept])
+    return tuple(np.concatenate(v) if v else np.zeros(0, kind) for v, kind in ((ps, np.int64), (qs, np.int64), (sims, float)))
+
+
 def _spread(x: np.ndarray, count: int) -> np.ndarray:
     """Rows far from each other: each is the one furthest from those before."""
     chosen = [0]
@@ -240,22 +263,22 @@ def _met(made: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         if not visitors.num_rows or not block.num_rows:
             return
         width = key[1].as_py()
-        y, at_once = _matrix(block["e"], width).T, max(1, PRODUCTS // block.num_rows)
+        y, at_once = _matrix(block["e"], width), max(1, 4 * PRODUCTS // block.num_rows)
         keys = np.asarray(block["key"].to_pylist(), object)
         asked = block["asked"].to_numpy()
+        rows = block["m"].combine_chunks() if bring else None
         for at in range(0, visitors.num_rows, at_once):
             some = visitors.slice(at, at_once)
-            s = _matrix(some["e"], width) @ y
-            p, q = np.nonzero((s >= threshold) & (some["asked"].to_numpy()[:, None] | asked[None, :]))
+            p, q, s = _near(_matrix(some["e"], width), y, threshold)
             a, b = np.asarray(some["key"].to_pylist(), object)[p], keys[q]
-            keep = (a != b) & (~some["own"].to_numpy()[p] | (a < b))
-            p, q, a, b = p[keep], q[keep], a[keep], b[keep]
+            keep = (some["asked"].to_numpy()[p] | asked[q]) & (a != b) & (~some["own"].to_numpy()[p] | (a < b))
+            p, q, a, b, s = p[keep], q[keep], a[keep], b[keep], s[keep]
             if not len(p):
                 continue
             if bring:
-                yield from _expanded(key[0], some["m"].combine_chunks(), block["m"].combine_chunks(), p, q, s[p, q], carried)
+                yield from _expanded(key[0], some["m"].combine_chunks(), rows, p, q, s, carried)
             else:
-                yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(p)), pa.array(s[p, q]), pa.array(np.where(a < b, a, b), pa.string()), pa.array(np.where(a < b, b, a), pa.string())], ["g", "similarity", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(p)), pa.array(s), pa.array(np.where(a < b, a, b), pa.string()), pa.array(np.where(a < b, b, a), pa.string())], ["g", "similarity", "a", "b"])
 
     met_in_blocks = left.unionByName(right).groupBy(*BLOCKS, "piece")
     return met_in_blocks.applyInArrow(multiply, schema), work()

@@ -1,6 +1,7 @@
 """The pruned similarity join against comparison of all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,30 @@ def test_few_blocks_where_nothing_is_pruned(spark, small, monkeypatch):
     ledger = spark.createDataFrame([k[1:] for k in want][::3] + [(150, 3), (2, 900)], "lo long, hi long")
     got = similarity.pairs(df, 0.35, carry=["extra"], without=ledger)
     assert {(p.a, p.b, p.a_extra, p.b_extra) for p in got.collect()} == {(a, b, f"e{a}", f"e{b}") for n, (_, a, b) in enumerate(want) if n % 3}
+
+
+@pytest.mark.parametrize(("d", "threshold"), [(64, 0.4), (3, 0.999), (16, -0.3), (8, 2.0)])
+def test_single_precision_leaves_out_no_pair(monkeypatch, d, threshold):
+    monkeypatch.setattr(similarity, "TILE", 700)
+    x, y = (similarity._matrix(pa.chunked_array([pa.array(RNG.normal(size=(n, d)).tolist())]), d) for n in (150, 90))
+    y[:20] = x[:20]
+    s = np.einsum("pd,qd->pq", x, y)
+    if abs(threshold) < 1:
+        threshold = np.sort(s.ravel())[np.searchsorted(np.sort(s.ravel()), threshold)] - 1e-12  # a pair lies just above
+    p, q, sims = similarity._near(x, y, threshold)
+    assert set(zip(p, q, strict=True)) == set(zip(*np.nonzero(s >= threshold), strict=True))
+    assert np.allclose(sims, s[p, q], atol=1e-13, rtol=0)
+
+
+def test_products_fit_the_cache(monkeypatch):
+    sizes = []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            out = np.asarray(self) @ np.asarray(other)
+            sizes.append((out.size, out.dtype))
+            return out
+
+    x = similarity._matrix(pa.chunked_array([pa.array(RNG.normal(size=(600, 32)).tolist())]), 32).view(Watched)
+    similarity._near(x, x, 0.9)
+    assert sizes and all(n <= similarity.TILE and kind == np.float32 for n, kind in sizes)
