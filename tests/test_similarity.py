@@ -131,3 +131,12 @@ def test_products_fit_the_cache(monkeypatch):
     x = similarity._matrix(pa.chunked_array([pa.array(RNG.normal(size=(600, 32)).tolist())]), 32).view(Watched)
     similarity._near(x, x, 0.9)
     assert sizes and all(n <= similarity.TILE and kind == np.float32 for n, kind in sizes)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_vectors_as_bytes_are_the_same_vectors(kind):
+    column = pa.chunked_array([pa.array(RNG.normal(size=(n, 5)).astype(kind).tolist(), pa.list_(pa.from_numpy_dtype(kind))) for n in (3, 4)])
+    packed = similarity._packed(column, 5, kind)
+    assert len(packed) == 7 and {len(b) for b in packed.to_pylist()} == {5 * np.dtype(kind).itemsize}
+    assert (similarity._unpacked(packed, 5, kind) == similarity._matrix(column, 5)).all()
+    assert (similarity._unpacked(packed.slice(2, 3), 5, kind) == similarity._matrix(column, 5)[2:5]).all()
